@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -25,5 +25,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= {quality_rules.LEAST_LEFT} * n_words AS kept, n_words_left FROM m
 """
 
-QUERIES = {"op2_quality_rules": quality_rules.op2_quality_rules}
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL}
+#: Lower-cased words of a text for decontamination.
+FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9_SQL = f"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {FOLDED} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(ws), {decontaminate.WINDOW}) AS width, array_to_string(ws[i : i + least(len(ws), {decontaminate.WINDOW}) - 1], ' ') AS w
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {decontaminate.WINDOW} + 2, 2))) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {FOLDED} AS ws FROM documents),
+dw AS (SELECT doc_id, width, i, array_to_string(ws[i : i + width - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT width FROM bw))),
+found AS (SELECT doc_id, i, dw.width, item FROM dw JOIN bw ON dw.w = bw.w AND dw.width = bw.width),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+}
+ORACLE_SQL = {
+    "op2_quality_rules": OP2_SQL,
+    "op9_decontaminate": OP9_SQL,
+}
