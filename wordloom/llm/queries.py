@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, quality_rules, simhash, token_counts
+from . import decontaminate, pack, quality_rules, simhash, substring, token_counts
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -45,6 +45,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 QUERIES = {
     "op1_pack": pack.op1_pack,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_substring": substring.op3_substring,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
