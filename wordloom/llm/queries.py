@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, quality_rules, simhash, substring, token_counts
+from . import decontaminate, pack, quality_rules, simhash, substring, token_counts, warc
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -42,15 +42,25 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM h WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, h.payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM h LEFT JOIN f ON f.payload_digest = h.payload_digest
+"""
+
 QUERIES = {
     "op1_pack": pack.op1_pack,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_substring": substring.op3_substring,
+    "op5_warc": warc.op5_warc,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
+    "op5_warc": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
 }
