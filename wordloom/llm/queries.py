@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, quality_rules, simhash, substring, token_counts, warc
+from . import decontaminate, pack, quality_pu, quality_rules, simhash, substring, token_counts, toxicity, warc
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -54,7 +54,9 @@ QUERIES = {
     "op1_pack": pack.op1_pack,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_substring": substring.op3_substring,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
+    "op6_quality_pu": quality_pu.op6_quality_pu,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
