@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +13,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the cluster's checkpoint folder; a folder of our own only where none is named (tests)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of (a, b) edges can reach.
 

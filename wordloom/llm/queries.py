@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, quality_pu, quality_rules, simhash, substring, token_counts, toxicity, warc
+import corpus_pipeline
+
+from . import decontaminate, line_dedup, pack, quality_pu, quality_rules, simhash, substring, token_counts, toxicity, warc
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -28,6 +30,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 #: Lower-cased words of a text for decontamination.
 FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP7_SQL = rf"""
+WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+s AS (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^ \t\x0B\f\r]+'))) AS ws FROM l),
+c AS (SELECT ws, len(ws) AS n, min((doc_id, i)) AS first FROM s WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT first, n, unnest(ws) AS w FROM c),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+r AS (SELECT first, n, w, row_number() OVER (PARTITION BY first ORDER BY df, w) AS pos FROM t JOIN f USING (w)),
+p AS (SELECT * FROM r WHERE pos <= n - (({line_dedup.NUM} * n + {line_dedup.DEN - 1}) // {line_dedup.DEN}) + 1),
+pairs AS (SELECT DISTINCT a.first AS later, b.first AS earlier FROM p AS a JOIN p AS b ON a.w = b.w AND b.first < a.first AND {line_dedup.DEN} * least(a.n, b.n) >= {line_dedup.NUM} * greatest(a.n, b.n)),
+gone AS (SELECT DISTINCT later FROM pairs JOIN c AS a ON a.first = later JOIN c AS b ON b.first = earlier
+  WHERE {line_dedup.NUM + line_dedup.DEN} * len(list_intersect(a.ws, b.ws)) >= {line_dedup.NUM} * (a.n + b.n)),
+stay AS (SELECT first FROM c WHERE first NOT IN (SELECT later FROM gone)),
+m AS (SELECT doc_id, i, line, len(ws) = 0 OR first IS NOT NULL AS kept FROM s LEFT JOIN stay ON stay.first = (s.doc_id, s.i))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT kept)::BIGINT AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
 OP9_SQL = f"""
 WITH b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {FOLDED} AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(ws), {decontaminate.WINDOW}) AS width, array_to_string(ws[i : i + least(len(ws), {decontaminate.WINDOW}) - 1], ' ') AS w
@@ -51,12 +69,14 @@ SELECT page_id, payload_bytes, h.payload_digest, CASE WHEN first IS NULL OR firs
 """
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pack": pack.op1_pack,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_substring": substring.op3_substring,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_quality_pu": quality_pu.op6_quality_pu,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -64,5 +84,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
     "op5_warc": OP5_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import checkpointed, shared_folder
+
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
 #: Bytes read or inflated at once, and of records in an archive.
@@ -250,16 +252,6 @@ def _reader(uri: str):
     return read
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="warc-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, digest and refers_to: the smallest page_id with an equal payload, null for that one itself.
 
@@ -279,14 +271,14 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
     """(archive, records): the pages' records in archives of one gzip stream under uri."""
     Folder(uri).make()
     done = with_revisits(pages).mapInArrow(_archives(uri), "archive string, records long")
-    return _kept(done)
+    return checkpointed(done)
 
 
 def normalise_archives(archives: DataFrame, source: str, target: str) -> DataFrame:
     """(archive, offset, length, id, type, uri): the index of the archives rewritten under target."""
     Folder(target).make()
     spread = archives.filter("records > 0").select("archive").repartition(max(1, archives.count()), "archive")
-    return _kept(spread.mapInArrow(_normaliser(source, target), "archive string, offset long, length long, id string, type string, uri string"))
+    return checkpointed(spread.mapInArrow(_normaliser(source, target), "archive string, offset long, length long, id string, type string, uri string"))
 
 
 def read_archives(index: DataFrame, uri: str) -> DataFrame:
@@ -294,13 +286,6 @@ def read_archives(index: DataFrame, uri: str) -> DataFrame:
     return index.select("archive", "offset", "length").mapInArrow(_reader(uri), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Runs the writing once; later reads do not write again."""
-    from .components import checkpointed
-
-    return checkpointed(df)
-
-
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     whole, records = f"{folder}/whole", f"{folder}/records"
