@@ -68,7 +68,9 @@ def ash(beta: np.ndarray, s: np.ndarray, null_weight: float = 10.0, rounds: int
     # Moments of a normal cut to (-a, a).
     shift = (_pdf(lo) - _pdf(hi)) / mass
     mean = np.clip(b + e * shift, -a, a)
-    spread = np.maximum(e * e * (1 + (lo * _pdf(lo) - hi * _pdf(hi)) / mass - shift * shift), 0)
+    inside = mass > 1e-12  # elsewhere nearly all of the cut normal is at an end
+    shift = np.where(inside, shift, 0)
+    spread = np.where(inside, np.maximum(e * e * (1 + (lo * _pdf(lo) - hi * _pdf(hi)) / np.where(inside, mass, 1) - shift * shift), 0), 0)
     below = np.clip((_cdf(np.minimum(-b / e, hi)) - _cdf(lo)) / mass, 0, 1)
     post = (w[:, 1:] * mean).sum(1)
     second = (w[:, 1:] * (spread + mean * mean)).sum(1)
