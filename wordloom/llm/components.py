@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,21 @@ def shared_folder(spark, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again, which cuts its lineage."""
-    path = shared_folder(df.sparkSession, name)
+    """df written as a table in the shared folder and read again, which cuts its lineage.
+
+    The shuffle files of earlier tables go before df is computed, as nothing reads them any more.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = shared_folder(spark, name)
+    release_shuffles(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release_shuffles(spark) -> None:
+    """Spark deletes the shuffle files of plans that nothing holds when the driver collects its garbage; this asks for it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -3,17 +3,18 @@
 A line is the set of its words.  Of two lines with Jaccard similarity of at least 4/5
 the later one (by doc_id and line number) is removed, whatever becomes of the other.
 
-1.  A word is a 63-bit number whose upper 14 bits are the rank, rarest first, of its
-    hash bucket among 16,384 buckets by count over the corpus: numbers sort by rarity.
-    The ranks, as many for any corpus, go along in the plan.
+1.  A word is a 63-bit number whose upper 6 bits are the magnitude of the count, over the
+    corpus, of its hash bucket among 131,072: numbers sort by rarity.  The magnitudes, one
+    byte for each bucket whatever the corpus, go along in the plan.
 2.  Lines with one set of words are a class; the first line stands for it and all others
     go.  Counts and classes are pre-aggregated in each task, so a line that a third of
     all documents hold is a few rows.
 3.  Two similar sets share a word among the first n - ceil(4n/5) + 1 of the larger and
     the first n - ceil(8n/9) + 1 of the smaller.  Classes are joined on such words with
-    length and positional filters, and with a 64-bit map of the words: sets that differ
-    in d words have maps that differ in at most d bits.
-4.  In a first round a class meets only the earliest class with its rarest words, which
+    length and positional filters, with a 128-bit map of the words (sets that differ in d
+    words have maps that differ in at most d bits), and by the number of words that they
+    share among their first n - ceil(4n/5) + 1.
+4.  In a first round a class meets only the earliest class of each such word, which
     settles the many variants of one line without forming their pairs.  In the second,
     the classes that are still open meet all others.
 5.  Pairs are verified on the words of the lines themselves, read from the texts.
@@ -21,6 +22,8 @@ the later one (by doc_id and line number) is removed, whatever becomes of the ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +32,13 @@ from .substring import one_row_per_id
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 4, 5
-BUCKET_BITS = 14
-#: Rarest words by which a class looks for an earliest one.
-STAR = 3
-#: Pairs up to which their lines' places go to all tasks (some 40 bytes each).
-SENT_PAIRS = 500_000
+BUCKET_BITS = 17
+CLASS_BITS = 6
+#: Rows up to which lines' places go to all tasks (some 40 bytes each).
+SENT_ROWS = 500_000
 
 _NULL_ID = -(2**63)
+_ZERO = 33  # byte of magnitude 0
 _SPACES = "[ \\t\\x0B\\f\\r]+"
 
 
@@ -47,15 +50,13 @@ def _bucket(h):
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def rarity(lines: DataFrame) -> list[int]:
-    """The rank of each hash bucket by the count of its words, rarest first; 2**BUCKET_BITS numbers for any corpus."""
+def rarity(lines: DataFrame) -> bytes:
+    """The magnitude of the count of each hash bucket's words, as a printable byte; 2**BUCKET_BITS of them for any corpus."""
     counts = lines.select(F.explode(_words("line")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    held = dict(counts.collect())
-    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (held.get(b, 0), b))
-    ranks = [0] * len(order)
-    for rank, bucket in enumerate(order):
-        ranks[bucket] = rank
-    return ranks
+    out = bytearray([_ZERO]) * (1 << BUCKET_BITS)
+    for bucket, n in counts.collect():
+        out[bucket] = _ZERO + min(round(2 * math.log2(n + 1)), (1 << CLASS_BITS) - 1)
+    return bytes(out)
 
 
 def _share(n, num: int, den: int):
@@ -69,70 +70,115 @@ def _prefix(n, num: int, den: int):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """k1, k2 (of the set of words) and c: the first line of the class, its size, bit map and rarest words."""
+    """c: the first line of each class, with the size, bit map and rarest words of its set."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
-    ranks = F.split(F.lit(",".join(map(str, rarity(lines)))), ",").cast("array<int>")  # one constant of the plan
-    bits_left = 63 - BUCKET_BITS
-    numbers = F.transform(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), lambda h: F.shiftleft(F.get(ranks, _bucket(h)).cast("long"), bits_left).bitwiseOR(h.bitwiseAND(F.lit((1 << bits_left) - 1))))
+    magnitudes = F.lit(rarity(lines))  # one constant of the plan
+    low = 63 - CLASS_BITS
+    magnitude = lambda h: F.ascii(F.call_function("substring", magnitudes, _bucket(h) + 1, F.lit(1)).cast("string")) - _ZERO
+    numbers = F.transform(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), lambda h: F.shiftleft(magnitude(h).cast("long"), low).bitwiseOR(h.bitwiseAND(F.lit((1 << low) - 1))))
     sets = lines.select("doc", "no", F.sort_array(numbers).alias("ws")).withColumn("n", F.size("ws"))
-    bits = F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    first = F.struct("doc", "no", "n", bits.alias("bits"), F.slice("ws", 1, _prefix(F.col("n"), NUM, DEN)).alias("rare"))
+    # Bit w mod 64 of one of two maps, by the next bit of w.
+    set_bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, set_bit(a, w)).otherwise(a))
+    bits = [bit_map(0).alias("bits"), bit_map(64).alias("more")]
+    first = F.struct("doc", "no", "n", *bits, F.slice("ws", 1, _prefix(F.col("n"), NUM, DEN)).alias("rare"))
     keyed = sets.select(F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), first.alias("c"))
-    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"))
+    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c")).select("c")
+
+
+def _postings(of: DataFrame, done=None) -> DataFrame:
+    """A row for each class and each of its rarest words.
+
+    size: the class's size, the word's place in it, and whether the class is settled, in
+    one number, so that all readers of a shuffle read the same columns.
+    """
+    flag = F.lit(False) if done is None else F.col(done)
+    rows = of.select("c.doc", "c.no", "c.n", "c.bits", "c.more", flag.cast("long").alias("flag"), F.posexplode("c.rare").alias("pos", "w"))
+    return rows.select("w", "doc", "no", "bits", "more", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("flag")).alias("size"))
 
 
-def _postings(of: DataFrame, rare, *more: str) -> DataFrame:
-    return of.select("k1", "k2", "c.doc", "c.no", "c.n", "c.bits", *more, F.posexplode(rare).alias("pos", "w"))
+def _n(side: str):
+    return F.shiftright(F.col(f"{side}.size"), 32).cast("int")
+
+
+def _pos(side: str):
+    return F.shiftright(F.col(f"{side}.size").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+
+
+def _open(side: str):
+    return F.col(f"{side}.size").bitwiseAND(F.lit(1)) == 0
 
 
 def _may_match(a: str, b: str):
-    """Length, positional and bit-map filters for classes a (later) and b."""
+    """Length and bit-map filters for classes a (later) and b."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = c(a, "n"), c(b, "n")
-    large, small = F.greatest(na, nb), F.least(na, nb)
-    overlap = _share(na + nb, NUM, NUM + DEN)
-    within = F.least(na - c(a, "pos"), nb - c(b, "pos"))
+    na, nb = _n(a), _n(b)
     earlier = (c(b, "doc") < c(a, "doc")) | ((c(b, "doc") == c(a, "doc")) & (c(b, "no") < c(a, "no")))
-    return earlier & (small * DEN >= large * NUM) & (within >= overlap) & (F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) <= na + nb - 2 * overlap)
+    differ = sum(F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in ("bits", "more"))
+    return earlier & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (differ <= na + nb - 2 * _overlap(na, nb))
+
 
+def _whole(condition):
+    """A condition of which no part is moved to one side of a join, so that both sides read one shuffle."""
+    return F.coalesce(condition, F.lit(False))
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*(F.col(f"a.{x}").alias(f"a_{x}") for x in ("k1", "k2", "doc", "no")), *(F.col(f"b.{x}").alias(f"b_{x}") for x in ("doc", "no"))).distinct()
+
+def _overlap(na, nb):
+    """Words that two sets of these sizes share if they are similar enough."""
+    return _share(na + nb, NUM, NUM + DEN)
+
+
+_PAIR = [f"{side}_{x}" for side in "ab" for x in ("doc", "no")]
+
+
+def _named(joined: DataFrame, *more) -> DataFrame:
+    return joined.select(*(F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in "ab" for x in ("doc", "no")), *more)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(k1, k2) of the classes a that truly match, by the words of the lines.  pairs: a stored table."""
-    wanted = pairs.select(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_no").alias("no"))).groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    """(doc, no) of the classes a that truly match, by the words of the lines.  pairs: a stored table."""
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_no").alias("no")))).alias("x")).groupBy("x.doc").agg(F.collect_set("x.no").alias("nos"))
     # Only lines that a pair names leave their texts.  Few of them go to the texts; many are met by a shuffle of both.
-    few = pairs.count() <= SENT_PAIRS
+    few = pairs.count() <= SENT_ROWS
     text = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).select("doc", "no", F.get("lines", F.col("no")).alias("line"))
     a = text.select(F.col("doc").alias("a_doc"), F.col("no").alias("a_no"), F.col("line").alias("a_line"))
     b = text.select(F.col("doc").alias("b_doc"), F.col("no").alias("b_no"), F.col("line").alias("b_line"))
     both = pairs.join(a, ["a_doc", "a_no"]).join(b, ["b_doc", "b_no"])
-    sets = both.select("a_k1", "a_k2", F.array_distinct(_words("a_line")).alias("wa"), F.array_distinct(_words("b_line")).alias("wb"))
+    sets = both.select("a_doc", "a_no", F.array_distinct(_words("a_line")).alias("wa"), F.array_distinct(_words("b_line")).alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     # |A & B| / |A | B| >= NUM / DEN, in whole numbers
     true = sets.filter(shared * (NUM + DEN) >= NUM * (F.size("wa") + F.size("wb")))
-    return true.select(F.col("a_k1").alias("k1"), F.col("a_k2").alias("k2")).distinct()
+    return true.select(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")).distinct()
+
+
+def _star(found: DataFrame) -> DataFrame:
+    """Pairs of each class with the earliest class that has one of its rarest words among its own rarest."""
+    posted = _postings(found).repartition("w")
+    first = posted.groupBy("w").agg(F.min(F.struct("doc", "no", "bits", "more", "size")).alias("e"), F.count("*").alias("held")).filter("held > 1").select("w", "e.*")
+    within = F.least(_n("a") - _pos("a"), _n("b") - _pos("b")) >= _overlap(_n("a"), _n("b"))
+    return _named(posted.alias("a").join(first.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_may_match("a", "b") & within))).distinct()
+
+
+def _rest(found: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of the classes that are still open with all earlier ones."""
+    done = settled.select(F.col("doc").alias("_doc"), F.col("no").alias("_no"))
+    done = F.broadcast(done) if settled.count() <= SENT_ROWS else done
+    marked = found.join(done, (F.col("c.doc") == F.col("_doc")) & (F.col("c.no") == F.col("_no")), "left").select("c", F.col("_doc").isNotNull().alias("done"))
+    posted = _postings(marked, "done")
+    met = posted.alias("a").join(posted.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_open("a") & _may_match("a", "b")))
+    # Any word that both have is among the first ones of both, or behind those of one.
+    behind = F.greatest(*(_n(x) - _prefix(_n(x), NUM, DEN) for x in "ab"))
+    counted = _named(met, (_overlap(_n("a"), _n("b")) - behind).alias("least")).groupBy(*_PAIR, "least").agg(F.count("*").alias("shared"))
+    return counted.filter("shared >= least").select(*_PAIR)
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, nos): the numbers of the lines with a word that stay, for each of docs (doc, text)."""
     found = stored(classes(docs), "line-classes")
-    # Round one: the earliest class of each of the rarest words.
-    stars = _postings(found, F.slice("c.rare", 1, STAR))
-    earliest = stars.groupBy("w").agg(F.min(F.struct("doc", "no", "n", "bits", "pos")).alias("e"), F.count("*").alias("held")).filter("held > 1").select("w", "e.*")
-    near = stars.alias("a").join(earliest.alias("b"), F.col("a.w") == F.col("b.w")).filter(_may_match("a", "b"))
-    settled = stored(verified(stored(_pairs(near), "line-pairs"), docs), "line-matches")
-    # Round two: the open ones against all.
-    marked = found.join(settled.withColumn("done", F.lit(True)), ["k1", "k2"], "left").select("k1", "k2", "c", F.coalesce("done", F.lit(False)).alias("done"))
-    posted = _postings(marked, F.col("c.rare"), "done")
-    first = lambda x, y: (F.col(f"{x}.pos") < _prefix(F.col(f"{x}.n"), NUM, DEN)) & (F.col(f"{y}.pos") < _prefix(F.col(f"{y}.n"), 2 * NUM, NUM + DEN))
-    short = F.when(F.col("a.n") >= F.col("b.n"), first("a", "b")).otherwise(first("b", "a"))
-    met = posted.filter("NOT done").alias("a").join(posted.alias("b"), (F.col("a.w") == F.col("b.w")) & _may_match("a", "b") & short)
-    gone = verified(stored(_pairs(met), "line-pairs"), docs).unionByName(settled)
-    stay = found.join(gone, ["k1", "k2"], "left_anti")
-    return stay.select("c.doc", "c.no").groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    settled = stored(verified(stored(_star(found), "line-pairs"), docs), "line-matches")
+    rest = stored(verified(stored(_rest(found, settled), "line-pairs"), docs), "line-matches")
+    stay = found.select("c.doc", "c.no").join(settled.unionByName(rest), ["doc", "no"], "left_anti")
+    return stay.groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
