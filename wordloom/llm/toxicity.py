@@ -7,7 +7,7 @@ of the score is penalised.  So the name itself gets no weight of its own, and a
 mention of a group does not raise the score.
 
 The model is fitted on the driver to at most SAMPLE labelled rows, taken by the order of
-a hash of their ids; what the executors return of them are hashed features.
+a hash of their ids; the executors count and choose the features and return those alone.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .components import stored
 from .features import Adam, hashed, sigmoid, word_starts
 
 BITS = 20
@@ -98,34 +99,24 @@ class Model:
         return sigmoid(self.bias + np.bincount(pair >> BITS, self.weights[pair & ((1 << BITS) - 1)], len(c)))
 
 
-def fit(label: np.ndarray, features: list, gone: list, come: list, penalty: float = PENALTY, kept: int = FEATURES, rounds: int = 300) -> Model:
-    """Logistic loss + ridge + penalty * squared change of the scores of swapped texts."""
+def fit(label: np.ndarray, chosen: np.ndarray, features: list, gone: list, come: list, penalty: float = PENALTY, rounds: int = 300) -> Model:
+    """Logistic loss + ridge + penalty * squared change of the scores of swapped texts.
+
+    chosen: the features that may have a weight, in order; the lists have no others.
+    """
     n, size = len(label), 1 << BITS
     y = np.asarray(label, float)
     bias = float(np.log((y.sum() + 0.5) / (n - y.sum() + 1)))
     weights = np.zeros(size, np.float32)
-    if not 0 < y.sum() < n:
-        return Model(weights, bias)
-    row = np.repeat(np.arange(n), [len(x) for x in features])
-    col = np.concatenate(features).astype(np.int64)
-    both = np.bincount(col, minlength=size).astype(float)
-    toxic = np.bincount(col, y[row], minlength=size)
-    share = y.mean()
-    z = (toxic - both * share) / np.sqrt(both * share * (1 - share) + 1)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:kept]
-    chosen = np.sort(chosen[(both[chosen] >= min(5, max(2, n // 100))) & (np.abs(z[chosen]) > 2)])
-    if not len(chosen):
+    if not 0 < y.sum() < n or not len(chosen):
         return Model(weights, bias)
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
 
     def matrix(lists):
         r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        k = number[np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)]
-        return r[k >= 0], k[k >= 0]
+        return r, np.searchsorted(chosen, np.concatenate([*lists, np.zeros(0, np.int32)]))
 
     row, col = matrix(features)
-    swapped = [i for i in range(n) if len(gone[i])]
+    swapped = [i for i in range(n) if len(gone[i]) or len(come[i])]
     held = [set(features[i].tolist()) for i in swapped]
     minus = matrix([np.array([f for f in gone[i] if f in h], np.int32) for i, h in zip(swapped, held, strict=True)])
     plus = matrix([np.array([f for f in come[i] if f not in h or f in set(gone[i].tolist())], np.int32) for i, h in zip(swapped, held, strict=True)])
@@ -141,8 +132,8 @@ def fit(label: np.ndarray, features: list, gone: list, come: list, penalty: floa
             f2 = f[swapped] - np.bincount(minus[0], w[minus[1]], len(swapped)) + np.bincount(plus[0], w[plus[1]], len(swapped))
             p1, p2 = p[swapped], sigmoid(f2)
             d = 2 * penalty * (p1 - p2) / len(swapped)
-            g[swapped] += d * p1 * (1 - p1) - d * p2 * (1 - p2)
             back = d * p2 * (1 - p2)
+            g[swapped] += d * p1 * (1 - p1) - back
             gw += np.bincount(minus[1], back[minus[0]], len(w)) - np.bincount(plus[1], back[plus[0]], len(w))
         gw += np.bincount(col, g[row], len(w)) + 1e-4 * w
         w += step.step(gw)
@@ -165,11 +156,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
+def telling_features(rows: DataFrame, kept: int = FEATURES) -> np.ndarray:
+    """The features that differ most, in standard errors, between the labels; counted by the executors."""
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).head()
+    if not 0 < toxic < n:
+        return np.zeros(0, np.int32)
+    share = toxic / n
+    held = rows.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("both"), F.sum("label").alias("toxic"))
+    z = F.abs((F.col("toxic") - F.col("both") * share) / F.sqrt(F.col("both") * (share * (1 - share)) + 1))
+    best = held.filter(F.col("both") >= min(5, max(2, n // 100))).select("f", z.alias("z")).filter("z > 2").orderBy(F.desc("z"), "f").limit(kept)
+    return np.array(sorted(r["f"] for r in best.collect()), np.int32)
+
+
+def _only(chosen: np.ndarray):
+    """Lists of features without those that are not chosen."""
+
+    def only(batches):
+        for batch in batches:
+            out = [batch.column(0)]
+            for k in (1, 2, 3):
+                lists = batch.column(k)
+                flat, offsets = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+                keep = np.isin(flat, chosen)
+                total = np.concatenate([[0], np.cumsum(keep)])
+                out.append(pa.ListArray.from_arrays(pa.array((total[offsets] - total[offsets[0]]).astype(np.int32)), pa.array(flat[offsets[0] : offsets[-1]][keep[offsets[0] : offsets[-1]]])))
+            yield pa.RecordBatch.from_arrays(out, names=["label", "features", "gone", "come"])
+
+    return only
+
+
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", parts, held, sample).mapInArrow(_sampled, "label int, features array<int>, gone array<int>, come array<int>").toPandas()
-    order = np.lexsort((rows.features.map(len), rows.label)) if len(rows) else []
-    rows = rows.iloc[order]
-    return fit(rows.label.to_numpy(), list(rows.features), list(rows.gone), list(rows.come), penalty)
+    """Fits a model; the driver gets the chosen features of the sample only."""
+    kind = "label int, features array<int>, gone array<int>, come array<int>"
+    rows = stored(labelled_sample(docs, labels, "toxic", parts, held, sample).mapInArrow(_sampled, kind), "toxicity-sample")
+    chosen = telling_features(rows)
+    got = rows.mapInArrow(_only(chosen), kind).toArrow().combine_chunks()
+    label = got["label"].to_numpy()
+    lists = {k: [np.asarray(x.values, np.int32) for x in got[k]] for k in ("features", "gone", "come")}
+    order = sorted(range(len(label)), key=lambda i: (label[i], lists["features"][i].tobytes()))
+    return fit(label[order], chosen, *([v[i] for i in order] for v in lists.values()), penalty=penalty)
 
 
 def _scorer(model):
