@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gsea import SetTest, set_test
+from .lineage import settled
 from .vectors import control_sample, cosines, except_set, nearest, union_sets, words_table
 
 
@@ -94,8 +95,8 @@ def wsea(models: DataFrame, sets: DataFrame, headers: list[str], groups: DataFra
         raise ValueError("two models or more are compared")
     heads = words_table(spark, headers)
     listed = union_sets(sets, heads)
-    pool = union_sets(listed, nearest(models, listed, numwords))
-    normed = quantile_normalized(imputed(filtered(similarity(models, pool, heads))))
+    pool = settled(union_sets(listed, nearest(models, listed, numwords)))
+    normed = settled(quantile_normalized(settled(imputed(filtered(similarity(models, pool, heads))))))
     contrasts = one_v_one(normed).unionByName(one_v_all(normed))
     if groups is not None:
         contrasts = contrasts.unionByName(group_contrasts(normed, groups))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 @dataclass(frozen=True)
 class SetTest:
@@ -99,8 +101,9 @@ def adjusted(p_values: DataFrame, *by: str) -> DataFrame:
 
 def set_test(scores: DataFrame, pathways: DataFrame, test: SetTest = SetTest()) -> DataFrame:
     """(contrast, pathway, size, es, nes, pval, padj, n_more_extreme, leading_edge) of the sets of fitting size."""
-    found = hits(scores, pathways, test)
-    es = enrichment(found)
+    scores = settled(scores)
+    found = settled(hits(scores, pathways, test))
+    es = settled(enrichment(found))
     null = null_scores(scores, es.select("contrast", "size"), test)
     same = (F.col("null") >= 0) == (F.col("es") >= 0)
     more = F.when(F.col("es") >= 0, F.col("null") >= F.col("es")).otherwise(F.col("null") <= F.col("es"))
