@@ -4,18 +4,17 @@ A line is the set of its words.  Of two lines with Jaccard similarity of at leas
 the later one (by doc_id and line number) is removed, whatever becomes of the other.
 
 1.  A word is a 63-bit number whose upper 6 bits are the magnitude of the count, over the
-    corpus, of its hash bucket among 131,072: numbers sort by rarity.  The magnitudes, one
+    corpus, of its hash bucket among 524,288: numbers sort by rarity.  The magnitudes, one
     byte for each bucket whatever the corpus, go along in the plan.
 2.  Lines with one set of words are a class; the first line stands for it and all others
     go.  Counts and classes are pre-aggregated in each task, so a line that a third of
     all documents hold is a few rows.
 3.  Two similar sets share a word among the first n - ceil(4n/5) + 1 of the larger and
     the first n - ceil(8n/9) + 1 of the smaller.  Classes are joined on such words with
-    length and positional filters, with a 128-bit map of the words (sets that differ in d
-    words have maps that differ in at most d bits), and by the number of words that they
-    share among their first n - ceil(4n/5) + 1.
-4.  In a first round a class meets only the earliest class of each such word, which
-    settles the many variants of one line without forming their pairs.  In the second,
+    length and positional filters, and with a 128-bit map of the words (sets that differ
+    in d words have maps that differ in at most d bits).
+4.  In a first round a class meets only the earliest and the most copied class of each
+    such word, which settles the many variants of one line without forming their pairs.  In the second,
     the classes that are still open meet all others.
 5.  Pairs are verified on the words of the lines themselves, read from the texts.
 """
@@ -32,7 +31,7 @@ from .substring import one_row_per_id
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 4, 5
-BUCKET_BITS = 17
+BUCKET_BITS = 19
 CLASS_BITS = 6
 #: Rows up to which lines' places go to all tasks (some 40 bytes each).
 SENT_ROWS = 500_000
@@ -70,7 +69,7 @@ def _prefix(n, num: int, den: int):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """c: the first line of each class, with the size, bit map and rarest words of its set."""
+    """c: the first line of each class, with the size, bit maps and rarest words of its set; copies: its lines."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
     magnitudes = F.lit(rarity(lines))  # one constant of the plan
     low = 63 - CLASS_BITS
@@ -83,26 +82,36 @@ def classes(docs: DataFrame) -> DataFrame:
     bits = [bit_map(0).alias("bits"), bit_map(64).alias("more")]
     first = F.struct("doc", "no", "n", *bits, F.slice("ws", 1, _prefix(F.col("n"), NUM, DEN)).alias("rare"))
     keyed = sets.select(F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), first.alias("c"))
-    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c")).select("c")
+    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c", "copies")
+
+
+#: Bits of a posting's numbers: a word's place among the rarest, the class's copies (at most so many count), and whether it is settled.
+_POS, _COPIES = 23, 14
 
 
 def _postings(of: DataFrame, done=None) -> DataFrame:
     """A row for each class and each of its rarest words.
 
-    size: the class's size, the word's place in it, and whether the class is settled, in
-    one number, so that all readers of a shuffle read the same columns.
+    size: the class's size, the word's place in it, its copies and whether it is settled,
+    in one number, so that all readers of a shuffle read the same columns.
     """
     flag = F.lit(False) if done is None else F.col(done)
-    rows = of.select("c.doc", "c.no", "c.n", "c.bits", "c.more", flag.cast("long").alias("flag"), F.posexplode("c.rare").alias("pos", "w"))
-    return rows.select("w", "doc", "no", "bits", "more", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("flag")).alias("size"))
+    copies = F.least(F.col("copies"), F.lit((1 << _COPIES) - 1))
+    rows = of.select("c.doc", "c.no", "c.n", "c.bits", "c.more", F.shiftleft(copies, 1).bitwiseOR(flag.cast("long")).alias("low"), F.posexplode("c.rare").alias("pos", "w"))
+    size = F.shiftleft(F.col("n").cast("long"), _POS + _COPIES + 1).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), _COPIES + 1)).bitwiseOR(F.col("low"))
+    return rows.select("w", "doc", "no", "bits", "more", size.alias("size"))
 
 
 def _n(side: str):
-    return F.shiftright(F.col(f"{side}.size"), 32).cast("int")
+    return F.shiftright(F.col(f"{side}.size"), _POS + _COPIES + 1)
 
 
 def _pos(side: str):
-    return F.shiftright(F.col(f"{side}.size").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    return F.shiftright(F.col(f"{side}.size"), _COPIES + 1).bitwiseAND(F.lit((1 << _POS) - 1))
+
+
+def _copies(size):
+    return F.shiftright(size, 1).bitwiseAND(F.lit((1 << _COPIES) - 1))
 
 
 def _open(side: str):
@@ -110,12 +119,17 @@ def _open(side: str):
 
 
 def _may_match(a: str, b: str):
-    """Length and bit-map filters for classes a (later) and b."""
+    """Order, bit-map, length and positional filters for classes a (later) and b, cheap ones first.
+
+    Sets of na and nb words that are similar enough share (na + nb) * NUM / (NUM + DEN) words
+    at least, and differ in (na + nb) * (DEN - NUM) / (NUM + DEN) at most.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
     na, nb = _n(a), _n(b)
     earlier = (c(b, "doc") < c(a, "doc")) | ((c(b, "doc") == c(a, "doc")) & (c(b, "no") < c(a, "no")))
-    differ = sum(F.bit_count(c(a, x).bitwiseXOR(c(b, x))) for x in ("bits", "more"))
-    return earlier & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (differ <= na + nb - 2 * _overlap(na, nb))
+    differ = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more").bitwiseXOR(c(b, "more")))
+    near = differ * (NUM + DEN) <= (na + nb) * (DEN - NUM)
+    return earlier & near & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (F.least(na - _pos(a), nb - _pos(b)) * (NUM + DEN) >= (na + nb) * NUM)
 
 
 def _whole(condition):
@@ -123,16 +137,8 @@ def _whole(condition):
     return F.coalesce(condition, F.lit(False))
 
 
-def _overlap(na, nb):
-    """Words that two sets of these sizes share if they are similar enough."""
-    return _share(na + nb, NUM, NUM + DEN)
-
-
-_PAIR = [f"{side}_{x}" for side in "ab" for x in ("doc", "no")]
-
-
-def _named(joined: DataFrame, *more) -> DataFrame:
-    return joined.select(*(F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in "ab" for x in ("doc", "no")), *more)
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(*(F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in "ab" for x in ("doc", "no"))).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -152,24 +158,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _star(found: DataFrame) -> DataFrame:
-    """Pairs of each class with the earliest class that has one of its rarest words among its own rarest."""
+    """Pairs of each class with two hubs of each of its rarest words: the earliest class that has it there, and the most copied one."""
     posted = _postings(found).repartition("w")
-    first = posted.groupBy("w").agg(F.min(F.struct("doc", "no", "bits", "more", "size")).alias("e"), F.count("*").alias("held")).filter("held > 1").select("w", "e.*")
-    within = F.least(_n("a") - _pos("a"), _n("b") - _pos("b")) >= _overlap(_n("a"), _n("b"))
-    return _named(posted.alias("a").join(first.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_may_match("a", "b") & within))).distinct()
+    fields = ("doc", "no", "bits", "more", "size")
+    early = F.min(F.struct(*fields)).alias("early")
+    copied = F.max(F.struct(_copies(F.col("size")).alias("copies"), F.bitwise_not("doc").alias("before"), *fields)).alias("copied")
+    hubs = posted.groupBy("w").agg(early, copied, F.count("*").alias("held")).filter("held > 1")
+    hub = F.explode(F.array_distinct(F.array("early", F.struct(*(F.col("copied").getField(x).alias(x) for x in fields))))).alias("hub")
+    hubs = hubs.select("w", hub).select("w", "hub.*")
+    return _pairs(posted.alias("a").join(hubs.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_may_match("a", "b"))))
 
 
 def _rest(found: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of the classes that are still open with all earlier ones."""
     done = settled.select(F.col("doc").alias("_doc"), F.col("no").alias("_no"))
     done = F.broadcast(done) if settled.count() <= SENT_ROWS else done
-    marked = found.join(done, (F.col("c.doc") == F.col("_doc")) & (F.col("c.no") == F.col("_no")), "left").select("c", F.col("_doc").isNotNull().alias("done"))
+    marked = found.join(done, (F.col("c.doc") == F.col("_doc")) & (F.col("c.no") == F.col("_no")), "left").select("c", "copies", F.col("_doc").isNotNull().alias("done"))
     posted = _postings(marked, "done")
-    met = posted.alias("a").join(posted.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_open("a") & _may_match("a", "b")))
-    # Any word that both have is among the first ones of both, or behind those of one.
-    behind = F.greatest(*(_n(x) - _prefix(_n(x), NUM, DEN) for x in "ab"))
-    counted = _named(met, (_overlap(_n("a"), _n("b")) - behind).alias("least")).groupBy(*_PAIR, "least").agg(F.count("*").alias("shared"))
-    return counted.filter("shared >= least").select(*_PAIR)
+    # Of the smaller set, the first n - 8n/9 + 1 words are enough.
+    few = lambda x: _pos(x) * (NUM + DEN) <= _n(x) * (DEN - NUM)
+    short = F.when(_n("a") >= _n("b"), few("b")).otherwise(few("a"))
+    return _pairs(posted.alias("a").join(posted.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_open("a") & _may_match("a", "b") & short)))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
