@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .components import checkpointed
 
 #: A line is boilerplate of its host if it is on more documents than both of these say.
 MIN_DOCUMENTS = 20
 HOST_SHARE = 0.05
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.5
+#: Frequent lines (8 bytes each) up to which all tasks get them.
+SENT_LINES = 1_000_000
 
 _SYMBOLS = b"#*$%&|<>"
 
@@ -124,6 +127,10 @@ def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOC
     is bounded whatever the number of documents.
     """
     frequent = frequent_lines(docs, host, min_documents, host_share).groupBy("host").agg(F.array_sort(F.collect_set("line_hash")).alias("frequent"))
+    # Sets of few lines in all go to all tasks, so that no text moves; otherwise texts meet them by host.
+    frequent = checkpointed(frequent)
+    few = (frequent.agg(F.sum(F.size("frequent"))).head()[0] or 0) <= SENT_LINES
+    frequent = F.broadcast(frequent) if few else frequent
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
     marked = rows.join(frequent, rows[f"row.{host}"].eqNullSafe(frequent["host"]), "left")
     touched = F.col("frequent").isNotNull()
