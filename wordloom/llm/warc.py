@@ -32,6 +32,8 @@ LEAST_REVISIT = 100
 #: Bytes read or inflated at once, and of records in an archive.
 BLOCK = 1 << 20
 ARCHIVE_BYTES = 64 << 20
+#: Revisits (some 60 bytes each) up to which all tasks get them.
+SENT_ROWS = 500_000
 
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -263,6 +265,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     held = full.select("page_id", F.unhex("digest").alias("key"), F.length("payload").alias("size")).filter(F.col("size") >= least)
     first = held.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
     refers = held.join(first, "key").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), F.col("key"), "first").distinct()
+    # Revisits are looked up where the payloads are, unless there are too many to send.
+    refers = checkpointed(refers)
+    refers = F.broadcast(refers) if refers.count() <= SENT_ROWS else refers
     joined = full.join(refers, full["page_id"].eqNullSafe(refers["id"]) & (F.unhex(full["digest"]) == refers["key"]), "left")
     return joined.select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
 
