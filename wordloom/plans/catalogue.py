@@ -23,7 +23,7 @@ _TOKEN_LINES = f"{_LINES}, token_lines AS (SELECT doc_id, sent_id, regexp_extrac
 _STREAM = f"{_TOKEN_LINES}, stream AS (SELECT doc_id, sent_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, sent_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM token_lines))"
 _VOCAB = f"{_STREAM}, vocab AS (SELECT word, count(*) AS cn FROM stream GROUP BY word HAVING count(*) >= {text.MIN_COUNT})"
 _RANKED = f"{_VOCAB}, ranked AS (SELECT word, cn, row_number() OVER (ORDER BY cn DESC, word) - 1 AS word_id FROM vocab)"
-_CHUNK, _WINDOW = 20, 5
+_CHUNK, _WINDOW = 20, 5  # of the SQL only; the queries have the operators' own text.SENTENCE_WORDS and context.WINDOW
 
 
 def _token_lines(spark, d):
@@ -42,8 +42,8 @@ def _ranked(spark, d):
     return text.ranked(_vocab(spark, d))
 
 
-def _sentences(spark, d, most=_CHUNK):
-    return text.encoded_sentences(_stream(spark, d), _ranked(spark, d), most)
+def _sentences(spark, d):
+    return text.encoded_sentences(_stream(spark, d), _ranked(spark, d))
 
 
 def _oov(spark, d):
@@ -88,7 +88,7 @@ pairs AS (SELECT ws[pos + 1] AS word, ws[j + 1] AS context, j - pos AS off FROM
 
 
 def _pairs(spark, d):
-    return context.pairs(_sentences(spark, d), _WINDOW)
+    return context.pairs(_sentences(spark, d))
 
 
 # ---- vectors
