@@ -185,25 +185,19 @@ nodes AS (SELECT row_number() OVER (ORDER BY cos DESC, word) AS id, word AS labe
 
 # ---- training: rows only
 
-_SMALL = {"vectors": 16, "window": 3, "iterations": 1, "partitions": 4}
-
-
-def _english(spark, d):
-    return text.tokens(inputs.corpora(spark, d), lower=True)
-
 
 def _full_wsea(spark, d):
-    out = enrich.wsea(inputs.four_models(spark, d), inputs.word_sets(spark, d), inputs.HEADERS, _groups(spark), numwords=100, test=gsea.SetTest(nperm=1000))
+    out = enrich.wsea(inputs.four_models(spark, d), inputs.word_sets(spark, d), inputs.HEADERS, _groups(spark))
     return out["wsea"]
 
 
 def _full_wssa(spark, d):
     chosen = [r["word"] for r in inputs.label_words(spark, d, 3).collect()]
-    return enrich.wssa(inputs.whole_model(spark, d), chosen, inputs.HEADERS, boot=inputs.bootstrap_models(spark, d), test=gsea.SetTest(nperm=1000))
+    return enrich.wssa(inputs.whole_model(spark, d), chosen, inputs.HEADERS, boot=inputs.bootstrap_models(spark, d))
 
 
 def _p(spark, d):
-    return gsea.set_test(enrich.one_v_one(_normed(spark, d)), enrich.pathways(inputs.word_sets(spark, d), _heads(spark)), gsea.SetTest(nperm=1000)).drop("leading_edge")
+    return gsea.set_test(enrich.one_v_one(_normed(spark, d)), enrich.pathways(inputs.word_sets(spark, d), _heads(spark))).drop("leading_edge")
 
 
 def _ash(spark, d):
@@ -277,12 +271,13 @@ QUERIES = {
     "wsea_full": _full_wsea,
     "wssa_full": _full_wssa,
     "ash_shrink": _ash,
-    "corshrink": lambda s, d: shrink.corshrink(inputs.whole_model(s, d), inputs.bootstrap_models(s, d), inputs.HEADERS, 100),
+    "corshrink": lambda s, d: shrink.corshrink(inputs.whole_model(s, d), inputs.bootstrap_models(s, d), inputs.HEADERS),
     "huffman_codes": lambda s, d: train.huffman_codes(_ranked(s, d)),
-    "train_word2vec_sg": lambda s, d: train.train_word2vec(_english(s, d), negative=3, **_SMALL),
-    "train_word2vec_cbow": lambda s, d: train.train_word2vec(_english(s, d), negative=3, cbow=True, **_SMALL),
-    "train_biword2vec": lambda s, d: train.train_biword2vec(_english(s, d), min_count=5, **_SMALL),
-    "train_biword2vec_2x2": lambda s, d: train.train_biword2vec(_english(s, d), full=True, min_count=5, negative=3, **_SMALL),
+    "train_word2vec_sg": lambda s, d: train.train_word2vec(_stream(s, d)),
+    "train_word2vec_cbow": lambda s, d: train.train_word2vec(_stream(s, d), cbow=True),
+    "train_biword2vec": lambda s, d: train.train_biword2vec(_stream(s, d)),
+    # Negatives, as many as the plain trainer's, so that outputs belong to words and not to nodes of a tree.
+    "train_biword2vec_2x2": lambda s, d: train.train_biword2vec(_stream(s, d), full=True, negative=5),
     "vectors_roundtrip": _roundtrip,
 }
 

@@ -46,9 +46,3 @@ def word_sets(spark, sf_dir: str) -> DataFrame:
 
 def label_words(spark, sf_dir: str, label: int) -> DataFrame:
     return embeddings(spark, sf_dir).filter(F.col("label") == label).select("word")
-
-
-def corpora(spark, sf_dir: str) -> DataFrame:
-    """(corpus, doc_id, text): English documents by their source's number modulo 4."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return docs.select((F.substring("source", 4, 9).cast("int") % 4).alias("corpus"), "doc_id", "text")
