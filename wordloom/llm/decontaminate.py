@@ -9,7 +9,7 @@ by word.  Nothing is shuffled, and a passage that a third of all documents share
 spread over as many tasks as the documents are.
 
 The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters; a
-benchmark of more text takes as many passes over the documents as it has blocks.
+task judges each batch of documents by one block after the other.
 """
 
 from __future__ import annotations
@@ -137,34 +137,51 @@ class Index:
         return np.array(out_w, np.int64), np.array(out_p, np.int64)
 
 
-def _scan(q, text: str, runs: bool, proximity: tuple[int, int] | None):
-    """A function for mapInArrow; q is a broadcast of Queries."""
+def _judge(column: pa.Array, q: Queries, proximity: tuple[int, int] | None):
+    """(words of each row, which words of all rows are hit, names of each row, near names of each row) for a block."""
+    most = words.CHUNK_BYTES * min(16, 1 + len(q.windows) // 20_000)
+    counts, hits, names, near = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
+    for c in words.chunks(column, words.alnum_table(), lower=True, most=most):
+        index = Index(c, q) if len(q.windows) else None
+        window, start = index.phrases(c, q) if index else (np.zeros(0, np.int64),) * 2
+        step = np.zeros(len(c.start) + 1, np.int64)
+        np.add.at(step, start, 1)
+        np.add.at(step, start + q.lengths[window], -1)
+        counts.append(c.counts)
+        hits.append(np.cumsum(step)[:-1] > 0)
+        names += _names(c, q, window, start)
+        if proximity:
+            near += _names(c, q, *index.near(q, *proximity)) if index else [[]] * len(c)
+    return np.concatenate(counts), np.concatenate(hits), names, near
+
+
+def _block(q) -> Queries:
+    """What a broadcast holds, which the process then lets go."""
+    value = q.value
+    if getattr(q, "_path", None):  # it can be read again
+        vars(q).pop("_value", None)
+    return value
+
+
+def _both(a: list[list[str]], b: list[list[str]]) -> list[list[str]]:
+    return [sorted({*x, *y}) if x and y else x or y for x, y in zip(a, b, strict=True)]
+
+
+def _scan(blocks, text: str, proximity: tuple[int, int] | None):
+    """A function for mapInArrow; blocks are broadcasts of Queries, of which a task holds one at a time."""
 
     def scan(batches):
-        queries = q.value
-        most = words.CHUNK_BYTES * min(16, 1 + len(queries.windows) // 20_000)
+        one = blocks[0].value if len(blocks) == 1 else None
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            counts, hits, names, spans, near_names = [], [], [], [], []
-            for c in words.chunks(batch.column(at), words.alnum_table(), lower=True, most=most):
-                index = Index(c, queries) if len(queries.windows) else None
-                window, start = index.phrases(c, queries) if index else (np.zeros(0, np.int64),) * 2
-                step = np.zeros(len(c.start) + 1, np.int64)
-                np.add.at(step, start, 1)
-                np.add.at(step, start + queries.lengths[window], -1)
-                hit = np.cumsum(step)[:-1] > 0
-                counts.append(c.counts)
-                hits.append(words.row_sums(hit, c.first))
-                names += _names(c, queries, window, start)
-                if runs:
-                    spans += [np.flatnonzero(hit[a:b]) for a, b in zip(c.first[:-1].tolist(), c.first[1:].tolist(), strict=True)]
-                if proximity:
-                    near_names += _names(c, queries, *index.near(queries, *proximity)) if index else [[]] * len(c)
-            new = {"n_words": pa.array(np.concatenate(counts or [np.zeros(0, np.int64)]), pa.int64()), "n_hit": pa.array(np.concatenate(hits or [np.zeros(0, np.int64)]), pa.int64()), "items": pa.array(names, pa.list_(pa.string()))}
-            if runs:
-                new["hit_words"] = pa.array(spans, pa.list_(pa.int64()))
+            column = batch.column(batch.schema.get_field_index(text))
+            counts, hit, names, near = _judge(column, one or _block(blocks[0]), proximity)
+            for q in blocks[1:]:
+                _, more_hit, more_names, more_near = _judge(column, _block(q), proximity)
+                hit, names, near = hit | more_hit, _both(names, more_names), _both(near, more_near)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            new = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(words.row_sums(hit, first), pa.int64()), "items": pa.array(names, pa.list_(pa.string()))}
             if proximity:
-                new["near_items"] = pa.array(near_names, pa.list_(pa.string()))
+                new["near_items"] = pa.array(near, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
     return scan
@@ -186,28 +203,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars
     "null"; rows with one id are one item.  A null document text has no words.  Rows of
     docs are judged one by one, so that repeated rows give repeated results.  proximity
     (terms, words): near_items are those of which that many of a window's rarest terms
-    stand within so many words of the rarest, in any order.  A benchmark of more than
-    one block needs distinct doc_ids.
+    stand within so many words of the rarest, in any order.
     """
     spark = docs.sparkSession
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
     chars = named.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = -(-chars // block_chars) or 1
     rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    passes = []
+    sent = []
     for k in range(blocks):
         part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        q = spark.sparkContext.broadcast(Queries(sorted((r["name"], r["text"] or "") for r in part.collect()), window))
-        kind = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_hit long, items array<string>"
-        more = (", hit_words array<bigint>" if blocks > 1 else "") + (", near_items array<string>" if proximity else "")
-        passes.append(rows.mapInArrow(_scan(q, "text", blocks > 1, proximity), kind + more))
-    if blocks == 1:
-        return passes[0]
-    both = passes[0]
-    for x in passes[1:]:
-        both = both.unionByName(x)
-    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")] + ([F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items")] if proximity else [])
-    return both.groupBy(F.col("row.doc_id").alias("_id")).agg(F.first("row").alias("row"), F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"), *sets).drop("_id")
+        sent.append(spark.sparkContext.broadcast(Queries(sorted((r["name"], r["text"] or "") for r in part.collect()), window)))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_hit long, items array<string>"
+    return rows.mapInArrow(_scan(sent, "text", proximity), kind + (", near_items array<string>" if proximity else ""))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
