@@ -151,6 +151,33 @@ def test_rows_of_one_id_are_one_document(spark):
     assert {r.doc_id for r in line_dedup.line_dedup(df).collect()} == {1, 2, None}
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    rng = random.Random(4)
+    long = [_prose(rng, 40) for _ in range(6)]
+    rows = [(None, long[0]), (None, long[1]), (None, long[1] + "\n" + long[2]), (1, long[2]), (1, long[3]), (1, long[3]), (2, long[4] + "\n" + long[0]), (2, None), (2, ""), (3, long[5])]
+    df = spark.createDataFrame([(i, t, f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long").repartition(3)
+    placed = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    spans = _spans([(k, t, None) for k, (_, t) in enumerate(placed)])
+    got = substring.remove_repeats(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *spans[k]) for k, (i, _) in enumerate(placed))
+    placed = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    left = _lines_left([(k, t, None) for k, (_, t) in enumerate(placed)])
+    want = Counter((i, *left[k]) for k, (i, _) in enumerate(placed))
+    assert Counter((r.doc_id, r.n_removed, r.text) for r in line_dedup.line_dedup(df).collect()) == want
+    after = line_dedup.stage(spark, df, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in after) == Counter({(i, t): sum(n for (j, _, u), n in want.items() if (j, u) == (i, t)) for i, _, t in want})
+    assert {r.source for r in after} == {f"s{k}" for k in range(len(rows))} and all(r.n_chars == len(r.text) for r in after)
+
+
+def test_each_component_keeps_a_text_though_ids_repeat(spark, tmp_path):
+    rng = random.Random(6)
+    a, b, c, d = (_prose(rng, 120) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, d), (2, c), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({_fingerprint(t) for _, t in rows}) == 4
+    assert Counter((r.doc_id, r.text) for r in simhash.stage(spark, df, str(tmp_path)).collect()) == Counter([(1, a), (1, b), (2, c), (None, d)])
+
+
 def test_repeats_across_tasks_and_batches(monkeypatch):
     rng = np.random.default_rng(5)
     n = 500

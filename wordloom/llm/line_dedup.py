@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import stored
-from .substring import one_row_per_id
+from .substring import numbered
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 4, 5
@@ -36,7 +36,6 @@ CLASS_BITS = 6
 #: Rows up to which lines' places go to all tasks (some 40 bytes each).
 SENT_ROWS = 500_000
 
-_NULL_ID = -(2**63)
 _ZERO = 33  # byte of magnitude 0
 _SPACES = "[ \\t\\x0B\\f\\r]+"
 
@@ -191,27 +190,25 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc, text, lines_kept): each document of docs (doc, text) without its removed lines.
+    """Each document of docs (doc, text and others) without its removed lines, with n_lines and n_removed.
 
     Lines without words stay.
     """
-    kept = kept_lines(docs)
+    kept = kept_lines(docs.select("doc", "text"))
     lines = F.split("text", "\n")
     stay = F.filter(lines, lambda line, i: (F.size(_words(line)) == 0) | F.coalesce(F.array_contains("nos", i), F.lit(False)))
-    return docs.join(kept, "doc", "left").select("doc", F.col("text").alias("whole"), F.array_join(stay, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_removed"))
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return one_row_per_id(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [c for c in docs.columns if c != "text"]
+    return docs.join(kept, "doc", "left").select(*others, F.array_join(stay, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and text of each document.
+    """doc_id, n_lines, n_removed and text of each row.
 
-    Null text: one empty line.  Rows that share an id (null is one) are one document, with
-    the smallest of their texts.  Other columns are left out.  An empty table gives no rows.
+    Null text: one empty line.  Rows that share an id (null is one) are documents of their
+    own, as any others.  Other columns are left out.  An empty table gives no rows.
     """
-    return dedup(_texts(docs)).select(F.nullif("doc", F.lit(_NULL_ID)).alias("doc_id"), "n_lines", "n_removed", "text")
+    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return dedup(texts).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -220,8 +217,8 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their removed lines; of rows that share an id, one."""
-    new = line_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    once = docs.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("text", "doc_id")))).alias("_row"))
-    value = {"doc_id": F.col("doc_id"), "text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return once.join(new, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*(value.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
+    """All rows, without their removed lines."""
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    new = dedup(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), others.alias("row"))))
+    value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return new.select(*(value.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -77,9 +77,11 @@ def _fingerprints(width: int):
     return scan
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of each row's text."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+def fingerprints(docs: DataFrame, width: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more, fp): the signed 64-bit fingerprint of each row's text."""
+    kept = ["doc_id", *more]
+    kind = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(*kept, "text").mapInArrow(_fingerprints(width), kind + "fp long")
 
 
 def _half(fps: np.ndarray, which: int) -> np.ndarray:
@@ -229,6 +231,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return routed.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_links, "a long, b long").distinct()
 
 
+def _named(own: DataFrame, least) -> DataFrame:
+    """(fp, least, component) of the distinct fingerprints of own; the component is named by a fingerprint."""
+    distinct = checkpointed(own.groupBy("fp").agg(F.min(least).alias("least")))
+    found = components(links(distinct))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
@@ -237,10 +246,8 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     the component has no other.  Other columns are left out.
     """
     own = checkpointed(fingerprints(docs, width))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct))
-    # The component of a fingerprint is named by a fingerprint; the smallest doc_id of it follows.
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = _named(own, F.col("doc_id"))
+    # The smallest doc_id of a component is its id.
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(smallest, "component").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
@@ -252,8 +259,12 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of rows that share it, the smallest text."""
-    best = groups(docs).select("component_id").distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["component_id"]), "left_semi")
-    once = kept.groupBy(F.col("doc_id").alias("_k")).agg(F.min(F.struct(F.col("text"), F.struct(*docs.columns))).alias("_x"))
-    return once.select(*(F.col("_x").getField("col2").getField(c).alias(c) for c in docs.columns))
+    """One row of each group: one with the smallest doc_id (null only if there is no other), by a digest of the text among those that share it."""
+    digest = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    own = checkpointed(fingerprints(docs.select("doc_id", "text", *digest), more=("k1", "k2")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k1", "k2")
+    best = _named(own, rank).groupBy("component").agg(F.min("least").alias("b")).select("b.id", "b.k1", "b.k2")
+    every = docs.select(F.col("doc_id").alias("id"), *digest, F.struct("text", F.struct(*docs.columns).alias("row")).alias("x"))
+    same = every["id"].eqNullSafe(best["id"]) & (every["k1"] == best["k1"]) & (every["k2"] == best["k2"])
+    once = every.join(best, same, "left_semi").groupBy("id", "k1", "k2").agg(F.min("x").alias("x"))
+    return once.select(*(F.col("x.row").getField(c).alias(c) for c in docs.columns))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .components import stored
 
 WINDOW = 20
 #: Words of an anchor; a longer one is rarer by chance, a shorter one gives longer paths.
@@ -283,7 +284,7 @@ def _cut(k: int, with_text: bool):
                     if with_text:
                         texts.append(text.decode("utf-8", "replace"))
             none = [np.zeros(0, np.int64)]
-            out = {"doc": batch.column(0), "n_words": pa.array(np.concatenate(counted or none)), "n_removed": pa.array(np.concatenate(removed or none)), "kept_sha256": pa.array(digests, pa.string())}
+            out = {"doc_id": batch.column(0), "n_words": pa.array(np.concatenate(counted or none)), "n_removed": pa.array(np.concatenate(removed or none)), "kept_sha256": pa.array(digests, pa.string())}
             if with_text:
                 out["kept_text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
@@ -298,23 +299,45 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.min("text").alias("text")) if again else docs
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with doc, a number of each row of its own in order of doc_id, null first.
+
+    Distinct ids are their own numbers.  Rows that share an id are put in order by a
+    digest of their texts, then as they are read: the whole table is dealt out by ranges
+    of that order and stored, so that a row keeps its number, and no id or text has to
+    fit one task.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    if not again:
+        return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
+    placed = docs.withColumn("_read", F.monotonically_increasing_id()).orderBy("doc_id", F.md5("text"), "_read").drop("_read")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(placed.withColumns({"_task": F.spark_partition_id(), "_row": row}), "numbered")
+    before, shifts = 0, []
+    for task, n in sorted(placed.groupBy("_task").agg(F.count("*")).collect()):
+        shifts.append((task, before))
+        before += n
+    shift = docs.sparkSession.createDataFrame(shifts, "_task int, _before long")
+    return placed.join(F.broadcast(shift), "_task").withColumn("doc", F.col("_row") + F.col("_before")).drop("_task", "_row", "_before")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each document.
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row.
 
-    Null and empty texts have no words.  Rows that share an id (null is one) are one
-    document, with the smallest of their texts.  A text shorter than the window loses
-    nothing.  Other columns are left out.
+    Null and empty texts have no words.  Rows that share an id (null is one) are documents
+    of their own, as any others.  A text shorter than the window loses nothing.  Other
+    columns are left out.
     """
-    texts = one_row_per_id(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text")
+    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = "key long, digest long, doc long, place long"
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
-    found = by_key(texts.mapInArrow(_nodes(window, anchor), rows)).mapInArrow(_compact, "doc long, run long, kind long")
+    found = by_key(texts.select("doc", "text").mapInArrow(_nodes(window, anchor), rows)).mapInArrow(_compact, "doc long, run long, kind long")
     branching = found.filter(F.col("kind") == BRANCH).groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    edges = by_key(texts.join(branching, "doc").select("doc", "text", "runs").mapInArrow(_edges(window), rows)).mapInArrow(_later_edges, "doc long, run long")
+    # Both joins with the texts read all columns, so that they read one shuffle.
+    edges = by_key(texts.join(branching, "doc").select("doc", "text", "runs", "doc_id").mapInArrow(_edges(window), rows)).mapInArrow(_later_edges, "doc long, run long")
     repeats = found.filter(F.col("kind") == REPEAT).select("doc", "run").unionByName(edges).groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    kind = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = texts.join(repeats, "doc", "left").select("doc", "text", "runs").mapInArrow(_cut(window, with_text), kind)
-    return out.select(F.nullif("doc", F.lit(_NULL_ID)).alias("doc_id"), *out.columns[1:])
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return texts.join(repeats, "doc", "left").select("doc_id", "text", "runs", "doc").mapInArrow(_cut(window, with_text), kind)
 
 
 def op3_substring(spark, sf_dir: str) -> DataFrame:
