@@ -6,26 +6,46 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder; a folder of our own only where none is named (tests)."""
+    """df written to the checkpoint folder that the session names."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def shared_folder(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, whatever signs the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame, *without: str, name: str = "row") -> Column:
+    """The other columns of df as one struct, row.0 to row.n, so that no name can clash or be misread."""
+    return F.struct(*(quoted(c).alias(str(i)) for i, c in enumerate(df.columns) if c not in without) or [F.lit(None).cast("int").alias("none")]).alias(name)
+
+
+def from_row(df: DataFrame, new: dict[str, Column], name: str = "row") -> list[Column]:
+    """The columns of df again, out of the struct of as_row; new has those that were left out or are changed."""
+    return [new.get(c, F.col(name).getField(str(i))).alias(c) for i, c in enumerate(df.columns)]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +57,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     release_shuffles(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark) -> None:

@@ -1,60 +1,59 @@
 """Exact set-similarity join of lines, in DataFrame functions only.
 
 A line is the set of its words.  Of two lines with Jaccard similarity of at least 4/5
-the later one (by doc_id and line number) is removed, whatever becomes of the other.
-
-1.  A word is a 63-bit number whose upper 6 bits are the magnitude of the count, over the
-    corpus, of its hash bucket among 524,288: numbers sort by rarity.  The magnitudes, one
-    byte for each bucket whatever the corpus, go along in the plan.
-2.  Lines with one set of words are a class; the first line stands for it and all others
-    go.  Counts and classes are pre-aggregated in each task, so a line that a third of
-    all documents hold is a few rows.
+the later one (by document and line number) is removed, whatever becomes of the other.
+
+1.  Lines with one set of words are a class; the first line stands for it and all others
+    go.  Classes are pre-aggregated in each task, so a line that a third of all documents
+    hold is a few rows.  From here on a word is a 32-bit number.
+2.  Words are put in order of rarity: by the magnitude of the number of classes that hold
+    their bucket among 524,288.  The magnitudes, a byte for each bucket whatever the
+    corpus, are one row that goes along in the plans.
 3.  Two similar sets share a word among the first n - ceil(4n/5) + 1 of the larger and
     the first n - ceil(8n/9) + 1 of the smaller.  Classes are joined on such words with
     length and positional filters, and with a 128-bit map of the words (sets that differ
     in d words have maps that differ in at most d bits).
-4.  In a first round a class meets only the earliest and the most copied class of each
-    such word, which settles the many variants of one line without forming their pairs.  In the second,
-    the classes that are still open meet all others.
+4.  Before that join, a class meets two hubs of each of a few of its words: the earliest
+    and the most copied of the classes that are copied, or drawn by a hash, and have the
+    word among their rarest.  That settles the many variants of one line without forming
+    their pairs; what it leaves open, the join finds.
 5.  Pairs are verified on the words of the lines themselves, read from the texts.
+
+Two different words may have one number: a class's numbers count with their repeats, so
+that shared words are never fewer than they were, and step 5 decides.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import stored
+from .components import as_row, forget, from_row, stored
 from .substring import numbered
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 4, 5
+#: Sets of fewer words are similar to themselves only.
+LEAST_WORDS = 4
 BUCKET_BITS = 19
-CLASS_BITS = 6
+#: Words of a class that are looked up among the hubs, and the part of the classes, one in so many, that may be hubs without being copied.
+HUB_WORDS, HUB_PART = 3, 16
 #: Rows up to which lines' places go to all tasks (some 40 bytes each).
 SENT_ROWS = 500_000
 
-_ZERO = 33  # byte of magnitude 0
-_SPACES = "[ \\t\\x0B\\f\\r]+"
-
-
-def _words(line):
-    return F.array_remove(F.split(line, _SPACES), "")
+_BLANKS = "\t\x0b\f\r"
 
 
-def _bucket(h):
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+def _spaced(text):
+    """A text with every blank but the line break made a space."""
+    for sign in _BLANKS:
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return text
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """The magnitude of the count of each hash bucket's words, as a printable byte; 2**BUCKET_BITS of them for any corpus."""
-    counts = lines.select(F.explode(_words("line")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    out = bytearray([_ZERO]) * (1 << BUCKET_BITS)
-    for bucket, n in counts.collect():
-        out[bucket] = _ZERO + min(round(2 * math.log2(n + 1)), (1 << CLASS_BITS) - 1)
-    return bytes(out)
+def _words(line):
+    """The words of a line of a spaced text."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _share(n, num: int, den: int):
@@ -67,138 +66,181 @@ def _prefix(n, num: int, den: int):
     return (n - _share(n, num, den) + 1).cast("int")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """c: the first line of each class, with the size, bit maps and rarest words of its set; copies: its lines."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
-    magnitudes = F.lit(rarity(lines))  # one constant of the plan
-    low = 63 - CLASS_BITS
-    magnitude = lambda h: F.ascii(F.call_function("substring", magnitudes, _bucket(h) + 1, F.lit(1)).cast("string")) - _ZERO
-    numbers = F.transform(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))), lambda h: F.shiftleft(magnitude(h).cast("long"), low).bitwiseOR(h.bitwiseAND(F.lit((1 << low) - 1))))
-    sets = lines.select("doc", "no", F.sort_array(numbers).alias("ws")).withColumn("n", F.size("ws"))
-    # Bit w mod 64 of one of two maps, by the next bit of w.
-    set_bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
-    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, set_bit(a, w)).otherwise(a))
-    bits = [bit_map(0).alias("bits"), bit_map(64).alias("more")]
-    first = F.struct("doc", "no", "n", *bits, F.slice("ws", 1, _prefix(F.col("n"), NUM, DEN)).alias("rare"))
-    keyed = sets.select(F.xxhash64("ws").alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), first.alias("c"))
-    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c", "copies")
+class Places:
+    """A line's place, document before number, in one long."""
 
+    def __init__(self, docs: DataFrame):
+        low, high, longest = docs.agg(F.min("doc"), F.max("doc"), F.max(F.octet_length("text"))).head()
+        self.low = low or 0
+        self.bits = (longest or 0).bit_length() + 1
+        self.fits = (((high or 0) - self.low).bit_length() + self.bits) < 64
 
-#: Bits of a posting's numbers: a word's place among the rarest, the class's copies (at most so many count), and whether it is settled.
-_POS, _COPIES = 23, 14
+    def of(self, doc, no):
+        return F.shiftleft(doc - F.lit(self.low), self.bits).bitwiseOR(no.cast("long"))
 
+    def doc(self, place):
+        return F.shiftright(place, self.bits) + F.lit(self.low)
 
-def _postings(of: DataFrame, done=None) -> DataFrame:
-    """A row for each class and each of its rarest words.
+    def no(self, place):
+        return place.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
 
-    size: the class's size, the word's place in it, its copies and whether it is settled,
-    in one number, so that all readers of a shuffle read the same columns.
-    """
-    flag = F.lit(False) if done is None else F.col(done)
-    copies = F.least(F.col("copies"), F.lit((1 << _COPIES) - 1))
-    rows = of.select("c.doc", "c.no", "c.n", "c.bits", "c.more", F.shiftleft(copies, 1).bitwiseOR(flag.cast("long")).alias("low"), F.posexplode("c.rare").alias("pos", "w"))
-    size = F.shiftleft(F.col("n").cast("long"), _POS + _COPIES + 1).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), _COPIES + 1)).bitwiseOR(F.col("low"))
-    return rows.select("w", "doc", "no", "bits", "more", size.alias("size"))
 
+def classes(docs: DataFrame, places: Places) -> DataFrame:
+    """(place, n, ws, copies): the first line of each class, its words as 32-bit numbers, and its lines."""
+    lines = docs.select("doc", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("no", "line"))
+    hashes = F.sort_array(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))))
+    sets = lines.select(places.of(F.col("doc"), F.col("no")).alias("place"), hashes.alias("h")).filter(F.size("h") > 0)
+    numbers = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
+    keyed = sets.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), F.struct("place", F.size("h").alias("n"), numbers.alias("ws")).alias("c"))
+    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c.place", "c.n", "c.ws", "copies")
 
-def _n(side: str):
-    return F.shiftright(F.col(f"{side}.size"), _POS + _COPIES + 1)
 
+def _bucket(w):
+    return F.shiftrightunsigned(w, 32 - BUCKET_BITS)
 
-def _pos(side: str):
-    return F.shiftright(F.col(f"{side}.size"), _COPIES + 1).bitwiseAND(F.lit((1 << _POS) - 1))
 
+def rarity(found: DataFrame) -> DataFrame:
+    """One row: the magnitude of the number of classes that hold each bucket's words."""
+    counts = found.select(F.explode("ws").alias("w")).groupBy(_bucket(F.col("w")).alias("id")).agg(F.count("*").alias("n"))
+    every = found.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left")
+    magnitude = F.round(2 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint")
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", magnitude.alias("m"))))["m"].alias("m"))
 
-def _copies(size):
-    return F.shiftright(size, 1).bitwiseAND(F.lit((1 << _COPIES) - 1))
 
+def described(found: DataFrame, magnitudes: DataFrame) -> DataFrame:
+    """(place, n, copies, bits, more, rare): classes that can be similar to others, with their bit maps and rarest words."""
+    found, m = found.withColumn("m", magnitudes.scalar()), F.col("m")
+    by_rarity = F.sort_array(F.transform("ws", lambda w: F.shiftleft(F.get(m, _bucket(w)).cast("long"), 32).bitwiseOR(w.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    # Bit w mod 64 of one of two maps, by the next bit of w.
+    set_bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))
+    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, set_bit(a, w)).otherwise(a))
+    rare = F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN))
+    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), bit_map(0).alias("bits"), bit_map(64).alias("more"), rare.alias("rare"))
 
-def _open(side: str):
-    return F.col(f"{side}.size").bitwiseAND(F.lit(1)) == 0
 
+_POS_BITS = 31
 
-def _may_match(a: str, b: str):
-    """Order, bit-map, length and positional filters for classes a (later) and b, cheap ones first.
-
-    Sets of na and nb words that are similar enough share (na + nb) * NUM / (NUM + DEN) words
-    at least, and differ in (na + nb) * (DEN - NUM) / (NUM + DEN) at most.
-    """
-    c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = _n(a), _n(b)
-    earlier = (c(b, "doc") < c(a, "doc")) | ((c(b, "doc") == c(a, "doc")) & (c(b, "no") < c(a, "no")))
-    differ = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more").bitwiseXOR(c(b, "more")))
-    near = differ * (NUM + DEN) <= (na + nb) * (DEN - NUM)
-    return earlier & near & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (F.least(na - _pos(a), nb - _pos(b)) * (NUM + DEN) >= (na + nb) * NUM)
 
+def _posted(of: DataFrame, words, *more: str) -> DataFrame:
+    """A row for each class and each of some of its rarest words; size: the set's size and the word's place in it."""
+    rows = of.select("place", "n", "bits", "more", *more, F.posexplode(words).alias("pos", "w"))
+    return rows.select("w", "place", "bits", "more", F.shiftleft(F.col("n").cast("long"), _POS_BITS).bitwiseOR(F.col("pos").cast("long")).alias("size"), *more)
 
-def _whole(condition):
-    """A condition of which no part is moved to one side of a join, so that both sides read one shuffle."""
-    return F.coalesce(condition, F.lit(False))
 
+def _n(side: str):
+    return F.shiftright(F.col(f"{side}.size"), _POS_BITS)
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*(F.col(f"{side}.{x}").alias(f"{side}_{x}") for side in "ab" for x in ("doc", "no"))).distinct()
 
+def _pos(side: str):
+    return F.col(f"{side}.size").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, no) of the classes a that truly match, by the words of the lines.  pairs: a stored table."""
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")), F.struct(F.col("b_doc").alias("doc"), F.col("b_no").alias("no")))).alias("x")).groupBy("x.doc").agg(F.collect_set("x.no").alias("nos"))
-    # Only lines that a pair names leave their texts.  Few of them go to the texts; many are met by a shuffle of both.
-    few = pairs.count() <= SENT_ROWS
-    text = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no")).select("doc", "no", F.get("lines", F.col("no")).alias("line"))
-    a = text.select(F.col("doc").alias("a_doc"), F.col("no").alias("a_no"), F.col("line").alias("a_line"))
-    b = text.select(F.col("doc").alias("b_doc"), F.col("no").alias("b_no"), F.col("line").alias("b_line"))
-    both = pairs.join(a, ["a_doc", "a_no"]).join(b, ["b_doc", "b_no"])
-    sets = both.select("a_doc", "a_no", F.array_distinct(_words("a_line")).alias("wa"), F.array_distinct(_words("b_line")).alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    # |A & B| / |A | B| >= NUM / DEN, in whole numbers
-    true = sets.filter(shared * (NUM + DEN) >= NUM * (F.size("wa") + F.size("wb")))
-    return true.select(F.col("a_doc").alias("doc"), F.col("a_no").alias("no")).distinct()
 
+def _near(a: str, b: str):
+    """Bit-map and length filters.
 
-def _star(found: DataFrame) -> DataFrame:
-    """Pairs of each class with two hubs of each of its rarest words: the earliest class that has it there, and the most copied one."""
-    posted = _postings(found).repartition("w")
-    fields = ("doc", "no", "bits", "more", "size")
-    early = F.min(F.struct(*fields)).alias("early")
-    copied = F.max(F.struct(_copies(F.col("size")).alias("copies"), F.bitwise_not("doc").alias("before"), *fields)).alias("copied")
-    hubs = posted.groupBy("w").agg(early, copied, F.count("*").alias("held")).filter("held > 1")
-    hub = F.explode(F.array_distinct(F.array("early", F.struct(*(F.col("copied").getField(x).alias(x) for x in fields))))).alias("hub")
-    hubs = hubs.select("w", hub).select("w", "hub.*")
-    return _pairs(posted.alias("a").join(hubs.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_may_match("a", "b"))))
+    Sets of na and nb words that are similar enough differ in (na + nb) * (DEN - NUM) / (NUM + DEN)
+    words at most.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = _n(a), _n(b)
+    differ = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more").bitwiseXOR(c(b, "more")))
+    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (differ * (NUM + DEN) <= (na + nb) * (DEN - NUM))
 
 
-def _rest(found: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of the classes that are still open with all earlier ones."""
-    done = settled.select(F.col("doc").alias("_doc"), F.col("no").alias("_no"))
+def _room(a: str, b: str):
+    """Positional filter: the words from the shared one on must be enough; similar sets share (na + nb) * NUM / (NUM + DEN) at least."""
+    na, nb = _n(a), _n(b)
+    return F.least(na - _pos(a), nb - _pos(b)) * (NUM + DEN) >= (na + nb) * NUM
+
+
+def hub_pairs(found: DataFrame) -> DataFrame:
+    """(later, earlier): classes with hubs of the last words of their prefixes, which edits of rare words leave in it."""
+    own = F.size("rare") - F.least(F.size("rare"), F.lit(HUB_WORDS))
+    posted = _posted(found, F.slice("rare", own + 1, F.lit(HUB_WORDS)))
+    may_be = (F.col("copies") > 1) | (F.pmod(F.xxhash64("place"), F.lit(HUB_PART)) == 0)
+    fields = ("place", "bits", "more", "size")
+    hubs = _posted(found.filter(may_be), F.col("rare"), "copies")
+    copied = F.max(F.struct("copies", F.bitwise_not("place").alias("before"), *fields)).alias("copied")
+    hubs = hubs.groupBy("w").agg(F.min(F.struct(*fields)).alias("early"), copied)
+    both = F.array_distinct(F.array("early", F.struct(*(F.col("copied").getField(x).alias(x) for x in fields))))
+    hubs = hubs.select("w", F.explode(both).alias("hub")).select("w", "hub.*")
+    met = posted.alias("a").join(hubs.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.place") < F.col("a.place")) & _near("a", "b"))
+    return met.select(F.col("a.place").alias("later"), F.col("b.place").alias("earlier")).distinct()
+
+
+def open_pairs(found: DataFrame, settled: DataFrame) -> DataFrame:
+    """(later, earlier): all pairs of classes that may be similar and whose later one is not settled yet."""
+    done = settled.select("place", F.lit(True).alias("done"))
     done = F.broadcast(done) if settled.count() <= SENT_ROWS else done
-    marked = found.join(done, (F.col("c.doc") == F.col("_doc")) & (F.col("c.no") == F.col("_no")), "left").select("c", "copies", F.col("_doc").isNotNull().alias("done"))
-    posted = _postings(marked, "done")
-    # Of the smaller set, the first n - 8n/9 + 1 words are enough.
-    few = lambda x: _pos(x) * (NUM + DEN) <= _n(x) * (DEN - NUM)
-    short = F.when(_n("a") >= _n("b"), few("b")).otherwise(few("a"))
-    return _pairs(posted.alias("a").join(posted.alias("b"), (F.col("a.w") == F.col("b.w")) & _whole(_open("a") & _may_match("a", "b") & short)))
+    marked = found.join(done, "place", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    larger = _posted(marked, F.col("rare"), "done")
+    # Of the smaller set, the first n - ceil(8n/9) + 1 words are enough.
+    smaller = _posted(marked, F.slice("rare", 1, _prefix(F.col("n"), 2 * NUM, NUM + DEN)), "done")
+    a, b = F.col("a.place"), F.col("b.place")
+    sizes = (_n("a") > _n("b")) | ((_n("a") == _n("b")) & (a > b))
+    is_open = F.when(a > b, ~F.col("a.done")).otherwise(~F.col("b.done"))
+    met = larger.alias("a").join(smaller.alias("b"), (F.col("a.w") == F.col("b.w")) & (a != b) & sizes & _near("a", "b") & _room("a", "b") & is_open)
+    return met.select(F.greatest(a, b).alias("later"), F.least(a, b).alias("earlier")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, places: Places) -> DataFrame:
+    """(place): the later classes of pairs (a stored table) that truly are similar, by the words of the lines."""
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("place")).distinct().groupBy(places.doc(F.col("place")).alias("doc")).agg(F.collect_list(places.no(F.col("place"))).alias("nos"))
+    # Only lines that a pair names leave their texts.  Few of them go to the texts; many are met by a shuffle of both.
+    few = pairs.count() <= SENT_ROWS
+    held = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "nos", F.split(_spaced(F.col("text")), "\n").alias("lines"))
+    named = held.select("doc", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
+    text = named.select(places.of(F.col("doc"), F.col("x.no")).alias("place"), F.array_distinct(_words("x.line")).alias("ws"))
+    both = pairs.join(text.select(F.col("place").alias("later"), F.col("ws").alias("a")), "later").join(text.select(F.col("place").alias("earlier"), F.col("ws").alias("b")), "earlier")
+    # |A & B| / |A | B| >= NUM / DEN, in whole numbers
+    true = both.filter(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= NUM * (F.size("a") + F.size("b")))
+    return true.select(F.col("later").alias("place")).distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, places: Places) -> DataFrame:
     """(doc, nos): the numbers of the lines with a word that stay, for each of docs (doc, text)."""
-    found = stored(classes(docs), "line-classes")
-    settled = stored(verified(stored(_star(found), "line-pairs"), docs), "line-matches")
-    rest = stored(verified(stored(_rest(found, settled), "line-pairs"), docs), "line-matches")
-    stay = found.select("c.doc", "c.no").join(settled.unionByName(rest), ["doc", "no"], "left_anti")
-    return stay.groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    sets = stored(classes(docs, places), "line-classes")
+    firsts = stored(sets.select("place"), "line-firsts")
+    found = stored(described(sets, stored(rarity(sets), "line-rarity")), "line-prefixes")
+    forget(sets)
+    pairs = stored(hub_pairs(found), "line-pairs")
+    settled = stored(verified(pairs, docs, places), "line-matches")
+    more = stored(open_pairs(found, settled), "line-pairs")
+    forget(found)
+    gone = settled.unionByName(stored(verified(more, docs, places), "line-matches"))
+    forget(pairs)
+    forget(more)
+    stay = firsts.join(gone, "place", "left_anti")
+    return stay.groupBy(places.doc(F.col("place")).alias("doc")).agg(F.collect_list(places.no(F.col("place"))).alias("nos"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Each document of docs (doc, text and others) without its removed lines, with n_lines and n_removed.
+    """docs (doc_id, text and others) without the removed lines, with n_lines and n_removed.
 
-    Lines without words stay.
+    Lines without words stay.  A text's work is in proportion to its lines.
     """
-    kept = kept_lines(docs.select("doc", "text"))
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda line, i: (F.size(_words(line)) == 0) | F.coalesce(F.array_contains("nos", i), F.lit(False)))
+    docs, places = _placed(docs)
+    kept = kept_lines(docs.select("doc", "text"), places)
     others = [c for c in docs.columns if c != "text"]
-    return docs.join(kept, "doc", "left").select(*others, F.array_join(stay, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_removed"))
+    split = docs.join(kept, "doc", "left").select(*others, "text", F.split("text", "\n").alias("lines"), F.coalesce("nos", F.array().cast("array<int>")).alias("nos"))
+    missing = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("nos"))
+    gone = F.filter(missing, lambda i: F.btrim(F.get("lines", i), F.lit(" " + _BLANKS)) != "")
+    marked = split.select(*others, "text", "lines", gone.alias("gone"))
+    # What lies between the removed lines.
+    begin = lambda k: F.when(k > 0, F.get("gone", k - 1) + 1).otherwise(0)
+    runs = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", begin(k) + 1, F.coalesce(F.get("gone", k), F.size("lines")) - begin(k)))
+    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return marked.select(*others, text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, Places]:
+    """docs with numbers such that every line's place fits a long."""
+    out = numbered(docs)
+    places = Places(out)
+    if not places.fits:
+        out = numbered(docs, dense=True)
+        places = Places(out)
+    return out, places
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -207,18 +249,17 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Null text: one empty line.  Rows that share an id (null is one) are documents of their
     own, as any others.  Other columns are left out.  An empty table gives no rows.
     """
-    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return dedup(texts).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """line_dedup of documents, which says how nulls, repeated rows and empty tables are taken; the text as its SHA-256."""
     found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without their removed lines."""
-    others = F.struct(*(c for c in docs.columns if c != "text"))
-    new = dedup(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), others.alias("row"))))
-    value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return new.select(*(value.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    """All rows, without their removed lines; n_chars is that of the text left.  Nulls and repeats: as line_dedup has them."""
+    new = dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), as_row(docs, "text")))
+    return new.select(*from_row(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))

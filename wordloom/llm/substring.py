@@ -299,16 +299,15 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.min("text").alias("text")) if again else docs
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, dense: bool = False) -> DataFrame:
     """docs (doc_id, text and others) with doc, a number of each row of its own in order of doc_id, null first.
 
-    Distinct ids are their own numbers.  Rows that share an id are put in order by a
+    Distinct ids are their own numbers, unless dense asks for numbers from 0 on.  Rows that share an id are put in order by a
     digest of their texts, then as they are read: the whole table is dealt out by ranges
     of that order and stored, so that a row keeps its number, and no id or text has to
     fit one task.
     """
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if not again:
+    if not dense and not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
     placed = docs.withColumn("_read", F.monotonically_increasing_id()).orderBy("doc_id", F.md5("text"), "_read").drop("_read")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
