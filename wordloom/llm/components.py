@@ -48,15 +48,16 @@ def from_row(df: DataFrame, new: dict[str, Column], name: str = "row") -> list[C
     return [new.get(c, F.col(name).getField(str(i))).alias(c) for i, c in enumerate(df.columns)]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """df written as a table in the shared folder and read again, which cuts its lineage.
 
+    plain: for numbers that are as good as random, which no dictionary or compression makes smaller.
     The shuffle files of earlier tables go before df is computed, as nothing reads them any more.
     """
     spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark, name)
     release_shuffles(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "uncompressed" if plain else "zstd").option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out

@@ -7,12 +7,12 @@ the later one (by document and line number) is removed, whatever becomes of the
     go.  Classes are pre-aggregated in each task, so a line that a third of all documents
     hold is a few rows.  From here on a word is a 32-bit number.
 2.  Words are put in order of rarity: by the magnitude of the number of classes that hold
-    their bucket among 524,288.  The magnitudes, a byte for each bucket whatever the
-    corpus, are one row that goes along in the plans.
+    their bucket.  There is a bucket for some BUCKET_WORDS words of the classes, up to
+    2**22; the magnitudes, a byte each, are one row that goes along in the plans.
 3.  Two similar sets share a word among the first n - ceil(4n/5) + 1 of the larger and
     the first n - ceil(8n/9) + 1 of the smaller.  Classes are joined on such words with
-    length and positional filters, and with a 128-bit map of the words (sets that differ
-    in d words have maps that differ in at most d bits).
+    length and positional filters, and with the parities of the words in 128 bits (sets
+    that differ in d words have parities that differ in at most d bits).
 4.  Before that join, a class meets two hubs of each of a few of its words: the earliest
     and the most copied of the classes that are copied, or drawn by a hash, and have the
     word among their rarest.  That settles the many variants of one line without forming
@@ -35,9 +35,10 @@ from .substring import numbered
 NUM, DEN = 4, 5
 #: Sets of fewer words are similar to themselves only.
 LEAST_WORDS = 4
-BUCKET_BITS = 19
+#: Words of the classes for each bucket of the rarities, and the least and greatest number of buckets as powers of two.
+BUCKET_WORDS, LEAST_BITS, MOST_BITS = 1500, 16, 22
 #: Words of a class that are looked up among the hubs, and the part of the classes, one in so many, that may be hubs without being copied.
-HUB_WORDS, HUB_PART = 3, 16
+HUB_WORDS, HUB_PART = 2, 64
 #: Rows up to which lines' places go to all tasks (some 40 bytes each).
 SENT_ROWS = 500_000
 
@@ -46,9 +47,10 @@ _BLANKS = "\t\x0b\f\r"
 
 def _spaced(text):
     """A text with every blank but the line break made a space."""
+    out = text
     for sign in _BLANKS:
-        text = F.replace(text, F.lit(sign), F.lit(" "))
-    return text
+        out = F.replace(out, F.lit(sign), F.lit(" "))
+    return F.when(text.rlike(f"[{_BLANKS}]"), out).otherwise(text)
 
 
 def _words(line):
@@ -70,10 +72,13 @@ class Places:
     """A line's place, document before number, in one long."""
 
     def __init__(self, docs: DataFrame):
-        low, high, longest = docs.agg(F.min("doc"), F.max("doc"), F.max(F.octet_length("text"))).head()
+        low, high = docs.agg(F.min("doc"), F.max("doc")).head()
         self.low = low or 0
-        self.bits = (longest or 0).bit_length() + 1
-        self.fits = (((high or 0) - self.low).bit_length() + self.bits) < 64
+        docs_bits = ((high or 0) - self.low).bit_length()
+        self.bits = 32  # no text has more bytes
+        if docs_bits + self.bits > 63:
+            self.bits = (docs.agg(F.max(F.octet_length("text"))).head()[0] or 0).bit_length() + 1
+        self.fits = docs_bits + self.bits < 64
 
     def of(self, doc, no):
         return F.shiftleft(doc - F.lit(self.low), self.bits).bitwiseOR(no.cast("long"))
@@ -87,33 +92,39 @@ class Places:
 
 def classes(docs: DataFrame, places: Places) -> DataFrame:
     """(place, n, ws, copies): the first line of each class, its words as 32-bit numbers, and its lines."""
-    lines = docs.select("doc", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("no", "line"))
-    hashes = F.sort_array(F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w))))
-    sets = lines.select(places.of(F.col("doc"), F.col("no")).alias("place"), hashes.alias("h")).filter(F.size("h") > 0)
+    lines = docs.select("doc", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("no", "line")).filter(F.btrim("line") != "")
+    # Two spaces in a row give an empty word, which goes by its number.
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    sets = lines.select(places.of(F.col("doc"), F.col("no")).alias("place"), F.sort_array(hashes).alias("h"))
     numbers = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
     keyed = sets.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), F.struct("place", F.size("h").alias("n"), numbers.alias("ws")).alias("c"))
     return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c.place", "c.n", "c.ws", "copies")
 
 
-def _bucket(w):
-    return F.shiftrightunsigned(w, 32 - BUCKET_BITS)
+def _bucket(w, bits: int):
+    return F.shiftrightunsigned(w, 32 - bits)
 
 
-def rarity(found: DataFrame) -> DataFrame:
+def bucket_bits(found: DataFrame) -> int:
+    words = found.agg(F.sum(F.size("ws").cast("long"))).head()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (words // BUCKET_WORDS).bit_length()))
+
+
+def rarity(found: DataFrame, bits: int) -> DataFrame:
     """One row: the magnitude of the number of classes that hold each bucket's words."""
-    counts = found.select(F.explode("ws").alias("w")).groupBy(_bucket(F.col("w")).alias("id")).agg(F.count("*").alias("n"))
-    every = found.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left")
+    counts = found.select(F.explode("ws").alias("w")).groupBy(_bucket(F.col("w"), bits).alias("id")).agg(F.count("*").alias("n"))
+    every = found.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("id")).join(counts, "id", "left")
     magnitude = F.round(2 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("tinyint")
     return every.agg(F.sort_array(F.collect_list(F.struct("id", magnitude.alias("m"))))["m"].alias("m"))
 
 
-def described(found: DataFrame, magnitudes: DataFrame) -> DataFrame:
-    """(place, n, copies, bits, more, rare): classes that can be similar to others, with their bit maps and rarest words."""
+def described(found: DataFrame, magnitudes: DataFrame, bits: int) -> DataFrame:
+    """(place, n, copies, bits, more, rare): classes that can be similar to others, with their parities and rarest words."""
     found, m = found.withColumn("m", magnitudes.scalar()), F.col("m")
-    by_rarity = F.sort_array(F.transform("ws", lambda w: F.shiftleft(F.get(m, _bucket(w)).cast("long"), 32).bitwiseOR(w.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    # Bit w mod 64 of one of two maps, by the next bit of w.
-    set_bit = lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))
-    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, set_bit(a, w)).otherwise(a))
+    by_rarity = F.sort_array(F.transform("ws", lambda w: F.shiftleft(F.get(m, _bucket(w, bits)).cast("long"), 33) + w))
+    # A word turns bit w mod 64 of one of two maps, by the next bit of w.
+    turned = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))
+    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, turned(a, w)).otherwise(a))
     rare = F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN))
     return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), bit_map(0).alias("bits"), bit_map(64).alias("more"), rare.alias("rare"))
 
@@ -190,24 +201,27 @@ def verified(pairs: DataFrame, docs: DataFrame, places: Places) -> DataFrame:
     few = pairs.count() <= SENT_ROWS
     held = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "nos", F.split(_spaced(F.col("text")), "\n").alias("lines"))
     named = held.select("doc", F.explode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.get("lines", i).alias("line")))).alias("x"))
-    text = named.select(places.of(F.col("doc"), F.col("x.no")).alias("place"), F.array_distinct(_words("x.line")).alias("ws"))
+    text = stored(named.select(places.of(F.col("doc"), F.col("x.no")).alias("place"), F.array_distinct(_words("x.line")).alias("ws")), "line-words")
     both = pairs.join(text.select(F.col("place").alias("later"), F.col("ws").alias("a")), "later").join(text.select(F.col("place").alias("earlier"), F.col("ws").alias("b")), "earlier")
     # |A & B| / |A | B| >= NUM / DEN, in whole numbers
     true = both.filter(F.size(F.array_intersect("a", "b")) * (NUM + DEN) >= NUM * (F.size("a") + F.size("b")))
-    return true.select(F.col("later").alias("place")).distinct()
+    out = stored(true.select(F.col("later").alias("place")).distinct(), "line-matches")
+    forget(text)
+    return out
 
 
 def kept_lines(docs: DataFrame, places: Places) -> DataFrame:
     """(doc, nos): the numbers of the lines with a word that stay, for each of docs (doc, text)."""
-    sets = stored(classes(docs, places), "line-classes")
+    sets = stored(classes(docs, places), "line-classes", plain=True)
     firsts = stored(sets.select("place"), "line-firsts")
-    found = stored(described(sets, stored(rarity(sets), "line-rarity")), "line-prefixes")
+    bits = bucket_bits(sets)
+    found = stored(described(sets, stored(rarity(sets, bits), "line-rarity"), bits), "line-prefixes")
     forget(sets)
     pairs = stored(hub_pairs(found), "line-pairs")
-    settled = stored(verified(pairs, docs, places), "line-matches")
+    settled = verified(pairs, docs, places)
     more = stored(open_pairs(found, settled), "line-pairs")
     forget(found)
-    gone = settled.unionByName(stored(verified(more, docs, places), "line-matches"))
+    gone = settled.unionByName(verified(more, docs, places))
     forget(pairs)
     forget(more)
     stay = firsts.join(gone, "place", "left_anti")
