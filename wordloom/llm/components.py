@@ -39,13 +39,13 @@ def quoted(name: str) -> Column:
 
 
 def as_row(df: DataFrame, *without: str, name: str = "row") -> Column:
-    """The other columns of df as one struct, row.0 to row.n, so that no name can clash or be misread."""
-    return F.struct(*(quoted(c).alias(str(i)) for i, c in enumerate(df.columns) if c not in without) or [F.lit(None).cast("int").alias("none")]).alias(name)
+    """The other columns of df as one struct, so that none of their names can clash."""
+    return F.struct(*(quoted(c).alias(c) for c in df.columns if c not in without)).alias(name)
 
 
 def from_row(df: DataFrame, new: dict[str, Column], name: str = "row") -> list[Column]:
     """The columns of df again, out of the struct of as_row; new has those that were left out or are changed."""
-    return [new.get(c, F.col(name).getField(str(i))).alias(c) for i, c in enumerate(df.columns)]
+    return [(new[c] if c in new else F.col(name).getField(c)).alias(c) for c in df.columns]
 
 
 def stored(df: DataFrame, name: str, plain: bool = False) -> DataFrame:

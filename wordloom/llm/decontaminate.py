@@ -1,29 +1,34 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each run of documents of a task has a posting
-list (word positions, ascending) for every term that a benchmark text uses.  A window
-of a benchmark text is looked up from its term with the shortest list there; the list,
-moved back by the term's offset, gives candidate starts, which are intersected with
-the other terms' lists from the rarest on.  What is left is compared with the text word
-by word.  Nothing is shuffled, and a passage that a third of all documents share is
-spread over as many tasks as the documents are.
-
-The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters; a
-task judges each batch of documents by one block after the other.
+The index is partitioned by document: a task makes, for each run of documents, the
+posting lists (word positions, ascending) of every term that some benchmark text uses,
+and keeps them as one table of the run.  Benchmark texts are asked of it as windows of
+terms.  A window's lists are intersected from its rarest term on: the rarest term's
+positions, moved back by its offset in the window, are candidate starts; those stay
+whose moved-on position is in the list of the next term, and so on.  What is left is
+compared with the text word by word.  Proximity matches intersect the same lists within
+a distance.  No posting leaves its task, and a passage that a third of all documents
+share is spread over as many tasks as the documents are.
+
+The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters, one
+file for each in the shared folder, of which a task holds one at a time.  `store` writes
+the same posting lists as a table, for benchmarks that come later; `search` asks it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import words
+from .components import as_row, from_row
 
 WINDOW = 10
 #: Characters of benchmark text that go to the tasks at once.
@@ -50,60 +55,87 @@ class Queries:
                 found[tuple(ws[i : i + window])].add(number[name])
         self.windows = list(found)
         terms = sorted({w for ws in self.windows for w in ws})
-        self.vocabulary, which = np.unique(_hashes(terms), return_inverse=True)
-        of = dict(zip(terms, which.tolist(), strict=True))
+        self.vocabulary = pa.array(terms, pa.binary())
+        of = {w: i for i, w in enumerate(terms)}
         self.lengths = np.array([len(ws) for ws in self.windows], np.int64)
-        self.terms = np.full((len(self.windows), window), len(self.vocabulary), np.int64)
+        self.terms = np.full((len(self.windows), window), len(terms), np.int64)
         for i, ws in enumerate(self.windows):
             self.terms[i, : len(ws)] = [of[w] for w in ws]
         self.items = [np.array(sorted(x), np.int64) for x in found.values()]
+        # Windows by their terms: those that a run of documents can hold are found from its terms.
+        at = np.arange(window) < self.lengths[:, None]
+        flat, owner = self.terms[at], np.repeat(np.arange(len(self.windows)), self.lengths)
+        self.of_term = owner[np.argsort(flat, kind="stable")]
+        self.term_first = np.searchsorted(np.sort(flat), np.arange(len(terms) + 1))
 
 
-def _hashes(terms: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(terms), np.uint8)
-    ends = np.cumsum([len(t) for t in terms], dtype=np.int64)
-    c = words.Chunk.__new__(words.Chunk)
-    c.data, c.end = data, ends
-    c.start = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(terms) else ends
-    return c.hashes()
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices first[i] .. first[i] + size[i] - 1 for all i, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Index:
-    """Posting lists of a chunk of documents for the terms of some queries."""
+    """Posting lists of a run of documents for the terms of some queries.
+
+    postings[first[t]:first[t+1]] are the positions of term t.
+    """
 
     def __init__(self, c: words.Chunk, q: Queries):
         n = len(q.vocabulary)
-        h = c.hashes()
-        at = np.minimum(np.searchsorted(q.vocabulary, h), n - 1)
-        self.term = np.where(q.vocabulary[at] == h, at, -1)
+        code, terms = c.coded()
+        vocabulary = q.vocabulary.cast(terms.type)
+        number = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.term = number[code] if len(code) else np.zeros(0, np.int64)
         held = np.flatnonzero(self.term >= 0)
-        self.postings = held[np.argsort(self.term[held], kind="stable")]
-        self.first = np.searchsorted(self.term[self.postings], np.arange(n + 1))
+        own = self.term[held]
+        order = np.argsort(own, kind="stable")
+        self.postings = held[order]
+        self.first = np.searchsorted(own[order], np.arange(n + 1))
         self.length = np.append(np.diff(self.first), np.iinfo(np.int64).max)  # one more for the end of short windows
+        # One number for each posting, in order: term, then position.
+        self.size = len(self.term) + 1
+        self.sorted = own[order] * self.size + self.postings
         self.row = c.row_of_word()
 
+    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in its term's posting list."""
+        wanted = term * self.size + position
+        at = np.minimum(np.searchsorted(self.sorted, wanted), max(0, len(self.sorted) - 1))
+        return self.sorted[at] == wanted if len(self.sorted) else np.zeros(len(wanted), bool)
+
+    def live(self, q: Queries) -> np.ndarray:
+        """The windows of which every term has a posting; found from the terms that are here."""
+        here = np.flatnonzero(np.diff(self.first))
+        size = q.term_first[here + 1] - q.term_first[here]
+        owner = q.of_term[_ragged(q.term_first[here], size)]
+        window, n = np.unique(owner, return_counts=True)
+        return window[n == q.lengths[window]]
+
     def phrases(self, c: words.Chunk, q: Queries) -> tuple[np.ndarray, np.ndarray]:
         """(window, first word) of every exact occurrence."""
-        lists = self.length[q.terms]
-        order = np.argsort(lists, axis=1, kind="stable")
+        live = self.live(q)
+        if not len(live):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        terms = q.terms[live]
+        order = np.argsort(self.length[terms], axis=1, kind="stable")  # offsets, rarest term first
         anchor = order[:, 0]
-        term = q.terms[np.arange(len(q.terms)), anchor]
+        term = terms[np.arange(len(live)), anchor]
         size = self.length[term]
-        live = np.flatnonzero(size)
-        size, total = size[live], int(size[live].sum())
-        window = np.repeat(live, size)
-        inner = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        start = self.postings[np.repeat(self.first[term[live]], size) + inner] - np.repeat(anchor[live], size)
-        last = start + q.lengths[window] - 1
-        fits = (start >= 0) & (last < len(self.term))
-        fits[fits] = self.row[start[fits]] == self.row[last[fits]]
-        window, start = window[fits], start[fits]
+        own = np.repeat(np.arange(len(live)), size)
+        start = self.postings[_ragged(self.first[term], size)] - np.repeat(anchor, size)
+        fits = (start >= 0) & (start + q.lengths[live[own]] <= len(self.term))
+        own, start = own[fits], start[fits]
         for rank in range(1, q.terms.shape[1]):
-            offset = order[window, rank]
-            inside = offset < q.lengths[window]
+            offset = order[own, rank]
+            inside = offset < q.lengths[live[own]]
             same = ~inside
-            same[inside] = self.term[start[inside] + offset[inside]] == q.terms[window[inside], offset[inside]]
-            window, start = window[same], start[same]
+            same[inside] = self.holds(terms[own[inside], offset[inside]], start[inside] + offset[inside])
+            own, start = own[same], start[same]
+            if not len(own):
+                break
+        same = self.row[start] == self.row[start + q.lengths[live[own]] - 1]  # within one document
+        window, start = live[own[same]], start[same]
         data = c.data.tobytes()
         true = [all(data[c.start[s + j] : c.end[s + j]] == w for j, w in enumerate(q.windows[k])) for k, s in zip(window.tolist(), start.tolist(), strict=True)]
         true = np.array(true, bool)
@@ -111,37 +143,34 @@ class Index:
 
     def near(self, q: Queries, rarest: int, within: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, word) where the window's rarest terms all stand, in any order, at most so many words from the rarest."""
-        lists = self.length[q.terms]
-        order = np.argsort(lists, axis=1, kind="stable")[:, :rarest]
-        out_w, out_p = [], []
-        for w in np.flatnonzero(self.length[q.terms[np.arange(len(q.terms)), order[:, 0]]]):
-            terms = dict.fromkeys(int(q.terms[w, o]) for o in order[w] if o < q.lengths[w])
-            own = [self.postings[self.first[t] : self.first[t + 1]] for t in terms]
-            at = own[0]
-            for other in own[1:]:
-                low = np.searchsorted(other, at - within)
-                ok = low < len(other)
-                ok[ok] = other[low[ok]] <= at[ok] + within
-                # The nearest term must be of the same document, so both sides of the list are tried.
-                near = np.zeros(len(at), bool)
-                for step in range(2 * within + 1):
-                    k = low + step
-                    live = ok & (k < len(other)) & ~near
-                    live[live] = other[k[live]] <= at[live] + within
-                    if not live.any():
-                        break
-                    near[live] = self.row[other[k[live]]] == self.row[at[live]]
-                at = at[near]
-            out_w += [w] * len(at)
-            out_p += at.tolist()
-        return np.array(out_w, np.int64), np.array(out_p, np.int64)
+        live = self.live(q)
+        if not len(live):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        terms = q.terms[live]
+        order = np.argsort(self.length[terms], axis=1, kind="stable")
+        term = terms[np.arange(len(live)), order[:, 0]]
+        size = self.length[term]
+        own = np.repeat(np.arange(len(live)), size)
+        at = self.postings[_ragged(self.first[term], size)]
+        # Where the documents of each position begin and end bounds the distance.
+        row_first = np.searchsorted(self.row, self.row[at])
+        row_last = np.searchsorted(self.row, self.row[at], "right") - 1
+        low, high = np.maximum(at - within, row_first), np.minimum(at + within, row_last)
+        for rank in range(1, min(rarest, q.terms.shape[1])):
+            offset = order[own, rank]
+            inside = offset < q.lengths[live[own]]
+            keep = ~inside
+            other = terms[own[inside], offset[inside]]
+            k = np.searchsorted(self.sorted, other * self.size + low[inside])
+            keep[inside] = (k < len(self.sorted)) & (self.sorted[np.minimum(k, len(self.sorted) - 1)] <= other * self.size + high[inside])
+            own, at, low, high = own[keep], at[keep], low[keep], high[keep]
+        return live[own], at
 
 
 def _judge(column: pa.Array, q: Queries, proximity: tuple[int, int] | None):
     """(words of each row, which words of all rows are hit, names of each row, near names of each row) for a block."""
-    most = words.CHUNK_BYTES * min(16, 1 + len(q.windows) // 20_000)
     counts, hits, names, near = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
-    for c in words.chunks(column, words.alnum_table(), lower=True, most=most):
+    for c in words.chunks(column, words.alnum_table(), lower=True):
         index = Index(c, q) if len(q.windows) else None
         window, start = index.phrases(c, q) if index else (np.zeros(0, np.int64),) * 2
         step = np.zeros(len(c.start) + 1, np.int64)
@@ -155,25 +184,34 @@ def _judge(column: pa.Array, q: Queries, proximity: tuple[int, int] | None):
     return np.concatenate(counts), np.concatenate(hits), names, near
 
 
-def _block(q) -> Queries:
-    """What a broadcast holds, which the process then lets go."""
-    value = q.value
-    if getattr(q, "_path", None):  # it can be read again
-        vars(q).pop("_value", None)
-    return value
+def _names(c: words.Chunk, q: Queries, window: np.ndarray, start: np.ndarray) -> list[list[str]]:
+    found: list[set[int]] = [set() for _ in range(len(c))]
+    if len(start):
+        row = np.searchsorted(c.first, start, "right") - 1
+        for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
+            found[r].update(q.items[w].tolist())
+    return [sorted(q.names[i] for i in x) for x in found]
 
 
 def _both(a: list[list[str]], b: list[list[str]]) -> list[list[str]]:
     return [sorted({*x, *y}) if x and y else x or y for x, y in zip(a, b, strict=True)]
 
 
-def _scan(blocks, text: str, proximity: tuple[int, int] | None):
+def _block(q) -> Queries:
+    """What a broadcast holds, which the process then lets go, as it can be read again."""
+    value = q.value
+    if getattr(q, "_path", None):
+        vars(q).pop("_value", None)
+    return value
+
+
+def _scan(blocks, proximity: tuple[int, int] | None):
     """A function for mapInArrow; blocks are broadcasts of Queries, of which a task holds one at a time."""
 
     def scan(batches):
         one = blocks[0].value if len(blocks) == 1 else None
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(batch.schema.get_field_index("text"))
             counts, hit, names, near = _judge(column, one or _block(blocks[0]), proximity)
             for q in blocks[1:]:
                 _, more_hit, more_names, more_near = _judge(column, _block(q), proximity)
@@ -187,44 +225,50 @@ def _scan(blocks, text: str, proximity: tuple[int, int] | None):
     return scan
 
 
-def _names(c: words.Chunk, q: Queries, window: np.ndarray, start: np.ndarray) -> list[list[str]]:
-    found: list[set[int]] = [set() for _ in range(len(c))]
-    if len(start):
-        row = np.searchsorted(c.first, start, "right") - 1
-        for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
-            found[r].update(q.items[w].tolist())
-    return [sorted(q.names[i] for i in x) for x in found]
+def _sent(named: DataFrame, window: int, block_chars: int) -> list:
+    """Broadcasts of the blocks of the items (name, text); each is made, written out by Spark and let go before the next."""
+    spark = named.sparkSession
+    chars = named.agg(F.sum(F.length("text"))).head()[0] or 0
+    blocks = -(-chars // block_chars) or 1
+    out = []
+    for k in range(blocks):
+        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
+        out.append(spark.sparkContext.broadcast(Queries(sorted((r["name"], r["text"] or "") for r in part.collect()), window)))
+        if blocks > 1:
+            vars(out[-1]).pop("_value", None)  # the driver keeps the file only
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, proximity: tuple[int, int] | None = None) -> DataFrame:
-    """row (the other columns of docs, as a struct), text, n_words, n_hit and items of each document.
+    """row (the other columns of docs, as components.as_row has them), text, n_words, n_hit and items of each document.
 
     items (item_id, text): a null or empty text has no window; a null id is the name
     "null"; rows with one id are one item.  A null document text has no words.  Rows of
-    docs are judged one by one, so that repeated rows give repeated results.  proximity
+    docs are judged one by one, so that repeated rows give repeated results, and a long
+    text whole.  An empty table of documents gives no rows, of items no hits.  proximity
     (terms, words): near_items are those of which that many of a window's rarest terms
     stand within so many words of the rarest, in any order.
     """
-    spark = docs.sparkSession
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    chars = named.agg(F.sum(F.length("text"))).head()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    sent = []
-    for k in range(blocks):
-        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        sent.append(spark.sparkContext.broadcast(Queries(sorted((r["name"], r["text"] or "") for r in part.collect()), window)))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_hit long, items array<string>"
-    return rows.mapInArrow(_scan(sent, "text", proximity), kind + (", near_items array<string>" if proximity else ""))
+    rows = docs.select(as_row(docs, "text"), "text")
+    names = ["items", *(["near_items"] if proximity else [])]
+    new = [StructField(n, LongType()) for n in ("n_words", "n_hit")] + [StructField(n, ArrayType(StringType())) for n in names]
+    return rows.mapInArrow(_scan(_sent(named, window, block_chars), proximity), StructType([*rows.schema.fields, *new]))
+
+
+#: Of a benchmark window, terms that must be near each other, and within how many words.
+NEAR_TERMS, NEAR_WORDS = 5, 20
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """matches of documents with benchmark, exact and near (n_near_items); nulls, repeats and empties: as matches has them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), proximity=(NEAR_TERMS, NEAR_WORDS))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no window of a benchmark text occurs."""
+    """The documents in which no window of a benchmark text occurs; a null text has none and stays."""
     found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit = 0")
-    return found.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return found.select(*from_row(docs, {"text": F.col("text")}))

@@ -13,18 +13,23 @@ def hashed(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> _U(64 - bits)).astype(np.int64)
 
 
+_BASE = 0x9E3779B97F4A7C55
+_BYTE_VALUE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+
 def word_starts(c: words.Chunk, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each size, (word number, hash of the word's first so many bytes) of the longer words."""
-    n = len(c.data)
-    up, down = words._power_tables(n)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(words._BYTE_VALUE[c.data] * up[:n], dtype=_U, out=total[1:])
+    """For each size, (word number, hash of the word's first so many bytes) of the longer words.
+
+    Features only: two beginnings with one hash are one feature.
+    """
     length = c.end - c.start
     out = []
     for size in sizes:
         i = np.flatnonzero(length >= size)
-        a = c.start[i]
-        out.append((i, words.mix(((total[a + size] - total[a]) * down[a]) ^ _U(size * 0x9E3779B97F4A7C15 % 2**64))))
+        h = np.full(len(i), size, _U)
+        for k in range(size):
+            h = h * _U(_BASE) + _BYTE_VALUE[c.data[c.start[i] + k]]
+        out.append((i, words.mix(h)))
     return out
 
 

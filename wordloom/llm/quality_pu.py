@@ -45,7 +45,7 @@ def measure(c: words.Chunk) -> np.ndarray:
     for k, chars in (("symbols", b"#*$%&|<>@=~^_{}[]\\/+"), ("marks", b".,;:!?\"'()-"), ("lines", b"\n")):
         tables[k][list(chars)] = True
     tables["digits"][48:58] = tables["capitals"][65:91] = tables["high"][128:] = tables["controls"][:9] = True
-    h, row = c.hashes(), c.row_of_word()
+    h, row = c.codes(), c.row_of_word()
     order, same = _groups(row, h)
     again = np.bincount(row[order[same]], minlength=len(c))
     length = c.end - c.start

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words
-from .components import checkpointed
+from .components import as_row, checkpointed, from_row, quoted
 
 #: A line is boilerplate of its host if it is on more documents than both of these say.
 MIN_DOCUMENTS = 20
@@ -26,6 +27,8 @@ LEAST_LEFT = 0.5
 #: Frequent lines (8 bytes each) up to which all tasks get them.
 SENT_LINES = 1_000_000
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -41,7 +44,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = M
     all rows, or a line on every page, is a few rows for each task.
     """
     text = F.col("text")
-    held = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"), F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
+    held = docs.select(quoted(host).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"), F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
     # Copies of a text are one document: one of its lines' counts stands for all.
     once = held.groupBy("host", "content").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_documents"))
@@ -58,27 +61,26 @@ def measure_batches(batches):
     continuation[0x80:0xC0] = True
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
-        out = {k: [np.zeros(0, np.int64)] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        out = {k: [np.zeros(0, np.int64)] for k in MEASURES}
         for c in words.chunks(column, is_word):
             n, offsets = len(c.data), c.offsets
             out["n_words"].append(c.counts)
             out["n_symbols"].append(words.row_sums(symbol[c.data], offsets))
             out["word_chars"].append(words.row_sums(is_word[c.data] & ~continuation[c.data], offsets))
             out["n_dup_lines"].append(_dup_lines(c))
-            h, row = c.hashes(), c.row_of_word()
-            out["n_repeat_words"].append(_repeat_words(h, row, c))
+            out["n_repeat_words"].append(_repeat_words(c.codes(), c.row_of_word(), c))
         new = {k: np.concatenate(v) for k, v in out.items()}
         keep = [i for i, name in enumerate(batch.schema.names) if name != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(v, pa.int64()) for v in new.values())], names=[*(batch.schema.names[i] for i in keep), *new])
 
 
 def _groups(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (row, key) with ties in input order, and where it is equal to the one before."""
-    mixed = words.mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(mixed, kind="stable")
+    """An order by (row, key) with ties in input order, and where both are equal to those before.  key: codes from 0 on."""
+    both = row.astype(np.int64) * (int(key.max()) + 1 if len(key) else 1) + key
+    order = np.argsort(both, kind="stable")
     same = np.zeros(len(order), bool)
     if len(order):
-        same[1:] = mixed[order][1:] == mixed[order][:-1]
+        same[1:] = both[order][1:] == both[order][:-1]
     return order, same
 
 
@@ -93,24 +95,26 @@ def _dup_lines(c: words.Chunk) -> np.ndarray:
     ends -= (ends > starts) & (c.data[np.maximum(ends - 1, 0)] == 10)
     has_word = np.searchsorted(c.start, ends) > np.searchsorted(c.start, starts)
     starts, ends = starts[has_word], ends[has_word]
-    whole = words.Chunk.__new__(words.Chunk)
-    whole.data, whole.start, whole.end = c.data, starts, ends
     row = np.searchsorted(c.offsets, starts, "right") - 1
-    order, same = _groups(row, whole.hashes() + (ends - starts).astype(np.uint64))
+    order, same = _groups(row, words.coded(c.data, starts, ends)[0])
     return np.bincount(row[order[same]], minlength=len(c)).astype(np.int64)
 
 
-def _repeat_words(h: np.ndarray, row: np.ndarray, c: words.Chunk) -> np.ndarray:
-    """Words in a 3-word window that is found twice or more in the text."""
-    if len(h) < 3:
+def _repeat_words(code: np.ndarray, row: np.ndarray, c: words.Chunk) -> np.ndarray:
+    """Words in a 3-word window that is found twice or more in the text.  code: of each word, from 0 on."""
+    if len(code) < 3:
         return np.zeros(len(c), np.int64)
-    u = np.uint64
-    window = words.mix(h[:-2] * u(0xD6E8FEB86659FD93) + h[1:-1] * u(0xA0761D6478BD642F) + h[2:] * u(0xE7037ED1A0B428DB))
+    size = int(code.max()) + 1
     whole = np.flatnonzero(row[:-2] == row[2:])
-    order, same = _groups(row[whole], window[whole])
+    pair = code[whole] * size + code[whole + 1]
+    pairs, pair = np.unique(pair, return_inverse=True)
+    window = pair * size + code[whole + 2]
+    if (int(row[-1]) + 1) * (len(pairs) + 1) * size >= 1 << 62:  # too many for one number with the row
+        window = np.unique(window, return_inverse=True)[1]
+    order, same = _groups(row[whole], window)
     twice = same.copy()
     twice[:-1] |= same[1:]
-    mark = np.zeros(len(h), bool)
+    mark = np.zeros(len(code), bool)
     mark[whole[order[twice]]] = True
     return words.row_sums(words.spread(mark, 3, c.first), c.first)
 
@@ -131,14 +135,14 @@ def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOC
     frequent = checkpointed(frequent)
     few = (frequent.agg(F.sum(F.size("frequent"))).head()[0] or 0) <= SENT_LINES
     frequent = F.broadcast(frequent) if few else frequent
-    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
-    marked = rows.join(frequent, rows[f"row.{host}"].eqNullSafe(frequent["host"]), "left")
+    rows = docs.select(as_row(docs, "text"), "text")
+    marked = rows.join(frequent, rows["row"].getField(host).eqNullSafe(frequent["host"]), "left")
     touched = F.col("frequent").isNotNull()
     marked = marked.select("row", "text", F.when(touched, _without(F.col("text"), F.col("frequent"))).otherwise(F.col("text")).alias("text_left"), touched.alias("touched"))
     words_left = F.when(F.col("touched"), F.size(F.regexp_extract_all(F.coalesce("text_left", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).cast("long"))
     narrow = marked.select("row", "text", "text_left", words_left.alias("words_left"))
-    extra = "".join(f"`{name}` {kind}, " for name, kind in narrow.dtypes if name != "text")
-    measured = narrow.mapInArrow(measure_batches, extra + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    kind = StructType([f for f in narrow.schema.fields if f.name != "text"] + [StructField(name, LongType()) for name in MEASURES])
+    measured = narrow.mapInArrow(measure_batches, kind)
     out = measured.withColumn("n_words_left", F.coalesce("words_left", "n_words")).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.lit(least_left) * F.col("n_words"))).drop("words_left")
 
@@ -159,4 +163,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, without their host's frequent lines."""
     kept = verdicts(docs).filter("kept")
     new = {"text": F.col("text_left"), "n_chars": F.length("text_left").cast("long")}
-    return kept.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return kept.select(*from_row(docs, new))

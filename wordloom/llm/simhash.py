@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .components import checkpointed, components
+from .components import as_row, checkpointed, components, from_row
 
 #: Differing bits of a link, and words of a shingle.
 BITS = 2
@@ -264,7 +264,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = checkpointed(fingerprints(docs.select("doc_id", "text", *digest), more=("k1", "k2")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k1", "k2")
     best = _named(own, rank).groupBy("component").agg(F.min("least").alias("b")).select("b.id", "b.k1", "b.k2")
-    every = docs.select(F.col("doc_id").alias("id"), *digest, F.struct("text", F.struct(*docs.columns).alias("row")).alias("x"))
+    every = docs.select(F.col("doc_id").alias("id"), *digest, F.struct("text", as_row(docs)).alias("x"))
     same = every["id"].eqNullSafe(best["id"]) & (every["k1"] == best["k1"]) & (every["k2"] == best["k2"])
     once = every.join(best, same, "left_semi").groupBy("id", "k1", "k2").agg(F.min("x").alias("x"))
-    return once.select(*(F.col("x.row").getField(c).alias(c) for c in docs.columns))
+    return once.select(*from_row(docs, {}, "x.row"))

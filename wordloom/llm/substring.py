@@ -66,11 +66,11 @@ def _run_hash(prefix, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def anchors(c: words.Chunk, k: int, m: int):
     """(anchor, digest, row, first edge, edges) of the paths of a chunk; positions count from each row's first word."""
-    h, first = c.hashes(), c.first
-    n = len(h)
+    h, first = (c.hashes(half) for half in (0, 1)), c.first
+    n = len(c.start)
     if n < k:
         return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 3
-    one, two = (_prefix(h, b) for b in _BASES)
+    one, two = map(_prefix, h, _BASES)
     at = np.arange(n - m + 1)
     value, place = _run_hash(one, at, at + m), at
     span, width = 1, k - m + 1
@@ -219,8 +219,7 @@ def _edges(k: int):
             offsets = np.asarray(runs.offsets)
             values = runs.values.to_numpy(zero_copy_only=False)
             for c in words.chunks(batch.column(1), words.space_split_table()):
-                h = c.hashes()
-                one, two = (_prefix(h, b) for b in _BASES)
+                one, two = map(_prefix, (c.hashes(half) for half in (0, 1)), _BASES)
                 span = slice(offsets[c.at], offsets[c.at + len(c)])
                 run = values[span]
                 row = np.repeat(np.arange(len(c)), np.diff(offsets[c.at : c.at + len(c) + 1]))

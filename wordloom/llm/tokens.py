@@ -2,8 +2,8 @@
 
 A text is cut into the vocabulary's pieces (a run of letters, digits or other signs
 with the space before it, or white space) with whole-array operations on code points.
-Pieces repeat, so each Python worker keeps the ids of the pieces it has met, up to a
-bounded number, and calls the tokenizer for the others only.  The ids are those that
+Pieces repeat, so each Python worker keeps the ids of the pieces it has met, by their
+bytes and up to a bounded number, and calls the tokenizer for the others only.  The ids are those that
 the tokenizer file gives for the whole text; tests hold them against it.
 """
 
@@ -20,10 +20,11 @@ from . import words
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of which a worker keeps the ids; beyond it, the kept ones are forgotten.
 KEPT_PIECES = 1_000_000
-#: A piece of more characters goes to the tokenizer each time.
-LONGEST_KEPT = 64
+#: A piece of more bytes goes to the tokenizer each time.
+LONGEST_KEPT = 128
+#: Ids beyond which the kept ones are forgotten.
+LARGEST_POOL = 8_000_000
 
-_U = np.uint64
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: Code points of Unicode's property White_Space.
 _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -85,7 +86,12 @@ class Encoder:
         self.forget()
 
     def _piecewise(self, spec: dict):
-        """ids of one piece, by the file's merges."""
+        """ids of one piece, by the file's merges; None if the file cuts or changes texts in another way than pieces() does."""
+        before = spec.get("pre_tokenizer") or {}
+        parts = before.get("pretokenizers", [before])
+        plain_cut = len(parts) == 1 and parts[0].get("type") == "ByteLevel" and not parts[0].get("add_prefix_space") and parts[0].get("use_regex", True)
+        if spec.get("normalizer") or not plain_cut or spec["model"].get("type") != "BPE" or spec["model"].get("ignore_merges") or spec["model"].get("dropout"):
+            return None
         vocabulary = spec["model"]["vocab"]
         # The file's alphabet: printable bytes stand for themselves, the others follow from 256 on, in order.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -105,15 +111,12 @@ class Encoder:
         return None
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, _U)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.at: list[int] = []
+        self.size: list[int] = []
         self.pool = np.zeros(1 << 16, np.uint16 if self.whole.get_vocab_size() < 1 << 16 else np.uint32)
         self.used = 0
 
-    def _ids(self, piece: bytes) -> list[int]:
-        return self.part(piece)
-
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether a sentence or line may end with it."""
         if not hasattr(self, "_ends"):
@@ -121,18 +124,32 @@ class Encoder:
             self._ends = np.array([t.endswith((".", "!", "?")) or "\n" in t for t in (self.whole.decode([i], skip_special_tokens=False) for i in range(n))], bool)
         return self._ends
 
-    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
-        if len(self.keys) + len(keys) > KEPT_PIECES:
+    def _add(self, ids: list[int]) -> tuple[int, int]:
+        """Puts ids in the pool; where they are."""
+        size, at = len(ids), self.used
+        if at + size > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(at + 2 * size, self.pool.dtype)])
+        self.pool[at : at + size] = ids
+        self.used += size
+        return at, size
+
+    def _places(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different pieces are in the pool, and how many each has."""
+        if len(self.known) + len(pieces) > KEPT_PIECES:
             self.forget()
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), self.pool.dtype, int(size.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), self.pool.dtype)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        where = np.searchsorted(self.keys, keys)  # both are in order
-        self.keys, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+        at, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        known, own_at, own_size = self.known, self.at, self.size
+        for i, piece in enumerate(pieces):
+            k = known.get(piece)
+            if k is None:
+                at[i], size[i] = found = self._add(self.part(piece))
+                if len(piece) <= LONGEST_KEPT:
+                    known[piece] = len(own_at)
+                    own_at.append(found[0])
+                    own_size.append(found[1])
+            else:
+                at[i], size[i] = own_at[k], own_size[k]
+        return at, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and end) for UTF-8 texts."""
@@ -140,47 +157,22 @@ class Encoder:
         if self.part is None or any(s in text for s in self.special):
             return self._by_tokenizer([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        begins = (data & 0xC0) != 0x80
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(begins, out=total[1:])
-        edges = total[offsets]  # texts in code points
+        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each code point
+        edges = np.searchsorted(begins, offsets)  # texts in code points
         start = pieces(points, edges)
-        end = np.append(start[1:], len(points))
-        n = len(points)
-        up, down = words._power_tables(n)
-        running = np.zeros(n + 1, _U)
-        np.cumsum(words.mix(points.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(0x2545F4914F6CDD1D)) * up[:n], dtype=_U, out=running[1:])
-        key = words.mix(((running[end] - running[start]) * down[start]) + (end - start).astype(_U))
-        keys, example, which = np.unique(key, return_index=True, return_inverse=True)
-        long = (end[example] - start[example]) > LONGEST_KEPT
-        at, size = self._look(keys)
-        missing = np.flatnonzero((at < 0) & ~long)
-        if len(missing):
-            a, b = start[example[missing]].tolist(), end[example[missing]].tolist()
-            self._learn(keys[missing], [self._ids(text[i:j].encode("utf-8", "surrogatepass")) for i, j in zip(a, b, strict=True)])
-            at, size = self._look(keys)
-            lost = (at < 0) & ~long  # forgotten just now
-            long |= lost
-        pool = self.pool
-        if long.any():
-            k = np.flatnonzero(long)
-            own = [self._ids(text[start[example[i]] : end[example[i]]].encode("utf-8", "surrogatepass")) for i in k.tolist()]
-            size[k] = list(map(len, own))
-            at[k] = self.used + np.cumsum(size[k]) - size[k]
-            pool = np.concatenate([pool[: self.used], np.fromiter((i for x in own for i in x), pool.dtype, int(size[k].sum()))])
+        found = words.segments(data, np.append(begins[start], len(data))).dictionary_encode() if len(start) else None
+        if found is None:
+            return np.zeros(0, self.pool.dtype), np.zeros(len(offsets), np.int64)
+        at, size = self._places(found.dictionary.to_pylist())
+        which = found.indices.to_numpy(zero_copy_only=False)
         size, at = size[which], at[which]
         ends = np.cumsum(size)
-        ids = pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
         before = np.concatenate([[0], ends])
+        if self.used > LARGEST_POOL:
+            self.forget()
         return ids, before[np.searchsorted(start, edges)]
 
-    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        held = self.keys[i] == keys
-        return np.where(held, self.at[i], -1), np.where(held, self.size[i], 0)
-
     def _by_tokenizer(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.whole.encode(t, add_special_tokens=False).ids for t in texts]
         ends = np.cumsum([0, *map(len, found)])

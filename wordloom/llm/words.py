@@ -1,9 +1,9 @@
 """Words of Arrow string columns as byte ranges, found with whole-array operations.
 
-Texts stay in their Arrow buffer.  A chunk of rows gives the byte ranges of its
-words and, for each word, a 64-bit hash: the sum of (random value of the byte *
-P**position), taken from running sums and shifted back to position 0, then mixed.
-No Python object is made for a word.
+Texts stay in their Arrow buffer.  A chunk of rows gives the byte ranges of its words.
+Words are told apart by their bytes: Arrow's dictionary encoding gives each different
+word of a chunk a code.  What must hold beyond a chunk is a 128-bit hash of the bytes,
+made once for each different word.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; bounds the memory of a Python worker, whatever the batch holds.
 CHUNK_BYTES = 1 << 20
 
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-_P = 0x9E3779B97F4A7C55
 _U = np.uint64
 
 
@@ -43,20 +43,6 @@ def lower_table() -> np.ndarray:
     return table
 
 
-_BYTE_VALUE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for name, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            step = np.full(size, base, _U)
-            step[0] = 1
-            _powers[name] = np.cumprod(step, dtype=_U)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that all bits of a hash depend on all bits of its input."""
     h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
@@ -64,6 +50,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def segments(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes between neighbouring bounds, without a copy."""
+    wide = len(data) >= 1 << 31
+    offsets = np.ascontiguousarray(bounds, np.int64 if wide else np.int32)
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each byte range, the bytes of each code): equal codes are equal bytes."""
+    if not len(start):
+        return np.zeros(0, np.int64), pa.array([], pa.binary())
+    bounds = np.empty(2 * len(start), np.int64)
+    bounds[0::2], bounds[1::2] = start, end
+    found = segments(data, bounds).dictionary_encode()  # every second one is what lies between two words
+    return found.indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64), found.dictionary
+
+
+def digests(terms: pa.Array) -> np.ndarray:
+    """Two independent 64-bit halves of a hash of each term's bytes, as two rows."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, terms.to_pylist()))
+    return np.frombuffer(raw, ">u8").reshape(-1, 2).T.astype(_U)
+
+
 class Chunk:
     """Some rows of a text column: ``rows`` of the batch, and the words of each.
 
@@ -84,6 +93,7 @@ class Chunk:
         self.start = np.flatnonzero(inside > before)
         self.end = np.flatnonzero(inside > after) + 1
         self.first = np.searchsorted(self.start, offsets)
+        self._coded = self._digests = None
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -95,13 +105,21 @@ class Chunk:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _power_tables(n)
-        total = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE_VALUE[self.data] * up[:n], dtype=_U, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """(code of each word, the bytes of each code); codes hold in this chunk only."""
+        if self._coded is None:
+            self._coded = coded(self.data, self.start, self.end)
+        return self._coded
+
+    def codes(self) -> np.ndarray:
+        return self.coded()[0]
+
+    def hashes(self, half: int = 0) -> np.ndarray:
+        """One half of the 128-bit hash of each word's bytes."""
+        code, terms = self.coded()
+        if self._digests is None:
+            self._digests = digests(terms)
+        return self._digests[half][code]
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
