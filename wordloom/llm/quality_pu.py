@@ -12,7 +12,7 @@ U(A) >= pi P(A), so pi is at most the least U(A) / P(A) over the regions above t
 thresholds of a classifier of positives against unlabelled.
 
 f is a sum of one step function for each measure of the text, whose steps are quantiles
-of the unlabelled sample.  The sample of each side has at most SAMPLE rows.
+of the samples.  The sample of each side has at most SAMPLE rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import words
 from .features import Adam, sigmoid
@@ -170,9 +171,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300) -> Mode
     whole = _Design(positive, unlabelled)
     model = whole.model(*_descend(whole.risk(pi), whole.size, rounds))
     model.prior = pi
-    # ACCEPT is the score that as many unlabelled texts reach as the prior says, or that nearly all trusted positives do.
-    least = min(np.quantile(model.margin(unlabelled), 1 - pi), np.quantile(model.margin(positive), LOST))
-    model.bias += float(np.log(ACCEPT / (1 - ACCEPT)) - least)
+    # The prior weighs the risk; ACCEPT is the score that nearly all trusted positives reach.
+    model.bias += float(np.log(ACCEPT / (1 - ACCEPT)) - np.quantile(model.margin(positive), LOST))
     return model
 
 
@@ -181,13 +181,21 @@ def _measured(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(measures(batch.column(0))), pa.list_(pa.float64()))], names=["positive", "x"])
 
 
+def outside(doc_id, parts: int, held: int):
+    """Rows that may be learnt from; a null id is in no fold."""
+    return doc_id.isNotNull() & (fold(doc_id, parts) != held)
+
+
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
-    """Positives: rows labelled 1 outside the held-out fold.  Unlabelled: documents that no label row names."""
-    order = lambda df: df.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
-    good = order(labels.filter((F.col("quality") == 1) & (fold(F.col("doc_id"), parts) != held)).select("doc_id").distinct()).withColumn("positive", F.lit(True))
-    rest = order(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").distinct()).withColumn("positive", F.lit(False))
+    """Positives: rows labelled 1 outside the held-out fold.  Unlabelled: any documents outside it, whatever their labels.
+
+    Of each side at most ``sample`` ids, in the order of a hash, and one text, the least, of each id.
+    """
+    order = lambda df: df.filter(outside(F.col("doc_id"), parts, held)).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
+    good = order(labels.filter(F.col("quality") == 1)).withColumn("positive", F.lit(True))
+    rest = order(docs).withColumn("positive", F.lit(False))
     # At most 2 * sample ids: a bounded side to send to the tasks.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(rest)), "doc_id")
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(good.unionByName(rest)), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
     rows = chosen.select("text", "positive").mapInArrow(_measured, "positive boolean, x array<double>").toPandas()
     x = np.array(rows.x.tolist()).reshape(len(rows), len(MEASURES))
     side = rows.positive.to_numpy(bool)
@@ -198,16 +206,15 @@ def _scorer(model):
     def score(batches):
         m = model.value
         for batch in batches:
-            x = measures(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(m.margin(x)), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(m.margin(measures(batch.column(1)))), pa.float64())], names=["doc_id", "score"])
 
     return score
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score): every row's whole text; null texts are empty ones."""
+    """(doc_id, score): every row's whole text; null texts are empty ones.  Repeated rows have repeated results."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_scorer(sent), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(sent), StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("score", DoubleType())]))
 
 
 def op6_quality_pu(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A linear model over the words of a text, and the beginnings of its words, each counted
 once.  It is fitted to labelled texts; for each of these that names a group of people,
-a second text has the name swapped for another of the same kind, and the squared change
+a second text has the name swapped for the next of the same kind, and the squared change
 of the score is penalised.  So the name itself gets no weight of its own, and a neutral
 mention of a group does not raise the score.
 
@@ -27,7 +27,8 @@ STARTS = (4, 5, 6)
 SAMPLE = 12_000
 FEATURES = 4096
 PENALTY = 5.0
-#: Names of groups by kind, and the neutral word of the kind, which comes first.
+RIDGE = 1e-4
+#: Names of groups by kind, the kind's neutral word among them.
 GROUPS = (
     ("people", "women", "men", "girls", "boys", "transgender", "nonbinary"),
     ("believers", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -53,11 +54,19 @@ def _term_hashes(terms: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(out, np.uint64), own
 
 
-def _pairs(c: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of each word and beginning."""
-    row = c.row_of_word()
-    starts = word_starts(c, STARTS)
-    return np.concatenate([row, *(row[i] for i, _ in starts)]), np.concatenate([hashed(c.hashes(), BITS), *(hashed(h, BITS) for _, h in starts)])
+def _pairs(c: words.Chunk, only: np.ndarray | None = None) -> np.ndarray:
+    """row << BITS | feature of each word and beginning, once; only: of the words that it marks."""
+    row, starts = c.row_of_word(), word_starts(c, STARTS)
+    row, feature = np.concatenate([row, *(row[i] for i, _ in starts)]), np.concatenate([hashed(c.hashes(), BITS), *(hashed(h, BITS) for _, h in starts)])
+    if only is not None:
+        marked = np.concatenate([only, *(only[i] for i, _ in starts)])
+        row, feature = row[marked], feature[marked]
+    return np.unique(row << BITS | feature)
+
+
+def _lists(pairs: np.ndarray, rows: int) -> pa.Array:
+    """The features of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs >> BITS, np.arange(rows + 1)).astype(np.int32)), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
 
 
 def _sampled(batches):
@@ -67,23 +76,20 @@ def _sampled(batches):
     other = [own[list(swaps).index(b)] for b in swaps.values()]
     order = np.argsort(term)
     for batch in batches:
-        features, gone, come = [], [], []
+        out = [[], [], []]
         for c in words.chunks(batch.column(0), words.alnum_table(), lower=True):
-            row, feature = _pairs(c)
-            pair = np.unique(row << BITS | feature)
-            cuts = np.searchsorted(pair >> BITS, np.arange(len(c) + 1))
+            features = _pairs(c)
             h = c.hashes()
             at = np.minimum(np.searchsorted(term[order], h), len(term) - 1)
-            named = np.flatnonzero(term[order][at] == h)
-            of_row: dict[int, set[int]] = {}
-            for r, t in zip(c.row_of_word()[named].tolist(), order[at[named]].tolist(), strict=True):
-                of_row.setdefault(r, set()).add(t)
-            for i in range(len(c)):
-                features.append((pair[cuts[i] : cuts[i + 1]] & ((1 << BITS) - 1)).astype(np.int32))
-                terms = of_row.get(i, ())
-                gone.append(np.unique(np.concatenate([own[t] for t in terms])).astype(np.int32) if terms else np.zeros(0, np.int32))
-                come.append(np.unique(np.concatenate([other[t] for t in terms])).astype(np.int32) if terms else np.zeros(0, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in (features, gone, come))], names=["label", "features", "gone", "come"])
+            named = term[order][at] == h
+            row = c.row_of_word()
+            # The text with its names swapped: the other words' features, and those of the names put in.
+            put_in = [np.int64(r) << BITS | other[t] for r, t in set(zip(row[named].tolist(), order[at[named]].tolist(), strict=True))]
+            swapped = np.unique(np.concatenate([_pairs(c, ~named), *put_in])) if named.any() else features
+            for held, pairs in zip(out, (features, np.setdiff1d(features, swapped, True), np.setdiff1d(swapped, features, True)), strict=True):
+                held.append(_lists(pairs, len(c)))
+        none = pa.array([], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.concat_arrays(x) if x else none for x in out)], names=["label", "features", "gone", "come"])
 
 
 class Model:
@@ -93,12 +99,42 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def scores(self, c: words.Chunk) -> np.ndarray:
-        row, feature = _pairs(c)
-        live = self.weights[feature] != 0
-        pair = np.unique(row[live] << BITS | feature[live])
+        pair = _pairs(c)
         return sigmoid(self.bias + np.bincount(pair >> BITS, self.weights[pair & ((1 << BITS) - 1)], len(c)))
 
 
+class Objective:
+    """Mean logistic loss + ridge + penalty * mean squared change of the scores of swapped texts, and its gradient.
+
+    features, gone and come are (row, number of the chosen feature) of every text.
+    """
+
+    def __init__(self, y, features, gone, come, size: int, penalty: float):
+        self.y, self.size, self.penalty = y, size, penalty
+        self.row, self.col = features
+        swapped = np.unique(np.concatenate([gone[0], come[0]]))
+        self.swapped = swapped
+        self.gone, self.come = ((np.searchsorted(swapped, r), c) for r, c in (gone, come))
+
+    def __call__(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        n = len(self.y)
+        f = b + np.bincount(self.row, w[self.col], n)
+        p = sigmoid(f)
+        value = float(np.mean(np.logaddexp(0, f) - self.y * f) + RIDGE / 2 * (w @ w))
+        g = (p - self.y) / n
+        gw = RIDGE * w
+        m = len(self.swapped)
+        if m:
+            after = f[self.swapped] - np.bincount(self.gone[0], w[self.gone[1]], m) + np.bincount(self.come[0], w[self.come[1]], m)
+            p1, p2 = p[self.swapped], sigmoid(after)
+            value += self.penalty * float(np.mean((p1 - p2) ** 2))
+            d = 2 * self.penalty * (p1 - p2) / m
+            back = d * p2 * (1 - p2)
+            g[self.swapped] += d * p1 * (1 - p1) - back
+            gw = gw + np.bincount(self.gone[1], back[self.gone[0]], self.size) - np.bincount(self.come[1], back[self.come[0]], self.size)
+        return value, gw + np.bincount(self.col, g[self.row], self.size), float(g.sum())
+
+
 def fit(label: np.ndarray, chosen: np.ndarray, features: list, gone: list, come: list, penalty: float = PENALTY, rounds: int = 300) -> Model:
     """Logistic loss + ridge + penalty * squared change of the scores of swapped texts.
 
@@ -115,29 +151,13 @@ def fit(label: np.ndarray, chosen: np.ndarray, features: list, gone: list, come:
         r = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         return r, np.searchsorted(chosen, np.concatenate([*lists, np.zeros(0, np.int32)]))
 
-    row, col = matrix(features)
-    swapped = [i for i in range(n) if len(gone[i]) or len(come[i])]
-    held = [set(features[i].tolist()) for i in swapped]
-    minus = matrix([np.array([f for f in gone[i] if f in h], np.int32) for i, h in zip(swapped, held, strict=True)])
-    plus = matrix([np.array([f for f in come[i] if f not in h or f in set(gone[i].tolist())], np.int32) for i, h in zip(swapped, held, strict=True)])
-    swapped = np.array(swapped, np.int64)
+    loss = Objective(y, matrix(features), matrix(gone), matrix(come), len(chosen), penalty)
     w, b = np.zeros(len(chosen)), bias
     step, step_b = Adam(len(chosen), 0.05), Adam((), 0.05)
     for _ in range(rounds):
-        f = b + np.bincount(row, w[col], n)
-        p = sigmoid(f)
-        g = (p - y) / n
-        gw = np.zeros(len(w))
-        if len(swapped):
-            f2 = f[swapped] - np.bincount(minus[0], w[minus[1]], len(swapped)) + np.bincount(plus[0], w[plus[1]], len(swapped))
-            p1, p2 = p[swapped], sigmoid(f2)
-            d = 2 * penalty * (p1 - p2) / len(swapped)
-            back = d * p2 * (1 - p2)
-            g[swapped] += d * p1 * (1 - p1) - back
-            gw += np.bincount(minus[1], back[minus[0]], len(w)) - np.bincount(plus[1], back[plus[0]], len(w))
-        gw += np.bincount(col, g[row], len(w)) + 1e-4 * w
+        _, gw, gb = loss(w, b)
         w += step.step(gw)
-        b += float(step_b.step(np.array(g.sum())))
+        b += float(step_b.step(np.array(gb)))
     weights[chosen] = w
     weights[np.abs(weights) < 1e-3] = 0
     return Model(weights, b)
@@ -149,11 +169,12 @@ def fold(doc_id, parts: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, sample: int) -> DataFrame:
-    """(text, label) of at most ``sample`` labelled rows outside the held-out fold, in the order of a hash of their ids."""
+    """(text, label) of at most ``sample`` labelled rows outside the held-out fold, in the order of a hash of their ids; repeated ids are one row."""
     known = labels.filter(F.col(label).isNotNull() & (fold(F.col("doc_id"), parts) != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    # At most `sample` ids: a bounded side to send to the tasks.
+    # At most `sample` ids: a bounded side to send to the tasks; and one text, the least, of each id.
     chosen = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("x")).select("x.text", "x.label")
 
 
 def telling_features(rows: DataFrame, kept: int = FEATURES) -> np.ndarray:
