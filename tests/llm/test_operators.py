@@ -145,12 +145,6 @@ def test_repeated_spans(docs, empty, rows):
     assert substring.remove_repeats(empty).count() == 0
 
 
-def test_rows_of_one_id_are_one_document(spark):
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (None, "x"), (None, "x"), (2, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.text) for r in substring.one_row_per_id(df).collect()} == {(1, "a"), (None, "x"), (2, None)}
-    assert {r.doc_id for r in line_dedup.line_dedup(df).collect()} == {1, 2, None}
-
-
 def test_rows_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
     rng = random.Random(4)
     long = [_prose(rng, 40) for _ in range(6)]
@@ -470,3 +464,118 @@ def test_stages_of_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def _unlike_words():
+    """Two words of 1,024 letters that polynomial hashes modulo a power of two take for one."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+
+
+def test_different_long_words_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    a, b = _unlike_words()
+    nineteen = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, a, "s"), (2, b, "s"), (3, f"{a}\n{b}", "s"), (4, f"{nineteen} {a}", "s"), (5, f"{nineteen} {b}", "s")], "doc_id long, text string, source string").coalesce(1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    whole = Tokenizer.from_file(tokens.default_path())
+    ids = {i: [*whole.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    got = defaultdict(list)
+    for r in pack.pack(docs, with_ids=True).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += r.ids
+    assert got == ids
+    assert {r.length: r.documents for r in token_counts.histogram(docs).collect()} == Counter(len(x) - 1 for x in ids.values())
+    assert {r.n_dup_lines for r in quality_rules.verdicts(docs).collect()} == {0}
+    assert {r.n_removed for r in substring.remove_repeats(docs).collect()} == {0}
+    assert {r.n_removed for r in line_dedup.line_dedup(docs).filter("doc_id < 4").collect()} == {0, 2}
+
+
+def test_a_span_is_cut_only_where_the_source_has_its_words():
+    import pyarrow as pa
+
+    ws = [f"w{i}".encode() for i in range(30)]
+    run = 3 << substring._BITS | 2
+    right, wrong = substring._words_digest(ws, run, 20), substring._words_digest(ws[1:], run, 20)
+    text = b" ".join(ws).decode()
+    kind = pa.list_(pa.struct([("run", pa.int64()), ("digest", pa.binary())]))
+    spans = pa.array([[{"run": run, "digest": right}], [{"run": run, "digest": wrong}], None], kind)
+    (out,) = substring._cut(20, False)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text] * 3), spans], names=["doc_id", "text", "x"])]))
+    assert out.column("n_removed").to_pylist() == [21, 0, 0]
+
+
+def _slope(loss, w, b, k, h=1e-6):
+    up, down = w.copy(), w.copy()
+    up[k] += h
+    down[k] -= h
+    return (loss(up, b)[0] - loss(down, b)[0]) / (2 * h), (loss(w, b + h)[0] - loss(w, b - h)[0]) / (2 * h)
+
+
+def test_gradient_of_the_counterfactual_loss():
+    rng = np.random.default_rng(2)
+    pairs = lambda n: (rng.integers(0, 12, n), rng.integers(0, 7, n))
+    loss = toxicity.Objective(rng.integers(0, 2, 12), pairs(40), pairs(6), pairs(6), 7, 3.0)
+    w, b = rng.normal(size=7), 0.3
+    _, gw, gb = loss(w, b)
+    for k in range(7):
+        of_w, of_b = _slope(loss, w, b, k)
+        assert abs(of_w - gw[k]) < 1e-6 and abs(of_b - gb) < 1e-6
+
+
+@pytest.mark.parametrize("pi", [0.2, 0.9])
+def test_gradient_of_the_non_negative_risk(pi):
+    rng = np.random.default_rng(3)
+    k = len(quality_pu.MEASURES)
+    design = quality_pu._Design(rng.normal(1, 1, (80, k)), rng.normal(0, 1, (120, k)))
+
+    def loss(w, b):
+        fp, fu = w[design.p].sum(1) + b, w[design.u].sum(1) + b
+        bad = np.logaddexp(0, fu).mean() - pi * np.logaddexp(0, fp).mean()
+        # Below zero the step goes back up along the bad part.
+        return (-bad if bad < 0 else pi * np.logaddexp(0, -fp).mean() + bad), None, None
+
+    w, b = rng.normal(0, 0.1, design.size), 0.2
+    gw, gb = design.risk(pi)(w, b)
+    for j in rng.integers(0, design.size, 12):
+        of_w, of_b = _slope(loss, w, b, j)
+        assert abs(of_w - gw[j]) < 1e-6 and abs(of_b - gb) < 1e-6
+
+
+def test_labelled_rows_are_bounded_though_ids_repeat(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in toxicity.labelled_sample(docs, labels, "toxic", 5, -1, 5).collect()] == [("text 0", 1)]
+
+
+def test_a_document_of_many_lines(spark):
+    import time
+
+    lines = [f"{i} {i + 1} {i * 7} x{i} y{i}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, "\n".join([*lines, "", *lines[:50]]))], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = line_dedup.line_dedup(df).collect()
+    assert (row.n_lines, row.n_removed) == (100_051, 50) and row.text == "\n".join([*lines, ""])
+    assert time.perf_counter() - began < 60
+
+
+def test_stages_take_any_column_name(spark, tmp_path):
+    names = ["a b", "a.b", "a`b", "a:b", "a-b", "text_left", "row", "doc", "x"]
+    text = "\n".join(" ".join(f"word{k}of{j}" for k in range(30)) for j in range(3))
+    spark.createDataFrame([(1, "some other words")], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, text, "s", 3, *names), (2, text[:-9], "s", 3, *names)], ["doc_id", "text", "source", "n_chars", *names])
+    for title, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {tuple(r[4:]) for r in got.collect()} == {tuple(names)}, title
+
+
+def test_a_cut_archive_is_told(tmp_path):
+    import gzip
+
+    record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    whole = gzip.compress(record * 2)
+    read = lambda data: list(warc.RecordReader(warc.inflated(__import__("io").BytesIO(data))))
+    assert len(read(whole)) == 2 and len(read(whole + whole)) == 4
+    with pytest.raises(ValueError, match="does not end"):
+        read(whole[:-9])
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.RecordReader(iter([b"WARC/1.1\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"])))

@@ -158,9 +158,10 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_id
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:
+    """pack of documents; nulls, repeats and long texts: as pack has them.  An empty table gives no rows."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences, with their ids."""
+    """The pieces of the sequences, with their ids; every row is packed, as pack says."""
     return pack(docs, with_ids=True)

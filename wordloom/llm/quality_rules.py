@@ -155,12 +155,13 @@ def _without(text, frequent):
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """verdicts of documents; nulls and repeats: as verdicts has them.  An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return verdicts(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, without their host's frequent lines."""
+    """The documents that the rules keep, without their host's frequent lines; a null text fails them."""
     kept = verdicts(docs).filter("kept")
     new = {"text": F.col("text_left"), "n_chars": F.length("text_left").cast("long")}
     return kept.select(*from_row(docs, new))

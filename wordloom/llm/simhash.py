@@ -254,6 +254,7 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """groups of documents; nulls, repeats and empty texts: as groups has them.  An empty table gives no rows."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

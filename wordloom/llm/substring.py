@@ -7,15 +7,18 @@ shuffle would move each word of the corpus many times, so edges are handled in p
     edges around one place of an anchor follow each other, and are one short path; its
     digest covers all words of the path.  Where all places of an anchor have one digest,
     the path does not branch: its edges have the same places, and all but the first
-    place (by doc_id and word) are repeats.  Nothing else has to be known of them.
+    place (by doc_id and word) are repeats of it.
 2.  Where the digests of an anchor differ, the graph branches there.  Places with one
     digest are compacted to the first of them; that one's edges are joined with the
     texts by their source coordinates and compared edge by edge.
-3.  Repeats, as runs of word positions, are joined with the texts again and cut out.
+3.  Every repeat knows the place that it repeats.  Neighbours that repeat neighbours are
+    compacted to one long span with one pair of coordinates.
+4.  Spans are verified: the source text is read at its coordinates, and its words there
+    are compared, by their SHA-256, with those of the repeat when that is cut out.
 
 Before each shuffle a task joins what it knows to be alike, so that a passage that many
 documents share arrives as one row for each task and not one for each place.  Digests
-have 128 bits, and edges of compared places are computed from the source texts.
+have 128 bits, from two independent hashes of the words' bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .components import stored
+from .components import forget, stored
 
 WINDOW = 20
 #: Words of an anchor; a longer one is rarer by chance, a shorter one gives longer paths.
@@ -43,6 +46,7 @@ _NULL_ID = -(2**63)
 #: in a task, with and without others that differ from it there.
 REPEAT, BRANCH, FORK, SINGLE = 0, 1, 2, 3
 _BITS = 20  # of the length of a run in a packed position
+_MOST = (1 << _BITS) - 1
 
 
 def _prefix(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,32 +108,33 @@ def _alike(key: np.ndarray, other: np.ndarray, doc: np.ndarray, at: np.ndarray):
     return order, new_key, new_key | np.concatenate([[True], other[1:] != other[:-1]])
 
 
-def _salt(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return words.mix(doc.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + at.astype(_U))
-
-
 def _place(at: np.ndarray, size: np.ndarray, kind) -> np.ndarray:
     """Position, length and kind of a run in one number."""
-    return ((at.astype(np.int64) << _BITS | np.minimum(size, (1 << _BITS) - 1)) << 2) | kind
+    return ((at.astype(np.int64) << _BITS | np.minimum(size, _MOST)) << 2) | kind
 
 
-def _runs(doc: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs that follow each other in a document, joined."""
+def _runs(doc: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs that follow each other in a document, and whose sources (document ``of``, position ``source``) do, joined."""
     if not len(doc):
-        return doc, at, size
+        return doc, at, size, of, source
     order = np.lexsort((at, doc))
-    doc, at, size = doc[order], at[order], size[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > (at + size)[:-1])]))
-    total = np.maximum.reduceat(at + size, cut) - at[cut]
-    most = (1 << _BITS) - 1
-    if (total > most).any():  # a longer run is several
-        return doc, at, size
-    return doc[cut], at[cut], total
+    doc, at, size, of, source = (x[order] for x in (doc, at, size, of, source))
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != (at + size)[:-1]) | (of[1:] != of[:-1]) | (source[1:] - at[1:] != source[:-1] - at[:-1])]))
+    total = np.add.reduceat(size, cut)
+    if (total > _MOST).any():  # a longer run is several
+        return doc, at, size, of, source
+    return doc[cut], at[cut], total, of[cut], source[cut]
+
 
+def _repeats(doc, at, size, of, source) -> dict[str, np.ndarray]:
+    """Rows of repeats: the source's document as the digest, its position as a key that differs from document to document."""
+    doc, at, size, of, source = _runs(doc, at, size, of, source)
+    return {"key": (source + (doc << 32)).view(_U), "digest": of.view(_U), "doc": doc, "place": _place(at, size, REPEAT)}
 
-def _repeats(doc, at, size) -> dict[str, np.ndarray]:
-    doc, at, size = _runs(doc, at, size)
-    return {"key": _salt(doc, at), "digest": np.zeros(len(doc), _U), "doc": doc, "place": _place(at, size, REPEAT)}
+
+def _firsts(new: np.ndarray) -> np.ndarray:
+    """For each row, the row where its group begins; new marks these."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
 def _node_rows(key, digest, doc, at, size) -> list[dict[str, np.ndarray]]:
@@ -138,11 +143,11 @@ def _node_rows(key, digest, doc, at, size) -> list[dict[str, np.ndarray]]:
     key, digest, doc, at, size = key[order], digest[order], doc[order], at[order], size[order]
     paths = np.add.reduceat(new_path.astype(np.int64), np.flatnonzero(new_key))  # different ones of each anchor
     forked = np.repeat(paths > 1, np.diff(np.append(np.flatnonzero(new_key), len(key))))
-    one, branch, rest = new_key, new_path & ~new_key, ~new_path
+    one, branch, rest, first = new_key, new_path & ~new_key, ~new_path, _firsts(new_path)
     return [
         {"key": key[one], "digest": digest[one], "doc": doc[one], "place": _place(at[one], size[one], np.where(forked[one], FORK, SINGLE))},
-        {"key": _salt(doc[branch], at[branch]), "digest": np.zeros(int(branch.sum()), _U), "doc": doc[branch], "place": _place(at[branch], size[branch], BRANCH)},
-        _repeats(doc[rest], at[rest], size[rest]),
+        {"key": (at[branch] + (doc[branch] << 32)).view(_U), "digest": np.zeros(int(branch.sum()), _U), "doc": doc[branch], "place": _place(at[branch], size[branch], BRANCH)},
+        _repeats(doc[rest], at[rest], size[rest], doc[first[rest]], at[first[rest]]),
     ]
 
 
@@ -182,11 +187,11 @@ def _whole_keys(batches):
 
 
 def _compact(batches):
-    """Repeats and branching paths, from the places of each anchor."""
+    """Repeats with their sources, and branching paths, from the places of each anchor."""
     for key, digest, doc, place in _whole_keys(batches):
         kind, run = place & 3, place >> 2
         known = kind <= BRANCH
-        out = [(doc[known], run[known], kind[known])]
+        out = [(doc[known], run[known], kind[known], digest[known], key[known] - (doc[known] << 32))]
         live = ~known
         if live.any():
             key, digest, doc, run, kind = key[live], digest[live], doc[live], run[live], kind[live]
@@ -196,9 +201,11 @@ def _compact(batches):
             size = np.diff(np.append(begins, len(doc)))
             forked = (np.add.reduceat(new_path.astype(np.int64), begins) > 1) | (np.add.reduceat((kind == FORK).astype(np.int64), begins) > 0)
             branch = new_path & np.repeat(forked, size)
-            out += [(doc[~new_path], run[~new_path], np.full(int((~new_path).sum()), REPEAT)), (doc[branch], run[branch], np.full(int(branch.sum()), BRANCH))]
-        doc, run, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield _batch({"doc": doc, "run": run, "kind": kind.astype(np.int64)})
+            rest, first = ~new_path, _firsts(new_path)
+            of, source = doc[first], run[first] >> _BITS
+            out += [(doc[rest], run[rest], np.full(int(rest.sum()), REPEAT), of[rest], source[rest]), (doc[branch], run[branch], np.full(int(branch.sum()), BRANCH), of[branch], source[branch])]
+        doc, run, kind, of, source = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield _batch({"doc": doc, "run": run, "kind": kind.astype(np.int64), "of": of, "source": source})
 
 
 def _edges(k: int):
@@ -210,8 +217,8 @@ def _edges(k: int):
         def send():
             key, digest, doc, at = map(np.concatenate, zip(*held, strict=True))
             order, _, new = _alike(key, digest, doc, at)
-            one, rest = order[new], order[~new]
-            return [{"key": key[one], "digest": digest[one], "doc": doc[one], "place": _place(at[one], np.ones(len(one), np.int64), SINGLE)}, _repeats(doc[rest], at[rest], np.ones(len(rest), np.int64))]
+            one, rest, first = order[new], order[~new], order[_firsts(new)][~new]
+            return [{"key": key[one], "digest": digest[one], "doc": doc[one], "place": _place(at[one], np.ones(len(one), np.int64), SINGLE)}, _repeats(doc[rest], at[rest], np.ones(len(rest), np.int64), doc[first], at[first])]
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -238,52 +245,87 @@ def _edges(k: int):
 
 
 def _later_edges(batches):
-    """Repeats: all places of an edge but the first."""
+    """Repeats with their sources: all places of an edge but the first."""
     for key, digest, doc, place in _whole_keys(batches):
         kind, run = place & 3, place >> 2
         known = kind == REPEAT
-        out = [(doc[known], run[known])]
+        out = [(doc[known], run[known], digest[known], key[known] - (doc[known] << 32))]
         if not known.all():
             live = ~known
             key, digest, doc, run = key[live], digest[live], doc[live], run[live]
             order, _, new = _alike(key, digest, doc, run)
-            out.append((doc[order[~new]], run[order[~new]]))
-        doc, run = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield _batch({"doc": doc, "run": run})
+            rest, first = order[~new], order[_firsts(new)][~new]
+            out.append((doc[rest], run[rest], doc[first], run[first] >> _BITS))
+        doc, run, of, source = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield _batch({"doc": doc, "run": run, "of": of, "source": source})
+
+
+def _spans(batches):
+    """Long spans of each document (doc, repeats as lists of run, of and source)."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets = np.asarray(lists.offsets)
+        run, of, source = (lists.values.field(k).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for k in ("run", "of", "source"))
+        doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
+        doc, at, size, of, source = _runs(doc, run >> _BITS, run & _MOST, of, source)
+        yield _batch({"doc": doc, "run": at << _BITS | size, "of": of, "source": source << _BITS | size})
+
+
+def _words_digest(ws: list[bytes], run: int, k: int) -> bytes:
+    """SHA-256 of the words that the edges of a run cover."""
+    at = run >> _BITS
+    return hashlib.sha256(b" ".join(ws[at : at + (run & _MOST) + k - 1])).digest()
+
+
+def _sources(k: int):
+    """Digests of the words at the wanted runs of each text."""
+
+    def read(batches):
+        for batch in batches:
+            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ws = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                digest = [_words_digest(ws, run, k) for run in runs]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(runs), pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.binary())], names=["of", "source", "digest"])
+
+    return _joined(read)
+
+
+def _joined(read):
+    """read with its small batches put together."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in read(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return run
 
 
 def _cut(k: int, with_text: bool):
     def cut(batches):
         for batch in batches:
-            runs = batch.column(2)
             counted, removed, digests, texts = [], [], [], []
-            offsets = np.asarray(runs.offsets)
-            values = runs.values.to_numpy(zero_copy_only=False)
-            valid = runs.is_valid().to_numpy(zero_copy_only=False)
-            for c in words.chunks(batch.column(1), words.space_split_table()):
-                n = len(c.start)
-                sizes = np.where(valid[c.at : c.at + len(c)], np.diff(offsets[c.at : c.at + len(c) + 1]), 0)
-                lows = offsets[c.at : c.at + len(c)]
-                run = values[np.repeat(lows - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-                start = (run >> _BITS) + np.repeat(c.first[:-1], sizes)
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, start, 1)
-                np.add.at(step, start + (run & ((1 << _BITS) - 1)) + k - 1, -1)
-                gone = np.cumsum(step)[:-1] > 0
-                lost = words.row_sums(gone, c.first)
-                counted.append(c.counts)
+            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ws = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                keep = bytearray(b"\1") * len(ws)
+                for run, digest in ((x["run"], x["digest"]) for x in spans or ()):
+                    if _words_digest(ws, run, k) == digest:  # the source's words
+                        at, to = run >> _BITS, (run >> _BITS) + (run & _MOST) + k - 1
+                        keep[at:to] = bytes(to - at)
+                lost = len(ws) - sum(keep)
+                left = b" ".join(itertools.compress(ws, keep) if lost else ws)
+                counted.append(len(ws))
                 removed.append(lost)
-                keep = (~gone).tobytes()
-                for i in range(len(c)):
-                    ws = c.text(i).split()
-                    if lost[i]:
-                        ws = itertools.compress(ws, keep[c.first[i] : c.first[i + 1]])
-                    text = b" ".join(ws)
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    if with_text:
-                        texts.append(text.decode("utf-8", "replace"))
-            none = [np.zeros(0, np.int64)]
-            out = {"doc_id": batch.column(0), "n_words": pa.array(np.concatenate(counted or none)), "n_removed": pa.array(np.concatenate(removed or none)), "kept_sha256": pa.array(digests, pa.string())}
+                digests.append(hashlib.sha256(left).hexdigest())
+                if with_text:
+                    texts.append(left.decode("utf-8", "replace"))
+            out = {"doc_id": batch.column(0), "n_words": pa.array(counted, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
             if with_text:
                 out["kept_text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
@@ -291,13 +333,6 @@ def _cut(k: int, with_text: bool):
     return cut
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text), one row for each id: rows that share an id are one document, with the smallest text that is not null."""
-    docs = docs.select("doc_id", "text")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text")) if again else docs
-
-
 def numbered(docs: DataFrame, dense: bool = False) -> DataFrame:
     """docs (doc_id, text and others) with doc, a number of each row of its own in order of doc_id, null first.
 
@@ -329,14 +364,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = "key long, digest long, doc long, place long"
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
-    found = by_key(texts.select("doc", "text").mapInArrow(_nodes(window, anchor), rows)).mapInArrow(_compact, "doc long, run long, kind long")
+    repeat = "doc long, run long, of long, source long"
+    found = stored(by_key(texts.select("doc", "text").mapInArrow(_nodes(window, anchor), rows)).mapInArrow(_compact, "doc long, run long, kind long, of long, source long"), "paths")
     branching = found.filter(F.col("kind") == BRANCH).groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    # Both joins with the texts read all columns, so that they read one shuffle.
-    edges = by_key(texts.join(branching, "doc").select("doc", "text", "runs", "doc_id").mapInArrow(_edges(window), rows)).mapInArrow(_later_edges, "doc long, run long")
-    repeats = found.filter(F.col("kind") == REPEAT).select("doc", "run").unionByName(edges).groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    edges = by_key(texts.join(branching, "doc").select("doc", "text", "runs").mapInArrow(_edges(window), rows)).mapInArrow(_later_edges, repeat)
+    repeats = found.filter(F.col("kind") == REPEAT).select("doc", "run", "of", "source").unionByName(edges)
+    each = repeats.groupBy("doc").agg(F.collect_list(F.struct("run", "of", "source")).alias("r"))
+    spans = stored(each.mapInArrow(_spans, repeat), "spans")
+    forget(found)
+    # The words at the sources, once for each different one, go to the spans.  Both joins with the texts read one shuffle.
+    wanted = spans.select("of", "source").distinct().groupBy(F.col("of").alias("doc")).agg(F.collect_list("source").alias("x"))
+    at_source = texts.join(wanted, "doc").select("doc", "text", "x", "doc_id").mapInArrow(_sources(window), "of long, source long, digest binary")
+    known = spans.join(at_source, ["of", "source"]).groupBy("doc").agg(F.collect_list(F.struct("run", "digest")).alias("x"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.join(repeats, "doc", "left").select("doc_id", "text", "runs", "doc").mapInArrow(_cut(window, with_text), kind)
+    return texts.join(known, "doc", "left").select("doc_id", "text", "x", "doc").mapInArrow(_cut(window, with_text), kind)
 
 
 def op3_substring(spark, sf_dir: str) -> DataFrame:
+    """remove_repeats of documents, which says how nulls, repeated rows and empty tables are taken."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -130,16 +130,19 @@ def _archives(uri: str):
 
 
 def inflated(file) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members."""
-    unpack = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members; a member that does not end is an error."""
+    unpack, begun = zlib.decompressobj(31), False
     while data := file.read(BLOCK):
         while data:
+            begun = True
             out = unpack.decompress(data, BLOCK)
             if out:
                 yield out
             data = unpack.unconsumed_tail
             if unpack.eof:
-                data, unpack = unpack.unused_data, zlib.decompressobj(31)
+                data, unpack, begun = unpack.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("a gzip stream does not end")
 
 
 class RecordReader:
@@ -164,6 +167,8 @@ class RecordReader:
                         raise ValueError("a record's headers do not end")
                     return
             headers = parse_headers(bytes(self.held[:at]))
+            if not headers.get("content-length", "").isdigit():
+                raise ValueError("a record has no Content-Length")
             size = at + 4 + int(headers["content-length"]) + 4
             while len(self.held) < size:
                 if not self._fill():
@@ -292,6 +297,10 @@ def read_archives(index: DataFrame, uri: str) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """Pages written to archives of one gzip stream each, normalised, and read back by the index.
+
+    Nulls, repeats and ties: as with_revisits has them.  An empty table gives no rows.
+    """
     folder = shared_folder(spark, "warc")
     whole, records = f"{folder}/whole", f"{folder}/records"
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole)
