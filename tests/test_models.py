@@ -174,3 +174,86 @@ def test_vector_files(spark, tmp_path, binary):
     assert [(r.word, r.word_id, list(r.vec)) for r in files.read_vectors(spark, path, binary).orderBy("word_id").collect()] == rows
     with pytest.raises(FileExistsError):
         files.write_vectors(df, path, binary)
+
+
+def _plain_step(params, tree, noise, inputs, slot, target, shift, alpha, drawn, summed):
+    """The gradient step term by term, all terms at the parameters as they were."""
+    new = {k: v.astype(float).copy() for k, v in params.items()}
+    old = {k: v.astype(float) for k, v in params.items()}
+    groups = [[i for i in range(len(inputs)) if slot[i] == s] for s in range(len(target))]
+    examples = [(s, g) for s, g in enumerate(groups)] if summed else [(s, [i]) for s, g in enumerate(groups) for i in g]
+    for s, own in examples:
+        h = sum(old["in"][inputs[i]] for i in own)
+        error = np.zeros(h.shape)
+        terms = [("hs", tree.node[k] + shift[s], 1 - tree.code[k]) for k in range(tree.first[target[s]], tree.first[target[s] + 1])]
+        terms += [("ns", target[s] + shift[s], 1.0), *(("ns", w + shift[s], 0.0) for w in drawn[s] if w != target[s])] if drawn is not None else []
+        for name, row, label in terms:
+            f = h @ old[name][row]
+            if name == "hs" and abs(f) >= 6:
+                continue
+            g = (label - 1 / (1 + np.exp(-f))) * alpha
+            error += g * old[name][row]
+            new[name][row] += g * h
+        for i in own:
+            new["in"][inputs[i]] += error
+    return new
+
+
+@pytest.mark.parametrize("summed", [False, True])
+@pytest.mark.parametrize("negative", [0, 3])
+def test_a_step_is_that_of_a_plain_loop(summed, negative):
+    from wordloom.functions import kernels
+
+    rng = np.random.default_rng(5)
+    vocab, dim = 7, 4
+    tree, noise = kernels.Tree([9, 7, 5, 4, 3, 2, 1]), np.cumsum(np.full(vocab, 1 / vocab))
+    params = {"in": rng.normal(0, 1, (2 * vocab, dim)), "hs": rng.normal(0, 2, (2 * vocab, dim)), "ns": rng.normal(0, 1, (2 * vocab, dim))}
+    params = {k: v.astype(np.float32) for k, v in params.items()}
+    slot, target, shift = np.repeat(np.arange(5), [1, 3, 2, 4, 2]), rng.integers(0, vocab, 5), np.array([0, 0, vocab, 0, vocab])
+    inputs = rng.integers(0, 2 * vocab, len(slot))
+    drawn = np.minimum(np.searchsorted(noise, np.random.default_rng(9).random((5, negative))), vocab - 1) if negative else None
+    want = _plain_step(params, tree, noise, inputs, slot, target, shift, 0.1, drawn, summed)
+    kernels.step(params, tree, noise, inputs, slot, target, shift, 0.1, negative, np.random.default_rng(9), summed)
+    for name in params:
+        assert np.allclose(params[name], want[name], atol=1e-4), name
+
+
+def test_one_sided_examples():
+    t = train.Training(window=2)
+    ids = np.array([3, 1, 4, 0])
+    for kind, before in (("left", True), ("right", False)):
+        inputs, slot, target, _ = train.examples(ids, kind, 5, t, np.random.default_rng(1))
+        at = {int(w): i for i, w in enumerate(ids)}
+        assert len(inputs) and all((at[int(a)] < at[int(target[s])]) == before for a, s in zip(inputs, slot, strict=True))
+
+
+def test_random_sets_have_no_repeats():
+    from wordloom.operators import gsea
+
+    for n, size in ((1000, 5), (30, 10), (10, 9)):
+        sets = gsea.random_sets(np.random.default_rng(1), n, size, 400)
+        assert sets.shape == (400, size) and (np.diff(sets, axis=1) > 0).all() and sets.min() >= 0 and sets.max() < n
+        assert abs(sets.mean() - (n - 1) / 2) < n / 20
+
+
+def test_headers_in_blocks_give_the_same_cosines(spark, monkeypatch):
+    from wordloom.operators import vectors
+
+    rng = np.random.default_rng(4)
+    models = spark.createDataFrame([(m, f"w{i}", rng.normal(size=3).tolist()) for m in "ab" for i in range(12)], "model string, word string, vec array<double>")
+    heads = vectors.words_table(spark, [f"w{i}" for i in range(7)])
+    want = sorted(map(tuple, vectors.cosines(models, heads).collect()))
+    monkeypatch.setattr(vectors, "HEADERS", 3)
+    assert sorted(map(tuple, vectors.cosines(models, heads).collect())) == want and len(want) == 2 * 12 * 7
+
+
+def test_missing_cells_are_dropped_or_filled(spark):
+    from wordloom.operators import enrich, vectors
+
+    cells = [("m0", w, [1.0, float(i)]) for i, w in enumerate("hxyz")] + [("m1", w, [2.0, float(i)]) for i, w in enumerate("hxy")] + [("m2", w, [1.0, 1.0 + i]) for i, w in enumerate("hx")]
+    models = spark.createDataFrame(cells, "model string, word string, vec array<double>")
+    sims = enrich.similarity(models, models, vectors.words_table(spark, ["h"]))
+    kept = enrich.filtered(sims)
+    assert {r.word for r in kept.collect()} == {"h", "x", "y"}  # z lacks two cells
+    filled = {(r.word, r.model): r.cos for r in enrich.imputed(kept).collect()}
+    assert filled["y", "m2"] == pytest.approx((filled["y", "m0"] + filled["y", "m1"]) / 2)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gsea import SetTest, set_test
-from .lineage import settled
+from .lineage import sent, settled
 from .vectors import control_sample, cosines, except_set, nearest, union_sets, words_table
 
 
@@ -105,7 +105,7 @@ def wsea(models: DataFrame, sets: DataFrame, headers: list[str], groups: DataFra
 
 def wssa_scores(models: DataFrame, words: DataFrame, headers: DataFrame) -> DataFrame:
     """(model, word, score): the mean cosine of each word with the headers."""
-    near = cosines(models, headers).join(F.broadcast(words.select("word").distinct()), "word", "left_semi")
+    near = cosines(models, headers).join(sent(words.select("word").distinct()), "word", "left_semi")
     return near.groupBy("model", "word").agg(F.avg("cos").alias("score"))
 
 
@@ -116,17 +116,22 @@ def wssa_boot_scores(models: DataFrame, original: str, words: DataFrame, headers
     return sums.filter("own IS NOT NULL AND sd > 0").select("word", (F.col("own") / F.col("sd")).alias("score"))
 
 
+def control_pool(model: DataFrame, own: DataFrame, heads: DataFrame, control_set: DataFrame | None = None, num_controls: int = 5000, seed: int = 1, drop_headers: bool = False) -> DataFrame:
+    """(word): a set's words and its controls; without a control set, so many of the model's other words."""
+    if control_set is None:
+        # Controls are asked for by number; a smaller vocabulary gives all that it has.
+        others = except_set(model, union_sets(own, heads) if drop_headers else own)
+        control_set = control_sample(others, num_controls, seed)
+    return union_sets(own, except_set(control_set, own))
+
+
 def wssa(model: DataFrame, word_set: list[str], headers: list[str], control_set: DataFrame | None = None, boot: DataFrame | None = None, num_controls: int = 5000, seed: int = 1, test: SetTest | None = None, drop_headers: bool = False) -> DataFrame:
     """Significance of a word set in one model (model, word, vec); boot: replicates of it as further models."""
     spark = model.sparkSession
     if not word_set or not headers:
         raise ValueError("a word set and header words are needed")
     own, heads = words_table(spark, word_set), words_table(spark, headers)
-    if control_set is None:
-        # Controls are asked for by number; a smaller vocabulary gives all that it has.
-        others = except_set(model, union_sets(own, heads) if drop_headers else own)
-        control_set = control_sample(others, num_controls, seed)
-    pool = union_sets(own, except_set(control_set, own))
+    pool = control_pool(model, own, heads, control_set, num_controls, seed, drop_headers)
     if boot is None:
         scored = wssa_scores(model, pool, heads).select(F.lit("wssa").alias("contrast"), F.col("word").alias("key"), "score")
     else:

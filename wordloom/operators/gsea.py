@@ -59,11 +59,24 @@ def leading_edge(hits: DataFrame) -> DataFrame:
     return at.filter((up & (F.col("rank") <= F.col("top"))) | (~up & (F.col("rank") >= F.col("bottom")))).select("contrast", "pathway", "key")
 
 
+def random_sets(rng, n: int, size: int, count: int) -> np.ndarray:
+    """count random sets of size of n numbers, each in order.
+
+    Small sets are drawn with repeats and drawn again if they have any, so that memory
+    follows from the sets and not from n; a set of much of n is the start of a shuffle.
+    """
+    if size * size > n:
+        return np.sort(np.stack([rng.permutation(n)[:size] for _ in range(count)]), axis=1)
+    picked = np.sort(rng.integers(0, n, (count, size)), axis=1)
+    while len(again := np.flatnonzero((picked[:, 1:] == picked[:, :-1]).any(1))):
+        picked[again] = np.sort(rng.integers(0, n, (len(again), size)), axis=1)
+    return picked
+
+
 def random_scores(weights: np.ndarray, size: int, count: int, seed: tuple[int, ...]) -> np.ndarray:
     """Enrichment scores of random sets; weights are |score|**p by falling score."""
     rng, n = np.random.default_rng(seed), len(weights)
-    # The smallest of n random numbers are a random set; its members in rank order.
-    picked = np.sort(np.argpartition(rng.random((count, n), dtype=np.float32), size - 1, axis=1)[:, :size], axis=1)
+    picked = random_sets(rng, n, size, count)
     r = weights[picked]
     total = r.sum(1, keepdims=True)
     up = np.cumsum(r, 1) / np.where(total > 0, total, 1)
@@ -80,7 +93,7 @@ def null_scores(scores: DataFrame, sizes: DataFrame, test: SetTest = SetTest(),
     """
     arrays = scores.filter("score IS NOT NULL").groupBy("contrast").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "key"))).alias("x")).select("contrast", F.transform("x", lambda e: F.pow(F.abs(e["s"]), F.lit(test.param))).alias("w"))
     blocks = -(-test.nperm // block)
-    jobs = sizes.distinct().crossJoin(scores.sparkSession.range(blocks).withColumnRenamed("id", "perm_block")).join(F.broadcast(arrays), "contrast").repartition("contrast", "size", "perm_block")
+    jobs = sizes.distinct().crossJoin(scores.sparkSession.range(blocks).withColumnRenamed("id", "perm_block")).join(arrays, "contrast").repartition("contrast", "size", "perm_block")
 
     def run(frames):
         for frame in frames:

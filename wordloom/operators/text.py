@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import words_of
+from .lineage import sent
 from .ranks import number_rows
 
 MIN_COUNT = 5
@@ -66,12 +67,12 @@ def word_total(vocab: DataFrame) -> DataFrame:
 
 def lookup(stream: DataFrame, vocab: DataFrame) -> DataFrame:
     """The stream with word_id, -1 for words that are not in the vocabulary."""
-    return stream.join(vocab.select("word", "word_id"), "word", "left").withColumn("word_id", F.coalesce("word_id", F.lit(-1).cast("long")))
+    return stream.join(sent(vocab.select("word", "word_id")), "word", "left").withColumn("word_id", F.coalesce("word_id", F.lit(-1).cast("long")))
 
 
 def encoded_sentences(stream: DataFrame, vocab: DataFrame, most: int = SENTENCE_WORDS) -> DataFrame:
     """(doc_id, sent_id, chunk, words, ids): known words only, sentences cut after ``most`` of them."""
-    known = stream.join(vocab.select("word", "word_id"), "word")
+    known = stream.join(sent(vocab.select("word", "word_id")), "word")
     whole = known.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "word_id"))).alias("t"))
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / F.lit(most)).cast("int")), lambda i: F.struct(i.alias("chunk"), F.slice("t", i * most + 1, F.lit(most)).alias("t")))
     return whole.select("doc_id", "sent_id", F.explode(cuts).alias("c")).select("doc_id", "sent_id", "c.chunk", F.col("c.t.word").alias("words"), F.col("c.t.word_id").alias("ids"))

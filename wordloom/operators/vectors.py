@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import dot, unit
+from .lineage import sent
+
+#: Header words whose vectors go to all tasks.
+HEADERS = 5_000
 
 
 def words_table(spark, words: list[str]) -> DataFrame:
@@ -18,7 +22,7 @@ def words_table(spark, words: list[str]) -> DataFrame:
 
 def extract(models: DataFrame, words: DataFrame) -> DataFrame:
     """The rows of the words that a model has; others are absent."""
-    return models.join(F.broadcast(words.select("word").distinct()), "word", "left_semi")
+    return models.join(sent(words.select("word").distinct()), "word", "left_semi")
 
 
 def average(models: DataFrame, words: DataFrame) -> DataFrame:
@@ -31,11 +35,20 @@ def average(models: DataFrame, words: DataFrame) -> DataFrame:
 def cosines(models: DataFrame, headers: DataFrame) -> DataFrame:
     """(model, word, header, cos) of every word and every header that a model has both of.
 
-    Vectors are made unit vectors once; headers, a list of the caller's, are sent to the tasks.
+    Vectors are made unit vectors once.  The headers are counted: up to HEADERS of them are
+    sent to the tasks, more meet the words in blocks of that size.
     """
     whole = models.select("model", "word", unit(F.col("vec")).alias("u"))
-    heads = whole.join(F.broadcast(headers.select("word").distinct()), "word", "left_semi").select("model", F.col("word").alias("header"), F.col("u").alias("hu"))
-    return whole.join(F.broadcast(heads), "model").select("model", "word", "header", dot(F.col("u"), F.col("hu")).alias("cos"))
+    names = headers.select("word").distinct()
+    n = names.count()
+    heads = whole.join(F.broadcast(names) if n <= HEADERS else names, "word", "left_semi").select("model", F.col("word").alias("header"), F.col("u").alias("hu"))
+    if n <= HEADERS:
+        met = whole.join(F.broadcast(heads), "model")
+    else:
+        blocks = -(-n // HEADERS)
+        every = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = every.join(heads.withColumn("block", F.pmod(F.xxhash64("header"), F.lit(blocks)).cast("int")), ["model", "block"])
+    return met.select("model", "word", "header", dot(F.col("u"), F.col("hu")).alias("cos"))
 
 
 def nearest(models: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:

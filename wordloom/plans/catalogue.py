@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import WORD, hash_number
 from ..operators import context, enrich, gsea, network, phrases, shrink, text, train, vectors
+from ..operators.lineage import shared_folder
+from ..sources import files
 from . import inputs
 
 _R = 6  # decimals that are compared
@@ -23,7 +25,7 @@ _TOKEN_LINES = f"{_LINES}, token_lines AS (SELECT doc_id, sent_id, regexp_extrac
 _STREAM = f"{_TOKEN_LINES}, stream AS (SELECT doc_id, sent_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, sent_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM token_lines))"
 _VOCAB = f"{_STREAM}, vocab AS (SELECT word, count(*) AS cn FROM stream GROUP BY word HAVING count(*) >= {text.MIN_COUNT})"
 _RANKED = f"{_VOCAB}, ranked AS (SELECT word, cn, row_number() OVER (ORDER BY cn DESC, word) - 1 AS word_id FROM vocab)"
-_CHUNK, _WINDOW = 20, 5  # of the SQL only; the queries have the operators' own text.SENTENCE_WORDS and context.WINDOW
+_CHUNK, _WINDOW = text.SENTENCE_WORDS, context.WINDOW
 
 
 def _token_lines(spark, d):
@@ -94,7 +96,7 @@ def _pairs(spark, d):
 # ---- vectors
 
 _WHOLE = "whole AS (SELECT vec_id, vec_id::VARCHAR AS word, embedding::DOUBLE[] AS vec, label FROM embeddings)"
-_FOUR = f"{_WHOLE}, models AS (SELECT 'm' || k AS model, word, vec[k * 16 + 1 : k * 16 + 16] AS vec FROM whole, range(4) AS r(k) WHERE vec_id % 7 <> k AND NOT (k < 2 AND vec_id % 11 = 0))"
+_FOUR = f"{_WHOLE}, models AS (SELECT 'm' || k AS model, word, vec[k * 16 + 1 : k * 16 + 16] AS vec FROM whole, range(4) AS r(k))"
 _BOOT = f"{_WHOLE}, models AS (SELECT 'boot' || k AS model, word, list_concat(vec[1 : k * 16], vec[k * 16 + 17 : 64]) AS vec FROM whole, range(4) AS r(k) UNION ALL SELECT 'whole', word, vec FROM whole)"
 _HEADS = "heads AS (SELECT unnest(['4', '5']) AS word)"
 
@@ -207,15 +209,39 @@ def _ash(spark, d):
 
 
 def _roundtrip(spark, d):
-    import tempfile
-    import uuid
+    path = f"{shared_folder(spark, 'vectors')}/model.bin"
+    files.write_vectors(inputs.embeddings(spark, d).select("word", F.col("vec_id").alias("word_id"), "vec"), path)
+    return files.read_vectors(spark, path).select("word", "word_id", F.posexplode("vec").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), _R))
 
-    from ..sources import files
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectors-")
-    path = f"{base.rstrip('/')}/vectors-{uuid.uuid4().hex}/model.bin"
-    files.write_vectors(inputs.embeddings(spark, d).select("word", F.col("vec_id").alias("word_id"), "vec"), path)
-    return files.read_vectors(spark, path).select("word", "word_id", "vec")
+def _corpus_file(spark, d):
+    """The prepared corpus written and read again: its lines and how often each occurs, as files have no ids."""
+    path = shared_folder(spark, "corpus")
+    files.write_corpus(text.corpus_lines(inputs.documents(spark, d)), path)
+    lines = files.read_corpus(spark, path).select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("text"))
+    return lines.groupBy("text").agg(F.count("*").alias("n"))
+
+
+def _vocab_file(spark, d):
+    path = shared_folder(spark, "vocabulary")
+    files.save_vocab(_vocab(spark, d), path)
+    return files.read_vocab(spark, path)
+
+
+def _to_vector(spark, d):
+    return vectors.nearest_to_vector(inputs.whole_model(spark, d), [1.0 if i % 2 == 0 else -0.5 for i in range(64)])
+
+
+def _control_scores(spark, d):
+    """The scores of a word set and sampled controls, without bootstraps."""
+    own = inputs.label_words(spark, d, 3)
+    pool = enrich.control_pool(inputs.whole_model(spark, d), own, _heads(spark), num_controls=200)
+    return enrich.wssa_scores(inputs.whole_model(spark, d), pool, _heads(spark)).drop("model")
+
+
+def _wssa_plain(spark, d):
+    chosen = [r["word"] for r in inputs.label_words(spark, d, 3).collect()]
+    return enrich.wssa(inputs.whole_model(spark, d), chosen, inputs.HEADERS)
 
 
 QUERIES = {
@@ -278,6 +304,14 @@ QUERIES = {
     "train_biword2vec": lambda s, d: train.train_biword2vec(_stream(s, d)),
     # Negatives, as many as the plain trainer's, so that outputs belong to words and not to nodes of a tree.
     "train_biword2vec_2x2": lambda s, d: train.train_biword2vec(_stream(s, d), full=True, negative=5),
+    "train_word2vec_left": lambda s, d: train.train_word2vec(_stream(s, d), side="left"),
+    "train_word2vec_right": lambda s, d: train.train_word2vec(_stream(s, d), side="right"),
+    "prepared_corpus": lambda s, d: phrases.prepared(inputs.documents(s, d), lower=True, bundle_ngrams=2),
+    "corpus_file": _corpus_file,
+    "vocab_file": _vocab_file,
+    "nearest_to_vector": lambda s, d: _rounded(_to_vector(s, d), "cos"),
+    "wssa_control_scores": lambda s, d: _rounded(_control_scores(s, d), "score"),
+    "wssa_plain": _wssa_plain,
     "vectors_roundtrip": _roundtrip,
 }
 
@@ -294,7 +328,13 @@ ORACLE_SQL = {
     "vocab_ranked": f"WITH {_RANKED} SELECT word, cn, word_id FROM ranked",
     "train_words_total": f"WITH {_VOCAB} SELECT sum(cn)::BIGINT AS total, count(*) AS words FROM vocab",
     "vocab_lookup_oov": f"WITH {_RANKED} SELECT doc_id, count(*) AS n_tokens, count(word_id) AS n_known, sum(coalesce(word_id, 0))::BIGINT AS id_sum FROM stream LEFT JOIN ranked USING (word) GROUP BY doc_id",
-    "noise_distribution": f"WITH {_VOCAB} SELECT word, round(1000 * pow(cn, 0.75) / (SELECT sum(pow(cn, 0.75)) FROM vocab), {_R}) AS p1000 FROM vocab",
+    "noise_distribution": f"WITH {_VOCAB.replace('vocab AS (', 'vocab AS MATERIALIZED (')}, z AS (SELECT sum(pow(cn, 0.75)) AS z FROM vocab) SELECT word, round(1000 * pow(cn, 0.75) / z, {_R}) AS p1000 FROM vocab, z",
+    "prepared_corpus": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, array_to_string(flatten(list(ws ORDER BY sent_id)), ' ') AS line FROM pline GROUP BY doc_id",
+    "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(text, '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n FROM l GROUP BY text",
+    "vocab_file": f"WITH {_RANKED} SELECT word, cn, word_id FROM ranked",
+    "nearest_to_vector": f"WITH {_WHOLE}, v AS (SELECT [CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[] AS v) SELECT 'whole' AS model, word, round(cos, {_R}) AS cos, row_number() OVER (ORDER BY cos DESC, word) AS rank FROM (SELECT word, {_cos('vec', 'v')} AS cos FROM whole, v) ORDER BY rank LIMIT 10",
+    "wssa_control_scores": f"WITH {_WHOLE}, models AS (SELECT 'whole' AS model, word, vec FROM whole), {_HEADS}, near AS (SELECT w.word, {_cos('w.vec', 'h.vec')} AS cos FROM models AS w, models AS h JOIN heads ON heads.word = h.word), own AS (SELECT word FROM whole WHERE label = 3), controls AS (SELECT word FROM whole WHERE label IS DISTINCT FROM 3 ORDER BY md5('1|' || word), word LIMIT 200) SELECT word, round(avg(cos), {_R}) AS score FROM near WHERE word IN (SELECT word FROM own UNION ALL SELECT word FROM controls) GROUP BY word",
+    "vectors_roundtrip": f"SELECT vec_id::VARCHAR AS word, vec_id AS word_id, i - 1 AS i, round(embedding[i]::DOUBLE, {_R}) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)",
     "subsample_keep_prob": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab) SELECT word, round(least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn), {_R}) AS keep FROM vocab, t",
     "sigmoid_table": f"SELECT i, round((i / 1000.0::DOUBLE * 2 - 1) * 6, {_R}) AS x, round(exp((i / 1000.0::DOUBLE * 2 - 1) * 6) / (exp((i / 1000.0::DOUBLE * 2 - 1) * 6) + 1), {_R}) AS value FROM range(1000) AS r(i)",
     "alpha_schedule": f"WITH {_VOCAB}, t AS (SELECT sum(cn)::DOUBLE AS total FROM vocab) SELECT step, round(greatest(0.025::DOUBLE * (1 - (step / 100.0::DOUBLE * 5 * total) / (5 * total + 1)), 0.0000025::DOUBLE), 9) AS alpha FROM t, range(101) AS r(step)",
