@@ -100,9 +100,10 @@ def _base(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover)
 
 
-def test_quality_rules(docs, empty, rows):
+@pytest.mark.parametrize("sent_lines", [quality_rules.SENT_LINES, 0])
+def test_quality_rules(docs, empty, rows, sent_lines):
     cols = "text_left n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_words_left kept".split()
-    got = {r["id"]: r for r in quality_rules.verdicts(docs, min_documents=3, host_share=0.2).select(F.col("row.doc_id").alias("id"), *cols).collect()}
+    got = {r["id"]: r for r in quality_rules.verdicts(docs, min_documents=3, host_share=0.2, sent_lines=sent_lines).select(F.col("row.doc_id").alias("id"), *cols).collect()}
     normal = lambda x: re.sub(r"[ \t\x0b\f\r]+", " ", x).strip(" ")
     held, hosts = defaultdict(set), defaultdict(set)
     for _, text, host in rows:

@@ -10,9 +10,9 @@ compared with the text word by word.  Proximity matches intersect the same lists
 a distance.  No posting leaves its task, and a passage that a third of all documents
 share is spread over as many tasks as the documents are.
 
-The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters, one
-file for each in the shared folder, of which a task holds one at a time.  `store` writes
-the same posting lists as a table, for benchmarks that come later; `search` asks it.
+The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters, of
+which a task holds one at a time.  Posting lists live as long as their run of documents
+is judged: they are made again for a later benchmark, not kept as a table.
 """
 
 from __future__ import annotations
@@ -67,6 +67,7 @@ class Queries:
         flat, owner = self.terms[at], np.repeat(np.arange(len(self.windows)), self.lengths)
         self.of_term = owner[np.argsort(flat, kind="stable")]
         self.term_first = np.searchsorted(np.sort(flat), np.arange(len(terms) + 1))
+        self.held = np.append(np.diff(self.term_first), np.iinfo(np.int64).max)  # windows of each term
 
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ class Index:
         if not len(live):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         terms = q.terms[live]
-        order = np.argsort(self.length[terms], axis=1, kind="stable")
+        order = np.argsort(q.held[terms], axis=1, kind="stable")  # rarest in the benchmark first, wherever the documents are
         term = terms[np.arange(len(live)), order[:, 0]]
         size = self.length[term]
         own = np.repeat(np.arange(len(live)), size)
@@ -246,8 +247,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars
     "null"; rows with one id are one item.  A null document text has no words.  Rows of
     docs are judged one by one, so that repeated rows give repeated results, and a long
     text whole.  An empty table of documents gives no rows, of items no hits.  proximity
-    (terms, words): near_items are those of which that many of a window's rarest terms
-    stand within so many words of the rarest, in any order.
+    (terms, words): near_items are those of which that many of a window's terms, the
+    rarest of its block of the benchmark, stand within so many words of the rarest, in
+    any order.
     """
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
     rows = docs.select(as_row(docs, "text"), "text")
@@ -256,16 +258,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars
     return rows.mapInArrow(_scan(_sent(named, window, block_chars), proximity), StructType([*rows.schema.fields, *new]))
 
 
-#: Of a benchmark window, terms that must be near each other, and within how many words.
-NEAR_TERMS, NEAR_WORDS = 5, 20
-
-
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
-    """matches of documents with benchmark, exact and near (n_near_items); nulls, repeats and empties: as matches has them."""
+    """matches of documents with benchmark; nulls, repeats and empties: as matches has them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), proximity=(NEAR_TERMS, NEAR_WORDS))
+    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A line, trimmed and with runs of white space made one space, is known by the 64-
 hash of its text.  For each host (a column, here ``source``) the distinct documents
 that hold a line are counted; lines above a limit are that host's boilerplate and are
 taken out of its documents.  A document that loses too large a part of its words is
-rejected as depleted.  Exact copies of one text count as one document here: they are
-the business of deduplication, and a page that many have copied is not boilerplate.
+rejected as depleted.  Exact copies of one text count as one document, unless each_row is
+asked for: they are the business of deduplication, and a page that many have copied is
+not boilerplate.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import words
 from .components import as_row, checkpointed, from_row, quoted
 
-#: A line is boilerplate of its host if it is on more documents than both of these say.
+#: A line is boilerplate of its host if it is on more documents than both of these say, or on more than MANY of them.
 MIN_DOCUMENTS = 20
 HOST_SHARE = 0.05
+MANY = 1000
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.5
-#: Frequent lines (8 bytes each) up to which all tasks get them.
+#: Frequent lines (host and 8 bytes each) up to which all tasks get them.
 SENT_LINES = 1_000_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -37,7 +39,7 @@ def _lines(text):
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(F.regexp_replace(x, "[ \\t\\x0B\\f\\r]+", " ")))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, many: int = MANY, each_row: bool = False) -> DataFrame:
     """(host, line_hash, documents) of the lines over the limits.
 
     Counts are added up in each task before the shuffle, so that a host with a third of
@@ -46,10 +48,10 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_documents: int = M
     text = F.col("text")
     held = docs.select(quoted(host).alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"), F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"))
     # Copies of a text are one document: one of its lines' counts stands for all.
-    once = held.groupBy("host", "content").agg(F.first("lines").alias("lines"))
+    once = held.select("host", "lines") if each_row else held.groupBy("host", "content").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_documents"))
     counted = once.select("host", F.explode("lines").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("documents")).filter(F.col("documents") > min_documents)
-    return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > host_share * F.col("host_documents")).select(counted["host"], "line_hash", "documents")
+    return counted.join(hosts, counted["host"].eqNullSafe(hosts["host"])).filter((F.col("documents") > host_share * F.col("host_documents")) | (F.col("documents") > many)).select(counted["host"], "line_hash", "documents")
 
 
 def measure_batches(batches):
@@ -119,24 +121,27 @@ def _repeat_words(code: np.ndarray, row: np.ndarray, c: words.Chunk) -> np.ndarr
     return words.row_sums(words.spread(mark, 3, c.first), c.first)
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT, many: int = MANY, each_row: bool = False, sent_lines: int = SENT_LINES) -> DataFrame:
     """row (the other columns of docs, as a struct), text_left, measures, base_failed, n_words_left and kept.
 
     text_left is the text without its host's frequent lines.  Null text: a text without
     words, which fails.  Null host: a host of its own.  Rows are judged one by one:
     repeated rows and ids give repeated results.  Columns of docs may have any names.
 
-    The frequent lines of a host go along as one set for each host: there are fewer than
-    1 / host_share times the mean number of lines of a document, so that the set's size
-    is bounded whatever the number of documents.
+    Up to sent_lines frequent lines go to all tasks as one set for each host, so that no
+    text moves.  More of them meet the lines of the texts by host and line, and each row
+    gets the frequent ones of its own lines only.
     """
-    frequent = frequent_lines(docs, host, min_documents, host_share).groupBy("host").agg(F.array_sort(F.collect_set("line_hash")).alias("frequent"))
-    # Sets of few lines in all go to all tasks, so that no text moves; otherwise texts meet them by host.
-    frequent = checkpointed(frequent)
-    few = (frequent.agg(F.sum(F.size("frequent"))).head()[0] or 0) <= SENT_LINES
-    frequent = F.broadcast(frequent) if few else frequent
+    frequent = checkpointed(frequent_lines(docs, host, min_documents, host_share, many, each_row).select("host", "line_hash"))
     rows = docs.select(as_row(docs, "text"), "text")
-    marked = rows.join(frequent, rows["row"].getField(host).eqNullSafe(frequent["host"]), "left")
+    if frequent.count() <= sent_lines:
+        sets = F.broadcast(frequent.groupBy("host").agg(F.array_sort(F.collect_set("line_hash")).alias("frequent")))
+        marked = rows.join(sets, rows["row"].getField(host).eqNullSafe(sets["host"]), "left")
+    else:
+        numbered = rows.withColumn("number", F.monotonically_increasing_id())
+        own = numbered.select("number", F.col("row").getField(host).alias("of"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
+        met = own.join(frequent, own["of"].eqNullSafe(frequent["host"]) & (own["line"] == frequent["line_hash"]))
+        marked = numbered.join(met.groupBy("number").agg(F.collect_list("line").alias("frequent")), "number", "left")
     touched = F.col("frequent").isNotNull()
     marked = marked.select("row", "text", F.when(touched, _without(F.col("text"), F.col("frequent"))).otherwise(F.col("text")).alias("text_left"), touched.alias("touched"))
     words_left = F.when(F.col("touched"), F.size(F.regexp_extract_all(F.coalesce("text_left", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).cast("long"))

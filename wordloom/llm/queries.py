@@ -18,7 +18,7 @@ twice AS (SELECT doc_id, w FROM wins GROUP BY doc_id, w HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT wins.doc_id, unnest([i, i + 1, i + 2]) AS p FROM wins JOIN twice ON wins.doc_id = twice.doc_id AND wins.w = twice.w) GROUP BY doc_id),
 normal AS (SELECT source, text, doc_id, i, line, trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g')) AS norm FROM lines JOIN d USING (doc_id)),
 hosts AS (SELECT source, count(DISTINCT text) AS host_documents FROM d GROUP BY source),
-frequent AS (SELECT source, norm FROM normal JOIN hosts USING (source) WHERE norm <> '' GROUP BY source, norm, host_documents HAVING count(DISTINCT text) > {quality_rules.MIN_DOCUMENTS} AND count(DISTINCT text) > {quality_rules.HOST_SHARE} * host_documents),
+frequent AS (SELECT source, norm FROM normal JOIN hosts USING (source) WHERE norm <> '' GROUP BY source, norm, host_documents HAVING count(DISTINCT text) > {quality_rules.MIN_DOCUMENTS} AND (count(DISTINCT text) > {quality_rules.HOST_SHARE} * host_documents OR count(DISTINCT text) > {quality_rules.MANY})),
 lost AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n_lost FROM normal JOIN frequent USING (source, norm) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (len(ws) - coalesce(n_lost, 0))::BIGINT AS n_words_left
@@ -27,6 +27,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= {quality_rules.LEAST_LEFT} * n_words AS kept, n_words_left FROM m
 """
 
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(ws[i : i + {substring.WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring.WINDOW - 2})) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM wins) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS i FROM later),
+every AS (SELECT doc_id, ws[i] AS word, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM every ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 #: Lower-cased words of a text for decontamination.
 FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -83,6 +93,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
+    "op3_substring": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
