@@ -14,7 +14,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """(doc_id, text); the rows of fewer files than cores are dealt out, as one file may be one task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def embeddings(spark, sf_dir: str) -> DataFrame:
