@@ -54,13 +54,15 @@ def _term_hashes(terms: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(out, np.uint64), own
 
 
-def _pairs(c: words.Chunk, only: np.ndarray | None = None) -> np.ndarray:
-    """row << BITS | feature of each word and beginning, once; only: of the words that it marks."""
+def _pairs(c: words.Chunk, only: np.ndarray | None = None, live: np.ndarray | None = None) -> np.ndarray:
+    """row << BITS | feature of each word and beginning, once; only: of the words that it marks; live: of the features that it marks."""
     row, starts = c.row_of_word(), word_starts(c, STARTS)
     row, feature = np.concatenate([row, *(row[i] for i, _ in starts)]), np.concatenate([hashed(c.hashes(), BITS), *(hashed(h, BITS) for _, h in starts)])
     if only is not None:
         marked = np.concatenate([only, *(only[i] for i, _ in starts)])
         row, feature = row[marked], feature[marked]
+    if live is not None:
+        row, feature = row[live[feature]], feature[live[feature]]
     return np.unique(row << BITS | feature)
 
 
@@ -99,7 +101,7 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def scores(self, c: words.Chunk) -> np.ndarray:
-        pair = _pairs(c)
+        pair = _pairs(c, live=self.weights != 0)
         return sigmoid(self.bias + np.bincount(pair >> BITS, self.weights[pair & ((1 << BITS) - 1)], len(c)))
 
 
