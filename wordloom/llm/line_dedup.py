@@ -121,12 +121,14 @@ def rarity(found: DataFrame, bits: int) -> DataFrame:
 def described(found: DataFrame, magnitudes: DataFrame, bits: int) -> DataFrame:
     """(place, n, copies, bits, more, rare): classes that can be similar to others, with their parities and rarest words."""
     found, m = found.withColumn("m", magnitudes.scalar()), F.col("m")
-    by_rarity = F.sort_array(F.transform("ws", lambda w: F.shiftleft(F.get(m, _bucket(w, bits)).cast("long"), 33) + w))
-    # A word turns bit w mod 64 of one of two maps, by the next bit of w.
-    turned = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w))
-    bit_map = lambda upper: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == upper, turned(a, w)).otherwise(a))
+    # Without nulls, longs are sorted as they are.
+    by_rarity = F.sort_array(F.transform("ws", lambda w: F.coalesce(F.shiftleft(F.get(m, _bucket(w, bits)).cast("long"), 33) + w, F.lit(0).cast("long"))))
+    # A word turns bit w mod 64 of one of two maps, by the next bit of w: the bits turned in either, less those of the second, are the first's.
+    turned = lambda one: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one(w), w)))
+    either = turned(lambda w: F.lit(1).cast("long"))
+    more = turned(lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)).cast("long"))
     rare = F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN))
-    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), bit_map(0).alias("bits"), bit_map(64).alias("more"), rare.alias("rare"))
+    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), either.bitwiseXOR(more).alias("bits"), more.alias("more"), rare.alias("rare"))
 
 
 _POS_BITS = 31
