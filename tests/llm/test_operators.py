@@ -542,6 +542,39 @@ def test_gradient_of_the_non_negative_risk(pi):
         assert abs(of_w - gw[j]) < 1e-6 and abs(of_b - gb) < 1e-6
 
 
+def test_histograms_count_every_row(spark):
+    values = [0.0, -0.0, 1e-7, 0.5, 0.5, 1.0, 1.0005, 3e9, -0.25, -8.0, -8.001, -1e-7]
+    df = spark.createDataFrame([(v,) for v in values * 500], "v float").repartition(4)
+    got = quality_pu.histograms(df, lambda batch: [(k, (-1) ** k * batch.column(0).to_numpy(zero_copy_only=False)) for k in (0, 3)])
+    assert sorted(got) == [0, 3]
+    for k, (least, counts) in got.items():
+        assert counts.sum() == len(values) * 500 and (np.diff(least) > 0).all()
+        whole = np.sort((-1) ** k * np.array(values * 500, np.float32))
+        at = np.repeat(least, counts)
+        assert (at <= whole).all() and (np.abs(at - whole) <= 0.0011 * np.abs(whole) + 1e-30).all()
+    assert quality_pu.histograms(df.filter("false"), lambda batch: [(0, batch.column(0).to_numpy())]) == {}
+
+
+def test_class_prior_from_a_histogram():
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
+    rows = np.concatenate([rng.normal(2, 1, 7000), bad[:3000]])
+    values, counts = np.unique(quality_pu._bins(rows), return_counts=True)
+    prior = quality_pu.class_prior(good, quality_pu._least_of(values), counts)
+    assert 0.68 < prior < 0.74
+
+
+def test_thresholds_rest_on_all_documents_though_the_sample_is_small(spark):
+    rng = random.Random(6)
+    docs = [(i, _prose(rng, 60) if i % 4 else " ".join(["@@##", "BUY!!!"] * 30)) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(800) if i % 4 and i % 2], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality_pu.train(d, labels, sample=40)
+    scores = {r.doc_id: r.score for r in quality_pu.score(d, model).collect()}
+    good = [scores[r.doc_id] for r in labels.filter(quality_pu.outside(F.col("doc_id"), 4, 2)).collect()]
+    assert sum(x < quality_pu.ACCEPT for x in good) <= quality_pu.LOST * len(good) + 1
+
+
 def test_labelled_rows_are_bounded_though_ids_repeat(spark):
     docs = spark.createDataFrame([(7, f"text {i}") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(7, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")

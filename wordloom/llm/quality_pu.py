@@ -11,8 +11,10 @@ cannot be negative.  pi is estimated first: for every region A of the inputs
 U(A) >= pi P(A), so pi is at most the least U(A) / P(A) over the regions above the
 thresholds of a classifier of positives against unlabelled.
 
-f is a sum of one step function for each measure of the text, whose steps are quantiles
-of the samples.  The sample of each side has at most SAMPLE rows.
+f is a sum of one step function for each measure of the text.  Only its weights are fitted
+to samples, at most SAMPLE rows of each side.  The measures of all documents are stored, and
+counts of them give the rest: the quantiles where the steps are, the class prior (each half
+of the documents by the model of the other half) and the margin that trusted positives reach.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from . import words
+from .components import forget, stored
 from .features import Adam, sigmoid
 from .quality_rules import _dup_lines, _groups, _repeat_words
 from .toxicity import fold
@@ -98,6 +101,48 @@ def _steps(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, k], "left") + s for k, (e, s) in enumerate(zip(edges, starts, strict=True))], 1)
 
 
+#: Low bits of a 32-bit float that a histogram leaves out: its bins are about 0.1 % wide.
+BIN_BITS = 13
+
+
+def _bins(values: np.ndarray) -> np.ndarray:
+    """Bin numbers, in the order of the values; how many there are does not depend on the number of rows."""
+    bits = np.ascontiguousarray(values, np.float32).view(np.int32)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int64) >> BIN_BITS
+
+
+def _least_of(bins: np.ndarray) -> np.ndarray:
+    """The least value of each bin."""
+    bits = (np.asarray(bins, np.int64) << BIN_BITS).astype(np.int32)
+    return np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int32).view(np.float32).astype(float)
+
+
+def histograms(rows: DataFrame, pick) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Number k to (least values of bins, counts) of all the values that pick(batch) gives as (k, values) pairs."""
+
+    def count(batches):
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for k, values in pick(batch):
+                found, times = np.unique((k << 32) + _bins(values), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    counted = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    key, n = counted.key.to_numpy(np.int64), counted.n.to_numpy(np.int64)
+    # A bin number is below 2**19 in size, so the nearest multiple of 2**32 is that of k.
+    k = (key + (1 << 31)) >> 32
+    return {int(i): (_least_of(key[k == i] - (i << 32)), n[k == i]) for i in np.unique(k)}
+
+
+def _quantiles(values: np.ndarray, weights: np.ndarray, parts) -> np.ndarray:
+    """The values at these parts of the whole weight."""
+    order = np.argsort(values, kind="stable")
+    reached = np.cumsum(weights[order])
+    return values[order][np.minimum(np.searchsorted(reached, np.asarray(parts) * reached[-1], "left"), len(values) - 1)]
+
+
 def _descend(gradient, size: int, rounds: int, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """gradient(weights, bias) to (gradient of the weights, of the bias)."""
     w, b, step, step_b = np.zeros(size), 0.0, Adam(size, rate), Adam((), rate)
@@ -108,28 +153,40 @@ def _descend(gradient, size: int, rounds: int, rate: float = 0.05) -> tuple[np.n
     return w, b
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+def class_prior(positive: np.ndarray, values: np.ndarray, counts: np.ndarray, least: float = 0.5) -> float:
     """Part of positives among the unlabelled: the least U(A) / P(A) over regions A above a threshold with P(A) >= least.
 
-    The margins must be of rows that the classifier was not fitted to.  Each ratio is taken
-    with one standard error on top, as the least of many noisy ones is too small.
+    positive: margins; values and counts: a histogram of the margins of the unlabelled.  They
+    must be of rows that the classifier was not fitted to.  Each ratio is taken with one
+    standard error on top, as the least of many noisy ones is too small.
     """
-    cuts = np.quantile(positive, np.linspace(0.005, 1 - least, 40))
-    p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
-    u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
+    positive = np.sort(_least_of(_bins(positive)))
+    cuts = np.quantile(positive, np.linspace(0.005, 1 - least, 40), method="lower")
+    p = 1 - np.searchsorted(positive, cuts, "left") / len(positive)
+    size = counts.sum()
+    u = 1 - np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(values, cuts, "left")] / size
     ratio = u / np.maximum(p, 1e-9)
-    error = ratio * np.sqrt((1 - u) / np.maximum(u * len(unlabelled), 1) + (1 - p) / np.maximum(p * len(positive), 1))
+    error = ratio * np.sqrt((1 - u) / np.maximum(u * size, 1) + (1 - p) / np.maximum(p * len(positive), 1))
     return float(np.clip((ratio + error).min(), 0.05, 0.99))
 
 
 class _Design:
-    """Steps of the two samples, and gradients over them."""
+    """Steps of the two samples, and gradients over them.
+
+    whole: histograms of the measures of all unlabelled texts, by default those of the sample.
+    """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray):
-        both = np.concatenate([positive, unlabelled])
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, whole=None):
         steps = int(np.clip(len(positive) // 60, 4, STEPS))
         tails = [0.01, 0.02, 0.98, 0.99] if len(positive) >= 1000 else []
-        self.edges = [np.unique(np.quantile(both[:, k], [*np.linspace(0, 1, steps + 1)[1:-1], *tails]).tolist() + np.quantile(positive[:, k], [0.002, 0.998]).tolist()) for k in range(both.shape[1])]
+        parts = [*np.linspace(0, 1, steps + 1)[1:-1], *tails]
+        self.edges = []
+        for k in range(positive.shape[1]):
+            values, counts = whole[k] if whole else (unlabelled[:, k], np.ones(len(unlabelled)))
+            both = np.concatenate([positive[:, k], values])
+            # Either side has half of the weight, whatever their numbers.
+            weights = np.concatenate([np.full(len(positive), 1 / len(positive)), counts / counts.sum()])
+            self.edges.append(np.unique([*_quantiles(both, weights, parts), *np.quantile(positive[:, k], [0.002, 0.998])]))
         self.sizes = [len(e) + 1 for e in self.edges]
         self.size = sum(self.sizes)
         self.p, self.u = _steps(positive, self.edges), _steps(unlabelled, self.edges)
@@ -158,27 +215,22 @@ class _Design:
         return Model(self.edges, [w[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], b)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300) -> Model:
-    """Estimates the class prior on halves of the samples, then minimises the non-negative risk."""
-    if len(positive) < 4 or len(unlabelled) < 4:
-        return Model([np.zeros(0)] * len(MEASURES), [np.zeros(1)] * len(MEASURES), 0.0)
-    priors = []
-    for k in (0, 1):
-        half = _Design(positive[k::2], unlabelled[k::2])
-        told = half.model(*_descend(half.against, half.size, rounds // 2))
-        priors.append(class_prior(told.margin(positive[1 - k :: 2]), told.margin(unlabelled[1 - k :: 2])))
-    pi = float(np.mean(priors))
-    whole = _Design(positive, unlabelled)
-    model = whole.model(*_descend(whole.risk(pi), whole.size, rounds))
-    model.prior = pi
-    # The prior weighs the risk; ACCEPT is the score that nearly all trusted positives reach.
-    model.bias += float(np.log(ACCEPT / (1 - ACCEPT)) - np.quantile(model.margin(positive), LOST))
-    return model
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, half, x): the measures of each row's whole text; null texts are empty ones.  half: 0 or 1, by the id."""
+
+    def measure_all(batches):
+        for batch in batches:
+            x = measures(batch.column(2)).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(MEASURES), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "half", "x"])
 
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("half", IntegerType()), StructField("x", ArrayType(FloatType()))])
+    return docs.select("doc_id", half, "text").mapInArrow(measure_all, schema)
 
-def _measured(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(measures(batch.column(0))), pa.list_(pa.float64()))], names=["positive", "x"])
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES))
 
 
 def outside(doc_id, parts: int, held: int):
@@ -186,39 +238,75 @@ def outside(doc_id, parts: int, held: int):
     return doc_id.isNotNull() & (fold(doc_id, parts) != held)
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
-    """Positives: rows labelled 1 outside the held-out fold.  Unlabelled: any documents outside it, whatever their labels.
+def learn(known: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE, rounds: int = 300) -> Model:
+    """A model from a table of measures, which is read five times.
 
-    Of each side at most ``sample`` ids, in the order of a hash, and one text, the least, of each id.
+    Positives: rows labelled 1 outside the held-out fold.  Unlabelled: any documents outside it,
+    whatever their labels.  Weights are fitted to at most ``sample`` ids of each side, in the
+    order of a hash, with one row, the least, of each id.  Steps and prior come from all
+    unlabelled rows, and the place of ACCEPT from all positive ones.  With fewer than four ids
+    of a half on either side every score is 0.5.
     """
-    order = lambda df: df.filter(outside(F.col("doc_id"), parts, held)).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
-    good = order(labels.filter(F.col("quality") == 1)).withColumn("positive", F.lit(True))
-    rest = order(docs).withColumn("positive", F.lit(False))
+    may = outside(F.col("doc_id"), parts, held)
+    known = known.filter(may)
+    labelled = labels.filter(may & (F.col("quality") == 1)).select("doc_id").distinct()
+    order = lambda df: df.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
+    chosen = order(labelled).withColumn("positive", F.lit(True)).unionByName(order(known).withColumn("positive", F.lit(False)))
     # At most 2 * sample ids: a bounded side to send to the tasks.
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(good.unionByName(rest)), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
-    rows = chosen.select("text", "positive").mapInArrow(_measured, "positive boolean, x array<double>").toPandas()
-    x = np.array(rows.x.tolist()).reshape(len(rows), len(MEASURES))
-    side = rows.positive.to_numpy(bool)
-    return fit(*(x[m][np.lexsort(x[m].T)] for m in (side, ~side)))
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "half", "positive").agg(F.min("x").alias("x")).toPandas()
+    x = np.array(rows.x.tolist(), float).reshape(len(rows), len(MEASURES))
+    positive, half = rows.positive.to_numpy(bool), rows.half.to_numpy()
+    side = lambda which: x[which][np.lexsort(x[which].T)]
+    if min((which & (half == k)).sum() for which in (positive, ~positive) for k in (0, 1)) < 4:
+        return Model([np.zeros(0)] * len(MEASURES), [np.zeros(1)] * len(MEASURES), 0.0)
+    whole = histograms(known.select("x"), lambda batch: enumerate(_matrix(batch.column(0)).T))
+
+    halves = []
+    for k in (0, 1):
+        design = _Design(side(positive & (half == k)), side(~positive & (half == k)), whole)
+        halves.append(design.model(*_descend(design.against, design.size, rounds // 2)))
+
+    def by_the_other(batch):
+        h, values = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+        return [(k, halves[k].margin(values[h == 1 - k])) for k in (0, 1)]
 
+    margins = histograms(known.select("half", "x"), by_the_other)
+    pi = float(np.mean([class_prior(halves[k].margin(side(positive & (half == 1 - k))), *margins[k]) for k in (0, 1)]))
+    design = _Design(side(positive), side(~positive), whole)
+    model = design.model(*_descend(design.risk(pi), design.size, rounds))
+    model.prior = pi
+    # The prior weighs the risk; ACCEPT is the score that nearly all trusted positives reach.
+    reached = histograms(known.join(labelled, "doc_id", "left_semi").select("x"), lambda batch: [(0, model.margin(_matrix(batch.column(0))))])[0]
+    model.bias += float(np.log(ACCEPT / (1 - ACCEPT)) - _quantiles(*reached, [LOST])[0])
+    return model
+
+
+def scored(known: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of a table of measures.  Repeated rows have repeated results."""
+    sent = known.sparkSession.sparkContext.broadcast(model)
 
-def _scorer(model):
-    def score(batches):
-        m = model.value
+    def score_all(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(m.margin(measures(batch.column(1)))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(sent.value.margin(_matrix(batch.column(1)))), pa.float64())], names=["doc_id", "score"])
 
-    return score
+    return known.select("doc_id", "x").mapInArrow(score_all, StructType([known.schema["doc_id"], StructField("score", DoubleType())]))
+
+
+def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
+    """Like learn, from texts."""
+    known = stored(measured(docs), "quality-measures")
+    model = learn(known, labels, parts, held, sample)
+    forget(known)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): every row's whole text; null texts are empty ones.  Repeated rows have repeated results."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_scorer(sent), StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("score", DoubleType())]))
+    return scored(measured(docs), model)
 
 
 def op6_quality_pu(spark, sf_dir: str) -> DataFrame:
     """A null doc_id is not held out; without positives or unlabelled texts every score is 0.5."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    known = stored(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-measures")
+    result = scored(known, learn(known, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return result.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
