@@ -11,8 +11,11 @@ the later one (by document and line number) is removed, whatever becomes of the
     2**22; the magnitudes, a byte each, are one row that goes along in the plans.
 3.  Two similar sets share a word among the first n - ceil(4n/5) + 1 of the larger and
     the first n - ceil(8n/9) + 1 of the smaller.  Classes are joined on such words with
-    length and positional filters, and with the parities of the words in 128 bits (sets
-    that differ in d words have parities that differ in at most d bits).
+    length and positional filters, and with the parities of the words in 64 bits, or 128
+    for long lines (sets that differ in d words have parities that differ in at most d
+    bits).  Sizes are in bands of a factor of two, and a word is joined band by band: the
+    smaller set of a pair is also looked up in the next band if a set that is large enough
+    for it can be there.
 4.  Before that join, a class meets two hubs of each of a few of its words: the earliest
     and the most copied of the classes that are copied, or drawn by a hash, and have the
     word among their rarest.  That settles the many variants of one line without forming
@@ -39,6 +42,8 @@ LEAST_WORDS = 4
 BUCKET_WORDS, LEAST_BITS, MOST_BITS = 1500, 16, 22
 #: Words of a class that are looked up among the hubs, and the part of the classes, one in so many, that may be hubs without being copied.
 HUB_WORDS, HUB_PART = 2, 64
+#: Sets of more words have parities in 128 bits.
+WIDE = 48
 #: Rows up to which lines' places go to all tasks (some 40 bytes each).
 SENT_ROWS = 500_000
 
@@ -126,9 +131,11 @@ def described(found: DataFrame, magnitudes: DataFrame, bits: int) -> DataFrame:
     # A word turns bit w mod 64 of one of two maps, by the next bit of w: the bits turned in either, less those of the second, are the first's.
     turned = lambda one: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one(w), w)))
     either = turned(lambda w: F.lit(1).cast("long"))
-    more = turned(lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)).cast("long"))
-    rare = F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN))
-    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), either.bitwiseXOR(more).alias("bits"), more.alias("more"), rare.alias("rare"))
+    second = turned(lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)).cast("long"))
+    more = F.when(F.col("n") > WIDE, second).otherwise(F.lit(0).cast("long"))
+    # The low 32 bits are the word again.
+    rare = F.transform(F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN)), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), either.alias("bits"), more.alias("more"), rare.alias("rare"))
 
 
 _POS_BITS = 31
@@ -148,16 +155,30 @@ def _pos(side: str):
     return F.col(f"{side}.size").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
 
 
+def _band(n):
+    """Sizes in steps of about a factor of two; greater sizes are in the same or a later one."""
+    return F.floor(F.log2(n)).cast("long")
+
+
+def _in_band(posted: DataFrame, band) -> DataFrame:
+    """posted with a word and a band as its w."""
+    return posted.withColumn("w", F.shiftleft(F.col("w").cast("long"), 6).bitwiseOR(band))
+
+
+def _sizes(large, small):
+    return (small <= large) & (small * DEN >= large * NUM)
+
+
 def _near(a: str, b: str):
-    """Bit-map and length filters.
+    """Parity filter.
 
     Sets of na and nb words that are similar enough differ in (na + nb) * (DEN - NUM) / (NUM + DEN)
     words at most.
     """
-    c = lambda side, name: F.col(f"{side}.{name}")
+    both = lambda name: F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
     na, nb = _n(a), _n(b)
-    differ = F.bit_count(c(a, "bits").bitwiseXOR(c(b, "bits"))) + F.bit_count(c(a, "more").bitwiseXOR(c(b, "more")))
-    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (differ * (NUM + DEN) <= (na + nb) * (DEN - NUM))
+    differ = F.when(F.least(na, nb) <= WIDE, F.bit_count(both("bits"))).otherwise(F.bit_count(both("bits").bitwiseXOR(both("more"))) + F.bit_count(both("more")))
+    return differ * (NUM + DEN) <= (na + nb) * (DEN - NUM)
 
 
 def _room(a: str, b: str):
@@ -177,7 +198,7 @@ def hub_pairs(found: DataFrame) -> DataFrame:
     hubs = hubs.groupBy("w").agg(F.min(F.struct(*fields)).alias("early"), copied)
     both = F.array_distinct(F.array("early", F.struct(*(F.col("copied").getField(x).alias(x) for x in fields))))
     hubs = hubs.select("w", F.explode(both).alias("hub")).select("w", "hub.*")
-    met = posted.alias("a").join(hubs.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.place") < F.col("a.place")) & _near("a", "b"))
+    met = posted.alias("a").join(hubs.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("b.place") < F.col("a.place")) & _sizes(F.greatest(_n("a"), _n("b")), F.least(_n("a"), _n("b"))) & _near("a", "b"))
     return met.select(F.col("a.place").alias("later"), F.col("b.place").alias("earlier")).distinct()
 
 
@@ -186,13 +207,16 @@ def open_pairs(found: DataFrame, settled: DataFrame) -> DataFrame:
     done = settled.select("place", F.lit(True).alias("done"))
     done = F.broadcast(done) if settled.count() <= SENT_ROWS else done
     marked = found.join(done, "place", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    larger = _posted(marked, F.col("rare"), "done")
-    # Of the smaller set, the first n - ceil(8n/9) + 1 words are enough.
-    smaller = _posted(marked, F.slice("rare", 1, _prefix(F.col("n"), 2 * NUM, NUM + DEN)), "done")
+    n = F.shiftright("size", _POS_BITS)
+    larger = _in_band(_posted(marked, F.col("rare"), "done"), _band(n))
+    # Of the smaller set, the first n - ceil(8n/9) + 1 words are enough.  Sets it is similar to have at most DEN / NUM of its words.
+    posted = _posted(marked, F.slice("rare", 1, _prefix(F.col("n"), 2 * NUM, NUM + DEN)), "done")
+    bands = F.array_distinct(F.array(_band(n), _band(F.floor(n * DEN / NUM))))
+    smaller = _in_band(posted.select("*", F.explode(bands).alias("band")), F.col("band")).drop("band")
     a, b = F.col("a.place"), F.col("b.place")
-    sizes = (_n("a") > _n("b")) | ((_n("a") == _n("b")) & (a > b))
+    ordered = (_n("a") > _n("b")) | (a > b)
     is_open = F.when(a > b, ~F.col("a.done")).otherwise(~F.col("b.done"))
-    met = larger.alias("a").join(smaller.alias("b"), (F.col("a.w") == F.col("b.w")) & (a != b) & sizes & _near("a", "b") & _room("a", "b") & is_open)
+    met = larger.alias("a").join(smaller.alias("b"), (F.col("a.w") == F.col("b.w")) & _sizes(_n("a"), _n("b")) & _near("a", "b") & _room("a", "b") & (a != b) & ordered & is_open)
     return met.select(F.greatest(a, b).alias("later"), F.least(a, b).alias("earlier")).distinct()
 
 
@@ -217,7 +241,7 @@ def kept_lines(docs: DataFrame, places: Places) -> DataFrame:
     sets = stored(classes(docs, places), "line-classes", plain=True)
     firsts = stored(sets.select("place"), "line-firsts")
     bits = bucket_bits(sets)
-    found = stored(described(sets, stored(rarity(sets, bits), "line-rarity"), bits), "line-prefixes")
+    found = stored(described(sets, stored(rarity(sets, bits), "line-rarity"), bits), "line-prefixes", plain=True)
     forget(sets)
     pairs = stored(hub_pairs(found), "line-pairs")
     settled = verified(pairs, docs, places)
