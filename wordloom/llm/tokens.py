@@ -19,7 +19,7 @@ from . import words
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of which a worker keeps the ids; beyond it, the kept ones are forgotten.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 200_000
 #: A piece of more bytes goes to the tokenizer each time.
 LONGEST_KEPT = 128
 #: Ids beyond which the kept ones are forgotten.
