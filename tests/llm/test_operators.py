@@ -492,6 +492,23 @@ def test_different_long_words_are_told_apart(spark):
     assert {r.n_removed for r in line_dedup.line_dedup(docs).filter("doc_id < 4").collect()} == {0, 2}
 
 
+def test_lines_of_few_words_and_other_orders(spark):
+    lines = ["b a", "a b", "a  b a", "c", "c c", "\tc ", "a b c", "c a", "b c a d"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0, 8: 0}
+
+
+def test_packing_deals_out_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i % 9} " * 20) for i in range(3000)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = Counter(r.sequence_id >> 40 for r in pack.pack(docs).filter("doc_id IS NULL").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(tasks) > 1 and sum(1 for _ in tasks) <= 4
+
+
 def test_a_span_is_cut_only_where_the_source_has_its_words():
     import pyarrow as pa
 

@@ -3,9 +3,11 @@
 A line is the set of its words.  Of two lines with Jaccard similarity of at least 4/5
 the later one (by document and line number) is removed, whatever becomes of the other.
 
-1.  Lines with one set of words are a class; the first line stands for it and all others
-    go.  Classes are pre-aggregated in each task, so a line that a third of all documents
-    hold is a few rows.  From here on a word is a 32-bit number.
+1.  Lines of one text, but for the kind of their blanks, are a class, known by the MD5 of
+    its bytes; the first line stands for it and all others go.  Classes are pre-aggregated
+    in each task, so a line that a third of all documents hold is a few rows.  Lines of
+    one set of words and different texts are classes of their own, which the join finds.
+    From here on a word is a 32-bit number.
 2.  Words are put in order of rarity: by the magnitude of the number of classes that hold
     their bucket.  There is a bucket for some BUCKET_WORDS words of the classes, up to
     2**22; the magnitudes, a byte each, are one row that goes along in the plans.
@@ -23,7 +25,8 @@ the later one (by document and line number) is removed, whatever becomes of the
 5.  Pairs are verified on the words of the lines themselves, read from the texts.
 
 Two different words may have one number: a class's numbers count with their repeats, so
-that shared words are never fewer than they were, and step 5 decides.
+that shared words are never fewer than they were.  All pairs of classes are decided on
+their words, by step 5.
 """
 
 from __future__ import annotations
@@ -36,8 +39,6 @@ from .substring import numbered
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 4, 5
-#: Sets of fewer words are similar to themselves only.
-LEAST_WORDS = 4
 #: Words of the classes for each bucket of the rarities, and the least and greatest number of buckets as powers of two.
 BUCKET_WORDS, LEAST_BITS, MOST_BITS = 1500, 16, 22
 #: Words of a class that are looked up among the hubs, and the part of the classes, one in so many, that may be hubs without being copied.
@@ -96,14 +97,14 @@ class Places:
 
 
 def classes(docs: DataFrame, places: Places) -> DataFrame:
-    """(place, n, ws, copies): the first line of each class, its words as 32-bit numbers, and its lines."""
+    """(place, n, ws, copies): the first line of each class, its different words as 32-bit numbers, and its lines."""
     lines = docs.select("doc", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("no", "line")).filter(F.btrim("line") != "")
     # Two spaces in a row give an empty word, which goes by its number.
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    sets = lines.select(places.of(F.col("doc"), F.col("no")).alias("place"), F.sort_array(hashes).alias("h"))
-    numbers = F.transform("h", lambda h: F.shiftright(h, 32).cast("int"))
-    keyed = sets.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), F.struct("place", F.size("h").alias("n"), numbers.alias("ws")).alias("c"))
-    return keyed.groupBy("k1", "k2").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c.place", "c.n", "c.ws", "copies")
+    numbers = F.transform(hashes, lambda h: F.shiftright(h, 32).cast("int"))
+    sets = lines.select(F.unhex(F.md5("line")).alias("key"), places.of(F.col("doc"), F.col("no")).alias("place"), numbers.alias("ws"))
+    keyed = sets.select("key", F.struct("place", F.size("ws").alias("n"), "ws").alias("c"))
+    return keyed.groupBy("key").agg(F.min("c").alias("c"), F.count("*").alias("copies")).select("c.place", "c.n", "c.ws", "copies")
 
 
 def _bucket(w, bits: int):
@@ -124,7 +125,7 @@ def rarity(found: DataFrame, bits: int) -> DataFrame:
 
 
 def described(found: DataFrame, magnitudes: DataFrame, bits: int) -> DataFrame:
-    """(place, n, copies, bits, more, rare): classes that can be similar to others, with their parities and rarest words."""
+    """(place, n, copies, bits, more, rare): classes with their parities and rarest words."""
     found, m = found.withColumn("m", magnitudes.scalar()), F.col("m")
     # Without nulls, longs are sorted as they are.
     by_rarity = F.sort_array(F.transform("ws", lambda w: F.coalesce(F.shiftleft(F.get(m, _bucket(w, bits)).cast("long"), 33) + w, F.lit(0).cast("long"))))
@@ -135,7 +136,7 @@ def described(found: DataFrame, magnitudes: DataFrame, bits: int) -> DataFrame:
     more = F.when(F.col("n") > WIDE, second).otherwise(F.lit(0).cast("long"))
     # The low 32 bits are the word again.
     rare = F.transform(F.slice(by_rarity, 1, _prefix(F.col("n"), NUM, DEN)), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
-    return found.filter(F.col("n") >= LEAST_WORDS).select("place", "n", F.col("copies"), either.alias("bits"), more.alias("more"), rare.alias("rare"))
+    return found.select("place", "n", F.col("copies"), either.alias("bits"), more.alias("more"), rare.alias("rare"))
 
 
 _POS_BITS = 31

@@ -14,7 +14,7 @@ f(j) the least cost of the stream up to cut j and p its position,
 which is a sliding minimum: a queue of increasing f + p gives it in constant time for
 each cut.  Windows of a power of two of ids are further transitions.
 
-The stream is dealt out by ranges of doc_id, and each range is packed in blocks of
+The stream is dealt out by ranges of doc_id (and of texts within one id), and each range is packed in blocks of
 about BLOCK_IDS ids that end with a document; a block is all that a task holds.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import tokens
 
@@ -149,10 +150,13 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, with_id
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of each piece.
 
     Null and empty texts have the end id only.  Null ids come first; rows that share an
-    id are documents of their own, in order of their texts.  A text longer than a
+    id are documents of their own, in order of a hash of their texts, then as they are
+    read, and are dealt out by ranges of all three: no id has to fit one task.  A text longer than a
     sequence is cut; a text longer than a block is a block.  Other columns are left out.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "hash", "read")
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("read"))
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ordered.mapInArrow(_packer(length, path, with_ids), kind + (", ids array<int>" if with_ids else ""))
 

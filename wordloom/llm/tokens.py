@@ -203,3 +203,5 @@ def encoded(column, path: str | None = None, most: int = words.CHUNK_BYTES):
     for a, b in words.row_groups(offsets, most):
         ids, edges = made.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         yield a, ids, edges
+        del ids, edges
+    words.give_back()

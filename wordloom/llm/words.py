@@ -8,6 +8,7 @@ made once for each different word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,11 @@ CHUNK_BYTES = 1 << 20
 
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def space_split_table() -> np.ndarray:
@@ -57,6 +63,13 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker, which lives on for other tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """(code of each byte range, the bytes of each code): equal codes are equal bytes."""
     if not len(start):
@@ -154,6 +167,8 @@ def chunks(column: pa.Array, is_word: np.ndarray, lower: bool = False, most: int
     for a, b in row_groups(offsets, most):
         part = data[offsets[a] : offsets[b]]
         yield Chunk(a, table[part] if lower else part, offsets[a : b + 1] - offsets[a], is_word)
+        del part
+    give_back()
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
