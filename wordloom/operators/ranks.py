@@ -1,24 +1,45 @@
-"""Row numbers over a whole table without moving it to one task."""
+"""Row numbers over a whole table, or within groups of it, without moving a group to one task.
+
+A table is dealt out by ranges of the order.  Each range's rows are numbered where they
+are; the sizes of the ranges before it, one number for each range and group that meet,
+shift them.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import sent, settled
 
-def number_rows(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with its rows' numbers from 0 in an order that has no ties.
+_ROW = (1 << 33) - 1
 
-    The table is dealt out by ranges of the order; each range's rows are numbered where
-    they are, and the sizes of the ranges, one number for each task, shift them.
-    """
-    dealt = df.orderBy(*order).withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = sorted(dealt.groupBy("_task").agg(F.count("*")).collect())
+
+def _dealt(df: DataFrame, *order: Column) -> DataFrame:
+    """df by ranges of the order, with each row's range and place in it; written once, so that both stay as they are."""
+    placed = df.orderBy(*order).withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW)))
+    return settled(placed)
+
+
+def number_rows(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with its rows' numbers from 0 in an order that has no ties."""
+    dealt = _dealt(df, *order)
     before, shifts = 0, []
-    for task, n in sizes:
+    for task, n in sorted(dealt.groupBy("_task").agg(F.count("*")).collect()):
         shifts.append((task, before))
         before += n
     shift = df.sparkSession.createDataFrame(shifts, "_task int, _before long")
     return dealt.join(F.broadcast(shift), "_task").withColumn(name, F.col("_row") + F.col("_before")).drop("_task", "_row", "_before")
+
+
+def number_within(df: DataFrame, name: str, by: str, *order: Column) -> DataFrame:
+    """df with its rows' numbers from 1 within each value of a column (not null), in an order that has no ties.
+
+    A group may be in many ranges, and a range may hold many groups: for each that meet
+    there is one row that says how many of the group's rows are in the ranges before.
+    """
+    dealt = _dealt(df, F.col(by), *order)
+    met = dealt.groupBy(by, "_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shift = met.select(by, "_task", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(sent(shift), [by, "_task"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_task", "_row", "_shift")
