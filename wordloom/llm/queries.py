@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, line_dedup, pack, quality_pu, quality_rules, simhash, substring, token_counts, toxicity, warc
+from . import decontaminate, filter_audit, line_dedup, maxent, pack, quality_pu, quality_rules, resample, simhash, substring, token_counts, toxicity, warc
 
 #: Words of a text as a DuckDB list.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -90,6 +90,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_resample": resample.op12_resample,
+    "op13_maxent": maxent.op13_maxent,
 }
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
@@ -97,6 +100,8 @@ ORACLE_SQL = {
     "op5_warc": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_resample": resample.OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
