@@ -6,8 +6,8 @@ the documents, and a document's weight is the mean gain of its features.  The do
 with the greatest weights plus a random number each (Gumbel's) are a draw without
 replacement in proportion to the exponents of the weights.
 
-1.  Texts are read in runs of whole documents.  A run keeps its words as numbers of its
-    own and has each different word once.
+1.  Texts are read in runs of whole documents (see runs).  A run keeps its words as
+    numbers of its own and names each different word once.
 2.  The different words of all runs become the dictionary: a word, its id and its counts
     on both sides.  For longer n-grams the runs get the ids, n-grams are tuples of ids,
     and the different tuples of all runs are a second table of this kind; their bytes are
@@ -15,7 +15,7 @@ replacement in proportion to the exponents of the weights.
 3.  Each different tuple is hashed once.  Counts are added up by bucket, gains go back to
     the tuples, and by a join to the runs that hold them, whose documents add them up.
 
-What is shuffled are the different tuples of each run, and the runs' numbers once.
+What is shuffled are the names of the different tuples of each run, and the runs' numbers once.
 """
 
 from __future__ import annotations
@@ -34,76 +34,59 @@ MOST_WORDS, BUCKETS = 1, 10_000
 #: Documents of fewer words are not drawn; of the others, so many in a hundred are.
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
 
-def dictionary(runs: DataFrame) -> DataFrame:
-    """(term, term_id, s, t): the different terms of all runs, with their counts in documents and in the target."""
-    side = lambda k: F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0))
-    found = run_tables.terms(runs).groupBy("term").agg(side(0).alias("s"), side(1).alias("t"))
-    return run_tables.kept(found.withColumn("term_id", F.monotonically_increasing_id()), "dictionary")
 
+def _tupled(most: int, buckets: int):
+    """A run's n-grams as tuples of word ids, written with commas."""
 
-def _tupled(most: int):
-    """A run's n-grams as tuples of word ids; the left table is the run, the right one has its words' ids."""
-
-    def tupled(left: pa.Table, right: pa.Table) -> pa.Table:
-        terms = len(left["terms"][0])
-        ids = np.zeros(terms, np.int64)
-        ids[right["code"].to_numpy()] = right["term_id"].to_numpy()
-        code = run_tables.unpacked(left["codes"][0].as_py(), terms)
-        n_words = left["n_words"][0].values.to_numpy()
-        ends = np.cumsum(n_words)
+    def tupled(run: dict, facts: dict[str, np.ndarray]) -> pa.Table:
+        ids = facts["term_id"]
+        terms = len(ids)
+        code, n_words = run_tables.unpacked(run["codes"].as_py(), terms), run["n_words"].values.to_numpy()
         row = np.repeat(np.arange(len(n_words)), n_words)
-        # A tuple is known by a number for its beginning and its last word; the number of a single word is the word's.
-        known, size = code, terms
-        rows, tuples, values, first = [row], [code], [ids[:, None]], terms
+        left = np.cumsum(n_words)[row] - np.arange(len(code))  # words from here to the end of the text
+        # A tuple is known by a number for its beginning and its last word; a single word by the word's.
+        rows, features, known = [row], [code], code
+        every, number = [[str(x) for x in ids.tolist()]], terms
         for k in range(2, most + 1):
-            at = np.flatnonzero(np.arange(len(code)) + k <= ends[row]) if len(code) else np.zeros(0, np.int64)
-            both = known[at] * terms + code[at + k - 1]
-            different, which, place = np.unique(both, return_index=True, return_inverse=True)
-            starts = at[which]
-            values.append(ids[code[starts[:, None] + np.arange(k)]] if len(starts) else np.zeros((0, k), np.int64))
+            at = np.flatnonzero(left >= k)
+            _, first, place = np.unique(known[at] * terms + code[at + k - 1], return_index=True, return_inverse=True)
+            every.append([",".join(map(str, x)) for x in ids[code[at[first][:, None] + np.arange(k)]].tolist()])
             rows.append(row[at])
-            tuples.append(first + place)
-            known = np.full(len(code), 0, np.int64)
+            features.append(number + place)
+            known = np.zeros(len(code), np.int64)
             known[at] = place
-            first, size = first + len(different), len(different)
-        row, feature = np.concatenate(rows), np.concatenate(tuples)
+            number += len(first)
+        row, feature = np.concatenate(rows), np.concatenate(features)
         order = np.argsort(row, kind="stable")
-        flat = np.concatenate([v.ravel() for v in values])
-        offsets = np.cumsum([0, *(k for v in values for k in [v.shape[1]] * len(v))])
-        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-        made = run_tables.row(left["run"][0].as_py(), left["side"][0].as_py(), left["doc_ids"][0].values, left["apart"][0].values, n_words, np.bincount(row, minlength=len(n_words)), feature[order], listed, np.bincount(feature, minlength=first))
+        made = run_tables.row(run["run"].as_py(), run["side"].as_py(), run["doc_ids"].values, run["apart"].values, n_words, np.bincount(row, minlength=len(n_words)), feature[order], [x.encode() for xs in every for x in xs], np.bincount(feature, minlength=number), buckets)
         return pa.Table.from_batches([made])
 
     return tupled
 
 
-def _weighed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The sums of the gains of a run's documents; the right table has the gains of its terms."""
-    terms = len(left["terms"][0])
-    gain = np.zeros(terms, np.int64)
-    gain[right["code"].to_numpy()] = right["gain"].to_numpy()
-    n_words, n_features = left["n_words"][0].values.to_numpy(), left["n_features"][0].values.to_numpy()
-    total = words.row_sums(gain[run_tables.unpacked(left["codes"][0].as_py(), terms)], np.concatenate([[0], np.cumsum(n_features)]))
-    ids = left["doc_ids"][0].values
-    return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_features": pa.array(n_features, pa.int64()), "total": pa.array(total, pa.int64())})
+def _weighed(run: dict, facts: dict[str, np.ndarray]) -> pa.Table:
+    """The sums of the gains of a run's documents."""
+    gain, n_words, n_features = facts["gain"], run["n_words"].values.to_numpy(), run["n_features"].values.to_numpy()
+    total = words.row_sums(gain[run_tables.unpacked(run["codes"].as_py(), len(gain))], np.concatenate([[0], np.cumsum(n_features)]))
+    return pa.table({"doc_id": run["doc_ids"].values, "n_words": pa.array(n_words, pa.int64()), "n_features": pa.array(n_features, pa.int64()), "total": pa.array(total, pa.int64())})
 
 
 def hashed(terms: DataFrame, vocabulary: DataFrame | None, buckets: int) -> DataFrame:
-    """terms with bucket, from the bytes of each; tuples of ids get their words from the vocabulary."""
+    """terms with the bucket that each is hashed to, from its bytes; tuples of ids get their words from the vocabulary."""
     if vocabulary is None:
-        return terms.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
-    each = terms.select(F.col("term_id").alias("tuple_id"), F.posexplode("term").alias("pos", "term_id"))
+        return terms.withColumn("hashed", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
+    each = terms.select(F.col("term_id").alias("tuple_id"), F.posexplode(F.split("term", ",").cast("array<long>")).alias("pos", "term_id"))
     joined = each.join(vocabulary.select("term_id", F.col("term").alias("word")), "term_id")
     texts = joined.groupBy("tuple_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "word")))["word"], " ").alias("text"))
-    return terms.join(texts, terms["term_id"] == texts["tuple_id"]).select(*terms.columns, F.pmod(F.crc32("text"), F.lit(buckets)).cast("int").alias("bucket"))
+    return terms.join(texts, terms["term_id"] == texts["tuple_id"]).select(*terms.columns, F.pmod(F.crc32("text"), F.lit(buckets)).cast("int").alias("hashed"))
 
 
 def gains(tuples: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, gain) of the buckets that occur: at most as many rows as there are buckets."""
-    counts = tuples.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    """(hashed, gain) of the buckets that occur: at most as many rows as there are buckets."""
+    counts = tuples.groupBy("hashed").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     total = counts.agg(F.sum("s").cast("double").alias("all_s"), F.sum("t").cast("double").alias("all_t"))
     ratio = (F.col("t").cast("double") + 1) * (F.col("all_s") + buckets) / ((F.col("s").cast("double") + 1) * (F.col("all_t") + buckets))
-    return counts.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
+    return counts.crossJoin(F.broadcast(total)).select("hashed", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
 def _floored(total, n):
@@ -119,20 +102,19 @@ def weights(docs: DataFrame, target: DataFrame, most: int = MOST_WORDS, buckets:
     """
     whole = F.lit(False).alias("apart")
     sides = docs.select("doc_id", "text", whole), target.select(F.lit(None).cast("long").alias("doc_id"), "text", whole)
-    one, other = (run_tables.encoded(df, words.alnum_table(), k) for k, df in enumerate(sides))
+    pieces = run_tables.bucket_count(*sides)
+    one, other = (run_tables.encoded(df, words.alnum_table(), pieces, k) for k, df in enumerate(sides))
     runs = run_tables.kept(one.unionByName(other), "runs")
-    vocabulary = dictionary(runs)
-    used, tables = [runs, vocabulary], vocabulary
+    vocabulary = run_tables.dictionary(runs)
+    used, terms = [runs, vocabulary], vocabulary
     if most > 1:
-        ids = run_tables.terms(runs).join(vocabulary.select("term", "term_id"), "term").select("run", "code", "term_id")
-        runs = run_tables.kept(run_tables.together(runs, ids, _tupled(most), run_tables.TUPLES), "tuple-runs")
-        tables = dictionary(runs)
-        used += [runs, tables]
-    tuples = run_tables.kept(hashed(tables, vocabulary if most > 1 else None, buckets).select("term", "bucket", "s", "t"), "tuples")
-    scored = tuples.join(F.broadcast(gains(tuples, buckets)), "bucket").select("term", "gain")
-    own = runs.filter("side = 0")
-    back = run_tables.terms(own).select("run", "code", "term").join(scored, "term").select("run", "code", "gain")
-    found = run_tables.together(own, back, _weighed, "doc_id long, n_words long, n_features long, total long")
+        pieces *= most
+        runs = run_tables.kept(run_tables.with_facts(runs, vocabulary, ("term_id",), _tupled(most, pieces), run_tables.RUN), "tuple-runs")
+        terms = run_tables.dictionary(runs)
+        used += [runs, terms]
+    tuples = run_tables.kept(hashed(terms, vocabulary if most > 1 else None, buckets).select("bucket", "term", "hashed", "s", "t"), "tuples")
+    scored = tuples.join(F.broadcast(gains(tuples, buckets)), "hashed")
+    found = run_tables.with_facts(runs, scored, ("gain",), _weighed, "doc_id long, n_words long, n_features long, total long", side=0)
     out = run_tables.kept(found.select("doc_id", "n_words", "n_features", _floored(F.col("total"), F.col("n_features")).alias("weight")), "weights")
     for table in (*used, tuples):
         forget(table)
