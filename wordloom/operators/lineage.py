@@ -39,3 +39,19 @@ def settled(df: DataFrame) -> DataFrame:
 def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """df, to be sent to all tasks if it has at most so many rows; it is counted first."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a table in the shared folder, in folders by some columns, and read again: its lineage is cut, and its files can be deleted."""
+    spark, schema, path = df.sparkSession, df.schema, shared_folder(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

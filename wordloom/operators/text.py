@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import words_of
+from ..functions.expressions import hash_number, words_of
 from .lineage import sent
 from .ranks import number_rows
 
@@ -45,8 +45,8 @@ def scan_tokens(docs: DataFrame, max_token_len: int | None = None) -> DataFrame:
 
 
 def corpus_lines(docs: DataFrame, lower: bool = False) -> DataFrame:
-    """(doc_id, line): a document's words joined by one space, as a prepared corpus has them."""
-    return docs.select("doc_id", F.array_join(words_of(F.col("text"), lower), " ").alias("line"))
+    """(doc_id, line): a document's words joined by one space, as a prepared corpus has them; null and empty texts have an empty line."""
+    return docs.select("doc_id", F.array_join(words_of(F.coalesce("text", F.lit("")), lower), " ").alias("line"))
 
 
 def vocabulary(stream: DataFrame, min_count: int = 1) -> DataFrame:
@@ -91,6 +91,16 @@ def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
     return vocab.crossJoin(F.broadcast(total)).select("word", F.least(F.lit(1.0), (F.sqrt(F.col("cn") / limit) + 1) * limit / F.col("cn")).alias("keep"))
 
 
+def thinned(stream: DataFrame, vocab: DataFrame, sample: float, seed: int = 1) -> DataFrame:
+    """The stream's known tokens without those that the keep test drops; its random numbers follow from the seed and the place.
+
+    The places of the tokens that stay have gaps; encoded_sentences closes them.
+    """
+    chance = sent(keep_probability(vocab, sample))
+    drawn = (hash_number(F.lit(seed), F.lit("keep"), F.col("doc_id"), F.col("sent_id"), F.col("pos")) + 0.5) / F.lit(4294967296.0)
+    return stream.join(chance, "word").filter(drawn < F.col("keep")).drop("keep")
+
+
 def sigmoid_table(spark, size: int = 1000, bound: float = 6.0) -> DataFrame:
     """(i, x, value): the logistic function at the lower ends of ``size`` bins of (-bound, bound)."""
     x = (F.col("id") / F.lit(float(size)) * 2 - 1) * F.lit(bound)

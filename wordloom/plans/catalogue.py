@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import WORD, hash_number
-from ..operators import context, enrich, gsea, network, phrases, shrink, text, train, vectors
+from ..operators import context, enrich, gsea, neighbors, network, phrases, shrink, text, train, train_sharded, vectors
 from ..operators.lineage import shared_folder
 from ..sources import files
 from . import inputs
@@ -89,8 +89,11 @@ offs AS (SELECT *, unnest(range(greatest(pos - r, 0), least(pos + r, len(ws) - 1
 pairs AS (SELECT ws[pos + 1] AS word, ws[j + 1] AS context, j - pos AS off FROM offs WHERE j <> pos)"""
 
 
-def _pairs(spark, d):
-    return context.pairs(_sentences(spark, d))
+def _pair_counts(spark, d, side=lambda pairs: pairs, count=context.counts):
+    """Pairs are made and counted as ids; the words of the counts come last."""
+    vocab = _ranked(spark, d)
+    pairs = context.pairs(text.encoded_sentences(_stream(spark, d), vocab), of="ids")
+    return context.named(count(side(pairs)), vocab)
 
 
 # ---- vectors
@@ -256,6 +259,7 @@ QUERIES = {
     "train_words_total": lambda s, d: text.word_total(_vocab(s, d)),
     "vocab_lookup_oov": _oov,
     "noise_distribution": _noise,
+    "subsample_stream": lambda s, d: text.thinned(_stream(s, d), _ranked(s, d), 1e-3).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places")),
     "subsample_keep_prob": lambda s, d: _rounded(text.keep_probability(_vocab(s, d), 1e-3), "keep"),
     "sigmoid_table": lambda s, d: _rounded(text.sigmoid_table(s), "x", "value"),
     "alpha_schedule": lambda s, d: text.alpha_schedule(text.word_total(_vocab(s, d))).select("step", F.round("alpha", 9).alias("alpha")),
@@ -265,14 +269,15 @@ QUERIES = {
     "phrases_selected": lambda s, d: _rounded(phrases.selected(phrases.scores(_token_lines(s, d))), "score"),
     "phrase_join": _joined(1),
     "phrase_join_pass2": _joined(2),
-    "context_pairs": lambda s, d: context.counts(_pairs(s, d)),
-    "context_left": lambda s, d: context.counts(context.left(_pairs(s, d))),
-    "context_right": lambda s, d: context.counts(context.right(_pairs(s, d))),
-    "cooccur_direction_ratio": lambda s, d: _rounded(context.direction(_pairs(s, d)), "ratio"),
+    "context_pairs": _pair_counts,
+    "context_left": lambda s, d: _pair_counts(s, d, context.left),
+    "context_right": lambda s, d: _pair_counts(s, d, context.right),
+    "cooccur_direction_ratio": lambda s, d: _rounded(_pair_counts(s, d, count=context.direction), "ratio"),
     "extract_rows": lambda s, d: vectors.extract(inputs.four_models(s, d), inputs.label_words(s, d, 3)).select("model", "word", F.posexplode("vec").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), _R)),
     "extract_average": lambda s, d: vectors.average(inputs.four_models(s, d), inputs.label_words(s, d, 3)).select("model", F.posexplode("vec").alias("i", "v")).withColumn("v", F.round("v", _R)),
     "cosine_matrix": lambda s, d: _rounded(vectors.cosines(inputs.four_models(s, d), inputs.label_words(s, d, 3)), "cos"),
     "nearest_to": lambda s, d: _rounded(vectors.nearest(inputs.whole_model(s, d), vectors.words_table(s, ["4"]), 10), "cos"),
+    "nearest_all": lambda s, d: _rounded(neighbors.nearest_all(inputs.four_models(s, d)), "cos"),
     "nearest_to_batch": lambda s, d: _rounded(vectors.nearest(inputs.four_models(s, d), inputs.label_words(s, d, 3), 10), "cos"),
     "control_sample": lambda s, d: vectors.control_sample(inputs.embeddings(s, d), 100),
     "word_set_union": lambda s, d: vectors.union_sets(inputs.label_words(s, d, 3), inputs.label_words(s, d, 4), _heads(s)),
@@ -306,6 +311,8 @@ QUERIES = {
     "train_biword2vec_2x2": lambda s, d: train.train_biword2vec(_stream(s, d), full=True, negative=5),
     "train_word2vec_left": lambda s, d: train.train_word2vec(_stream(s, d), side="left"),
     "train_word2vec_right": lambda s, d: train.train_word2vec(_stream(s, d), side="right"),
+    "train_word2vec_sharded": lambda s, d: train_sharded.train_word2vec_sharded(_stream(s, d)),
+    "train_biword2vec_sharded": lambda s, d: train_sharded.train_biword2vec_sharded(_stream(s, d)),
     "prepared_corpus": lambda s, d: phrases.prepared(inputs.documents(s, d), lower=True, bundle_ngrams=2),
     "corpus_file": _corpus_file,
     "vocab_file": _vocab_file,
@@ -320,7 +327,7 @@ _M = f"FROM models JOIN (SELECT vec_id::VARCHAR AS word FROM embeddings WHERE la
 ORACLE_SQL = {
     "tokenize": f"WITH {_LINES}, t AS (SELECT doc_id, sent_id, regexp_extract_all(line, '{_WORD_SQL}') AS ws FROM lines) SELECT doc_id, sent_id, i - 1 AS pos, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)",
     "tokenize_lower": f"WITH {_STREAM} SELECT doc_id, sent_id, pos, word FROM stream",
-    "corpus_lines": f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_WORD_SQL}'), ' ') AS line FROM documents",
+    "corpus_lines": f"SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}'), ' ') AS line FROM documents",
     "scan_tokens_ws": f"WITH {_LINES}, t AS (SELECT doc_id, sent_id, regexp_extract_all(line, '[^ \\t]+') AS ws FROM lines) SELECT doc_id, sent_id, i - 1 AS pos, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t)",
     "sentences_chunked": f"WITH {_SENTENCES} SELECT doc_id, sent_id, chunk, len(ws)::BIGINT AS n_words, array_to_string(ws, ' ') AS line FROM chunks",
     "vocab_counts": f"WITH {_STREAM} SELECT word, count(*) AS cn FROM stream GROUP BY word",
@@ -330,11 +337,12 @@ ORACLE_SQL = {
     "vocab_lookup_oov": f"WITH {_RANKED} SELECT doc_id, count(*) AS n_tokens, count(word_id) AS n_known, sum(coalesce(word_id, 0))::BIGINT AS id_sum FROM stream LEFT JOIN ranked USING (word) GROUP BY doc_id",
     "noise_distribution": f"WITH {_VOCAB.replace('vocab AS (', 'vocab AS MATERIALIZED (')}, z AS (SELECT sum(pow(cn, 0.75)) AS z FROM vocab) SELECT word, round(1000 * pow(cn, 0.75) / z, {_R}) AS p1000 FROM vocab, z",
     "prepared_corpus": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, array_to_string(flatten(list(ws ORDER BY sent_id)), ' ') AS line FROM pline GROUP BY doc_id",
-    "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(text, '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n FROM l GROUP BY text",
+    "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n FROM l GROUP BY text",
     "vocab_file": f"WITH {_RANKED} SELECT word, cn, word_id FROM ranked",
     "nearest_to_vector": f"WITH {_WHOLE}, v AS (SELECT [CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[] AS v) SELECT 'whole' AS model, word, round(cos, {_R}) AS cos, row_number() OVER (ORDER BY cos DESC, word) AS rank FROM (SELECT word, {_cos('vec', 'v')} AS cos FROM whole, v) ORDER BY rank LIMIT 10",
     "wssa_control_scores": f"WITH {_WHOLE}, models AS (SELECT 'whole' AS model, word, vec FROM whole), {_HEADS}, near AS (SELECT w.word, {_cos('w.vec', 'h.vec')} AS cos FROM models AS w, models AS h JOIN heads ON heads.word = h.word), own AS (SELECT word FROM whole WHERE label = 3), controls AS (SELECT word FROM whole WHERE label IS DISTINCT FROM 3 ORDER BY md5('1|' || word), word LIMIT 200) SELECT word, round(avg(cos), {_R}) AS score FROM near WHERE word IN (SELECT word FROM own UNION ALL SELECT word FROM controls) GROUP BY word",
     "vectors_roundtrip": f"SELECT vec_id::VARCHAR AS word, vec_id AS word_id, i - 1 AS i, round(embedding[i]::DOUBLE, {_R}) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)",
+    "subsample_stream": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab), k AS (SELECT word, least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn) AS keep FROM vocab, t) SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS places FROM stream JOIN k USING (word) WHERE (('0x' || substr(md5(concat_ws('|', 1, 'keep', doc_id, sent_id, pos)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE < keep GROUP BY doc_id",
     "subsample_keep_prob": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab) SELECT word, round(least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn), {_R}) AS keep FROM vocab, t",
     "sigmoid_table": f"SELECT i, round((i / 1000.0::DOUBLE * 2 - 1) * 6, {_R}) AS x, round(exp((i / 1000.0::DOUBLE * 2 - 1) * 6) / (exp((i / 1000.0::DOUBLE * 2 - 1) * 6) + 1), {_R}) AS value FROM range(1000) AS r(i)",
     "alpha_schedule": f"WITH {_VOCAB}, t AS (SELECT sum(cn)::DOUBLE AS total FROM vocab) SELECT step, round(greatest(0.025::DOUBLE * (1 - (step / 100.0::DOUBLE * 5 * total) / (5 * total + 1)), 0.0000025::DOUBLE), 9) AS alpha FROM t, range(101) AS r(step)",
@@ -352,6 +360,7 @@ ORACLE_SQL = {
     "extract_average": f"WITH {_FOUR} SELECT model, i - 1 AS i, round(avg(vec[i]), {_R}) AS v FROM (SELECT model, word, vec, unnest(range(1, 17)) AS i {_M}) GROUP BY model, i",
     "cosine_matrix": f"WITH {_sims(_FOUR, _LABEL3)} SELECT model, word, header, round(cos, {_R}) AS cos FROM near",
     "nearest_to": f"WITH {_WHOLE}, models AS (SELECT 'whole' AS model, word, vec FROM whole), heads AS (SELECT '4' AS word), near AS (SELECT w.model, w.word, h.word AS header, {_cos('w.vec', 'h.vec')} AS cos FROM models AS w, models AS h JOIN heads ON heads.word = h.word) SELECT model, query, word, round(cos, {_R}) AS cos, rank FROM ({_near(10)})",
+    "nearest_all": f"WITH {_sims(_FOUR, 'heads AS (SELECT vec_id::VARCHAR AS word FROM embeddings)')} SELECT model, query, word, round(cos, {_R}) AS cos, rank FROM ({_near(10)})",
     "nearest_to_batch": f"WITH {_sims(_FOUR, _LABEL3)} SELECT model, query, word, round(cos, {_R}) AS cos, rank FROM ({_near(10)})",
     "control_sample": "SELECT vec_id::VARCHAR AS word FROM embeddings ORDER BY md5('1|' || vec_id::VARCHAR), vec_id::VARCHAR LIMIT 100",
     "word_set_union": "SELECT DISTINCT vec_id::VARCHAR AS word FROM embeddings WHERE label IN (3, 4) OR vec_id IN (4, 5)",
