@@ -227,13 +227,58 @@ def test_one_sided_examples():
         assert len(inputs) and all((at[int(a)] < at[int(target[s])]) == before for a, s in zip(inputs, slot, strict=True))
 
 
-def test_random_sets_have_no_repeats():
-    from wordloom.operators import gsea
-
+def test_random_orders_have_no_repeats():
     for n, size in ((1000, 5), (30, 10), (10, 9)):
-        sets = gsea.random_sets(np.random.default_rng(1), n, size, 400)
-        assert sets.shape == (400, size) and (np.diff(sets, axis=1) > 0).all() and sets.min() >= 0 and sets.max() < n
-        assert abs(sets.mean() - (n - 1) / 2) < n / 20
+        orders = gsea.random_orders(np.random.default_rng(1), n, size, 400)
+        assert orders.shape == (400, size) and (np.diff(np.sort(orders, 1), axis=1) > 0).all() and orders.min() >= 0 and orders.max() < n
+        assert abs(orders.mean() - (n - 1) / 2) < n / 20 and abs(orders[:, 0].mean() - (n - 1) / 2) < n / 10
+
+
+def _running_sum(weights, chosen):
+    """The extreme of the whole running sum, step by step."""
+    total, n, x = sum(weights[i] for i in chosen), len(weights), 0.0
+    high = low = 0.0
+    for i in range(n):
+        x += (weights[i] / total if total else 0) if i in chosen else -1 / (n - len(chosen))
+        high, low = max(high, x), min(low, x)
+    return high if high >= -low else low, abs(high + low) < 1e-9  # the second: as high as it is low
+
+
+def test_one_order_gives_the_scores_of_all_sizes():
+    rng = np.random.default_rng(5)
+    weights = np.sort(np.abs(rng.normal(size=60)))[::-1]
+    ranks = gsea.random_orders(rng, 60, 25, 30)
+    sizes = np.arange(1, 26)
+    got = gsea.prefix_scores(ranks, weights[ranks], 60, sizes)
+    for i, m in enumerate(sizes.tolist()):
+        for k in range(30):
+            want, tied = _running_sum(weights, set(ranks[k, :m].tolist()))
+            assert abs(got[i, k]) == pytest.approx(abs(want), abs=1e-9) and (tied or got[i, k] * want > 0)
+    nothing = gsea.prefix_scores(ranks[:2], np.zeros((2, 25)), 60, sizes)
+    assert np.isfinite(nothing).all()
+
+
+def test_random_scores_of_contrasts_in_pieces(spark):
+    """Weights cut into pieces give what the whole arrays give, for equal seeds."""
+    rng = np.random.default_rng(2)
+    rows = [(c, f"k{i:03}", float(rng.normal())) for c, n in (("x", 150), ("y", 40)) for i in range(n)] + [("x", "none", None)]
+    scores = spark.createDataFrame(rows, "contrast string, key string, score double").repartition(4)
+    sizes = spark.createDataFrame([(c, m) for c in "xy" for m in (1, 5, 5, 17)], "contrast string, size long")
+    test = gsea.SetTest(nperm=300)
+    read = lambda **options: {(r.contrast, r.size, r.perm): r.null for r in gsea.null_scores(scores, sizes, test, **options).collect()}
+    whole = read()
+    assert len(whole) == 2 * 3 * 300
+    for contrast, n in (("x", 150), ("y", 40)):
+        weights = np.array(sorted((abs(s) for c, _, s in rows if c == contrast and s is not None), reverse=True))
+        ordered = sorted((s for c, _, s in rows if c == contrast and s is not None), reverse=True)
+        weights = np.abs(np.array(ordered))
+        means = {m: np.mean([abs(whole[contrast, m, p]) for p in range(300)]) for m in (5, 17)}
+        plain = [abs(_running_sum(weights, set(rng.permutation(n)[:17].tolist()))[0]) for _ in range(300)]
+        assert means[17] == pytest.approx(np.mean(plain), rel=0.1) and means[5] > means[17]
+    assert read(piece_size=16) == whole
+    assert gsea.null_scores(scores.filter("false"), sizes, test).count() == 0
+    summary = {(r.contrast, r.size): r.sets for r in gsea.null_summary(gsea.null_scores(scores, sizes, test)).groupBy("contrast", "size").agg({"sets": "sum"}).withColumnRenamed("sum(sets)", "sets").collect()}
+    assert set(summary.values()) == {300}
 
 
 def test_headers_in_blocks_give_the_same_cosines(spark, monkeypatch):

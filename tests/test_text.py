@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.operators import context, phrases, ranks, text
 from wordloom.sources import files
@@ -112,3 +113,47 @@ def test_streaming_counts(spark, tmp_path):
     q = vocabulary_stream(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.word, r.cn) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_noise_shares_fill_the_unit(spark, monkeypatch):
+    monkeypatch.setattr(text, "_RANGE", 7)
+    vocab = spark.createDataFrame([(f"w{i:02}", 100 - i, i) for i in range(40)], "word string, cn long, word_id long").repartition(3)
+    rows = text.noise_cdf(vocab).orderBy("word_id").collect()
+    assert rows[0].low == pytest.approx(0) and rows[-1].high == pytest.approx(1)
+    assert all(a.high == pytest.approx(b.low) for a, b in zip(rows, rows[1:]))
+    whole = sum((100 - i) ** 0.75 for i in range(40))
+    assert all(r.high - r.low == pytest.approx((100 - r.word_id) ** 0.75 / whole) for r in rows)
+
+
+def test_draws_follow_the_noise(spark):
+    vocab = spark.createDataFrame([("the", 10_000, 0), ("of", 500, 1), ("a", 3, 2)], "word string, cn long, word_id long")
+    targets = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("sent_id"), F.lit(0).alias("pos"), F.lit(1).cast("long").alias("word_id"))
+    got = {r.drawn: r.n for r in text.negative_draws(targets, vocab, 4).groupBy("drawn").agg(F.count("*").alias("n")).collect()}
+    share = {r.word_id: r.p for r in text.noise(vocab).collect()}
+    assert set(got) <= {0, 2} and abs(got[0] - 12_000 * share[0]) < 200
+    assert text.negative_draws(targets.filter("false"), vocab).count() == 0
+
+
+def test_numbers_within_groups_that_span_tasks(spark):
+    from wordloom.operators.ranks import number_within
+
+    df = spark.range(500).select(F.when(F.col("id") % 5 < 3, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), "id").repartition(5)
+    got = {}
+    for r in number_within(df, "k", "g", F.desc("id")).collect():
+        got.setdefault(r.g, []).append((r.id, r.k))
+    for rows in got.values():
+        rows.sort(reverse=True)
+        assert [k for _, k in rows] == list(range(1, len(rows) + 1))
+    assert len(got["hot"]) == 300
+
+
+def test_pairs_cross_documents(spark):
+    docs = spark.createDataFrame([(1, "a b\n\nc"), (2, ""), (3, None), (4, "!!\nd"), (9, "a b")], "doc_id long, text string").repartition(3)
+    got = {(r.a, r.b): r.pab for r in phrases.cross_line_bigrams(text.token_lines(docs)).collect()}
+    assert got == {("a", "b"): 2, ("b", "c"): 1, ("c", "d"): 1, ("d", "a"): 1}
+
+
+def test_every_document_has_a_line(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "!!")], "doc_id long, text string")
+    for made in (phrases.prepared(docs, bundle_ngrams=2), text.corpus_lines(docs)):
+        assert {r.doc_id: r.line for r in made.collect()} == {1: "a b", 2: "", 3: "", 4: ""}

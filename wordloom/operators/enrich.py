@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .gsea import SetTest, set_test
 from .lineage import sent, settled
+from .ranks import number_within
 from .vectors import control_sample, cosines, except_set, nearest, union_sets, words_table
 
 
 def similarity(models: DataFrame, words: DataFrame, headers: DataFrame) -> DataFrame:
     """(word, header, model, cos) for all words, headers and models; null where a model lacks either."""
     names = models.select("model").distinct()
-    grid = words.select("word").distinct().crossJoin(F.broadcast(headers.select(F.col("word").alias("header")).distinct())).crossJoin(F.broadcast(names))
+    grid = words.select("word").distinct().crossJoin(sent(headers.select(F.col("word").alias("header")).distinct())).crossJoin(sent(names))
     return grid.join(cosines(models, headers), ["word", "header", "model"], "left")
 
 
@@ -34,9 +35,9 @@ def imputed(sims: DataFrame) -> DataFrame:
 
 
 def quantile_normalized(sims: DataFrame) -> DataFrame:
-    """(key, model, norm): each model's values replaced by the mean over models of the values of their rank; ties by key."""
+    """(key, model, norm): each model's values replaced by the mean over models of the values of their rank; ties by key.  A model is dealt out over many tasks."""
     keyed = sims.select(F.concat_ws("-", "word", "header").alias("key"), "model", "cos")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("cos", "key")))
+    ranked = number_within(keyed, "rank", "model", F.asc("cos"), F.asc("key"))
     means = ranked.groupBy("rank").agg(F.avg("cos").alias("norm"))
     return ranked.join(means, "rank").select("key", "model", "norm")
 
@@ -44,7 +45,7 @@ def quantile_normalized(sims: DataFrame) -> DataFrame:
 def _standard(scores: DataFrame) -> DataFrame:
     """Scores less their mean, by their standard deviation, for each contrast."""
     sums = scores.groupBy("contrast").agg(F.avg("score").alias("mu"), F.stddev_samp("score").alias("sd"))
-    return scores.join(F.broadcast(sums), "contrast").select("contrast", "key", ((F.col("score") - F.col("mu")) / F.col("sd")).alias("score"))
+    return scores.join(sent(sums), "contrast").select("contrast", "key", ((F.col("score") - F.col("mu")) / F.col("sd")).alias("score"))
 
 
 def _against(normed: DataFrame, condition) -> DataFrame:
@@ -66,9 +67,9 @@ def one_v_all(normed: DataFrame) -> DataFrame:
 
 def group_contrasts(normed: DataFrame, groups: DataFrame) -> DataFrame:
     """The least excess of a group's models (group_id, model) over those outside it, standardised."""
-    members = F.broadcast(groups.select("group_id", "model").distinct())
+    members = sent(groups.select("group_id", "model").distinct())
     inside = normed.join(members, "model").select("group_id", "key", F.col("norm").alias("inside"))
-    outside = normed.crossJoin(F.broadcast(groups.select("group_id").distinct())).join(members, ["group_id", "model"], "left_anti").select("group_id", "key", F.col("norm").alias("outside"))
+    outside = normed.crossJoin(sent(groups.select("group_id").distinct())).join(members, ["group_id", "model"], "left_anti").select("group_id", "key", F.col("norm").alias("outside"))
     # min over pairs of (inside - outside) = least inside - greatest outside
     low = inside.groupBy("group_id", "key").agg(F.min("inside").alias("low"))
     high = outside.groupBy("group_id", "key").agg(F.max("outside").alias("high"))
@@ -77,7 +78,7 @@ def group_contrasts(normed: DataFrame, groups: DataFrame) -> DataFrame:
 
 def pathways(sets: DataFrame, headers: DataFrame) -> DataFrame:
     """(pathway, key): each set's words with every header."""
-    return sets.crossJoin(F.broadcast(headers.select(F.col("word").alias("header")).distinct())).select(F.col("set_id").alias("pathway"), F.concat_ws("-", "word", "header").alias("key")).distinct()
+    return sets.crossJoin(sent(headers.select(F.col("word").alias("header")).distinct())).select(F.col("set_id").alias("pathway"), F.concat_ws("-", "word", "header").alias("key")).distinct()
 
 
 def wsea(models: DataFrame, sets: DataFrame, headers: list[str], groups: DataFrame | None = None, numwords: int = 1000, test: SetTest | None = None) -> dict[str, DataFrame]:

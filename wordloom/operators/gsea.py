@@ -3,19 +3,27 @@
 scores: (contrast, key, score); pathways: (pathway, key).  Keys are ranked by falling
 score, ties by key.  The running sum rises at a set's keys by |score|**p, scaled to 1 in
 all, and falls evenly at the others; the enrichment score is its extreme.  It is only
-worked out at the keys of the sets: in front of and behind each.
+worked out at the keys of the sets: in front of and behind each.  Ranks are made over
+ranges of the order, so that a contrast is not one task.
+
+Random sets of all sizes come from one random order of keys for each permutation: its
+first m keys are a random set of size m, so one permutation gives the extremes of every
+size (Sergushichev 2016).  Weights are kept in pieces by rank and come to the draws piece
+by piece: no task and no row holds a contrast.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import settled
+from .lineage import sent, settled
+from .ranks import number_within
 
 
 @dataclass(frozen=True)
@@ -32,13 +40,15 @@ class SetTest:
 def hits(scores: DataFrame, pathways: DataFrame, test: SetTest = SetTest()) -> DataFrame:
     """(contrast, pathway, key, size, before, after): the running sum before and after each key of a set."""
     known = scores.filter("score IS NOT NULL")
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("contrast").orderBy(F.desc("score"), "key")))
-    n = known.groupBy("contrast").agg(F.count("*").alias("n"))
+    ranked = number_within(known, "rank", "contrast", F.desc("score"), F.asc("key"))
+    n = sent(known.groupBy("contrast").agg(F.count("*").alias("n")))
     found = ranked.join(pathways.distinct(), "key").withColumn("r", F.pow(F.abs("score"), F.lit(test.param)))
+    # Sets are counted first: the windows below see sets of fitting size only.
+    sizes = found.groupBy("contrast", "pathway").agg(F.count("*").alias("size")).join(n, "contrast")
+    sizes = sizes.filter(F.col("size").between(test.min_size, test.max_size) & (F.col("size") < F.col("n")))
     whole = Window.partitionBy("contrast", "pathway")
     order = whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = found.withColumns({"size": F.count("*").over(whole), "all": F.sum("r").over(whole), "upto": F.sum("r").over(order), "k": F.count("*").over(order)})
-    fit = summed.join(F.broadcast(n), "contrast").filter(F.col("size").between(test.min_size, test.max_size) & (F.col("size") < F.col("n")))
+    fit = found.join(sizes, ["contrast", "pathway"]).withColumns({"all": F.sum("r").over(whole), "upto": F.sum("r").over(order), "k": F.count("*").over(order)})
     falls = (F.col("rank") - F.col("k")) / (F.col("n") - F.col("size"))
     share = lambda x: F.when(F.col("all") > 0, x / F.col("all")).otherwise(F.lit(0.0))
     return fit.select("contrast", "pathway", "key", "rank", "size", "n", (share(F.col("upto") - F.col("r")) - falls).alias("before"), (share(F.col("upto")) - falls).alias("after"))
@@ -59,49 +69,123 @@ def leading_edge(hits: DataFrame) -> DataFrame:
     return at.filter((up & (F.col("rank") <= F.col("top"))) | (~up & (F.col("rank") >= F.col("bottom")))).select("contrast", "pathway", "key")
 
 
-def random_sets(rng, n: int, size: int, count: int) -> np.ndarray:
-    """count random sets of size of n numbers, each in order.
+def random_orders(rng, n: int, size: int, count: int) -> np.ndarray:
+    """count times the first size numbers of a random order of n.
 
-    Small sets are drawn with repeats and drawn again if they have any, so that memory
-    follows from the sets and not from n; a set of much of n is the start of a shuffle.
+    Short ones are drawn with repeats and drawn again if they have any, so that memory
+    follows from what is drawn and not from n.
     """
     if size * size > n:
-        return np.sort(np.stack([rng.permutation(n)[:size] for _ in range(count)]), axis=1)
-    picked = np.sort(rng.integers(0, n, (count, size)), axis=1)
-    while len(again := np.flatnonzero((picked[:, 1:] == picked[:, :-1]).any(1))):
-        picked[again] = np.sort(rng.integers(0, n, (len(again), size)), axis=1)
+        return np.stack([rng.permutation(n)[:size] for _ in range(count)])
+    picked = rng.integers(0, n, (count, size))
+    while len(again := np.flatnonzero((np.diff(np.sort(picked, 1), axis=1) == 0).any(1))):
+        picked[again] = rng.integers(0, n, (len(again), size))
     return picked
 
 
-def random_scores(weights: np.ndarray, size: int, count: int, seed: tuple[int, ...]) -> np.ndarray:
-    """Enrichment scores of random sets; weights are |score|**p by falling score."""
-    rng, n = np.random.default_rng(seed), len(weights)
-    picked = random_sets(rng, n, size, count)
-    r = weights[picked]
-    total = r.sum(1, keepdims=True)
-    up = np.cumsum(r, 1) / np.where(total > 0, total, 1)
-    falls = (picked - np.arange(size)) / (n - size)
-    high, low = (up - falls).max(1), (up - r / np.where(total > 0, total, 1) - falls).min(1)
-    return np.where(high >= -low, high, low)
+def prefix_scores(rank: np.ndarray, weight: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """(len(sizes), orders): the enrichment score of the first m keys of each order, for every m of sizes.
+
+    rank: the keys' ranks from 0 in the order in which they are drawn; weight: theirs.
+    The keys of all sizes are sorted once; those of a smaller size are marked among them.
+    """
+    order = np.argsort(rank, axis=1)
+    ranks, weights = np.take_along_axis(rank, order, 1).astype(float), np.take_along_axis(weight, order, 1)
+    out = np.empty((len(sizes), len(rank)))
+    for i, m in enumerate(sizes.tolist()):
+        mine = order < m
+        r = weights * mine
+        up = np.cumsum(r, 1)
+        total = up[:, -1:]
+        share = np.where(total > 0, 1 / np.where(total > 0, total, 1), 0)
+        falls = (ranks - (np.cumsum(mine, 1) - mine)) / (n - m)
+        after = up * share - falls
+        before = np.where(mine, after - r * share, np.inf).min(1)
+        after = np.where(mine, after, -np.inf).max(1)
+        out[i] = np.where(after >= -before, after, before)
+    return out
+
+
+#: Keys of a stored piece of a contrast's weights, and permutations that are worked out together.
+PIECE, PERMUTATIONS = 1 << 16, 250
+
+
+def _weight_piece(table: pa.Table) -> pa.Table:
+    table = table.sort_by("rank")
+    return pa.table({"contrast": table["contrast"][:1], "piece": table["piece"][:1], "weights": pa.array([table["w"].to_numpy().astype("<f8").tobytes()], pa.binary())})
+
+
+_DRAWN = "contrast string, piece long, perm_block long, n long, sizes array<int>, at binary, place binary"
+
 
+def _draw(test: SetTest, block: int, piece_size: int):
+    """The ranks of a block's orders, by piece; at: which order and place of it each is."""
 
-def null_scores(scores: DataFrame, sizes: DataFrame, test: SetTest = SetTest(), block: int = 250) -> DataFrame:
-    """(contrast, size, perm_block, null): random scores for each contrast and set size (contrast, size).
+    def draw(batches):
+        for batch in batches:
+            for contrast, number, n, sizes in zip(*(batch[c].to_pylist() for c in ("contrast", "perm_block", "n", "sizes")), strict=True):
+                count, most = min(block, test.nperm - number * block), max(sizes)
+                digest = int.from_bytes(hashlib.sha256(contrast.encode()).digest()[:8], "big")
+                ranks = random_orders(np.random.default_rng((test.seed, digest, number)), n, most, count).ravel()
+                order = np.argsort(ranks // piece_size, kind="stable")
+                pieces, first = np.unique(ranks[order] // piece_size, return_index=True)
+                for piece, at in zip(pieces.tolist(), np.split(order, first[1:]), strict=True):
+                    values = (contrast, piece, number, n, sizes, at.astype("<i4").tobytes(), (ranks[at] % piece_size).astype("<i4").tobytes())
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["contrast", "piece", "perm_block", "n", "sizes", "at", "place"])
 
-    A contrast's scores are one array, as long as the vocabulary of the models compared,
-    and go to the tasks once for each block of permutations.
+    return draw
+
+
+def _weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Draws from a piece with the weights at their places."""
+    weights = np.frombuffer(right["weights"][0].as_py(), "<f8") if len(right) else np.zeros(0)
+    drawn = [weights[np.frombuffer(x, "<i4")].tobytes() for x in left["place"].to_pylist()]
+    named = {"of_contrast": left["contrast"], "of_piece": left["piece"]} | {c: left[c] for c in ("perm_block", "n", "sizes", "at", "place")}
+    return pa.table(named | {"weight": pa.array(drawn, pa.binary())})
+
+
+def _null(block: int, piece_size: int):
+    """The scores of a block's orders, for all sizes."""
+
+    def null(table: pa.Table) -> pa.Table:
+        at = np.concatenate([np.frombuffer(x, "<i4") for x in table["at"].to_pylist()])
+        rank = np.concatenate([np.frombuffer(x, "<i4").astype(np.int64) + p * piece_size for x, p in zip(table["place"].to_pylist(), table["of_piece"].to_pylist(), strict=True)])
+        weight = np.concatenate([np.frombuffer(x, "<f8") for x in table["weight"].to_pylist()])
+        sizes = np.array(table["sizes"][0].as_py())
+        ranks, weights = np.empty(len(at), np.int64), np.empty(len(at))
+        ranks[at], weights[at] = rank, weight
+        found = prefix_scores(ranks.reshape(-1, sizes.max()), weights.reshape(-1, sizes.max()), table["n"][0].as_py(), sizes)
+        orders = found.shape[1]
+        perm = np.tile(np.arange(orders), len(sizes)) + table["perm_block"][0].as_py() * block
+        return pa.table({"contrast": pa.array([table["of_contrast"][0].as_py()] * found.size, pa.string()), "size": pa.array(np.repeat(sizes, orders), pa.int64()), "perm": pa.array(perm), "null": pa.array(found.ravel())})
+
+    return null
+
+
+def null_scores(scores: DataFrame, sizes: DataFrame, test: SetTest = SetTest(), block: int = PERMUTATIONS, piece_size: int = PIECE) -> DataFrame:
+    """(contrast, size, perm, null): random scores for each contrast and each of its set sizes (contrast, size), test.nperm of each.
+
+    What is shuffled are the draws, test.max_size or fewer for each permutation, and the
+    weights once.  Sizes must be smaller than their contrasts.
     """
-    arrays = scores.filter("score IS NOT NULL").groupBy("contrast").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "key"))).alias("x")).select("contrast", F.transform("x", lambda e: F.pow(F.abs(e["s"]), F.lit(test.param))).alias("w"))
-    blocks = -(-test.nperm // block)
-    jobs = sizes.distinct().crossJoin(scores.sparkSession.range(blocks).withColumnRenamed("id", "perm_block")).join(arrays, "contrast").repartition("contrast", "size", "perm_block")
+    known = scores.filter("score IS NOT NULL")
+    ranked = number_within(known.select("contrast", "key", "score"), "rank", "contrast", F.desc("score"), F.asc("key"))
+    placed = ranked.select("contrast", (F.col("rank") - 1).alias("rank"), F.pow(F.abs("score"), F.lit(test.param)).alias("w")).withColumn("piece", F.floor(F.col("rank") / piece_size))
+    weights = placed.groupBy("contrast", "piece").applyInArrow(_weight_piece, "contrast string, piece long, weights binary")
+    wanted = sizes.groupBy("contrast").agg(F.sort_array(F.collect_set(F.col("size").cast("int"))).alias("sizes"))
+    n = known.groupBy("contrast").agg(F.count("*").alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-test.nperm // block) - 1).cast("long"))).alias("perm_block")
+    jobs = n.join(wanted, "contrast").select("contrast", "n", "sizes", blocks).repartition("contrast", "perm_block")
+    drawn = jobs.mapInArrow(_draw(test, block, piece_size), _DRAWN)
+    met = drawn.groupBy("contrast", "piece").cogroup(weights.groupBy("contrast", "piece")).applyInArrow(_weigh, "of_contrast string, of_piece long, perm_block long, n long, sizes array<int>, at binary, place binary, weight binary")
+    return met.groupBy("of_contrast", "perm_block").applyInArrow(_null(block, piece_size), "contrast string, size long, perm long, null double")
 
-    def run(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                count = min(block, test.nperm - row.perm_block * block)
-                yield pd.DataFrame({"contrast": row.contrast, "size": row.size, "perm_block": row.perm_block, "null": random_scores(np.asarray(row.w), row.size, count, (test.seed, row.size, row.perm_block))})
 
-    return jobs.select("contrast", F.col("size").cast("long").alias("size"), "perm_block", "w").mapInPandas(run, "contrast string, size long, perm_block long, null double")
+def null_summary(null: DataFrame) -> DataFrame:
+    """(contrast, size, sign, sets, mean, low, high) of random scores: their number, mean and bounds on either side of 0."""
+    sign = F.when(F.col("null") >= 0, 1).otherwise(-1)
+    return null.groupBy("contrast", "size", sign.alias("sign")).agg(F.count("*").alias("sets"), F.avg("null").alias("mean"), F.min("null").alias("low"), F.max("null").alias("high"))
 
 
 def adjusted(p_values: DataFrame, *by: str) -> DataFrame:

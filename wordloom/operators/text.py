@@ -6,11 +6,11 @@ docs is a table (doc_id, text).  A line of a text is a sentence; a token stream
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_number, words_of
-from .lineage import sent
+from .lineage import sent, settled
 from .ranks import number_rows
 
 MIN_COUNT = 5
@@ -84,6 +84,44 @@ def noise(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     return vocab.crossJoin(F.broadcast(total)).select("word", "word_id", (F.pow("cn", F.lit(power)) / F.col("z")).alias("p"))
 
 
+#: Word ids of a range of the running shares.
+_RANGE = 4096
+
+
+def noise_cdf(vocab: DataFrame, power: float = 0.75) -> DataFrame:
+    """(word, word_id, low, high): the share of (0, 1) in which a number draws the word; shares follow word_id.
+
+    Sums are made in ranges of ids and over the ranges, of which there is one row for
+    each _RANGE words, so that no task sees the vocabulary.
+    """
+    p = noise(vocab, power).withColumn("range", F.floor(F.col("word_id") / _RANGE))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = p.groupBy("range").agg(F.sum("p").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("base"))
+    upto = Window.partitionBy("range").orderBy("word_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    high = F.col("base") + F.sum("p").over(upto)
+    return p.join(sent(sums), "range").select("word", "word_id", high.alias("high"), (high - F.col("p")).alias("low"))
+
+
+def negative_draws(targets: DataFrame, vocab: DataFrame, negative: int = 5, seed: int = 1, power: float = 0.75) -> DataFrame:
+    """targets (doc_id, sent_id, pos, word_id and others) with k and drawn: negative random words for each; a draw of the target itself is none.
+
+    The random numbers follow from the seed and the place.  A word's share is cut at the
+    cells of a grid with about two cells for each word, and the draws of a cell meet the
+    few shares in it: a join on cells, which the draws fill evenly.  Last shares end at 1.
+    """
+    shares = settled(noise_cdf(vocab, power))
+    n = shares.count()
+    grid = max(1, 2 * n)
+    cell = lambda x: F.least(F.floor(x * grid), F.lit(grid - 1))
+    high = F.when(F.col("word_id") == n - 1, F.lit(2.0)).otherwise(F.col("high"))
+    cut = shares.select(F.col("word_id").alias("drawn"), "low", high.alias("high"), F.explode(F.sequence(cell(F.greatest("low", F.lit(0.0))), cell(F.least("high", F.lit(1.0))))).alias("cell"))
+    each = targets.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(negative - 1))))
+    u = (hash_number(F.lit(seed), F.lit("negative"), F.col("doc_id"), F.col("sent_id"), F.col("pos"), F.col("k")) + 0.5) / F.lit(4294967296.0)
+    each = each.withColumn("u", u).withColumn("cell", cell(F.col("u")))
+    met = each.join(cut, "cell").filter((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high")) & (F.col("drawn") != F.col("word_id")))
+    return met.drop("cell", "u", "low", "high")
+
+
 def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
     """(word, keep): the chance that a token of a frequent word is kept, at most 1."""
     total = vocab.agg(F.sum("cn").alias("t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import WORD, hash_number
-from ..operators import context, enrich, gsea, neighbors, network, phrases, shrink, text, train, train_sharded, vectors
+from ..operators import codes, context, enrich, gsea, neighbors, network, phrases, shrink, text, train, train_sharded, vectors
 from ..operators.lineage import shared_folder
 from ..sources import files
 from . import inputs
@@ -25,6 +25,7 @@ _TOKEN_LINES = f"{_LINES}, token_lines AS (SELECT doc_id, sent_id, regexp_extrac
 _STREAM = f"{_TOKEN_LINES}, stream AS (SELECT doc_id, sent_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, sent_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM token_lines))"
 _VOCAB = f"{_STREAM}, vocab AS (SELECT word, count(*) AS cn FROM stream GROUP BY word HAVING count(*) >= {text.MIN_COUNT})"
 _RANKED = f"{_VOCAB}, ranked AS (SELECT word, cn, row_number() OVER (ORDER BY cn DESC, word) - 1 AS word_id FROM vocab)"
+_CDF = f"{_RANKED}, z AS (SELECT sum(pow(cn, 0.75)) AS z FROM vocab), cdf AS (SELECT word, word_id, sum(pow(cn, 0.75) / z) OVER (ORDER BY word_id) AS high, sum(pow(cn, 0.75) / z) OVER (ORDER BY word_id) - pow(cn, 0.75) / z AS low FROM ranked, z)"
 _CHUNK, _WINDOW = text.SENTENCE_WORDS, context.WINDOW
 
 
@@ -61,6 +62,13 @@ def _noise(spark, d):
     return _rounded(text.noise(_ranked(spark, d)).select("word", (F.col("p") * 1000).alias("p1000")), "p1000")
 
 
+def _draws(spark, d):
+    """How often each word is drawn beside each document's known tokens."""
+    vocab = _ranked(spark, d)
+    targets = text.lookup(_stream(spark, d), vocab).filter("word_id >= 0").select("doc_id", "sent_id", "pos", "word_id")
+    return text.negative_draws(targets, vocab).groupBy("drawn").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.countDistinct("doc_id").alias("docs"))
+
+
 _PASS = """{p}w AS (SELECT doc_id, sent_id, i, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] END AS before FROM (SELECT doc_id, sent_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM {lines})),
 {p}cnt AS (SELECT word, count(*) AS cn FROM {p}w GROUP BY word), {p}tot AS (SELECT count(*) AS t FROM {p}w),
 {p}bi AS (SELECT before AS a, word AS b, count(*) AS pab FROM {p}w WHERE before IS NOT NULL GROUP BY before, word),
@@ -205,6 +213,14 @@ def _p(spark, d):
     return gsea.set_test(enrich.one_v_one(_normed(spark, d)), enrich.pathways(inputs.word_sets(spark, d), _heads(spark))).drop("leading_edge")
 
 
+def _null(spark, d):
+    """Random scores of every set size of every contrast, 1,000 of each: numbers, means and bounds."""
+    scores, test = enrich.one_v_all(_normed(spark, d)), gsea.SetTest(nperm=1000)
+    n = scores.groupBy("contrast").agg(F.count("*").alias("n")).filter(F.col("n") > test.min_size)
+    sizes = n.select("contrast", F.explode(F.sequence(F.lit(test.min_size).cast("long"), F.least(F.lit(test.max_size).cast("long"), F.col("n") - 1))).alias("size"))
+    return gsea.null_summary(gsea.null_scores(scores, sizes, test))
+
+
 def _ash(spark, d):
     boot, whole = inputs.bootstrap_models(spark, d), inputs.whole_model(spark, d)
     z = shrink.fisher_z(whole, _heads(spark)).select("header", F.col("word").alias("similar_word"), F.col("cos").alias("cosine_est"), "z")
@@ -259,6 +275,8 @@ QUERIES = {
     "train_words_total": lambda s, d: text.word_total(_vocab(s, d)),
     "vocab_lookup_oov": _oov,
     "noise_distribution": _noise,
+    "noise_cdf": lambda s, d: _rounded(text.noise_cdf(_ranked(s, d)).drop("low"), "high"),
+    "negative_draws": _draws,
     "subsample_stream": lambda s, d: text.thinned(_stream(s, d), _ranked(s, d), 1e-3).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places")),
     "subsample_keep_prob": lambda s, d: _rounded(text.keep_probability(_vocab(s, d), 1e-3), "keep"),
     "sigmoid_table": lambda s, d: _rounded(text.sigmoid_table(s), "x", "value"),
@@ -298,12 +316,14 @@ QUERIES = {
     "wssa_boot_scores": lambda s, d: _rounded(enrich.wssa_boot_scores(_boot_and_whole(s, d), "whole", inputs.embeddings(s, d), _heads(s)), "score"),
     "fisher_z": lambda s, d: _rounded(shrink.fisher_z(inputs.whole_model(s, d), _heads(s)).drop("model"), "cos", "z"),
     "boot_sd": lambda s, d: _rounded(shrink.boot_sd(inputs.bootstrap_models(s, d), _heads(s)), "sd_z"),
+    "gsea_null": _null,
     "gsea_pvalues": _p,
     "wsea_full": _full_wsea,
     "wssa_full": _full_wssa,
     "ash_shrink": _ash,
     "corshrink": lambda s, d: shrink.corshrink(inputs.whole_model(s, d), inputs.bootstrap_models(s, d), inputs.HEADERS),
-    "huffman_codes": lambda s, d: train.huffman_codes(_ranked(s, d)),
+    "huffman_codes": lambda s, d: codes.huffman(_ranked(s, d)),
+    "huffman_lengths": lambda s, d: codes.huffman(_ranked(s, d)).agg(F.count("*").alias("words"), F.sum(F.pow(F.lit(2.0), -F.col("depth"))).alias("kraft"), F.sum(F.col("cn") * F.col("depth")).alias("total_bits"), F.count_if(F.length("code") == F.size("point")).alias("paths")),
     "train_word2vec_sg": lambda s, d: train.train_word2vec(_stream(s, d)),
     "train_word2vec_cbow": lambda s, d: train.train_word2vec(_stream(s, d), cbow=True),
     "train_biword2vec": lambda s, d: train.train_biword2vec(_stream(s, d)),
@@ -336,18 +356,24 @@ ORACLE_SQL = {
     "train_words_total": f"WITH {_VOCAB} SELECT sum(cn)::BIGINT AS total, count(*) AS words FROM vocab",
     "vocab_lookup_oov": f"WITH {_RANKED} SELECT doc_id, count(*) AS n_tokens, count(word_id) AS n_known, sum(coalesce(word_id, 0))::BIGINT AS id_sum FROM stream LEFT JOIN ranked USING (word) GROUP BY doc_id",
     "noise_distribution": f"WITH {_VOCAB.replace('vocab AS (', 'vocab AS MATERIALIZED (')}, z AS (SELECT sum(pow(cn, 0.75)) AS z FROM vocab) SELECT word, round(1000 * pow(cn, 0.75) / z, {_R}) AS p1000 FROM vocab, z",
-    "prepared_corpus": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, array_to_string(flatten(list(ws ORDER BY sent_id)), ' ') AS line FROM pline GROUP BY doc_id",
+    "prepared_corpus": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, coalesce(line, '') AS line FROM documents LEFT JOIN (SELECT doc_id, array_to_string(flatten(list(ws ORDER BY sent_id)), ' ') AS line FROM pline GROUP BY doc_id) USING (doc_id)",
     "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n FROM l GROUP BY text",
     "vocab_file": f"WITH {_RANKED} SELECT word, cn, word_id FROM ranked",
     "nearest_to_vector": f"WITH {_WHOLE}, v AS (SELECT [CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[] AS v) SELECT 'whole' AS model, word, round(cos, {_R}) AS cos, row_number() OVER (ORDER BY cos DESC, word) AS rank FROM (SELECT word, {_cos('vec', 'v')} AS cos FROM whole, v) ORDER BY rank LIMIT 10",
     "wssa_control_scores": f"WITH {_WHOLE}, models AS (SELECT 'whole' AS model, word, vec FROM whole), {_HEADS}, near AS (SELECT w.word, {_cos('w.vec', 'h.vec')} AS cos FROM models AS w, models AS h JOIN heads ON heads.word = h.word), own AS (SELECT word FROM whole WHERE label = 3), controls AS (SELECT word FROM whole WHERE label IS DISTINCT FROM 3 ORDER BY md5('1|' || word), word LIMIT 200) SELECT word, round(avg(cos), {_R}) AS score FROM near WHERE word IN (SELECT word FROM own UNION ALL SELECT word FROM controls) GROUP BY word",
     "vectors_roundtrip": f"SELECT vec_id::VARCHAR AS word, vec_id AS word_id, i - 1 AS i, round(embedding[i]::DOUBLE, {_R}) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)",
+    "huffman_lengths": f"""WITH RECURSIVE {_VOCAB}, r AS (SELECT list({{'w': w, 'n': n}} ORDER BY w) AS q, 0::BIGINT AS total FROM (SELECT cn AS w, count(*) AS n FROM vocab GROUP BY cn)
+UNION ALL SELECT list_sort(list_filter(made, lambda x: x.n > 0)), total + more FROM (SELECT total, CASE WHEN q[1].n > 1 THEN q[2:] || [{{'w': 2 * q[1].w, 'n': q[1].n // 2}}, {{'w': q[1].w, 'n': q[1].n % 2}}] ELSE q[3:] || [{{'w': q[1].w + q[2].w, 'n': 1}}, {{'w': q[2].w, 'n': q[2].n - 1}}] END AS made,
+  CASE WHEN q[1].n > 1 THEN 2 * q[1].w * (q[1].n // 2) ELSE q[1].w + q[2].w END AS more FROM r WHERE len(q) > 1 OR q[1].n > 1))
+SELECT (SELECT count(*) FROM vocab) AS words, 1.0::DOUBLE AS kraft, max(total) AS total_bits, (SELECT count(*) FROM vocab) AS paths FROM r""",
+    "noise_cdf": f"WITH {_CDF} SELECT word, word_id, round(high, {_R}) AS high FROM cdf",
+    "negative_draws": f"WITH {_CDF}, t AS (SELECT doc_id, pos, word_id, (('0x' || substr(md5(concat_ws('|', 1, 'negative', doc_id, sent_id, pos, k)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM stream JOIN ranked USING (word), range(5) AS r(k)) SELECT c.word_id AS drawn, count(*) AS n, sum(pos)::BIGINT AS places, count(DISTINCT doc_id) AS docs FROM t ASOF JOIN cdf AS c ON t.u >= c.low WHERE c.word_id <> t.word_id GROUP BY c.word_id",
     "subsample_stream": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab), k AS (SELECT word, least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn) AS keep FROM vocab, t) SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS places FROM stream JOIN k USING (word) WHERE (('0x' || substr(md5(concat_ws('|', 1, 'keep', doc_id, sent_id, pos)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE < keep GROUP BY doc_id",
     "subsample_keep_prob": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab) SELECT word, round(least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn), {_R}) AS keep FROM vocab, t",
     "sigmoid_table": f"SELECT i, round((i / 1000.0::DOUBLE * 2 - 1) * 6, {_R}) AS x, round(exp((i / 1000.0::DOUBLE * 2 - 1) * 6) / (exp((i / 1000.0::DOUBLE * 2 - 1) * 6) + 1), {_R}) AS value FROM range(1000) AS r(i)",
     "alpha_schedule": f"WITH {_VOCAB}, t AS (SELECT sum(cn)::DOUBLE AS total FROM vocab) SELECT step, round(greatest(0.025::DOUBLE * (1 - (step / 100.0::DOUBLE * 5 * total) / (5 * total + 1)), 0.0000025::DOUBLE), 9) AS alpha FROM t, range(101) AS r(step)",
     "bigram_counts": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT a, b, pab FROM pbi",
-    "bigram_counts_cross_line": f"WITH {_STREAM} SELECT a, b, count(*) AS pab FROM (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY sent_id, pos) AS b FROM stream) WHERE b IS NOT NULL GROUP BY a, b",
+    "bigram_counts_cross_line": f"WITH {_STREAM} SELECT a, b, count(*) AS pab FROM (SELECT word AS a, lead(word) OVER (ORDER BY doc_id, sent_id, pos) AS b FROM stream) WHERE b IS NOT NULL GROUP BY a, b",
     "phrase_scores": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT a, b, pab, pa, pb, round(score, {_R}) AS score FROM pscore",
     "phrases_selected": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT a, b, pab, pa, pb, round(score, {_R}) AS score FROM pscore WHERE score > {phrases.THRESHOLD}",
     "phrase_join": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, sent_id, array_to_string(ws, ' ') AS line FROM pline",
