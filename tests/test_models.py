@@ -169,11 +169,47 @@ def test_vector_files(spark, tmp_path, binary):
     rows = [("one", 0, [1.5, -2.0]), ("zwei", 1, [0.25, 3.0])]
     df = spark.createDataFrame(rows, "word string, word_id long, vec array<float>")
     path = str(tmp_path / "m.bin")
-    files.write_vectors(df, path, binary)
-    assert (tmp_path / "m.bin").read_bytes().startswith(b"2 2\n")
-    assert [(r.word, r.word_id, list(r.vec)) for r in files.read_vectors(spark, path, binary).orderBy("word_id").collect()] == rows
+    files.write_vectors(df.coalesce(1), path, binary)
+    assert any(f.read_bytes().startswith(b"2 2\n") or f.read_bytes().startswith(b"1 2\n") for f in (tmp_path / "m.bin").iterdir())
+    read = lambda p: [(r.word, r.word_id, list(r.vec)) for r in files.read_vectors(spark, p, binary).orderBy("word_id").collect()]
+    assert read(path) == rows
     with pytest.raises(FileExistsError):
         files.write_vectors(df, path, binary)
+    files.write_vectors(df.filter("word_id = 1"), path, binary, force=True)
+    assert read(path) == [("zwei", 0, [0.25, 3.0])]
+    none = str(tmp_path / "none")
+    files.write_vectors(df.filter("false"), none, binary)
+    assert read(none) == []
+
+
+@pytest.mark.parametrize("binary", [True, False])
+def test_a_vector_file_is_read_in_pieces(spark, tmp_path, binary):
+    """One file of another tool's, with line feeds and spaces among the bytes of its numbers, cut everywhere."""
+    rng = np.random.default_rng(6)
+    tricky = np.frombuffer((b"\n \n a b\n" * 3)[:20], "<f4") if binary else np.array([0.5] * 5, "<f4")
+    rows = [(f"w{i}é"[: 2 + i % 4] + str(i), tricky if i % 3 == 0 else rng.normal(size=5).astype("<f4")) for i in range(400)]
+    numbers = (lambda v: v.tobytes()) if binary else (lambda v: " ".join(f"{x:f}" for x in v).encode())
+    path = tmp_path / "one.bin"
+    path.write_bytes(b"400 5\n" + b"".join(w.encode() + b" " + numbers(v) + b"\n" for w, v in rows))
+    got = files.read_vectors(spark, str(path), binary, piece=700).orderBy("word_id").collect()
+    assert [(r.word, r.word_id) for r in got] == [(w, i) for i, (w, _) in enumerate(rows)]
+    assert np.allclose([r.vec for r in got], [v for _, v in rows], atol=1e-5)
+    path.write_bytes(path.read_bytes()[:-3])
+    with pytest.raises(Exception, match="follow"):
+        files.read_vectors(spark, str(path), binary, piece=700).collect()
+
+
+def test_vector_files_of_many_tasks(spark, tmp_path):
+    df = spark.range(1000).selectExpr("concat('w', id) AS word", "id AS word_id", "array(cast(id AS float), 0.5F) AS vec").repartition(5)
+    files.write_vectors(df, str(tmp_path / "m"), file_rows=150)
+    names = sorted(f.name for f in (tmp_path / "m").iterdir())
+    assert len(names) >= 7 and all(n.startswith("part-") and n.endswith(".bin") for n in names)
+    got = files.read_vectors(spark, str(tmp_path / "m")).orderBy("word_id").collect()
+    assert [(r.word, r.word_id, list(r.vec)) for r in got] == [(f"w{i}", i, [float(i), 0.5]) for i in range(1000)]
+    bad = df.limit(1).selectExpr("'two words' AS word", "word_id", "vec")
+    with pytest.raises(Exception, match="spaces"):
+        files.write_vectors(bad, str(tmp_path / "bad"))
+    assert not [f for f in (tmp_path / "bad").iterdir() if f.name.startswith("part-")]
 
 
 def _plain_step(params, tree, noise, inputs, slot, target, shift, alpha, drawn, summed):

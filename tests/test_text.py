@@ -157,3 +157,17 @@ def test_every_document_has_a_line(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "!!")], "doc_id long, text string")
     for made in (phrases.prepared(docs, bundle_ngrams=2), text.corpus_lines(docs)):
         assert {r.doc_id: r.line for r in made.collect()} == {1: "a b", 2: "", 3: "", 4: ""}
+
+
+def test_a_corpus_that_is_one_file_is_read_in_splits(spark, tmp_path):
+    lines = [f"line {i} " + "word " * (i % 40) for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("last\n\nof all")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        found = files.read_prepared(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 4
+        rows = found.orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in rows] == [*lines, "last", "", "of all"] and [r.doc_id for r in rows] == list(range(3003))

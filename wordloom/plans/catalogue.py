@@ -228,17 +228,16 @@ def _ash(spark, d):
 
 
 def _roundtrip(spark, d):
-    path = f"{shared_folder(spark, 'vectors')}/model.bin"
+    path = shared_folder(spark, "vectors")
     files.write_vectors(inputs.embeddings(spark, d).select("word", F.col("vec_id").alias("word_id"), "vec"), path)
     return files.read_vectors(spark, path).select("word", "word_id", F.posexplode("vec").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), _R))
 
 
 def _corpus_file(spark, d):
-    """The prepared corpus written and read again: its lines and how often each occurs, as files have no ids."""
+    """The prepared corpus written and read again, line by line: its lines and how often each occurs, as files have no ids."""
     path = shared_folder(spark, "corpus")
     files.write_corpus(text.corpus_lines(inputs.documents(spark, d)), path)
-    lines = files.read_corpus(spark, path).select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("text"))
-    return lines.groupBy("text").agg(F.count("*").alias("n"))
+    return files.read_prepared(spark, path).groupBy(F.col("line").alias("text")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
 
 
 def _vocab_file(spark, d):
@@ -357,7 +356,7 @@ ORACLE_SQL = {
     "vocab_lookup_oov": f"WITH {_RANKED} SELECT doc_id, count(*) AS n_tokens, count(word_id) AS n_known, sum(coalesce(word_id, 0))::BIGINT AS id_sum FROM stream LEFT JOIN ranked USING (word) GROUP BY doc_id",
     "noise_distribution": f"WITH {_VOCAB.replace('vocab AS (', 'vocab AS MATERIALIZED (')}, z AS (SELECT sum(pow(cn, 0.75)) AS z FROM vocab) SELECT word, round(1000 * pow(cn, 0.75) / z, {_R}) AS p1000 FROM vocab, z",
     "prepared_corpus": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT doc_id, coalesce(line, '') AS line FROM documents LEFT JOIN (SELECT doc_id, array_to_string(flatten(list(ws ORDER BY sent_id)), ' ') AS line FROM pline GROUP BY doc_id) USING (doc_id)",
-    "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n FROM l GROUP BY text",
+    "corpus_file": f"WITH l AS (SELECT array_to_string(regexp_extract_all(coalesce(text, ''), '{_WORD_SQL}'), ' ') AS text FROM documents) SELECT text, count(*) AS n, count(*) AS ids FROM l GROUP BY text",
     "vocab_file": f"WITH {_RANKED} SELECT word, cn, word_id FROM ranked",
     "nearest_to_vector": f"WITH {_WHOLE}, v AS (SELECT [CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END FOR i IN range(64)]::DOUBLE[] AS v) SELECT 'whole' AS model, word, round(cos, {_R}) AS cos, row_number() OVER (ORDER BY cos DESC, word) AS rank FROM (SELECT word, {_cos('vec', 'v')} AS cos FROM whole, v) ORDER BY rank LIMIT 10",
     "wssa_control_scores": f"WITH {_WHOLE}, models AS (SELECT 'whole' AS model, word, vec FROM whole), {_HEADS}, near AS (SELECT w.word, {_cos('w.vec', 'h.vec')} AS cos FROM models AS w, models AS h JOIN heads ON heads.word = h.word), own AS (SELECT word FROM whole WHERE label = 3), controls AS (SELECT word FROM whole WHERE label IS DISTINCT FROM 3 ORDER BY md5('1|' || word), word LIMIT 200) SELECT word, round(avg(cos), {_R}) AS score FROM near WHERE word IN (SELECT word FROM own UNION ALL SELECT word FROM controls) GROUP BY word",

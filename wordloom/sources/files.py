@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import sent
+from . import vector_files
+
 
 def read_corpus(spark, path: str) -> DataFrame:
-    """(doc_id, text, path) of a file, or of all files under a folder; ids follow from the paths."""
+    """(doc_id, text, path) of a file, or of all files under a folder, each file a document; ids follow from the paths."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.select(F.xxhash64("path").alias("doc_id"), "text", "path")
 
 
+def read_prepared(spark, path: str) -> DataFrame:
+    """(doc_id, line, path) of a prepared corpus: each line of a file, or of all files under a folder, a document.
+
+    A file of any size is read in splits.  Ids count from 0 through the files in order of
+    their paths, and through each in order of its lines: lines are counted in their split,
+    a split is known by its first byte, and the sizes of those before it shift it.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("read"))
+    # A split's lines are read one after another by one task.
+    sizes = rows.groupBy("path", "block").agg(F.min("read").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(sent(starts), ["path", "block"]).select((F.col("read") + F.col("shift")).alias("doc_id"), F.col("value").alias("line"), "path")
+
+
 def write_corpus(lines: DataFrame, path: str, force: bool = False) -> None:
     """One line for each document of (doc_id, line); an existing target is an error unless forced."""
     lines.select(F.col("line").alias("value")).write.mode("overwrite" if force else "errorifexists").text(path)
@@ -37,55 +52,29 @@ def read_vocab(spark, path: str) -> DataFrame:
     return ranked(parts.select(F.col("p")[0].alias("word"), F.col("p")[1].cast("long").alias("cn")))
 
 
-def _file_system(path: str):
-    if "://" not in path and not path.startswith("file:"):
-        return pa.fs.LocalFileSystem(), path
-    fs, inner = pa.fs.FileSystem.from_uri(path)
-    return fs, inner
+def write_vectors(vectors: DataFrame, path: str, binary: bool = True, force: bool = False, file_rows: int = vector_files.FILE_ROWS) -> None:
+    """(word, word_id, vec) as a folder of vector files in order of word_id; each has a line with rows and length, then its rows.
 
-
-def write_vectors(vectors: DataFrame, path: str, binary: bool = True, force: bool = False) -> None:
-    """(word, word_id, vec) as one vector file: a line with rows and length, then a word and its numbers for each row.
-
-    Rows are fetched part by part, so the driver holds one partition at a time.
+    Tasks write ranges of ids; nothing passes the driver.  No rows: one file without any.
     """
-    fs, inner = _file_system(path)
+    fs, inner = vector_files.file_system(path)
     if not force and fs.get_file_info(inner).type != pa.fs.FileType.NotFound:
         raise FileExistsError(path)
-    fs.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
-    size = vectors.agg(F.count("*"), F.max(F.size("vec"))).head()
-    with fs.open_output_stream(inner, compression=None) as out:
-        out.write(f"{size[0]} {size[1] or 0}\n".encode())
-        for row in vectors.orderBy("word_id").toLocalIterator(prefetchPartitions=True):
-            v = np.asarray(row["vec"], "<f4")
-            out.write(row["word"].encode() + b" " + (v.tobytes() if binary else " ".join(f"{x:f}" for x in v).encode()) + b"\n")
-
-
-def parse_vectors(data: bytes, binary: bool = True) -> tuple[list[str], np.ndarray]:
-    head, _, rest = data.partition(b"\n")
-    n, dim = map(int, head.split())
-    words, out, at = [], np.zeros((n, dim), np.float32), 0
-    for i in range(n):
-        space = rest.index(b" ", at)
-        words.append(rest[at:space].lstrip(b"\n").decode())
-        if binary:
-            out[i] = struct.unpack_from(f"<{dim}f", rest, space + 1)
-            at = space + 1 + 4 * dim + 1
-        else:
-            end = rest.index(b"\n", space)
-            out[i] = np.array(rest[space + 1 : end].split(), np.float32)
-            at = end + 1
-    return words, out
-
-
-def read_vectors(spark, path: str, binary: bool = True) -> DataFrame:
-    """(path, word, word_id, vec) of vector files."""
-
-    def parse(frames):
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                words, vectors = parse_vectors(bytes(data), binary)
-                yield pd.DataFrame({"path": name, "word": words, "word_id": range(len(words)), "vec": list(vectors)})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, word string, word_id long, vec array<float>")
+    vectors.sparkSession.dataSource.register(vector_files.VectorFiles)
+    rows = vectors.orderBy("word_id").select("word", F.col("vec").cast("array<float>").alias("vec"))
+    rows.write.format("word_vectors").mode("overwrite" if force else "append").option("binary", str(binary).lower()).option("file_rows", file_rows).save(path)
+
+
+def read_vectors(spark, path: str, binary: bool = True, piece: int = vector_files.PIECE) -> DataFrame:
+    """(path, word, word_id, vec) of a vector file, or of all in a folder; word_id counts from 0 through the files in order of their names.
+
+    Files are read in pieces of so many bytes.  The pieces are counted first, so that each
+    knows its first id.
+    """
+    spark.dataSource.register(vector_files.VectorFiles)
+    rows = spark.read.format("word_vectors").option("binary", str(binary).lower()).option("piece", piece).load(path)
+    sizes = rows.groupBy("path", "piece").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("path", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("path").alias("_path"), F.col("piece").alias("_piece"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"))
+    joined = rows.join(sent(starts), (F.col("path") == F.col("_path")) & (F.col("piece") == F.col("_piece")))
+    return joined.select("path", "word", (F.col("_first") + F.col("row")).alias("word_id"), "vec")
