@@ -300,23 +300,21 @@ def _hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [4_000_000, 60])
-def test_decontamination(spark, docs, empty, rows, block):
+def test_decontamination(spark, docs, empty, rows):
     items = _benchmark(rows)
     table = spark.createDataFrame(items, "item_id long, text string")
     want = _hits(rows, items)
-    got = {r[0]: (r[1], r[2], r[3]) for r in decontaminate.matches(docs, table, block_chars=block).select("row.doc_id", "n_words", "n_hit", "items").collect()}
+    got = {r[0]: (r[1], r[2], r[3]) for r in decontaminate.matches(docs, table).select("row.doc_id", "n_words", "n_hit", "items").collect()}
     assert got == want and sum(1 for v in want.values() if v[1]) >= 5
     assert decontaminate.matches(empty, table).count() == 0
     assert decontaminate.matches(docs, table.filter("false")).filter("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("block", [4_000_000, 20])
-def test_decontamination_of_rows_that_share_an_id(spark, block):
+def test_decontamination_of_rows_that_share_an_id(spark):
     rows = [(None, "alpha beta gamma"), (None, "nothing here"), (1, "delta epsilon zeta eta"), (1, "clean text"), (1, "clean text"), (2, "eta x alpha beta gamma")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, "beta gamma"), (4, "epsilon zeta eta")], "item_id long, text string")
-    got = decontaminate.matches(docs, items, block_chars=block, proximity=(2, 1)).select("row.doc_id", "text", "n_words", "n_hit", "items", "near_items").collect()
+    got = decontaminate.matches(docs, items, proximity=(2, 1)).select("row.doc_id", "text", "n_words", "n_hit", "items", "near_items").collect()
     want = [(None, "alpha beta gamma", 3, 3, ["1", "3"]), (None, "nothing here", 2, 0, []), (1, "delta epsilon zeta eta", 4, 4, ["2", "4"]), (1, "clean text", 2, 0, []), (1, "clean text", 2, 0, []), (2, "eta x alpha beta gamma", 5, 3, ["1", "3"])]
     assert sorted((tuple(r[:5]) for r in got), key=str) == sorted(want, key=str)
     assert all(bool(r.near_items) == bool(r.items) for r in got)

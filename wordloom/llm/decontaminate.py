@@ -1,73 +1,71 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: a task makes, for each run of documents, the
-posting lists (word positions, ascending) of every term that some benchmark text uses,
-and keeps them as one table of the run.  Benchmark texts are asked of it as windows of
-terms.  A window's lists are intersected from its rarest term on: the rarest term's
-positions, moved back by its offset in the window, are candidate starts; those stay
-whose moved-on position is in the list of the next term, and so on.  What is left is
-compared with the text word by word.  Proximity matches intersect the same lists within
-a distance.  No posting leaves its task, and a passage that a third of all documents
-share is spread over as many tasks as the documents are.
-
-The benchmark side is sent to the tasks in blocks of about BLOCK_CHARS characters, of
-which a task holds one at a time.  Posting lists live as long as their run of documents
-is judged: they are made again for a later benchmark, not kept as a table.
+1.  The index is a table in the shared folder.  A row of it is a run of documents (see
+    runs): its different words, in pieces by bucket, and the posting list of each, the
+    places in the run at which it stands.  It does not depend on a benchmark, and can be
+    kept for the next one.
+2.  The dictionary of all runs says how often each word of the benchmark stands in all
+    documents.  A window's words are put in order by that: the rarest first.
+3.  The rarest words of the windows meet the index's pieces by bucket.  That gives the
+    windows that each run may hold; runs without any are done.
+4.  In each other run, a window's lists are intersected: the places of the rarest word,
+    moved back by its offset in the window, are candidate starts, and those stay whose
+    moved-on places are in the list of the next word, and so on.  Words are compared by
+    their bytes throughout.  Proximity matches intersect the same lists within a distance.
+
+Neither the benchmark nor a posting list passes the driver.  A passage that a third of all
+documents share is spread over as many runs as the documents are.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from . import runs as run_tables
 from . import words
-from .components import as_row, from_row
+from .components import as_row, forget, from_row
+from .substring import numbered
 
 WINDOW = 10
-#: Characters of benchmark text that go to the tasks at once.
-BLOCK_CHARS = 4_000_000
-
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_FOLD = bytes(words.lower_table())
-
-
-def item_words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_FOLD))
-
-
-class Queries:
-    """The windows of a block of benchmark texts, as rows of term numbers."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        found: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        self.names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(self.names)}
-        for name, text in items:
-            ws = item_words(text)
-            for i in range(max(1, len(ws) - window + 1) if ws else 0):
-                found[tuple(ws[i : i + window])].add(number[name])
-        self.windows = list(found)
-        terms = sorted({w for ws in self.windows for w in ws})
-        self.vocabulary = pa.array(terms, pa.binary())
-        of = {w: i for i, w in enumerate(terms)}
-        self.lengths = np.array([len(ws) for ws in self.windows], np.int64)
-        self.terms = np.full((len(self.windows), window), len(terms), np.int64)
-        for i, ws in enumerate(self.windows):
-            self.terms[i, : len(ws)] = [of[w] for w in ws]
-        self.items = [np.array(sorted(x), np.int64) for x in found.values()]
-        # Windows by their terms: those that a run of documents can hold are found from its terms.
-        at = np.arange(window) < self.lengths[:, None]
-        flat, owner = self.terms[at], np.repeat(np.arange(len(self.windows)), self.lengths)
-        self.of_term = owner[np.argsort(flat, kind="stable")]
-        self.term_first = np.searchsorted(np.sort(flat), np.arange(len(terms) + 1))
-        self.held = np.append(np.diff(self.term_first), np.iinfo(np.int64).max)  # windows of each term
+#: Rows of documents with a hit that go to all tasks.
+SENT_ROWS = 500_000
+
+
+def _windows(window: int):
+    """The windows of a run of benchmark texts that all documents have the words of; facts: how often they have them."""
+
+    def windows(run: dict, facts: dict[str, np.ndarray]) -> pa.Table:
+        held, names = facts["s"], run_tables.term_names(run["names"].as_py())
+        code = run_tables.unpacked(run["codes"].as_py(), len(held))
+        ends = np.cumsum(run["n_words"].values.to_numpy())
+        rows: dict[str, list] = {"window": [], "anchor": [], "held": [], "item": []}
+        for item, a, b in zip(run["doc_ids"].values.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for i in range(a, max(a + 1, b - window + 1) if b > a else a):
+                own = code[i : min(i + window, b)]
+                if held[own].min() > 0:
+                    rows["window"].append(" ".join(names[k] for k in own))
+                    rows["anchor"].append(min((int(held[k]), names[k]) for k in own)[1])
+                    rows["held"].append(held[own].tolist())
+                    rows["item"].append(item)
+        return pa.table(rows, schema=pa.schema([("window", pa.string()), ("anchor", pa.string()), ("held", pa.list_(pa.int64())), ("item", pa.int64())]))
+
+    return windows
+
+
+def _may_hold(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The windows whose anchor a run's piece names."""
+    anchors = right["anchor"].combine_chunks()
+    runs, rows = [], []
+    for run, piece in zip(left["run"].to_pylist(), left["names"].to_pylist(), strict=True):
+        at = np.flatnonzero(pc.is_in(anchors, value_set=pa.array(piece.split(" "), pa.string())).to_numpy(zero_copy_only=False))
+        runs.append(np.full(len(at), run))
+        rows.append(at)
+    at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+    return pa.table({"of_run": pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64), pa.int64()), **{c: right[c].take(at) for c in ("no", "window", "held")}})
 
 
 def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -76,186 +74,155 @@ def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-class Index:
-    """Posting lists of a run of documents for the terms of some queries.
+class Postings:
+    """The posting lists of a run: postings[first[t]:first[t+1]] are the places of term t; rows: the document of each place."""
 
-    postings[first[t]:first[t+1]] are the positions of term t.
-    """
+    def __init__(self, steps: bytes, lengths: np.ndarray, n_words: np.ndarray):
+        self.postings, self.length = run_tables.places(steps), lengths
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+        self.row = np.repeat(np.arange(len(n_words)), n_words)
+        # One number for each posting, in order: term, then place.
+        self.size = len(self.row) + 1
+        self.sorted = np.repeat(np.arange(len(lengths)), lengths) * self.size + self.postings
+
+    def next(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first place, as term and place in one number, of each term from a place on."""
+        at = np.searchsorted(self.sorted, term * self.size + place)
+        return np.append(self.sorted, np.iinfo(np.int64).max)[at]
 
-    def __init__(self, c: words.Chunk, q: Queries):
-        n = len(q.vocabulary)
-        code, terms = c.coded()
-        vocabulary = q.vocabulary.cast(terms.type)
-        number = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.term = number[code] if len(code) else np.zeros(0, np.int64)
-        held = np.flatnonzero(self.term >= 0)
-        own = self.term[held]
-        order = np.argsort(own, kind="stable")
-        self.postings = held[order]
-        self.first = np.searchsorted(own[order], np.arange(n + 1))
-        self.length = np.append(np.diff(self.first), np.iinfo(np.int64).max)  # one more for the end of short windows
-        # One number for each posting, in order: term, then position.
-        self.size = len(self.term) + 1
-        self.sorted = own[order] * self.size + self.postings
-        self.row = c.row_of_word()
-
-    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """Whether each position is in its term's posting list."""
-        wanted = term * self.size + position
-        at = np.minimum(np.searchsorted(self.sorted, wanted), max(0, len(self.sorted) - 1))
-        return self.sorted[at] == wanted if len(self.sorted) else np.zeros(len(wanted), bool)
-
-    def live(self, q: Queries) -> np.ndarray:
-        """The windows of which every term has a posting; found from the terms that are here."""
-        here = np.flatnonzero(np.diff(self.first))
-        size = q.term_first[here + 1] - q.term_first[here]
-        owner = q.of_term[_ragged(q.term_first[here], size)]
-        window, n = np.unique(owner, return_counts=True)
-        return window[n == q.lengths[window]]
-
-    def phrases(self, c: words.Chunk, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first word) of every exact occurrence."""
-        live = self.live(q)
-        if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        terms = q.terms[live]
-        order = np.argsort(self.length[terms], axis=1, kind="stable")  # offsets, rarest term first
-        anchor = order[:, 0]
-        term = terms[np.arange(len(live)), anchor]
+    def _anchors(self, terms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which window, place) of the rarest term of each window."""
+        term = terms[np.arange(len(terms)), order[:, 0]]
         size = self.length[term]
-        own = np.repeat(np.arange(len(live)), size)
-        start = self.postings[_ragged(self.first[term], size)] - np.repeat(anchor, size)
-        fits = (start >= 0) & (start + q.lengths[live[own]] <= len(self.term))
+        return np.repeat(np.arange(len(terms)), size), self.postings[_ragged(self.first[term], size)]
+
+    def phrases(self, terms: np.ndarray, widths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first word) of every exact occurrence.  order: each window's offsets, the rarest term's first."""
+        own, place = self._anchors(terms, order)
+        start = place - order[own, 0]
+        fits = (start >= 0) & (start + widths[own] <= len(self.row))
         own, start = own[fits], start[fits]
-        for rank in range(1, q.terms.shape[1]):
+        for rank in range(1, terms.shape[1]):
             offset = order[own, rank]
-            inside = offset < q.lengths[live[own]]
+            inside = offset < widths[own]
             same = ~inside
-            same[inside] = self.holds(terms[own[inside], offset[inside]], start[inside] + offset[inside])
+            term, at = terms[own[inside], offset[inside]], start[inside] + offset[inside]
+            same[inside] = self.next(term, at) == term * self.size + at
             own, start = own[same], start[same]
-            if not len(own):
-                break
-        same = self.row[start] == self.row[start + q.lengths[live[own]] - 1]  # within one document
-        window, start = live[own[same]], start[same]
-        data = c.data.tobytes()
-        true = [all(data[c.start[s + j] : c.end[s + j]] == w for j, w in enumerate(q.windows[k])) for k, s in zip(window.tolist(), start.tolist(), strict=True)]
-        true = np.array(true, bool)
-        return window[true], start[true]
-
-    def near(self, q: Queries, rarest: int, within: int) -> tuple[np.ndarray, np.ndarray]:
+        same = self.row[start] == self.row[start + widths[own] - 1]  # within one document
+        return own[same], start[same]
+
+    def near(self, terms: np.ndarray, widths: np.ndarray, order: np.ndarray, rarest: int, within: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, word) where the window's rarest terms all stand, in any order, at most so many words from the rarest."""
-        live = self.live(q)
-        if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        terms = q.terms[live]
-        order = np.argsort(q.held[terms], axis=1, kind="stable")  # rarest in the benchmark first, wherever the documents are
-        term = terms[np.arange(len(live)), order[:, 0]]
-        size = self.length[term]
-        own = np.repeat(np.arange(len(live)), size)
-        at = self.postings[_ragged(self.first[term], size)]
-        # Where the documents of each position begin and end bounds the distance.
-        row_first = np.searchsorted(self.row, self.row[at])
-        row_last = np.searchsorted(self.row, self.row[at], "right") - 1
-        low, high = np.maximum(at - within, row_first), np.minimum(at + within, row_last)
-        for rank in range(1, min(rarest, q.terms.shape[1])):
+        own, at = self._anchors(terms, order)
+        # Where the document of each place begins and ends bounds the distance.
+        low = np.maximum(at - within, np.searchsorted(self.row, self.row[at]))
+        high = np.minimum(at + within, np.searchsorted(self.row, self.row[at], "right") - 1)
+        for rank in range(1, min(rarest, terms.shape[1])):
             offset = order[own, rank]
-            inside = offset < q.lengths[live[own]]
+            inside = offset < widths[own]
             keep = ~inside
-            other = terms[own[inside], offset[inside]]
-            k = np.searchsorted(self.sorted, other * self.size + low[inside])
-            keep[inside] = (k < len(self.sorted)) & (self.sorted[np.minimum(k, len(self.sorted) - 1)] <= other * self.size + high[inside])
+            term = terms[own[inside], offset[inside]]
+            keep[inside] = self.next(term, low[inside]) <= term * self.size + high[inside]
             own, at, low, high = own[keep], at[keep], low[keep], high[keep]
-        return live[own], at
+        return own, at
+
+
+def _found(window: int, proximity: tuple[int, int] | None):
+    """The documents of a run with matches; the right table has the windows that it may hold."""
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        lengths = np.concatenate([np.frombuffer(x, "<i8") for x in left["counts"][0].as_py()])
+        n_words = left["n_words"][0].values.to_numpy()
+        index = Postings(left["codes"][0].as_py(), lengths, n_words)
+        asked = [w.split(" ") for w in right["window"].to_pylist()]
+        widths = np.array([len(w) for w in asked])
+        flat = pa.array([x for w in asked for x in w], pa.string())
+        number = pc.index_in(flat, value_set=pa.array(run_tables.term_names(left["names"][0].as_py()), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = np.arange(window) < widths[:, None]
+        terms, held = np.zeros((len(asked), window), np.int64), np.full((len(asked), window), np.iinfo(np.int64).max)
+        terms[inside], held[inside] = number, right["held"].combine_chunks().flatten().to_numpy()
+        # Only windows of which the run has every term; the rarest in all documents first, wherever the run is.
+        whole = ~((terms < 0) & inside).any(1)
+        terms, widths, held, no = terms[whole], widths[whole], held[whole], right["no"].to_numpy()[whole]
+        order = np.argsort(held, axis=1, kind="stable")
+        own, start = index.phrases(terms, widths, order)
+        step = np.zeros(len(index.row) + 1, np.int64)
+        np.add.at(step, start, 1)
+        np.add.at(step, start + widths[own], -1)
+        hit = words.row_sums(np.cumsum(step)[:-1] > 0, np.concatenate([[0], np.cumsum(n_words)]))
+        near = index.near(terms, widths, order, *proximity) if proximity else (own[:0], start[:0])
+        nos = [_by_row(index.row[at], no[which], len(n_words)) for which, at in ((own, start), near)]
+        some = np.flatnonzero([bool(a or b) for a, b in zip(*nos, strict=True)])
+        return pa.table({"doc": left["doc_ids"][0].values.take(pa.array(some)), "n_hit": pa.array(hit[some], pa.int64()), **{name: pa.array([x[i] for i in some.tolist()], pa.list_(pa.int64())) for name, x in zip(("windows", "near"), nos, strict=True)}})
 
+    return found
 
-def _judge(column: pa.Array, q: Queries, proximity: tuple[int, int] | None):
-    """(words of each row, which words of all rows are hit, names of each row, near names of each row) for a block."""
-    counts, hits, names, near = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [], []
-    for c in words.chunks(column, words.alnum_table(), lower=True):
-        index = Index(c, q) if len(q.windows) else None
-        window, start = index.phrases(c, q) if index else (np.zeros(0, np.int64),) * 2
-        step = np.zeros(len(c.start) + 1, np.int64)
-        np.add.at(step, start, 1)
-        np.add.at(step, start + q.lengths[window], -1)
-        counts.append(c.counts)
-        hits.append(np.cumsum(step)[:-1] > 0)
-        names += _names(c, q, window, start)
-        if proximity:
-            near += _names(c, q, *index.near(q, *proximity)) if index else [[]] * len(c)
-    return np.concatenate(counts), np.concatenate(hits), names, near
-
-
-def _names(c: words.Chunk, q: Queries, window: np.ndarray, start: np.ndarray) -> list[list[str]]:
-    found: list[set[int]] = [set() for _ in range(len(c))]
-    if len(start):
-        row = np.searchsorted(c.first, start, "right") - 1
-        for r, w in np.unique(np.stack([row, window], 1), axis=0).tolist():
-            found[r].update(q.items[w].tolist())
-    return [sorted(q.names[i] for i in x) for x in found]
-
-
-def _both(a: list[list[str]], b: list[list[str]]) -> list[list[str]]:
-    return [sorted({*x, *y}) if x and y else x or y for x, y in zip(a, b, strict=True)]
-
-
-def _block(q) -> Queries:
-    """What a broadcast holds, which the process then lets go, as it can be read again."""
-    value = q.value
-    if getattr(q, "_path", None):
-        vars(q).pop("_value", None)
-    return value
-
-
-def _scan(blocks, proximity: tuple[int, int] | None):
-    """A function for mapInArrow; blocks are broadcasts of Queries, of which a task holds one at a time."""
-
-    def scan(batches):
-        one = blocks[0].value if len(blocks) == 1 else None
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            counts, hit, names, near = _judge(column, one or _block(blocks[0]), proximity)
-            for q in blocks[1:]:
-                _, more_hit, more_names, more_near = _judge(column, _block(q), proximity)
-                hit, names, near = hit | more_hit, _both(names, more_names), _both(near, more_near)
-            first = np.concatenate([[0], np.cumsum(counts)])
-            new = {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(words.row_sums(hit, first), pa.int64()), "items": pa.array(names, pa.list_(pa.string()))}
-            if proximity:
-                new["near_items"] = pa.array(near, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
-
-    return scan
-
-
-def _sent(named: DataFrame, window: int, block_chars: int) -> list:
-    """Broadcasts of the blocks of the items (name, text); each is made, written out by Spark and let go before the next."""
-    spark = named.sparkSession
-    chars = named.agg(F.sum(F.length("text"))).head()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    out = []
-    for k in range(blocks):
-        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k)
-        out.append(spark.sparkContext.broadcast(Queries(sorted((r["name"], r["text"] or "") for r in part.collect()), window)))
-        if blocks > 1:
-            vars(out[-1]).pop("_value", None)  # the driver keeps the file only
+
+def _by_row(row: np.ndarray, no: np.ndarray, rows: int) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(rows)]
+    if len(row):
+        for r, w in np.unique(np.stack([row, no], 1), axis=0).tolist():
+            out[r].append(w)
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, proximity: tuple[int, int] | None = None) -> DataFrame:
-    """row (the other columns of docs, as components.as_row has them), text, n_words, n_hit and items of each document.
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored posting lists of docs (doc, a number of each row, and text); buckets: how many there are."""
+    buckets = run_tables.bucket_count(docs)
+    own = docs.select(F.col("doc").alias("doc_id"), "text", F.lit(False).alias("apart"))
+    out = run_tables.kept(run_tables.encoded(own, words.alnum_table(), buckets, inverted=True), "postings")
+    out.buckets = buckets
+    return out
+
 
-    items (item_id, text): a null or empty text has no window; a null id is the name
-    "null"; rows with one id are one item.  A null document text has no words.  Rows of
-    docs are judged one by one, so that repeated rows give repeated results, and a long
-    text whole.  An empty table of documents gives no rows, of items no hits.  proximity
-    (terms, words): near_items are those of which that many of a window's terms, the
-    rarest of its block of the benchmark, stand within so many words of the rarest, in
-    any order.
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, proximity: tuple[int, int] | None = None) -> DataFrame:
+    """(doc, n_hit, items, near_items) of the documents of an index in which a window of items (item_id, text) occurs, or its rarest terms near each other.
+
+    A null or empty text has no window; a null id is the name "null"; rows with one id are
+    one item.  proximity (terms, words): near_items are those of which so many of a
+    window's terms, the rarest in all documents, stand within so many words of the rarest,
+    in any order; without it there are none.
     """
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    rows = docs.select(as_row(docs, "text"), "text")
-    names = ["items", *(["near_items"] if proximity else [])]
-    new = [StructField(n, LongType()) for n in ("n_words", "n_hit")] + [StructField(n, ArrayType(StringType())) for n in names]
-    return rows.mapInArrow(_scan(_sent(named, window, block_chars), proximity), StructType([*rows.schema.fields, *new]))
+    # One number for each name: of its rows, the least hash of name and text.
+    asked = run_tables.kept(named.withColumn("doc_id", F.monotonically_increasing_id()), "items")
+    runs = run_tables.kept(run_tables.encoded(asked.select("doc_id", "text", F.lit(False).alias("apart")), words.alnum_table(), index.buckets, side=1), "item-runs")
+    counted = run_tables.dictionary(index.unionByName(runs))
+    found = run_tables.with_facts(runs, counted.filter("t > 0"), ("s",), _windows(window), "window string, anchor string, held array<long>, item long", more=("names",))
+    windows = found.groupBy("window").agg(F.first("anchor").alias("anchor"), F.first("held").alias("held"), F.collect_set("item").alias("rows"))
+    windows = run_tables.kept(windows.withColumn("no", F.monotonically_increasing_id()), "windows")
+    anchors = windows.select(F.pmod(F.crc32("anchor"), F.lit(index.buckets)).cast("int").alias("anchor_bucket"), "anchor", "no", "window", "held")
+    may = run_tables.pieces_of(index).groupBy("bucket").cogroup(anchors.groupBy("anchor_bucket")).applyInArrow(_may_hold, "of_run long, no long, window string, held array<long>")
+    may = run_tables.kept(may, "candidates")
+    some = index.join(may.select(F.col("of_run").alias("run")).distinct(), "run", "left_semi").select("run", "doc_ids", "n_words", "codes", "names", "counts")
+    hits = run_tables.kept(some.groupBy("run").cogroup(may.groupBy("of_run")).applyInArrow(_found(window, proximity), "doc long, n_hit long, windows array<long>, near array<long>"), "hits")
+    names = windows.select("no", F.explode("rows").alias("doc_id")).join(asked.select("doc_id", "name"), "doc_id").select("no", "name").distinct()
+    out = hits.select("doc", "n_hit")
+    for column, name in (("windows", "items"), ("near", "near_items")):
+        each = hits.select("doc", F.explode(column).alias("no")).join(names, "no").groupBy("doc").agg(F.array_sort(F.collect_set("name")).alias(name))
+        out = out.join(each, "doc", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    out = run_tables.kept(out, "matches")
+    for table in (asked, runs, counted, windows, may, hits):
+        forget(table)
+    return out
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, proximity: tuple[int, int] | None = None) -> DataFrame:
+    """row (the other columns of docs, as components.as_row has them), text, n_words, n_hit and items (and near_items) of each document.
+
+    items: as search has them.  A null document text has no words.  Rows of docs are
+    judged one by one, so that repeated rows give repeated results, and a long text whole.
+    An empty table of documents gives no rows, of items no hits.
+    """
+    placed = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", as_row(docs, "text")))
+    index = build_index(placed)
+    counts = run_tables.kept(index.select(F.explode(F.arrays_zip("doc_ids", "n_words")).alias("x")).select(F.col("x.doc_ids").alias("doc"), F.col("x.n_words").cast("long").alias("n_words")), "word-counts")
+    found = search(index, items, window, proximity)
+    forget(index)
+    none = F.array().cast("array<string>")
+    joined = placed.join(counts, "doc").join(found, "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "near_items": F.coalesce("near_items", none)})
+    return joined.select("row", "text", "n_words", "n_hit", "items", *(["near_items"] if proximity else []))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -268,5 +235,9 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of a benchmark text occurs; a null text has none and stays."""
-    found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit = 0")
-    return found.select(*from_row(docs, {"text": F.col("text")}))
+    placed = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", as_row(docs, "text")))
+    index = build_index(placed)
+    found = search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc")
+    forget(index)
+    few = found.count() <= SENT_ROWS
+    return placed.join(F.broadcast(found) if few else found, "doc", "left_anti").select(*from_row(docs, {"text": F.col("text")}))

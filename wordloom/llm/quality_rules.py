@@ -26,8 +26,8 @@ HOST_SHARE = 0.05
 MANY = 1000
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.5
-#: Frequent lines (host and 8 bytes each) up to which all tasks get them.
-SENT_LINES = 1_000_000
+#: Frequent lines up to which all tasks get them, as they are looked through for each line of a text; more meet the texts' lines by a join.
+SENT_LINES = 2_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

@@ -43,8 +43,11 @@ def bucket_count(*tables: DataFrame) -> int:
     return total // BUCKET_BYTES + 1
 
 
-def row(run: int, side: int, doc_ids: pa.Array, apart: pa.Array, n_words, n_features, code: np.ndarray, terms: list[bytes], counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A run as a batch of one row; code: the number of each feature's term.  Terms are put in order of their buckets."""
+def row(run: int, side: int, doc_ids: pa.Array, apart: pa.Array, n_words, n_features, code: np.ndarray, terms: list[bytes], counts: np.ndarray, buckets: int, inverted: bool = False) -> pa.RecordBatch:
+    """A run as a batch of one row; code: the number of each feature's term.  Terms are put in order of their buckets.
+
+    inverted: the codes are kept as postings.
+    """
     bucket = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % buckets
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(terms), np.int64)
@@ -56,13 +59,24 @@ def row(run: int, side: int, doc_ids: pa.Array, apart: pa.Array, n_words, n_feat
     listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     columns = {
         "run": one(run, pa.int64()), "side": one(side, pa.int32()), "doc_ids": listed(doc_ids), "apart": listed(apart), "n_words": listed(pa.array(n_words, pa.int32())), "n_features": listed(pa.array(n_features, pa.int32())),
-        "codes": one(packed(place[code], len(terms)), pa.binary()), "buckets": listed(pa.array(some, pa.int32())), "sizes": listed(pa.array(np.diff(bounds), pa.int32())),
+        "codes": one(postings(place[code]).astype("<u4").tobytes() if inverted else packed(place[code], len(terms)), pa.binary()), "buckets": listed(pa.array(some, pa.int32())), "sizes": listed(pa.array(np.diff(bounds), pa.int32())),
         "names": listed(pa.array([x for x, _ in pieces], pa.string())), "counts": listed(pa.array([x for _, x in pieces], pa.binary())),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _encode(table: np.ndarray, side: int, buckets: int):
+def postings(code: np.ndarray) -> np.ndarray:
+    """Where each term stands, term by term and in order, as steps from one place to the next."""
+    places = np.argsort(code, kind="stable").astype(np.uint32)
+    return np.diff(places, prepend=np.uint32(0))
+
+
+def places(steps: bytes) -> np.ndarray:
+    """The places of all terms again, term by term."""
+    return np.cumsum(np.frombuffer(steps, "<u4"), dtype=np.uint32).astype(np.int64)
+
+
+def _encode(table: np.ndarray, side: int, buckets: int, inverted: bool):
     def encode(batches):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -73,19 +87,19 @@ def _encode(table: np.ndarray, side: int, buckets: int):
                 place[used] = np.arange(len(used))
                 code, apart = place[code], batch.column(2).slice(c.at, len(c))
                 counted = ~np.repeat(apart.to_numpy(zero_copy_only=False).astype(bool), c.counts)
-                yield row(2 * number + side, side, batch.column(0).slice(c.at, len(c)), apart, c.counts, c.counts, code, terms.take(pa.array(used)).to_pylist(), np.bincount(code[counted], minlength=len(used)), buckets)
+                yield row(2 * number + side, side, batch.column(0).slice(c.at, len(c)), apart, c.counts, c.counts, code, terms.take(pa.array(used)).to_pylist(), np.bincount(code[counted], minlength=len(used)), buckets, inverted)
                 number += 1
 
     return encode
 
 
-def encoded(docs: DataFrame, is_word: np.ndarray, buckets: int, side: int = 0) -> DataFrame:
+def encoded(docs: DataFrame, is_word: np.ndarray, buckets: int, side: int = 0, inverted: bool = False) -> DataFrame:
     """The runs of docs (doc_id, text, apart): of texts with A-Z lower-cased.
 
     counts are those of a run's terms in the documents that are not apart.  side tells
-    two tables apart.  Null texts have no words.
+    two tables apart.  inverted: the runs have postings for codes.  Null texts have no words.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "apart").mapInArrow(_encode(is_word, side, buckets), RUN)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "apart").mapInArrow(_encode(is_word, side, buckets, inverted), RUN)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -98,12 +112,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _pieces(runs: DataFrame, *others: str) -> DataFrame:
+def pieces_of(runs: DataFrame, *others: str) -> DataFrame:
     zipped = F.arrays_zip(*(c for c in ("buckets", "names", "counts") if c == "buckets" or c in ("names", *others)))
     each = runs.select("run", "side", F.explode(zipped).alias("x"))
     return each.select("run", "side", F.col("x.buckets").alias("bucket"), F.col("x.names").alias("names"), *(F.col(f"x.{c}") for c in others))
 
 
+def term_names(pieces: list[str]) -> list[str]:
+    """The terms of a run's pieces, in the order of its codes."""
+    return " ".join(pieces).split(" ") if pieces else []
+
+
 def _names(column) -> pa.Array:
     return pa.array(" ".join(column.to_pylist()).split(" "), pa.string())
 
@@ -121,7 +140,7 @@ def _counted(table: pa.Table) -> pa.Table:
 
 def dictionary(runs: DataFrame) -> DataFrame:
     """(bucket, term, term_id, s, t): the different terms of all runs and their counts, on side 0 and on side 1."""
-    found = _pieces(runs, "counts").groupBy("bucket").applyInArrow(_counted, "bucket int, term string, s long, t long")
+    found = pieces_of(runs, "counts").groupBy("bucket").applyInArrow(_counted, "bucket int, term string, s long, t long")
     return kept(found.withColumn("term_id", F.monotonically_increasing_id()), "dictionary")
 
 
@@ -139,15 +158,16 @@ def _looked_up(names: tuple[str, ...]):
     return look_up
 
 
-def with_facts(runs: DataFrame, facts: DataFrame, names: tuple[str, ...], use, schema: str, side: int | None = None) -> DataFrame:
+def with_facts(runs: DataFrame, facts: DataFrame, names: tuple[str, ...], use, schema: str, side: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """use(a run's row, {name: whole numbers of its terms, in the order of its codes}) for each run.
 
     facts: (bucket, term and the named columns) of all terms of the runs.  What use gives
-    is an Arrow table of the schema.  side: runs of one side only.
+    is an Arrow table of the schema.  side: runs of one side only.  more:
+    further columns of the runs that use reads.
     """
     runs = runs if side is None else runs.filter(F.col("side") == side)
-    back = _pieces(runs).groupBy("bucket").cogroup(facts.select("bucket", "term", *names).groupBy("bucket")).applyInArrow(_looked_up(names), "of_run long, bucket int, values binary")
-    narrow = runs.select("run", "side", "doc_ids", "apart", "n_words", "n_features", "codes", "sizes")
+    back = pieces_of(runs).groupBy("bucket").cogroup(facts.select("bucket", "term", *names).groupBy("bucket")).applyInArrow(_looked_up(names), "of_run long, bucket int, values binary")
+    narrow = runs.select("run", "side", "doc_ids", "apart", "n_words", "n_features", "codes", "sizes", *more)
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
