@@ -115,6 +115,14 @@ def _weight_piece(table: pa.Table) -> pa.Table:
     return pa.table({"contrast": table["contrast"][:1], "piece": table["piece"][:1], "weights": pa.array([table["w"].to_numpy().astype("<f8").tobytes()], pa.binary())})
 
 
+def weight_pieces(scores: DataFrame, test: SetTest = SetTest(), piece_size: int = PIECE) -> DataFrame:
+    """(contrast, piece, weights): |score|**p by falling score, packed, so many keys of a contrast in a row."""
+    known = scores.filter("score IS NOT NULL").select("contrast", "key", "score")
+    ranked = number_within(known, "rank", "contrast", F.desc("score"), F.asc("key"))
+    placed = ranked.select("contrast", (F.col("rank") - 1).alias("rank"), F.pow(F.abs("score"), F.lit(test.param)).alias("w")).withColumn("piece", F.floor(F.col("rank") / piece_size))
+    return placed.groupBy("contrast", "piece").applyInArrow(_weight_piece, "contrast string, piece long, weights binary")
+
+
 _DRAWN = "contrast string, piece long, perm_block long, n long, sizes array<int>, at binary, place binary"
 
 
@@ -170,9 +178,7 @@ def null_scores(scores: DataFrame, sizes: DataFrame, test: SetTest = SetTest(),
     weights once.  Sizes must be smaller than their contrasts.
     """
     known = scores.filter("score IS NOT NULL")
-    ranked = number_within(known.select("contrast", "key", "score"), "rank", "contrast", F.desc("score"), F.asc("key"))
-    placed = ranked.select("contrast", (F.col("rank") - 1).alias("rank"), F.pow(F.abs("score"), F.lit(test.param)).alias("w")).withColumn("piece", F.floor(F.col("rank") / piece_size))
-    weights = placed.groupBy("contrast", "piece").applyInArrow(_weight_piece, "contrast string, piece long, weights binary")
+    weights = weight_pieces(scores, test, piece_size)
     wanted = sizes.groupBy("contrast").agg(F.sort_array(F.collect_set(F.col("size").cast("int"))).alias("sizes"))
     n = known.groupBy("contrast").agg(F.count("*").alias("n"))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-test.nperm // block) - 1).cast("long"))).alias("perm_block")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import WORD, hash_number
-from ..operators import codes, context, enrich, gsea, neighbors, network, phrases, shrink, text, train, train_sharded, vectors
-from ..operators.lineage import shared_folder
+from ..operators import codes, context, enrich, gsea, neighbors, network, phrases, shrink, tails, text, train, train_sharded, vectors
+from ..operators.lineage import settled, shared_folder
 from ..sources import files
 from . import inputs
 
@@ -221,6 +221,13 @@ def _null(spark, d):
     return gsea.null_summary(gsea.null_scores(scores, sizes, test))
 
 
+def _small_p(spark, d):
+    """The sets of the contrasts that fewer than one in twenty permutations exceed, with p-values by splitting."""
+    scores, test = settled(enrich.one_v_all(_normed(spark, d))), gsea.SetTest(nperm=2000)
+    tested = gsea.set_test(scores, enrich.pathways(inputs.word_sets(spark, d), _heads(spark)), test)
+    return tails.small_p(settled(tested.drop("leading_edge")), scores, test, fewer_than=100)
+
+
 def _ash(spark, d):
     boot, whole = inputs.bootstrap_models(spark, d), inputs.whole_model(spark, d)
     z = shrink.fisher_z(whole, _heads(spark)).select("header", F.col("word").alias("similar_word"), F.col("cos").alias("cosine_est"), "z")
@@ -316,6 +323,7 @@ QUERIES = {
     "fisher_z": lambda s, d: _rounded(shrink.fisher_z(inputs.whole_model(s, d), _heads(s)).drop("model"), "cos", "z"),
     "boot_sd": lambda s, d: _rounded(shrink.boot_sd(inputs.bootstrap_models(s, d), _heads(s)), "sd_z"),
     "gsea_null": _null,
+    "gsea_small_p": _small_p,
     "gsea_pvalues": _p,
     "wsea_full": _full_wsea,
     "wssa_full": _full_wssa,
