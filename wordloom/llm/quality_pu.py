@@ -11,16 +11,21 @@ cannot be negative.  pi is estimated first: for every region A of the inputs
 U(A) >= pi P(A), so pi is at most the least U(A) / P(A) over the regions above the
 thresholds of a classifier of positives against unlabelled.
 
-f is a sum of one step function for each measure of the text.  Only its weights are fitted
-to samples, at most SAMPLE rows of each side.  The measures of all documents are stored, and
-counts of them give the rest: the quantiles where the steps are, the class prior (each half
+f is a sum of one step function for each measure of the text.  The measures of all documents
+are stored.  Counts of them give the quantiles where the steps are, the class prior (each half
 of the documents by the model of the other half) and the margin that trusted positives reach.
+The weights are fitted to all unlabelled texts, in passes: in each, every task goes through its
+rows in small batches, each with a batch of the positives, and the tasks' weights are averaged
+by their rows.  Only the labelled side is bounded, to at most SAMPLE rows.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
@@ -31,11 +36,15 @@ from .features import Adam, sigmoid
 from .quality_rules import _dup_lines, _groups, _repeat_words
 from .toxicity import fold
 
+#: Labelled rows that weights are fitted to at most.
 SAMPLE = 12_000
+#: Rows of a batch; rows that a task goes through together, and batches it takes of fewer rows; passes over all rows, and the rate of their steps at first.
+BATCH, BLOCK, LEAST_STEPS = 2048, 200_000, 40
+PASSES, RATE = 6, 0.05
 STEPS = 16
 #: Score from which a text is taken as good, and the part of trusted positives that may be below it.
 ACCEPT = 0.7
-LOST = 0.01
+LOST = 0.005
 MEASURES = ("words", "word_bytes", "symbols", "marks", "digits", "capitals", "high", "different", "repeated", "dup_lines", "lines", "line_words", "stops", "runs", "longest", "first_caps", "controls", "bare")
 
 
@@ -143,16 +152,6 @@ def _quantiles(values: np.ndarray, weights: np.ndarray, parts) -> np.ndarray:
     return values[order][np.minimum(np.searchsorted(reached, np.asarray(parts) * reached[-1], "left"), len(values) - 1)]
 
 
-def _descend(gradient, size: int, rounds: int, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """gradient(weights, bias) to (gradient of the weights, of the bias)."""
-    w, b, step, step_b = np.zeros(size), 0.0, Adam(size, rate), Adam((), rate)
-    for _ in range(rounds):
-        gw, gb = gradient(w, b)
-        w += step.step(gw + 1e-3 * w)
-        b += float(step_b.step(np.array(gb)))
-    return w, b
-
-
 def class_prior(positive: np.ndarray, values: np.ndarray, counts: np.ndarray, least: float = 0.5) -> float:
     """Part of positives among the unlabelled: the least U(A) / P(A) over regions A above a threshold with P(A) >= least.
 
@@ -171,9 +170,9 @@ def class_prior(positive: np.ndarray, values: np.ndarray, counts: np.ndarray, le
 
 
 class _Design:
-    """Steps of the two samples, and gradients over them.
+    """Steps of positives and unlabelled texts, and gradients over them.
 
-    whole: histograms of the measures of all unlabelled texts, by default those of the sample.
+    whole: histograms of the measures of all unlabelled texts, by default those of the texts given.
     """
 
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, whole=None):
@@ -191,6 +190,12 @@ class _Design:
         self.size = sum(self.sizes)
         self.p, self.u = _steps(positive, self.edges), _steps(unlabelled, self.edges)
 
+    def on(self, p: np.ndarray, u: np.ndarray) -> _Design:
+        """The same with the steps of other texts."""
+        other = copy.copy(self)
+        other.p, other.u = p, u
+        return other
+
     def add(self, gp: np.ndarray, gu: np.ndarray) -> tuple[np.ndarray, float]:
         out = sum(np.bincount(s.ravel(), np.repeat(g, s.shape[1]), self.size) for s, g in ((self.p, gp), (self.u, gu)))
         return out, gp.sum() + gu.sum()
@@ -215,6 +220,53 @@ class _Design:
         return Model(self.edges, [w[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], b)
 
 
+def _pass(sent):
+    """Takes a task's unlabelled rows through steps of the weights; gives them with the number of rows."""
+
+    def run(batches):
+        design, pi, w, b, number, rate = sent.value
+        rng = np.random.default_rng((number, TaskContext.get().partitionId()))
+        w, rows = w.copy(), 0
+        step, step_b = Adam(design.size, rate), Adam((), rate)
+
+        def train(held):
+            nonlocal b
+            u = np.concatenate(held)
+            steps = max(LEAST_STEPS, -(-len(u) // BATCH))
+            order = np.concatenate([rng.permutation(len(u)) for _ in range(-(-steps * BATCH // len(u)))])
+            for k in range(steps):
+                part = design.on(design.p[rng.integers(0, len(design.p), min(BATCH, len(design.p)))], u[order[k * BATCH : (k + 1) * BATCH]])
+                gw, gb = (part.against if pi is None else part.risk(pi))(w, b)
+                w[:] += step.step(gw + 1e-3 * w)
+                b += float(step_b.step(np.array(gb)))
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(_steps(_matrix(batch.column(0)), design.edges).astype(np.int32))
+            rows += batch.num_rows
+            if sum(map(len, held)) >= BLOCK:
+                train(held)
+                held = []
+        if held and sum(map(len, held)):
+            train(held)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(w, b).tolist()], pa.list_(pa.float64())), pa.array([rows])], names=["w", "n"])
+
+    return run
+
+
+def fitted(known: DataFrame, design: _Design, pi: float | None = None, passes: int = PASSES) -> Model:
+    """The model of least risk over the positives of a design and all rows of known (x); pi: the class prior, or none to tell both apart."""
+    spark, w, b = known.sparkSession, np.zeros(design.size), 0.0
+    for k in range(passes):
+        sent = spark.sparkContext.broadcast((design, pi, w, b, k, RATE * (1 - k / (passes + 1))))
+        each = known.select("x").mapInArrow(_pass(sent), "w array<double>, n long").select("n", F.posexplode("w").alias("i", "w"))
+        mean = each.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).orderBy("i").toPandas()["w"].to_numpy()
+        w, b = mean[:-1], float(mean[-1])
+        sent.unpersist()
+    return design.model(w, b)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, half, x): the measures of each row's whole text; null texts are empty ones.  half: 0 or 1, by the id."""
 
@@ -238,42 +290,37 @@ def outside(doc_id, parts: int, held: int):
     return doc_id.isNotNull() & (fold(doc_id, parts) != held)
 
 
-def learn(known: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE, rounds: int = 300) -> Model:
-    """A model from a table of measures, which is read five times.
+def learn(known: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPLE, passes: int = PASSES) -> Model:
+    """A model from a table of measures.
 
-    Positives: rows labelled 1 outside the held-out fold.  Unlabelled: any documents outside it,
-    whatever their labels.  Weights are fitted to at most ``sample`` ids of each side, in the
-    order of a hash, with one row, the least, of each id.  Steps and prior come from all
-    unlabelled rows, and the place of ACCEPT from all positive ones.  With fewer than four ids
-    of a half on either side every score is 0.5.
+    Positives: rows labelled 1 outside the held-out fold; weights are fitted to at most
+    ``sample`` of their ids, in the order of a hash, with one row, the least, of each id.
+    Unlabelled: all rows outside the fold, whatever their labels.  Weights, steps and prior
+    come from all of them, and the place of ACCEPT from all positive ones.  With fewer than
+    four rows of a half on either side every score is 0.5.
     """
     may = outside(F.col("doc_id"), parts, held)
     known = known.filter(may)
     labelled = labels.filter(may & (F.col("quality") == 1)).select("doc_id").distinct()
-    order = lambda df: df.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
-    chosen = order(labelled).withColumn("positive", F.lit(True)).unionByName(order(known).withColumn("positive", F.lit(False)))
-    # At most 2 * sample ids: a bounded side to send to the tasks.
-    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "half", "positive").agg(F.min("x").alias("x")).toPandas()
-    x = np.array(rows.x.tolist(), float).reshape(len(rows), len(MEASURES))
-    positive, half = rows.positive.to_numpy(bool), rows.half.to_numpy()
+    chosen = labelled.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample)
+    # At most so many ids: a bounded side to send to the tasks.
+    rows = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "half").agg(F.min("x").alias("x")).toPandas()
+    x, half = np.array(rows.x.tolist(), float).reshape(len(rows), len(MEASURES)), rows.half.to_numpy()
+    unlabelled = {r["half"]: r["count"] for r in known.groupBy("half").count().collect()}
     side = lambda which: x[which][np.lexsort(x[which].T)]
-    if min((which & (half == k)).sum() for which in (positive, ~positive) for k in (0, 1)) < 4:
+    if min(min((half == k).sum(), unlabelled.get(k, 0)) for k in (0, 1)) < 4:
         return Model([np.zeros(0)] * len(MEASURES), [np.zeros(1)] * len(MEASURES), 0.0)
     whole = histograms(known.select("x"), lambda batch: enumerate(_matrix(batch.column(0)).T))
-
-    halves = []
-    for k in (0, 1):
-        design = _Design(side(positive & (half == k)), side(~positive & (half == k)), whole)
-        halves.append(design.model(*_descend(design.against, design.size, rounds // 2)))
+    none = np.zeros((0, len(MEASURES)))
+    halves = [fitted(known.filter(F.col("half") == k), _Design(side(half == k), none, whole), passes=max(1, passes // 2)) for k in (0, 1)]
 
     def by_the_other(batch):
         h, values = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
         return [(k, halves[k].margin(values[h == 1 - k])) for k in (0, 1)]
 
     margins = histograms(known.select("half", "x"), by_the_other)
-    pi = float(np.mean([class_prior(halves[k].margin(side(positive & (half == 1 - k))), *margins[k]) for k in (0, 1)]))
-    design = _Design(side(positive), side(~positive), whole)
-    model = design.model(*_descend(design.risk(pi), design.size, rounds))
+    pi = float(np.mean([class_prior(halves[k].margin(side(half == 1 - k)), *margins[k]) for k in (0, 1)]))
+    model = fitted(known, _Design(side(half >= 0), none, whole), pi, passes)
     model.prior = pi
     # The prior weighs the risk; ACCEPT is the score that nearly all trusted positives reach.
     reached = histograms(known.join(labelled, "doc_id", "left_semi").select("x"), lambda batch: [(0, model.margin(_matrix(batch.column(0))))])[0]
