@@ -84,7 +84,8 @@ def pathways(sets: DataFrame, headers: DataFrame) -> DataFrame:
 def wsea(models: DataFrame, sets: DataFrame, headers: list[str], groups: DataFrame | None = None, numwords: int = 1000, test: SetTest | None = None) -> dict[str, DataFrame]:
     """Word-set enrichment: {"wsea": set tests of every contrast, "matrix": normalised similarities}.
 
-    models: (model, word, vec), at least two models; sets: (set_id, word).
+    models: (model, word, vec), at least two models; sets: (set_id, word).  Fewer models,
+    no sets or no headers are a ValueError.
     """
     spark = models.sparkSession
     if not headers:
@@ -126,12 +127,16 @@ def control_pool(model: DataFrame, own: DataFrame, heads: DataFrame, control_set
     return union_sets(own, except_set(control_set, own))
 
 
-def wssa(model: DataFrame, word_set: list[str], headers: list[str], control_set: DataFrame | None = None, boot: DataFrame | None = None, num_controls: int = 5000, seed: int = 1, test: SetTest | None = None, drop_headers: bool = False) -> DataFrame:
-    """Significance of a word set in one model (model, word, vec); boot: replicates of it as further models."""
+def wssa(model: DataFrame, word_set: list[str] | DataFrame, headers: list[str], control_set: DataFrame | None = None, boot: DataFrame | None = None, num_controls: int = 5000, seed: int = 1, test: SetTest | None = None, drop_headers: bool = False) -> DataFrame:
+    """Significance of a word set, a list or a table (word), in one model (model, word, vec); boot: replicates of it as further models.
+
+    An empty word set, or no header words, is a ValueError.
+    """
     spark = model.sparkSession
-    if not word_set or not headers:
+    own = word_set.select("word").distinct() if isinstance(word_set, DataFrame) else words_table(spark, word_set)
+    if not headers or not own.limit(1).count():
         raise ValueError("a word set and header words are needed")
-    own, heads = words_table(spark, word_set), words_table(spark, headers)
+    heads = words_table(spark, headers)
     pool = control_pool(model, own, heads, control_set, num_controls, seed, drop_headers)
     if boot is None:
         scored = wssa_scores(model, pool, heads).select(F.lit("wssa").alias("contrast"), F.col("word").alias("key"), "score")

@@ -15,7 +15,8 @@ def nodes(model: DataFrame, header: str, numwords_header: int = 20, numwords_sec
     """(id, label, value): the words nearest to the header, and the words nearest to each of these.
 
     value is the scaled cosine with the header; ids count from 1 by falling value.
-    The rows are bounded by numwords_header * (numwords_sec + 1).
+    The rows are bounded by numwords_header * (numwords_sec + 1).  A header that the model
+    lacks, as an empty one does, is a ValueError.
     """
     spark = model.sparkSession
     near = nearest(model, words_table(spark, [header]), numwords_header)

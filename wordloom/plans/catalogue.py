@@ -69,6 +69,14 @@ def _draws(spark, d):
     return text.negative_draws(targets, vocab).groupBy("drawn").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.countDistinct("doc_id").alias("docs"))
 
 
+def _sigmoids(spark, d):
+    """The table's bins, with how many products of six times the unit vectors of words and of a set's words fall into each."""
+    near = vectors.cosines(inputs.whole_model(spark, d), inputs.label_words(spark, d, 3))
+    counts = near.groupBy(F.least(F.floor((F.col("cos") + 1) * 500), F.lit(999)).alias("i")).agg(F.count("*").alias("n"))
+    table = text.sigmoid_table(spark).join(counts, "i", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return _rounded(table, "x", "value")
+
+
 _PASS = """{p}w AS (SELECT doc_id, sent_id, i, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] END AS before FROM (SELECT doc_id, sent_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM {lines})),
 {p}cnt AS (SELECT word, count(*) AS cn FROM {p}w GROUP BY word), {p}tot AS (SELECT count(*) AS t FROM {p}w),
 {p}bi AS (SELECT before AS a, word AS b, count(*) AS pab FROM {p}w WHERE before IS NOT NULL GROUP BY before, word),
@@ -205,8 +213,7 @@ def _full_wsea(spark, d):
 
 
 def _full_wssa(spark, d):
-    chosen = [r["word"] for r in inputs.label_words(spark, d, 3).collect()]
-    return enrich.wssa(inputs.whole_model(spark, d), chosen, inputs.HEADERS, boot=inputs.bootstrap_models(spark, d))
+    return enrich.wssa(inputs.whole_model(spark, d), inputs.label_words(spark, d, 3), inputs.HEADERS, boot=inputs.bootstrap_models(spark, d))
 
 
 def _p(spark, d):
@@ -265,8 +272,7 @@ def _control_scores(spark, d):
 
 
 def _wssa_plain(spark, d):
-    chosen = [r["word"] for r in inputs.label_words(spark, d, 3).collect()]
-    return enrich.wssa(inputs.whole_model(spark, d), chosen, inputs.HEADERS)
+    return enrich.wssa(inputs.whole_model(spark, d), inputs.label_words(spark, d, 3), inputs.HEADERS)
 
 
 QUERIES = {
@@ -285,7 +291,7 @@ QUERIES = {
     "negative_draws": _draws,
     "subsample_stream": lambda s, d: text.thinned(_stream(s, d), _ranked(s, d), 1e-3).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places")),
     "subsample_keep_prob": lambda s, d: _rounded(text.keep_probability(_vocab(s, d), 1e-3), "keep"),
-    "sigmoid_table": lambda s, d: _rounded(text.sigmoid_table(s), "x", "value"),
+    "sigmoid_table": _sigmoids,
     "alpha_schedule": lambda s, d: text.alpha_schedule(text.word_total(_vocab(s, d))).select("step", F.round("alpha", 9).alias("alpha")),
     "bigram_counts": lambda s, d: phrases.bigrams(_token_lines(s, d)),
     "bigram_counts_cross_line": lambda s, d: phrases.cross_line_bigrams(_token_lines(s, d)),
@@ -377,7 +383,7 @@ SELECT (SELECT count(*) FROM vocab) AS words, 1.0::DOUBLE AS kraft, max(total) A
     "negative_draws": f"WITH {_CDF}, t AS (SELECT doc_id, pos, word_id, (('0x' || substr(md5(concat_ws('|', 1, 'negative', doc_id, sent_id, pos, k)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM stream JOIN ranked USING (word), range(5) AS r(k)) SELECT c.word_id AS drawn, count(*) AS n, sum(pos)::BIGINT AS places, count(DISTINCT doc_id) AS docs FROM t ASOF JOIN cdf AS c ON t.u >= c.low WHERE c.word_id <> t.word_id GROUP BY c.word_id",
     "subsample_stream": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab), k AS (SELECT word, least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn) AS keep FROM vocab, t) SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS places FROM stream JOIN k USING (word) WHERE (('0x' || substr(md5(concat_ws('|', 1, 'keep', doc_id, sent_id, pos)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE < keep GROUP BY doc_id",
     "subsample_keep_prob": f"WITH {_VOCAB}, t AS (SELECT 0.001::DOUBLE * sum(cn)::DOUBLE AS lim FROM vocab) SELECT word, round(least(1.0::DOUBLE, (sqrt(cn / lim) + 1) * lim / cn), {_R}) AS keep FROM vocab, t",
-    "sigmoid_table": f"SELECT i, round((i / 1000.0::DOUBLE * 2 - 1) * 6, {_R}) AS x, round(exp((i / 1000.0::DOUBLE * 2 - 1) * 6) / (exp((i / 1000.0::DOUBLE * 2 - 1) * 6) + 1), {_R}) AS value FROM range(1000) AS r(i)",
+    "sigmoid_table": f"WITH {_WHOLE}, bins AS (SELECT least(floor(({_cos('w.vec', 'h.vec')} + 1) * 500), 999)::BIGINT AS i, count(*) AS n FROM whole AS w, whole AS h WHERE h.label = 3 GROUP BY 1) SELECT r.i, round((r.i / 1000.0::DOUBLE * 2 - 1) * 6, {_R}) AS x, round(exp((r.i / 1000.0::DOUBLE * 2 - 1) * 6) / (exp((r.i / 1000.0::DOUBLE * 2 - 1) * 6) + 1), {_R}) AS value, coalesce(n, 0) AS n FROM range(1000) AS r(i) LEFT JOIN bins ON bins.i = r.i",
     "alpha_schedule": f"WITH {_VOCAB}, t AS (SELECT sum(cn)::DOUBLE AS total FROM vocab) SELECT step, round(greatest(0.025::DOUBLE * (1 - (step / 100.0::DOUBLE * 5 * total) / (5 * total + 1)), 0.0000025::DOUBLE), 9) AS alpha FROM t, range(101) AS r(step)",
     "bigram_counts": f"WITH {_TOKEN_LINES}, {_pass('p', 'token_lines')} SELECT a, b, pab FROM pbi",
     "bigram_counts_cross_line": f"WITH {_STREAM} SELECT a, b, count(*) AS pab FROM (SELECT word AS a, lead(word) OVER (ORDER BY doc_id, sent_id, pos) AS b FROM stream) WHERE b IS NOT NULL GROUP BY a, b",
