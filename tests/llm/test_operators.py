@@ -527,6 +527,14 @@ def _slope(loss, w, b, k, h=1e-6):
     return (loss(up, b)[0] - loss(down, b)[0]) / (2 * h), (loss(w, b + h)[0] - loss(w, b - h)[0]) / (2 * h)
 
 
+def test_the_place_to_flag_from():
+    y = np.array([0, 0, 0, 1, 0, 1, 1])
+    margin = np.array([-3.0, -2.0, -2.0, -1.5, -1.0, 0.5, 2.0])
+    assert toxicity.place(margin, y) == -0.25  # one of four neutral texts costs more than one of three toxic ones
+    assert toxicity.place(margin, y, cost=0.5) == -1.75
+    assert toxicity.place(np.array([1.0, 1.0]), np.array([0, 1])) == 2.0
+
+
 def test_gradient_of_the_counterfactual_loss():
     rng = np.random.default_rng(2)
     pairs = lambda n: (rng.integers(0, 12, n), rng.integers(0, 7, n))
