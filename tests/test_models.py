@@ -105,14 +105,23 @@ def test_enrichment_asks_for_its_inputs(spark, plane):
         enrich.wsea(plane, sets, ["a"])
 
 
-def test_shrinkage_goes_towards_zero():
+def test_shrinkage_goes_towards_zero(spark):
     rng = np.random.default_rng(1)
     beta = np.concatenate([rng.normal(0, 0.1, 200), rng.normal(0, 2, 20)])
-    got = shrink.ash(beta, np.full(220, 0.1))
-    assert (np.abs(got.post_mean) <= np.abs(beta) + 1e-6).all()
-    assert np.abs(got.post_mean[:200]).mean() < 0.5 * np.abs(beta[:200]).mean()
-    assert got.lfdr[:200].mean() > 0.7 and np.abs(got.post_mean - beta)[np.abs(beta) > 1].max() < 0.2
-    assert shrink.ash(np.array([0.1]), np.array([np.nan])).post_mean.isna().all()
+    rows = [("h", f"w{i:03}", 0.5, float(x), 0.1) for i, x in enumerate(beta)] + [("h", "none", 0.5, 0.1, None), ("h", "zero", 0.5, 0.1, 0.0), ("h", "nan", 0.5, float("nan"), 0.1), ("g", "only", 0.2, 0.3, 0.05)]
+    got = {(r.header, r.similar_word): r for r in shrink.shrink(spark.createDataFrame(rows, "header string, similar_word string, cosine_est double, z double, sd_z double").repartition(4)).collect()}
+    assert len(got) == len(rows) and all(got["h", w].post_mean_z is None and got["h", w].svalue is None for w in ("none", "zero", "nan"))
+    post = np.array([got["h", f"w{i:03}"].post_mean_z for i in range(220)])
+    assert (np.abs(post) <= np.abs(beta) + 1e-6).all() and np.abs(post[:200]).mean() < 0.5 * np.abs(beta[:200]).mean()
+    assert np.mean([got["h", f"w{i:03}"].lfdr for i in range(200)]) > 0.7 and np.abs(post - beta)[np.abs(beta) > 1].max() < 0.2
+    # The prior of the cells is that of the rows, and s-values are running means.
+    a = shrink.widths(0.01, 2 * math.sqrt((beta**2 - 0.01).max()))
+    plain = shrink.posterior(beta, np.full(220, 0.1), a, shrink.prior(shrink.likelihoods(beta, np.full(220, 0.1), a), np.ones(220)))
+    assert np.abs(post - plain["post_mean"]).max() < 2e-3
+    order = sorted((got["h", f"w{i:03}"].lfsr, f"w{i:03}") for i in range(220))
+    for k, (_, w) in enumerate(order, 1):
+        assert got["h", w].svalue == pytest.approx(sum(x for x, _ in order[:k]) / k)
+    assert got["g", "only"].svalue == pytest.approx(got["g", "only"].lfsr) and got["g", "only"].ash_cosine_est == pytest.approx(math.tanh(got["g", "only"].post_mean_z))
 
 
 def test_huffman_is_optimal_and_prefix_free():

@@ -38,8 +38,25 @@ def number_within(df: DataFrame, name: str, by: str, *order: Column) -> DataFram
     A group may be in many ranges, and a range may hold many groups: for each that meet
     there is one row that says how many of the group's rows are in the ranges before.
     """
-    dealt = _dealt(df, F.col(by), *order)
+    return _numbered(_dealt(df, F.col(by), *order), name, by).drop("_task", "_row")
+
+
+def running_sums(df: DataFrame, name: str, value: str, number: str, by: str, *order: Column) -> DataFrame:
+    """number_within, and the sums of a column's values up to each row.
+
+    Sums are made within the part of a group that a range has, and the sums of its earlier
+    parts are added: no task sees more of a group than its range.
+    """
+    placed = _numbered(_dealt(df, F.col(by), *order), number, by)
+    upto = Window.partitionBy(by, "_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(by, "_task").agg(F.sum(value).alias("_s")).select(by, "_task", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_base"))
+    summed = placed.withColumn(name, F.sum(value).over(upto)).join(sent(before), [by, "_task"])
+    return summed.withColumn(name, F.col(name) + F.col("_base")).drop("_task", "_row", "_base")
+
+
+def _numbered(dealt: DataFrame, name: str, by: str) -> DataFrame:
     met = dealt.groupBy(by, "_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     shift = met.select(by, "_task", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return dealt.join(sent(shift), [by, "_task"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_task", "_row", "_shift")
+    return dealt.join(sent(shift), [by, "_task"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_shift")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import fisher
+from .lineage import sent, settled
+from .ranks import running_sums
 from .vectors import cosines, nearest, words_table
 
 
@@ -35,36 +37,47 @@ def _pdf(x: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
-def ash(beta: np.ndarray, s: np.ndarray, null_weight: float = 10.0, rounds: int = 2000) -> pd.DataFrame:
-    """Adaptive shrinkage (Stephens 2017): a point mass at 0 and uniform components around it.
+#: A row's z in its standard errors, and the logarithm of its standard error, are told apart in cells of these widths when the prior is fitted.
+Z_CELL, ERROR_CELL = 1 / 64, 1 / 128
+#: Weight of the null in the penalty, and rounds of the fit at most.
+NULL_WEIGHT, ROUNDS = 10.0, 2000
 
-    Weights are fitted by EM with a penalty that favours the null.  Rows with no standard
-    error are not shrunk and have null results.
-    """
-    ok = np.isfinite(beta) & np.isfinite(s) & (s > 0)
-    out = pd.DataFrame({c: np.full(len(beta), np.nan) for c in ("post_mean", "post_sd", "lfdr", "lfsr", "svalue")})
-    if not ok.any():
-        return out
-    b, e = beta[ok][:, None], s[ok][:, None]
-    low = float(e.min()) / 10
-    high = 2 * math.sqrt(max(float((b * b - e * e).max()), 0)) if (b * b > e * e).any() else 8 * low
-    a = low * math.sqrt(2) ** np.arange(max(1, math.ceil(math.log(max(high, low * 2) / low) / math.log(math.sqrt(2)))) + 1)
-    lo, hi = (-a - b) / e, (a - b) / e
-    mass = np.maximum(_cdf(hi) - _cdf(lo), 1e-300)
-    like = np.hstack([_pdf(b / e) / e, mass / (2 * a)])
-    prior = np.append(null_weight, np.ones(len(a)))
+
+def widths(low: float, high: float) -> np.ndarray:
+    """Half widths of the uniform components, a factor of the root of 2 apart."""
+    steps = max(1, math.ceil(math.log(max(high, low * 2) / low) / math.log(math.sqrt(2))))
+    return low * math.sqrt(2) ** np.arange(steps + 1)
+
+
+def likelihoods(b: np.ndarray, e: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Of estimates b with errors e: under a point mass at 0, and under each uniform component around it."""
+    b, e = b[:, None], e[:, None]
+    mass = np.maximum(_cdf((a - b) / e) - _cdf((-a - b) / e), 1e-300)
+    return np.hstack([_pdf(b / e) / e, mass / (2 * a)])
+
+
+def prior(like: np.ndarray, n: np.ndarray, null_weight: float = NULL_WEIGHT, rounds: int = ROUNDS) -> np.ndarray:
+    """Shares of the components by EM with a penalty that favours the null; n: how often each row of likelihoods occurs."""
+    penalty = np.append(null_weight, np.ones(like.shape[1] - 1)) - 1
     pi = np.full(like.shape[1], 1 / like.shape[1])
     for _ in range(rounds):
         w = like * pi
         w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
-        new = w.sum(0) + prior - 1
-        new = np.maximum(new, 0) / max(new.sum(), 1e-300)
+        new = np.maximum(n @ w + penalty, 0)
+        new /= max(new.sum(), 1e-300)
         if np.abs(new - pi).max() < 1e-8:
-            pi = new
-            break
+            return new
         pi = new
-    w = like * pi
+    return pi
+
+
+def posterior(b: np.ndarray, e: np.ndarray, a: np.ndarray, pi: np.ndarray) -> dict[str, np.ndarray]:
+    """post_mean, post_sd, lfdr and lfsr of estimates under the fitted prior."""
+    w = likelihoods(b, e, a) * pi
     w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
+    b, e = b[:, None], e[:, None]
+    lo, hi = (-a - b) / e, (a - b) / e
+    mass = np.maximum(_cdf(hi) - _cdf(lo), 1e-300)
     # Moments of a normal cut to (-a, a).
     shift = (_pdf(lo) - _pdf(hi)) / mass
     mean = np.clip(b + e * shift, -a, a)
@@ -76,25 +89,66 @@ def ash(beta: np.ndarray, s: np.ndarray, null_weight: float = 10.0, rounds: int
     second = (w[:, 1:] * (spread + mean * mean)).sum(1)
     negative = (w[:, 1:] * below).sum(1)
     lfsr = np.clip(np.minimum(1 - negative, negative + w[:, 0]), 0, 1)
-    order = np.argsort(lfsr, kind="stable")
-    svalue = np.empty(len(lfsr))
-    svalue[order] = np.cumsum(lfsr[order]) / np.arange(1, len(lfsr) + 1)
-    out.loc[ok, ["post_mean", "post_sd", "lfdr", "lfsr", "svalue"]] = np.stack([post, np.sqrt(np.maximum(second - post * post, 0)), w[:, 0], lfsr, svalue], 1)
-    return out
+    return {"post_mean": post, "post_sd": np.sqrt(np.maximum(second - post * post, 0)), "lfdr": w[:, 0], "lfsr": lfsr}
 
 
-_SHRUNK = "header string, similar_word string, cosine_est double, z double, sd_z double, post_mean_z double, post_sd_z double, lfdr double, lfsr double, svalue double, ash_cosine_est double"
+_PRIOR = "of string, widths array<double>, shares array<double>"
 
 
-def shrink(estimates: DataFrame) -> DataFrame:
-    """Adaptive shrinkage of (header, similar_word, cosine_est, z, sd_z) for each header; a header's rows are its related words."""
+def _fit(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["t_cell", "e_cell"])
+    a = widths(float(frame["low"].iloc[0]), float(frame["high"].iloc[0]))
+    pi = prior(likelihoods(frame["z"].to_numpy(float), frame["sd"].to_numpy(float), a), frame["n"].to_numpy(float))
+    return pd.DataFrame({"of": [frame["header"].iloc[0]], "widths": [a], "shares": [pi]})
+
+
+def priors(known: DataFrame) -> DataFrame:
+    """(of, widths, shares): the prior of each header of known (header, z, sd_z), both finite and sd_z above 0.
+
+    Rows go into cells, with their means and their number; cells are narrow against the
+    errors, and a header has only so many, whatever its rows.
+    """
+    beyond = F.max(F.col("z") * F.col("z") - F.col("sd_z") * F.col("sd_z"))
+    bounds = known.groupBy("header").agg((F.min("sd_z") / 10).alias("low"), beyond.alias("beyond"))
+    bounds = bounds.select("header", "low", F.when(F.col("beyond") > 0, 2 * F.sqrt("beyond")).otherwise(8 * F.col("low")).alias("high"))
+    cell = known.withColumns({"t_cell": F.floor(F.col("z") / F.col("sd_z") / Z_CELL), "e_cell": F.floor(F.log("sd_z") / ERROR_CELL)})
+    cells = cell.groupBy("header", "t_cell", "e_cell").agg(F.avg("z").alias("z"), F.avg("sd_z").alias("sd"), F.count("*").alias("n"))
+    return cells.join(sent(bounds), "header").groupBy("header").applyInPandas(_fit, _PRIOR)
+
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("similar_word").reset_index(drop=True)
-        r = ash(frame["z"].to_numpy(float), frame["sd_z"].to_numpy(float))
-        return pd.DataFrame({"header": frame["header"], "similar_word": frame["similar_word"], "cosine_est": frame["cosine_est"], "z": frame["z"], "sd_z": frame["sd_z"], "post_mean_z": r.post_mean, "post_sd_z": r.post_sd, "lfdr": r.lfdr, "lfsr": r.lfsr, "svalue": r.svalue, "ash_cosine_est": np.tanh(r.post_mean)})
+_SHRUNK = "header string, similar_word string, cosine_est double, z double, sd_z double, post_mean_z double, post_sd_z double, lfdr double, lfsr double"
 
-    return estimates.groupBy("header").applyInPandas(one, _SHRUNK)
+
+def _posteriors(batches):
+    """The posterior of each row, with its header's prior in the row."""
+    for frame in batches:
+        out = frame[["header", "similar_word", "cosine_est", "z", "sd_z"]].copy()
+        for c in ("post_mean_z", "post_sd_z", "lfdr", "lfsr"):
+            out[c] = np.nan
+        for _, at in frame.groupby("of").indices.items():
+            first = frame.iloc[at[0]]
+            found = posterior(frame["z"].to_numpy(float)[at], frame["sd_z"].to_numpy(float)[at], np.asarray(first["widths"]), np.asarray(first["shares"]))
+            for name, c in (("post_mean", "post_mean_z"), ("post_sd", "post_sd_z"), ("lfdr", "lfdr"), ("lfsr", "lfsr")):
+                out.iloc[at, out.columns.get_loc(c)] = found[name]
+        yield out
+
+
+def shrink(estimates: DataFrame) -> DataFrame:
+    """Adaptive shrinkage (Stephens 2017) of (header, similar_word, cosine_est, z, sd_z): a point mass at 0 and uniform components around it, for each header.
+
+    Adds post_mean_z, post_sd_z, lfdr, lfsr, svalue and ash_cosine_est.  Rows without a
+    standard error, or with one of 0, are not shrunk and have null results.  A header's
+    rows are dealt out over many tasks; the prior is fitted to its cells.
+    """
+    known = settled(estimates.filter("isnotnull(z) AND NOT isnan(z) AND abs(z) < double('inf') AND sd_z > 0 AND NOT isnan(sd_z) AND sd_z < double('inf')"))
+    rest = estimates.filter("NOT coalesce(isnotnull(z) AND NOT isnan(z) AND abs(z) < double('inf') AND sd_z > 0 AND NOT isnan(sd_z) AND sd_z < double('inf'), false)")
+    fitted = known.join(sent(priors(known)), F.col("header") == F.col("of")).mapInPandas(_posteriors, _SHRUNK)
+    # svalue: the mean lfsr of a row and of those with a smaller one; ties by the word.
+    summed = running_sums(fitted, "_sum", "lfsr", "_k", "header", F.asc("lfsr"), F.asc("similar_word"))
+    done = summed.withColumns({"svalue": F.col("_sum") / F.col("_k"), "ash_cosine_est": F.tanh("post_mean_z")}).drop("_sum", "_k")
+    none = F.lit(None).cast("double")
+    empty = rest.select("header", "similar_word", "cosine_est", "z", "sd_z", *(none.alias(c) for c in ("post_mean_z", "post_sd_z", "lfdr", "lfsr", "svalue", "ash_cosine_est")))
+    return done.unionByName(empty)
 
 
 def corshrink(model: DataFrame, boot: DataFrame, words: list[str], num_related_words: int = 500) -> DataFrame:
