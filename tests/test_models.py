@@ -347,3 +347,26 @@ def test_missing_cells_are_dropped_or_filled(spark):
     assert {r.word for r in kept.collect()} == {"h", "x", "y"}  # z lacks two cells
     filled = {(r.word, r.model): r.cos for r in enrich.imputed(kept).collect()}
     assert filled["y", "m2"] == pytest.approx((filled["y", "m0"] + filled["y", "m1"]) / 2)
+
+
+def test_queries_beyond_what_a_task_keeps_have_the_same_neighbours(spark, monkeypatch):
+    """Queries sent as matrices, in blocks and by a join: equal rows, with null vectors, words without a direction and ties by word."""
+    rng = np.random.default_rng(8)
+    grid = rng.normal(size=(30, 3)).tolist()  # each vector four times
+    rows = [(m, f"w{i:03}", grid[i % 30]) for m in ("a", "b") for i in range(120)]
+    whole = spark.createDataFrame([*rows, ("a", "none", None), ("b", "zero", [0.0] * 3)], "model string, word string, vec array<double>").repartition(3)
+    clear = whole.filter("vec IS NOT NULL AND NOT vec = array(0D, 0D, 0D)")
+    queries = vectors.words_table(spark, ["none", "zero", "nowhere", *(f"w{i:03}" for i in range(0, 120, 3))])
+    rows_of = lambda df: sorted(((r.model, r.query, r.rank, r.word, None if r.cos is None else round(r.cos, 9)) for r in df.collect()), key=str)
+    sent, known = rows_of(vectors.nearest(whole, queries, 7)), rows_of(vectors.nearest(clear, queries, 7))
+    assert len(sent) > len(known) > 500
+    cells = lambda df: sorted(((r.model, r.word, r.header, None if r.cos is None else round(r.cos, 9)) for r in df.collect()), key=str)
+    every = cells(vectors.cosines(whole, queries))
+    # What is sent is bounded: no task keeps all words of the queries.
+    plan = vectors.nearest(whole, queries, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    monkeypatch.setattr(vectors, "NUMBERS", 10)
+    monkeypatch.setattr(vectors, "HEADERS", 16)
+    assert cells(vectors.cosines(whole, queries)) == every
+    assert rows_of(vectors.nearest(whole, queries, 7)) == sent
+    assert rows_of(vectors.nearest(clear, queries, 7)) == known
