@@ -370,3 +370,15 @@ def test_queries_beyond_what_a_task_keeps_have_the_same_neighbours(spark, monkey
     assert cells(vectors.cosines(whole, queries)) == every
     assert rows_of(vectors.nearest(whole, queries, 7)) == sent
     assert rows_of(vectors.nearest(clear, queries, 7)) == known
+
+
+def test_a_step_sorts_no_array_as_long_as_its_pairs_and_outputs(monkeypatch):
+    """Outputs are told apart slot by slot: 2,000 inputs of 4 slots have 24 outputs to sort, not 12,000."""
+    from wordloom.functions import kernels
+
+    vocab, sorted_, unique = 7, [], np.unique
+    monkeypatch.setattr(kernels.np, "unique", lambda x, **k: sorted_.append(len(x)) or unique(x, **k))
+    params = {k: np.full((vocab, 4), 0.1, np.float32) for k in ("in", "hs", "ns")}
+    inputs, slot = np.arange(2000) % vocab, np.repeat(np.arange(4), 500)
+    kernels.step(params, kernels.Tree([9, 7, 5, 4, 3, 2, 1]), np.cumsum(np.full(vocab, 1 / vocab)), inputs, slot, np.arange(4), np.zeros(4, np.int64), 1e-4, 5, np.random.default_rng(9), False)
+    assert max(sorted_) == 2000 and all(np.isfinite(p).all() for p in params.values())
