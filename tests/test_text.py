@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,37 @@ def test_a_corpus_that_is_one_file_is_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.line for r in rows] == [*lines, "last", "", "of all"] and [r.doc_id for r in rows] == list(range(3003))
+
+
+def test_packed_pair_counts_are_those_of_the_pairs(spark, monkeypatch):
+    """Counted in arrays, in many pieces and merges: the same counts on both sides, and far fewer rows to shuffle than pairs."""
+    from wordloom.operators import context
+
+    monkeypatch.setattr(context, "COUNTED", 50)
+    monkeypatch.setattr(context, "PIECE", 7)
+    rows = [(d, s, 0, [(d * s * k * k + 3 * k) % 41 if k % 5 else 70_000 + k for k in range(n)]) for d in range(6) for s, n in enumerate((1, 0, 2, 40, 300))]
+    sentences = spark.createDataFrame(rows, "doc_id long, sent_id int, chunk int, ids array<long>").repartition(3)
+    pairs = context.pairs(sentences, 4, of="ids")
+    want = sorted(tuple(r)[:4] for r in context.direction(pairs).collect())
+    got = context.pair_counts(sentences, 4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+    for side, at in (("left", 2), ("right", 3)):
+        assert sorted((r.word, r.context, r.n_left + r.n_right) for r in context.pair_counts(sentences, 4, side=side).collect()) == sorted((r[0], r[1], r[at]) for r in want if r[at])
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 2**40, 2**62], np.int64)
+    assert (context._unvarint(context._varint(numbers)) == numbers).all() and len(context._varint(numbers[:3])) == 3
+
+
+def test_lines_are_encoded_where_they_are(spark, monkeypatch):
+    """The sentences of encoded_sentences without a shuffle of tokens; repeated lines' numbers and large vocabularies by the join."""
+    rows = [(d, s, [f"w{(d * 7 + k * k) % 23}" for k in range(n)]) for d in range(8) for s, n in enumerate((0, 3, 25, 1))]
+    lines = spark.createDataFrame([*rows, (8, 0, ["unknown"]), (None, 0, ["w1", "w2"])], "doc_id long, sent_id int, words array<string>").repartition(3)
+    vocab = spark.createDataFrame([(f"w{2 * k}", k) for k in range(12)] + [("w1", 12)], "word string, word_id long")
+    rows_of = lambda df: sorted(((r.doc_id, r.sent_id, r.chunk, r.words, r.ids) for r in df.collect()), key=str)
+    stream = lambda x: x.select("doc_id", "sent_id", F.posexplode("words").alias("pos", "word"))
+    found = text.encoded_lines(lines, vocab, 4, with_words=True)
+    assert rows_of(found) == rows_of(text.encoded_sentences(stream(lines), vocab, 4))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = lines.union(lines.filter("doc_id = 3"))
+    assert rows_of(text.encoded_lines(twice, vocab, 4, with_words=True)) == rows_of(text.encoded_sentences(stream(twice), vocab, 4))
+    monkeypatch.setattr(text, "SENT_ROWS", 3)
+    assert rows_of(text.encoded_lines(lines, vocab, 4, with_words=True)) == rows_of(found)
