@@ -206,3 +206,16 @@ def test_lines_are_encoded_where_they_are(spark, monkeypatch):
     assert rows_of(text.encoded_lines(twice, vocab, 4, with_words=True)) == rows_of(text.encoded_sentences(stream(twice), vocab, 4))
     monkeypatch.setattr(text, "SENT_ROWS", 3)
     assert rows_of(text.encoded_lines(lines, vocab, 4, with_words=True)) == rows_of(found)
+
+
+def test_draws_are_counted_without_shuffling_them(spark, tmp_path):
+    """The plan of negative_draws deals out texts by document, and after that only counts."""
+    from wordloom.plans import catalogue
+
+    rows = [(d, " ".join(f"w{(d * k * k) % 9}" for k in range(60))) for d in [*range(20), 3]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.QUERIES["negative_draws"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in shuffled if "cell" in line or "drawn" in line and "doc_id" in line] and "SortMergeJoin" not in plan
+    assert {r.docs for r in found.collect()} and found.agg(F.sum("n")).head()[0] <= 5 * 60 * 21
