@@ -207,3 +207,18 @@ def test_gradient_of_the_model():
     assert np.allclose(slopes, p[at].sum(0)[:4], atol=2e-2)
     maxent.Trainer(w).train(last, other, stream, symbols)
     assert loss() < before
+
+
+def test_sums_and_shares_of_a_step_are_made_without_spare_passes():
+    from wordloom.llm import maxent
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 64)).astype(np.float32)
+    first = np.array([0, 1, 2, 5, 200, 201, 499])
+    assert np.allclose(maxent._added(x, first), np.add.reduceat(x, first), atol=1e-4)
+    assert (maxent._greatest(x)[:, 0] == x.max(1)).all() and (maxent._greatest(x[:, :3])[:, 0] == x[:, :3].max(1)).all()
+    w = maxent.Weights(rng.normal(size=maxent.CLASSES), rng.normal(size=(maxent.LISTED_CLASSES, maxent.WIDTH)))
+    rows = w.features(np.arange(50), np.arange(50)[::-1].copy())
+    logs = w.log_shares("class", rows)
+    assert np.allclose(np.exp(logs), w.shares("class", rows), atol=1e-6)
+    assert np.allclose(logs[np.arange(50), np.arange(50)], w.log_share("class", rows, np.arange(50)), atol=1e-5)

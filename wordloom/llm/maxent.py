@@ -92,6 +92,29 @@ def history(stream: np.ndarray, symbols: Symbols, starts: np.ndarray) -> tuple[n
     return last, other
 
 
+def _greatest(x: np.ndarray) -> np.ndarray:
+    """The greatest number of each row, by halves."""
+    while x.shape[1] % 2 == 0:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x if x.shape[1] == 1 else x.max(1, keepdims=True)
+
+
+def _added(x: np.ndarray, first: np.ndarray, most: int = 64) -> np.ndarray:
+    """Sums of the rows from each place to the next: long runs one by one, the k-th rows of all others at once."""
+    size = np.diff(np.append(first, len(x)))
+    out = x[first]
+    for i in np.flatnonzero(size > most).tolist():
+        out[i] = x[first[i] : first[i] + size[i]].sum(0)
+    live = np.flatnonzero((size > 1) & (size <= most))
+    k = 1
+    while len(live):
+        out[live] += x[first[live] + k]
+        k += 1
+        live = live[size[live] > k]
+    return out
+
+
 class Weights:
     """Both tables; bias: logarithms of the classes' and the listed tokens' shares."""
 
@@ -108,16 +131,35 @@ class Weights:
         kind, at = (0, 0) if group is None else (3, group << 32)
         return [_slot(last | at, kind + 1), _slot(other | at, kind + 2), _slot(last << 16 | other | at, kind + 3)]
 
-    def log_shares(self, name: str, rows: list[np.ndarray], group: np.ndarray | None = None) -> np.ndarray:
-        """Logarithms of the softmax, for each token."""
+    def _sums(self, name: str, rows: list[np.ndarray], group: np.ndarray | None) -> np.ndarray:
+        """Sums of the features' weights, less the greatest of each token."""
         table = self.tables[name]
         x = table[rows[0]]
         for r in rows[1:]:
             x += table[r]
         x += self.class_bias if group is None else self.token_bias[group]
-        x -= x.max(1, keepdims=True)
+        x -= _greatest(x)
+        return x
+
+    def log_shares(self, name: str, rows: list[np.ndarray], group: np.ndarray | None = None) -> np.ndarray:
+        """Logarithms of the softmax, for each token."""
+        x = self._sums(name, rows, group)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
+    def shares(self, name: str, rows: list[np.ndarray], group: np.ndarray | None = None) -> np.ndarray:
+        """The softmax, for each token."""
+        x = self._sums(name, rows, group)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        return x
+
+    def log_share(self, name: str, rows: list[np.ndarray], place: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+        """The logarithm of one place of the softmax, for each token."""
+        x = self._sums(name, rows, group)
+        found = x[np.arange(len(x)), place].astype(float)
+        np.exp(x, out=x)
+        return found - np.log(x.sum(1))
+
 
 class Trainer:
     """Steps of falling size on the rows of the weights, in proportion to the size of all gradients of a row so far."""
@@ -133,22 +175,22 @@ class Trainer:
             ordered = r[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at = ordered[first]
-            total = np.add.reduceat(error[order], first)
-            past[at] += (total * total).sum(1)
+            total = _added(error[order], first)
+            past[at] += np.einsum("ij,ij->i", total, total)
             table[at] -= RATE * total / np.sqrt(past[at] + 1.0)[:, None]
 
     def train(self, last: np.ndarray, other: np.ndarray, stream: np.ndarray, symbols: Symbols) -> None:
         """One step over tokens with the symbols before them."""
         w = self.weights
         rows = w.features(last, other)
-        error = np.exp(w.log_shares("class", rows))
+        error = w.shares("class", rows)
         error[np.arange(len(stream)), symbols.trained[stream]] -= 1
         self._step("class", rows, error)
         listed = np.flatnonzero(stream < LISTED)
         if len(listed):
             group, place = stream[listed] // WIDTH, stream[listed] % WIDTH
             rows = w.features(last[listed], other[listed], group)
-            error = np.exp(w.log_shares("token", rows, group))
+            error = w.shares("token", rows, group)
             error[np.arange(len(listed)), place] -= 1
             self._step("token", rows, error)
 
@@ -158,11 +200,11 @@ def log_probabilities(weights: Weights, last: np.ndarray, other: np.ndarray, str
     out = np.zeros(len(stream))
     for a in range(0, len(stream), BATCH):
         s, x, y = stream[a : a + BATCH], last[a : a + BATCH], other[a : a + BATCH]
-        found = weights.log_shares("class", weights.features(x, y))[np.arange(len(s)), symbols.scored[s]].astype(float)
+        found = weights.log_share("class", weights.features(x, y), symbols.scored[s])
         listed = np.flatnonzero(s < LISTED)
         if len(listed):
             group = s[listed] // WIDTH
-            found[listed] += weights.log_shares("token", weights.features(x[listed], y[listed], group), group)[np.arange(len(listed)), s[listed] % WIDTH]
+            found[listed] += weights.log_share("token", weights.features(x[listed], y[listed], group), s[listed] % WIDTH, group)
         out[a : a + BATCH] = found
     return out
 
