@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from wordloom.functions.kernels import Tree, huffman
+from wordloom.functions.kernels import Tree, huffman, joined
 from wordloom.operators import enrich, gsea, network, shrink, text, train, vectors
 from wordloom.sources import files
 
@@ -382,3 +382,24 @@ def test_a_step_sorts_no_array_as_long_as_its_pairs_and_outputs(monkeypatch):
     inputs, slot = np.arange(2000) % vocab, np.repeat(np.arange(4), 500)
     kernels.step(params, kernels.Tree([9, 7, 5, 4, 3, 2, 1]), np.cumsum(np.full(vocab, 1 / vocab)), inputs, slot, np.arange(4), np.zeros(4, np.int64), 1e-4, 5, np.random.default_rng(9), False)
     assert max(sorted_) == 2000 and all(np.isfinite(p).all() for p in params.values())
+
+
+@pytest.mark.parametrize(("kind", "negative"), [("bi", 0), ("full", 2), ("uni", 3)])
+def test_parameters_as_a_table_give_the_same_vectors(spark, monkeypatch, kind, negative):
+    rng = np.random.default_rng(4)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 6000, 60).tolist()) for _ in range(200)] + ["alone"]
+    dealt = train._dealt
+    monkeypatch.setattr(train, "_dealt", lambda sentences, parts, evenly: dealt(sentences, parts, True))
+    t = train.Training(vectors=4, window=2, min_count=1, iterations=2, negative=negative, partitions=3, alpha=0.1)
+    held = {(r.role, r.word, r.word_id): (r.cn, r.vec) for r in train.train(_stream(spark, lines), kind, t).collect()}
+    monkeypatch.setattr(train, "SENT_NUMBERS", 10)
+    monkeypatch.setattr(train, "_model", None)  # the driver holds no parameters
+    table = {(r.role, r.word, r.word_id): (r.cn, r.vec) for r in train.train(_stream(spark, lines), kind, t).collect()}
+    assert table == held and len(table) == len({k[2] for k in table}) * (3 if kind == "bi" else 4 if kind == "full" else 2)
+
+
+def test_a_task_needs_the_rows_of_its_own_words_only():
+    t = train.Training(vectors=4, negative=0)
+    tree = Tree(None, joined(sorted(range(1, 1001), reverse=True)), np.array([0, 5]))
+    needed = train._needed(np.array([0, 5]), tree, "bi", 1000, t)
+    assert needed["in"].tolist() == [0, 5, 1000, 1005] and len(needed["hs"]) < 25 and not len(needed["ns"])
