@@ -219,3 +219,33 @@ def test_draws_are_counted_without_shuffling_them(spark, tmp_path):
     shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert not [line for line in shuffled if "cell" in line or "drawn" in line and "doc_id" in line] and "SortMergeJoin" not in plan
     assert {r.docs for r in found.collect()} and found.agg(F.sum("n")).head()[0] <= 5 * 60 * 21
+
+
+def test_pairs_are_joined_where_lines_are_as_by_joins(spark):
+    """Both ways of join_phrases; in the tasks, rows that share their numbers are lines of their own."""
+    rows = [(0, 0, ["a", "b", "a", "b", "b"]), (0, 1, []), (1, 0, ["b", "a"]), (1, 1, ["é", "a", "b", "c"]), (2, 0, ["c"]), (2, 1, ["b", "b", "b", "b", "b"]), (3, 0, ["a"]), (3, 1, ["b", "c", "x"])]
+    lines = spark.createDataFrame(rows, "doc_id long, sent_id int, words array<string>").repartition(2)
+    chosen = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "b"), ("b", "c"), ("a", "b")], "a string, b string")
+    own = lambda df: {(r.doc_id, r.sent_id): r.words for r in df.collect()}
+    here = phrases.join_phrases(lines, chosen)
+    assert own(here) == own(phrases.join_phrases(lines, chosen, most=0))
+    assert own(here)[0, 0] == ["a_b", "a_b", "b"] and own(here)[2, 1] == ["b_b", "b_b", "b"] and own(here)[1, 1] == ["é", "a_b", "c"]
+    assert own(phrases.join_phrases(lines, chosen.filter("a = 'none'"))) == {(d, s): w for d, s, w in rows if w}
+    assert "Join" not in here._jdf.queryExecution().executedPlan().toString()
+    assert phrases.join_phrases(lines.union(lines), chosen).count() == 14
+
+
+def test_words_and_pairs_are_counted_in_one_reading(spark, tmp_path):
+    """The lines are cut into words once: words' counts are sums of their pairs'."""
+    spark.createDataFrame([(i, "x y z\nz x y") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = text.token_lines(spark.read.parquet(str(tmp_path / "docs"))).mapInArrow(counted, "doc_id long, sent_id int, words array<string>")
+    got = {(r.a, r.b): (r.pab, r.pa, r.pb, r.score) for r in phrases.scores(lines).collect()}
+    assert got == {("x", "y"): (18, 18, 18, 13 / 18 / 18 * 54), ("y", "z"): (9, 18, 18, 4 / 18 / 18 * 54), ("z", "x"): (9, 18, 18, 4 / 18 / 18 * 54)}
+    assert read.value == 18
