@@ -403,3 +403,12 @@ def test_a_task_needs_the_rows_of_its_own_words_only():
     tree = Tree(None, joined(sorted(range(1, 1001), reverse=True)), np.array([0, 5]))
     needed = train._needed(np.array([0, 5]), tree, "bi", 1000, t)
     assert needed["in"].tolist() == [0, 5, 1000, 1005] and len(needed["hs"]) < 25 and not len(needed["ns"])
+
+
+def test_neighbours_are_looked_for_only_where_they_can_add_words(spark, monkeypatch):
+    rows = [("m", "a", [1.0, 0.0]), ("m", "b", [0.9, 0.1]), ("m", "c", [0.0, 1.0]), ("n", "a", [0.0, 1.0])]
+    models = spark.createDataFrame(rows, "model string, word string, vec array<float>")
+    names = lambda df: sorted(r.word for r in df.collect())
+    assert names(enrich.pooled(models, vectors.words_table(spark, ["a", "other"]), 2)) == ["a", "b", "other"]
+    monkeypatch.setattr(enrich, "nearest", None)
+    assert names(enrich.pooled(models, vectors.words_table(spark, ["a", "b", "c", "other"]), 2)) == ["a", "b", "c", "other"]
