@@ -249,3 +249,19 @@ def test_words_and_pairs_are_counted_in_one_reading(spark, tmp_path):
     got = {(r.a, r.b): (r.pab, r.pa, r.pb, r.score) for r in phrases.scores(lines).collect()}
     assert got == {("x", "y"): (18, 18, 18, 13 / 18 / 18 * 54), ("y", "z"): (9, 18, 18, 4 / 18 / 18 * 54), ("z", "x"): (9, 18, 18, 4 / 18 / 18 * 54)}
     assert read.value == 18
+
+
+def test_tasks_grow_in_number_with_the_table(spark, tmp_path):
+    """Few large files are dealt out to as many tasks as they have splits, so that a task's share has a bound."""
+    from wordloom.plans import inputs
+
+    spark.range(20_000).selectExpr("id AS doc_id", "uuid() AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert inputs.documents(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        docs = inputs.documents(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and docs.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
