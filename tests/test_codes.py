@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from wordloom.functions import kernels
-from wordloom.operators import codes
+from wordloom.operators import codes, ranks
 
 
 @pytest.mark.parametrize("counts", [[5], [1, 1], [3, 3, 3], [1] * 17, [8, 4, 2, 1, 1], [1, 1, 2, 3, 5, 8, 13, 21], [7, 7, 7, 7, 7, 1], [100, *[1] * 9]])
@@ -44,3 +44,11 @@ def test_codes_are_canonical_and_points_are_a_tree(spark, counts):
                 assert names.setdefault(node, r.code[:d]) == r.code[:d]
         assert sorted(names) == list(range(len(counts) - 1)) and names[0] == "" and len(set(names.values())) == len(names)
     assert codes.huffman(vocab.filter("false")).count() == 0
+
+
+def test_words_are_not_sorted_again(spark, monkeypatch):
+    """Within an interval of word ids a code is the word id and a shift."""
+    monkeypatch.setattr(ranks, "_dealt", lambda *a: pytest.fail("a sort"))
+    counts = [40, 30, 9, 9, 9, 3, 1, 1, 1, 1, 1]
+    rows = codes.huffman(spark.createDataFrame([(f"w{i}", c, i) for i, c in enumerate(counts)], "word string, cn long, word_id long")).collect()
+    assert len({r.code for r in rows}) == len(counts) and sum(2.0**-r.depth for r in rows) == 1

@@ -265,3 +265,11 @@ def test_tasks_grow_in_number_with_the_table(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tokens_cut_each_line_once(spark):
+    docs = spark.createDataFrame([(1, "A\rb c\n\nd"), (2, None), (3, "")], "doc_id long, text string")
+    for stream, cut, words in ((text.tokens(docs, lower=True), "regexp_extract_all(", ["ab", "c", "d"]), (text.scan_tokens(docs), "[ \t]+", ["Ab", "c", "d"])):
+        plan = text.vocabulary(stream)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(cut) == 1
+        assert [r.word for r in stream.orderBy("doc_id", "sent_id", "pos").collect()] == words

@@ -18,8 +18,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import sent
-from .ranks import number_rows
+from .lineage import SENT_ROWS
 
 #: Longest code; a greater depth needs counts beyond the 60th Fibonacci number.
 LONGEST = 62
@@ -101,6 +100,21 @@ def canonical(by_length: Counter) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _cuts(lengths: dict[int, Counter], shape: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(count, first, last, length, shift): the word ids of a count that have a length, and what a code of theirs is beyond its word id.
+
+    Word ids count on from the words of greater counts.  Codes of one length follow the
+    word ids, so that within an interval both rise by one.
+    """
+    code, at, out = [first for _, first, _, _ in shape], 0, []
+    for count, low, high, length in sorted(_intervals(lengths), key=lambda x: (-x[0], x[1])):
+        n = high - low + 1
+        out.append((count, at, at + n - 1, length, code[length] - at))
+        code[length] += n
+        at += n
+    return out
+
+
 def huffman(vocab: DataFrame) -> DataFrame:
     """(word, cn, word_id, depth, code, point) of vocab (word, cn, word_id); point: the inner nodes from the root, one for each sign of the code.
 
@@ -116,25 +130,14 @@ def huffman(vocab: DataFrame) -> DataFrame:
     by_length = sum(lengths.values(), Counter())
     if max(by_length) > LONGEST:
         raise ValueError("a code is too long")
-    # Places within a count: word_id counts on from the words of greater counts.
-    first, firsts = 0, []
-    for count, n in sorted(((r["cn"], r["n"]) for r in runs), reverse=True):
-        firsts.append((count, first))
-        first += n
-    cuts = spark.createDataFrame(_intervals(lengths), "cn long, low long, high long, depth int").join(spark.createDataFrame(firsts, "cn long, before long"), "cn")
-    cuts = sent(cuts.select(F.col("cn").alias("_cn"), (F.col("low") + F.col("before")).alias("low"), (F.col("high") + F.col("before")).alias("high"), "depth"))
-    deep = vocab.join(cuts, (F.col("cn") == F.col("_cn")) & F.col("word_id").between(F.col("low"), F.col("high"))).select("word", "cn", "word_id", "depth")
-    # Within a depth, codes follow word_id.
-    before, starts = 0, []
-    for length in range(max(by_length) + 1):
-        starts.append((length, before))
-        before += by_length.get(length, 0)
     shape = canonical(by_length)
-    first_code = F.array(*(F.lit(c).cast("long") for _, c, _, _ in shape))
+    table = _cuts(lengths, shape)
+    cuts = spark.createDataFrame(table, "_cn long, low long, high long, depth int, shift long")
+    if len(table) <= SENT_ROWS:
+        cuts = F.broadcast(cuts)
+    deep = vocab.join(cuts, (F.col("cn") == F.col("_cn")) & F.col("word_id").between(F.col("low"), F.col("high")))
+    coded = deep.select("word", "cn", "word_id", "depth", (F.col("word_id") + F.col("shift")).alias("_code"))
     node, value = (F.array(*(F.lit(x[k]).cast("long") for x in shape)) for k in (2, 3))
-    start = F.array(*(F.lit(b).cast("long") for _, b in starts))
-    placed = number_rows(deep, "_place", F.asc("depth"), F.asc("word_id"))
-    coded = placed.withColumn("_code", F.get(first_code, F.col("depth")) + F.col("_place") - F.get(start, F.col("depth")))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("_code"), F.col("depth"), "0"))
     # The node at depth d is the code's first d signs, as a number.
     up = lambda d: F.call_function("shiftright", F.col("_code"), F.col("depth") - d)
