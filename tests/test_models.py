@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from wordloom.functions.expressions import unit
 from wordloom.functions.kernels import Tree, huffman, joined
 from wordloom.operators import enrich, gsea, network, shrink, text, train, vectors
 from wordloom.sources import files
@@ -124,6 +126,39 @@ def test_shrinkage_goes_towards_zero(spark):
     assert got["g", "only"].svalue == pytest.approx(got["g", "only"].lfsr) and got["g", "only"].ash_cosine_est == pytest.approx(math.tanh(got["g", "only"].post_mean_z))
 
 
+def test_estimates_are_made_once(spark, tmp_path):
+    """Neither the rows that are shrunk nor those that are not ask for the estimates again."""
+    read = tmp_path / "read"
+
+    def noted(frames):
+        for frame in frames:
+            with read.open("a") as f:
+                f.write("x" * len(frame))
+            yield frame
+
+    rows = [("h", f"w{i}", 0.5, i / 10 - 1, 0.1 + i / 100) for i in range(20)] + [("h", "none", 0.5, 0.1, None)]
+    kinds = "header string, similar_word string, cosine_est double, z double, sd_z double"
+    assert shrink.shrink(spark.createDataFrame(rows, kinds).mapInPandas(noted, kinds)).count() == len(rows) == len(read.read_text())
+
+
+def test_prior_by_blocks_is_the_em_of_all_rows(monkeypatch):
+    monkeypatch.setattr(shrink, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    like, n = shrink.likelihoods(rng.normal(0, 1, 50), rng.uniform(0.1, 0.5, 50), shrink.widths(0.05, 4)), rng.integers(1, 5, 50).astype(float)
+    pi = np.full(like.shape[1], 1 / like.shape[1])
+    for _ in range(30):
+        w = like * pi
+        pi = n @ (w / w.sum(1, keepdims=True)) + np.append(shrink.NULL_WEIGHT - 1, np.zeros(len(pi) - 1))
+        pi /= pi.sum()
+    assert np.abs(shrink.prior(like, n, rounds=30) - pi).max() < 1e-12
+
+
+def test_a_vector_has_its_length_made_once(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],)], "vec array<float>").select(unit(F.col("vec")).alias("u"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
+    assert [r.u for r in rows.collect()] == [[0.6, 0.8], None, None, None]
+
+
 def test_huffman_is_optimal_and_prefix_free():
     codes, points = huffman([5, 4, 3, 2, 1])
     assert sum(len(c) * n for c, n in zip(codes, [5, 4, 3, 2, 1], strict=True)) == 33

@@ -41,6 +41,8 @@ def _pdf(x: np.ndarray) -> np.ndarray:
 Z_CELL, ERROR_CELL = 1 / 64, 1 / 128
 #: Weight of the null in the penalty, and rounds of the fit at most.
 NULL_WEIGHT, ROUNDS = 10.0, 2000
+#: Rows of likelihoods that a round of the fit takes at once.
+BLOCK = 4096
 
 
 def widths(low: float, high: float) -> np.ndarray:
@@ -49,10 +51,11 @@ def widths(low: float, high: float) -> np.ndarray:
     return low * math.sqrt(2) ** np.arange(steps + 1)
 
 
-def likelihoods(b: np.ndarray, e: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Of estimates b with errors e: under a point mass at 0, and under each uniform component around it."""
+def likelihoods(b: np.ndarray, e: np.ndarray, a: np.ndarray, mass: np.ndarray | None = None) -> np.ndarray:
+    """Of estimates b with errors e: under a point mass at 0, and under each uniform component around it; mass: the normal's within each component, if known."""
     b, e = b[:, None], e[:, None]
-    mass = np.maximum(_cdf((a - b) / e) - _cdf((-a - b) / e), 1e-300)
+    if mass is None:
+        mass = np.maximum(_cdf((a - b) / e) - _cdf((-a - b) / e), 1e-300)
     return np.hstack([_pdf(b / e) / e, mass / (2 * a)])
 
 
@@ -60,10 +63,11 @@ def prior(like: np.ndarray, n: np.ndarray, null_weight: float = NULL_WEIGHT, rou
     """Shares of the components by EM with a penalty that favours the null; n: how often each row of likelihoods occurs."""
     penalty = np.append(null_weight, np.ones(like.shape[1] - 1)) - 1
     pi = np.full(like.shape[1], 1 / like.shape[1])
+    # A round is two products with a block of rows, which stays in the processor's cache; no table of weights is made.
+    blocks = [(like[at : at + BLOCK], n[at : at + BLOCK]) for at in range(0, len(like), BLOCK)]
     for _ in range(rounds):
-        w = like * pi
-        w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
-        new = np.maximum(n @ w + penalty, 0)
+        new = pi * sum((m / np.maximum(part @ pi, 1e-300)) @ part for part, m in blocks)
+        new = np.maximum(new + penalty, 0)
         new /= max(new.sum(), 1e-300)
         if np.abs(new - pi).max() < 1e-8:
             return new
@@ -73,18 +77,19 @@ def prior(like: np.ndarray, n: np.ndarray, null_weight: float = NULL_WEIGHT, rou
 
 def posterior(b: np.ndarray, e: np.ndarray, a: np.ndarray, pi: np.ndarray) -> dict[str, np.ndarray]:
     """post_mean, post_sd, lfdr and lfsr of estimates under the fitted prior."""
-    w = likelihoods(b, e, a) * pi
+    lo, hi = (-a - b[:, None]) / e[:, None], (a - b[:, None]) / e[:, None]
+    under = _cdf(lo)
+    mass = np.maximum(_cdf(hi) - under, 1e-300)
+    w = likelihoods(b, e, a, mass) * pi
     w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
     b, e = b[:, None], e[:, None]
-    lo, hi = (-a - b) / e, (a - b) / e
-    mass = np.maximum(_cdf(hi) - _cdf(lo), 1e-300)
     # Moments of a normal cut to (-a, a).
     shift = (_pdf(lo) - _pdf(hi)) / mass
     mean = np.clip(b + e * shift, -a, a)
     inside = mass > 1e-12  # elsewhere nearly all of the cut normal is at an end
     shift = np.where(inside, shift, 0)
     spread = np.where(inside, np.maximum(e * e * (1 + (lo * _pdf(lo) - hi * _pdf(hi)) / np.where(inside, mass, 1) - shift * shift), 0), 0)
-    below = np.clip((_cdf(np.minimum(-b / e, hi)) - _cdf(lo)) / mass, 0, 1)
+    below = np.clip((_cdf(np.minimum(-b / e, hi)) - under) / mass, 0, 1)
     post = (w[:, 1:] * mean).sum(1)
     second = (w[:, 1:] * (spread + mean * mean)).sum(1)
     negative = (w[:, 1:] * below).sum(1)
@@ -113,7 +118,13 @@ def priors(known: DataFrame) -> DataFrame:
     bounds = bounds.select("header", "low", F.when(F.col("beyond") > 0, 2 * F.sqrt("beyond")).otherwise(8 * F.col("low")).alias("high"))
     cell = known.withColumns({"t_cell": F.floor(F.col("z") / F.col("sd_z") / Z_CELL), "e_cell": F.floor(F.log("sd_z") / ERROR_CELL)})
     cells = cell.groupBy("header", "t_cell", "e_cell").agg(F.avg("z").alias("z"), F.avg("sd_z").alias("sd"), F.count("*").alias("n"))
-    return cells.join(sent(bounds), "header").groupBy("header").applyInPandas(_fit, _PRIOR)
+    # As many parts as cores: the cells are few bytes, which Spark would put into one task.
+    return cells.join(sent(bounds), "header").repartition(known.sparkSession.sparkContext.defaultParallelism, "header").groupBy("header").applyInPandas(_fit, _PRIOR)
+
+
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 _SHRUNK = "header string, similar_word string, cosine_est double, z double, sd_z double, post_mean_z double, post_sd_z double, lfdr double, lfsr double"
@@ -138,11 +149,14 @@ def shrink(estimates: DataFrame) -> DataFrame:
 
     Adds post_mean_z, post_sd_z, lfdr, lfsr, svalue and ash_cosine_est.  Rows without a
     standard error, or with one of 0, are not shrunk and have null results.  A header's
-    rows are dealt out over many tasks; the prior is fitted to its cells.
+    rows are dealt out over many tasks; the prior is fitted to its cells.  The estimates
+    are made once and stored.
     """
-    known = settled(estimates.filter("isnotnull(z) AND NOT isnan(z) AND abs(z) < double('inf') AND sd_z > 0 AND NOT isnan(sd_z) AND sd_z < double('inf')"))
+    estimates = settled(estimates.repartition(_parts(estimates)))
+    known = estimates.filter("isnotnull(z) AND NOT isnan(z) AND abs(z) < double('inf') AND sd_z > 0 AND NOT isnan(sd_z) AND sd_z < double('inf')")
     rest = estimates.filter("NOT coalesce(isnotnull(z) AND NOT isnan(z) AND abs(z) < double('inf') AND sd_z > 0 AND NOT isnan(sd_z) AND sd_z < double('inf'), false)")
-    fitted = known.join(sent(priors(known)), F.col("header") == F.col("of")).mapInPandas(_posteriors, _SHRUNK)
+    # What Python makes is stored, as a count and a sort read it again.
+    fitted = settled(known.join(sent(settled(priors(known))), F.col("header") == F.col("of")).mapInPandas(_posteriors, _SHRUNK))
     # svalue: the mean lfsr of a row and of those with a smaller one; ties by the word.
     summed = running_sums(fitted, "_sum", "lfsr", "_k", "header", F.asc("lfsr"), F.asc("similar_word"))
     done = summed.withColumns({"svalue": F.col("_sum") / F.col("_k"), "ash_cosine_est": F.tanh("post_mean_z")}).drop("_sum", "_k")
