@@ -222,3 +222,29 @@ def test_sums_and_shares_of_a_step_are_made_without_spare_passes():
     logs = w.log_shares("class", rows)
     assert np.allclose(np.exp(logs), w.shares("class", rows), atol=1e-6)
     assert np.allclose(logs[np.arange(50), np.arange(50)], w.log_share("class", rows, np.arange(50)), atol=1e-5)
+
+
+def test_driver_gets_a_round_in_parts(spark):
+    """The changes of a round, more than the driver may get at once here, are added to the weights part by part."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(1000)}" for _ in range(60))) for i in range(900)], "doc_id long, text string").repartition(4)
+    conf, name, read = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize", "spark.sql.files.maxPartitionBytes"
+    before = conf.get(name, "1g")
+    conf.set(name, "5m")
+    spark.conf.set(read, "1m")
+    try:
+        assert maxent.scored(docs, maxent.held_out(F.col("doc_id")), rounds=1).count() == 900
+    finally:
+        conf.set(name, before)
+        spark.conf.unset(read)
+
+
+def test_rows_are_added_in_the_order_given():
+    """Short and long runs of rows, taken in an order, give the sums of the sorted copy, bit by bit."""
+    rng = np.random.default_rng(7)
+    slot = np.minimum(rng.zipf(1.3, 3000), 500)
+    x, order = rng.normal(size=(3000, 8)).astype(np.float32), np.argsort(slot, kind="stable")
+    first = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    want = [np.cumsum(x[slot == k], 0, dtype=np.float32)[-1] for k in np.unique(slot)]
+    assert np.array_equal(maxent._added(x, first, order), want) and np.array_equal(maxent._added(x[order], first), want)
+    assert maxent._added(x[:1], np.array([0])).tolist() == x[:1].tolist()

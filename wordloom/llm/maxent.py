@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import runs as run_tables
 from . import words
-from .components import forget, release_shuffles
+from .components import forget, release_shuffles, stored
 
 #: Tokens with weights of their own, and tokens of a class of them.
 LISTED, WIDTH = 1024, 32
@@ -100,18 +100,21 @@ def _greatest(x: np.ndarray) -> np.ndarray:
     return x if x.shape[1] == 1 else x.max(1, keepdims=True)
 
 
-def _added(x: np.ndarray, first: np.ndarray, most: int = 64) -> np.ndarray:
-    """Sums of the rows from each place to the next: long runs one by one, the k-th rows of all others at once."""
-    size = np.diff(np.append(first, len(x)))
-    out = x[first]
+def _added(x: np.ndarray, first: np.ndarray, order: np.ndarray | None = None, most: int = 64) -> np.ndarray:
+    """Sums of the rows, in this order, from each place to the next: long runs one by one, the k-th rows of all others at once."""
+    order = np.arange(len(x)) if order is None else order
+    size = np.diff(np.append(first, len(order)))
+    out = x.take(order[first], 0)
     for i in np.flatnonzero(size > most).tolist():
-        out[i] = x[first[i] : first[i] + size[i]].sum(0)
+        out[i] = x.take(order[first[i] : first[i] + size[i]], 0).sum(0)
     live = np.flatnonzero((size > 1) & (size <= most))
-    k = 1
-    while len(live):
-        out[live] += x[first[live] + k]
-        k += 1
-        live = live[size[live] > k]
+    live = live[np.argsort(-size[live], kind="stable")]  # the longest first: those that have a k-th row are a beginning
+    if len(live):
+        at, total = first[live], out.take(live, 0)
+        left = np.searchsorted(-size[live], -np.arange(1, size[live[0]]))
+        for k, n in enumerate(left.tolist(), 1):
+            total[:n] += x.take(order[at[:n] + k], 0)
+        out[live] = total
     return out
 
 
@@ -134,10 +137,10 @@ class Weights:
     def _sums(self, name: str, rows: list[np.ndarray], group: np.ndarray | None) -> np.ndarray:
         """Sums of the features' weights, less the greatest of each token."""
         table = self.tables[name]
-        x = table[rows[0]]
+        x = table.take(rows[0], 0)
         for r in rows[1:]:
-            x += table[r]
-        x += self.class_bias if group is None else self.token_bias[group]
+            x += table.take(r, 0)
+        x += self.class_bias if group is None else self.token_bias.take(group, 0)
         x -= _greatest(x)
         return x
 
@@ -175,9 +178,11 @@ class Trainer:
             ordered = r[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at = ordered[first]
-            total = _added(error[order], first)
+            total = _added(error, first, order)
             past[at] += np.einsum("ij,ij->i", total, total)
-            table[at] -= RATE * total / np.sqrt(past[at] + 1.0)[:, None]
+            total *= RATE
+            total /= np.sqrt(past[at] + 1.0)[:, None]
+            table[at] = table.take(at, 0) - total
 
     def train(self, last: np.ndarray, other: np.ndarray, stream: np.ndarray, symbols: Symbols) -> None:
         """One step over tokens with the symbols before them."""
@@ -303,24 +308,25 @@ def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(streams: DataFrame, start: Weights, rounds: int = ROUNDS) -> Weights:
-    """Weights after one reading of the streams that are not apart.
+    """start, changed by one reading of the streams that are not apart.
 
     As many tasks train as the session has cores, so that what is averaged does not grow
-    with the corpus; the driver holds one set of weights, whose size is fixed.
+    with the corpus; the driver holds one set of weights, whose size is fixed.  The means
+    of a round are a table, of which the driver reads one part after the other.
     """
     spark = streams.sparkSession
-    now = start
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast(now)
+        sent = spark.sparkContext.broadcast(start)
         part = streams.filter(F.pmod(F.xxhash64("run"), F.lit(rounds)) == k).select("n_tokens", "apart", "symbols").coalesce(spark.sparkContext.defaultParallelism)
-        means = part.mapInArrow(_round(sent), _CHANGES).groupBy("name", "block").applyInPandas(_averaged, _CHANGES).toPandas()
-        now = now.copied()
-        for change in means.itertuples(index=False):
+        changes = part.mapInArrow(_round(sent), _CHANGES).repartition(2 * ROWS // BLOCK, "name", "block")
+        means = stored(changes.groupBy("name", "block").applyInPandas(_averaged, _CHANGES), "changes", plain=True)
+        sent.destroy()
+        for change in means.toLocalIterator():
             rows = np.frombuffer(change.rows, np.int64)
-            now.tables[change.name][rows] += np.frombuffer(change.delta, np.float32).reshape(len(rows), -1)
-        sent.unpersist()
-        release_shuffles(spark)
-    return now
+            start.tables[change.name][rows] += np.frombuffer(change.delta, np.float32).reshape(len(rows), -1)
+        forget(means)
+    release_shuffles(spark)
+    return start
 
 
 def _score(sent):
