@@ -447,3 +447,19 @@ def test_neighbours_are_looked_for_only_where_they_can_add_words(spark, monkeypa
     assert names(enrich.pooled(models, vectors.words_table(spark, ["a", "other"]), 2)) == ["a", "b", "other"]
     monkeypatch.setattr(enrich, "nearest", None)
     assert names(enrich.pooled(models, vectors.words_table(spark, ["a", "b", "c", "other"]), 2)) == ["a", "b", "c", "other"]
+
+
+def test_cosines_are_counted_by_bin_without_a_row_for_each(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [("m", f"w{i}", rng.normal(0, 1, 6).tolist()) for i in range(300)] + [("m", f"w{i}", [float(x) for x in np.eye(6)[i % 6] * (-1) ** i]) for i in range(300, 340)]
+    rows += [("m", "zero", [0.0] * 6), ("m", "gone", None), ("m", "w3", rows[3][2])]
+    models = spark.createDataFrame(rows, "model string, word string, vec array<double>").repartition(3)
+    heads = models.select("word").filter("word like 'w3%' OR word = 'zero'")
+    each = vectors.cosines(models, heads)
+    want = {r.i: r.n for r in each.groupBy(F.least(F.floor((F.col("cos") + 1) * 20), F.lit(39)).alias("i")).agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(vectors, "BINNED", 7)
+    with monkeypatch.context() as m:
+        m.setattr(vectors, "cosines", None)  # no row for each
+        assert {r.i: r.n for r in vectors.cosine_bins(models, heads, 40).collect()} == want
+    monkeypatch.setattr(vectors, "NUMBERS", 10)
+    assert {r.i: r.n for r in vectors.cosine_bins(models, heads, 40).collect()} == want
