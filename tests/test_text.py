@@ -273,3 +273,30 @@ def test_tokens_cut_each_line_once(spark):
         plan = text.vocabulary(stream)._jdf.queryExecution().executedPlan().toString()
         assert plan.count(cut) == 1
         assert [r.word for r in stream.orderBy("doc_id", "sent_id", "pos").collect()] == words
+
+
+def test_pairs_of_a_large_vocabulary_are_counted_and_named_where_they_are(spark, tmp_path, monkeypatch):
+    """Beyond SENT_ROWS words neither tokens nor counts meet the vocabulary in a join; beyond SENT_BYTES they do, with equal rows."""
+    from wordloom.operators import lineage
+    from wordloom.plans import catalogue
+
+    rows = [(d, "\n".join(" ".join(f"w{(d * k * k + s) % 29}" for k in range(40)) for s in range(3))) for d in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(tuple, catalogue.QUERIES["context_pairs"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(text, "SENT_ROWS", 3)
+    monkeypatch.setattr(lineage.sent, "__defaults__", (3,))
+    found = catalogue.QUERIES["context_pairs"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and sorted(map(tuple, found.collect())) == want and len(want) > 200
+    monkeypatch.setattr(text, "SENT_BYTES", 50)
+    found = catalogue.QUERIES["context_pairs"](spark, str(tmp_path))
+    assert "Join" in found._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, found.collect())) == want
+
+
+def test_words_are_found_from_either_side():
+    import pyarrow as pa
+
+    flat = pa.array(["b", "x", "a", None, "b", "é"])
+    for words in (pa.array(["é", "a", "b", *(f"w{i}" for i in range(20))]), pa.array(["é", "a", "b"]), pa.array([], pa.string())):
+        place = {w: i for i, w in enumerate(words.to_pylist())}
+        assert text._found(flat, words).tolist() == [place.get(w, -1) for w in flat.to_pylist()]
