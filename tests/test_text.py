@@ -300,3 +300,21 @@ def test_words_are_found_from_either_side():
     for words in (pa.array(["é", "a", "b", *(f"w{i}" for i in range(20))]), pa.array(["é", "a", "b"]), pa.array([], pa.string())):
         place = {w: i for i, w in enumerate(words.to_pylist())}
         assert text._found(flat, words).tolist() == [place.get(w, -1) for w in flat.to_pylist()]
+
+
+def test_draws_of_a_large_vocabulary_are_counted_where_the_texts_are(spark, monkeypatch):
+    """Beyond SENT_ROWS words nothing but texts and counts is shuffled; beyond SENT_BYTES joins give equal rows."""
+    from wordloom.operators import lineage
+
+    rows = [(d, "\n".join(" ".join(f"W{((d or 0) * k * k + s) % 9}" for k in range(20 * s)) for s in range(3))) for d in [*range(20), 3, None]] + [(50, None), (51, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = text.ranked(text.vocabulary(text.tokens(docs, lower=True), 5))
+    own = lambda: sorted(map(tuple, text.drawn_counts(docs, vocab, 3).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(text, "SENT_BYTES", 0)
+        want = own()
+    monkeypatch.setattr(text, "SENT_ROWS", 3)
+    monkeypatch.setattr(text, "ENCODED", 50)
+    monkeypatch.setattr(lineage.sent, "__defaults__", (3,))
+    assert own() == want and len(want) > 5
+    assert "Join" not in text.drawn_counts(docs, vocab, 3)._jdf.queryExecution().executedPlan().toString()
